@@ -1,0 +1,24 @@
+"""Connected components over an edge list, by label propagation with shortcuts; each step a stored table."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from scholia.sources.storage import stored
+
+
+def components(links: DataFrame, a: str, b: str) -> DataFrame:
+    """(id, root): the least id of the component of every id that a link names."""
+    edges = stored(links.select(F.col(a).alias("x"), F.col(b).alias("y")).filter("x != y").distinct(), "edges")
+    both = edges.union(edges.select(F.col("y").alias("x"), F.col("x").alias("y")))
+    labels = stored(both.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("id"), F.least("x", "m").alias("root")), "labels")
+    while True:
+        near = both.join(labels, F.col("y") == F.col("id")).groupBy("x").agg(F.min("root").alias("m"))
+        moved = labels.join(near, F.col("id") == F.col("x")).select("id", F.least("root", "m").alias("root"), (F.col("m") < F.col("root")).alias("changed"))
+        up = labels.select(F.col("id").alias("root"), F.col("root").alias("over"))
+        after = stored(moved.join(up, "root", "left").select("id", F.least("root", F.coalesce("over", "root")).alias("root"), "changed"), "labels")
+        done = not after.filter("changed").take(1)
+        labels = after.select("id", "root")
+        if done:
+            return labels
