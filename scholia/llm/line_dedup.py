@@ -1,22 +1,28 @@
-"""Near-duplicate lines: a segment-partition edit-distance join over the distinct lines of a corpus.
+"""Near-duplicate lines: a segment-partition edit-distance join over the lines of a corpus.
 
 Li, Deng and Feng, "PASS-JOIN" (2011): of two lines within `tau` edits, one of the tau + 1 even segments of the
-shorter occurs unchanged in the longer, near its old place. Every distinct line is indexed by its segments
-(length, segment number, hash) and probes the indexes of the lengths it may meet with those of its substrings
-that the multi-match rule allows; candidates are verified with a banded bit-parallel edit distance, a batch of
-pairs at a time. Both sides are expressions in the plan; only the verification runs in Python.
+shorter occurs unchanged in the longer, near its old place. Every line is indexed by its segments (length,
+segment number, hash) and probes the indexes of the lengths it may meet with those of its substrings that the
+multi-match rule allows; candidates are verified with a banded bit-parallel edit distance, a batch of pairs at a
+time. Segment hashes come from prefix sums over a batch of texts.
+
+A line's id holds, besides a hash, the parities of its characters in 24 classes. An edit changes two of them at
+most, so candidates whose parities differ in more than 2 tau places are no pairs; the join leaves them out
+before it emits a row, which keeps lines that share half their text but differ by words from meeting.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scholia.llm.common import components, in_arrow, keyed_texts, stored
+from scholia.llm.common import U64, components, in_arrow, keyed_texts, mix, signed, stored
 
 TAU, MIN_EXACT, MIN_NEAR = 2, 10, 20
+#: Line ids that may be broadcast to fetch their texts: 8 bytes each; more of them are joined by shuffle.
+BROADCAST_IDS = 1_000_000
 
 
 def edit_distance_within(a: list[np.ndarray], b: list[np.ndarray], tau: int) -> np.ndarray:
@@ -62,51 +68,145 @@ def edit_distance_within(a: list[np.ndarray], b: list[np.ndarray], tau: int) ->
     return result
 
 
-def _segment(length: Column, number: int, tau: int) -> tuple[Column, Column]:
-    """First place (from 1) and length of a segment of a line of that length; the last segments are the longer."""
-    base, extra = F.floor(length / (tau + 1)).cast("int"), (length % (tau + 1)).cast("int")
-    short = F.lit(tau + 1) - extra
-    size = base + (F.lit(number) > short).cast("int")
-    return F.lit(number - 1) * base + F.greatest(F.lit(number - 1) - short, F.lit(0)) + 1, size
+_BASE, _SPREAD = U64(0xD6E8FEB86659FD93), U64(0x9E3779B97F4A7C15)
+_INVERSE = U64(pow(int(_BASE), -1, 1 << 64))
+_CHARS = 1 << 21  # code points that are hashed at once
 
 
-def _keys(line: Column, tau: int, probing: bool) -> Column:
-    """The index entries of a line, or its probes: hashes of (length of the shorter, number, substring)."""
-    length, out = F.length(line), []
-    for delta in range(tau + 1 if probing else 1):
-        shorter = length - delta
+def probes(tau: int) -> list[tuple[int, int, int]]:
+    """(how much shorter the indexed line is, segment, shift) of the substrings that a line looks up, by the
+    multi-match rule, without those that are its own index entries."""
+    out = []
+    for delta in range(tau + 1):
         for number in range(1, tau + 2):
-            at, size = _segment(shorter, number, tau)
-            least = max(-(number - 1), delta - (tau + 1 - number))
-            most = min(number - 1, delta + (tau + 1 - number))
-            for move in range(least, most + 1) if probing else [0]:
-                out.append(F.xxhash64(shorter, F.lit(number), F.substring(line, at + move, size)))
-    return F.array_distinct(F.array(*out))
-
-
-def similar_lines(lines: DataFrame, *, tau: int = TAU, min_near: int = MIN_NEAR) -> DataFrame:
-    """(a, b): ids of distinct lines (line_id long, line string) of at least min_near code points each
-    within tau edits. Each such pair once, a < b; no pair is lost."""
-    near = lines.filter(F.length("line") >= min_near)
-    index = near.select(F.col("line_id").alias("a"), F.explode(_keys(F.col("line"), tau, False)).alias("key"))
-    probes = near.select(F.col("line_id").alias("b"), F.explode(_keys(F.col("line"), tau, True)).alias("key"))
-    # keys that only one line has cannot meet; they are left out before the join
-    both = stored(index.select("key", F.col("a").alias("id"), F.lit(True).alias("indexed"))
-                  .union(probes.select("key", F.col("b").alias("id"), F.lit(False).alias("indexed"))), "segments")
-    shared = both.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo != hi").select("key")
-    met = stored(both.join(shared, "key", "left_semi"), "met")
-    pairs = (
-        met.filter("indexed").select("key", F.col("id").alias("x"))
-        .join(met.filter("NOT indexed").select("key", F.col("id").alias("y")), "key")
-        .filter("x != y")
-        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        .distinct()
-    )
-    pairs = stored(pairs, "line-pairs")
-    ids = pairs.select(F.col("a").alias("line_id")).union(pairs.select(F.col("b").alias("line_id"))).distinct()
-    texts = stored(near.join(ids, "line_id", "left_semi"), "line-texts")
-    joined = pairs.join(texts.select(F.col("line_id").alias("a"), F.col("line").alias("s")), "a").join(
-        texts.select(F.col("line_id").alias("b"), F.col("line").alias("t")), "b"
+            low = max(1 - number, delta - (tau + 1 - number))
+            high = min(number - 1, delta + (tau + 1 - number))
+            out += [(delta, number, move) for move in range(low, high + 1) if delta or move]
+    return out
+
+
+def segments(length: np.ndarray, number: int, tau: int) -> tuple[np.ndarray, np.ndarray]:
+    """First place (from 0) and size of a segment of lines of these lengths; the last segments are the longer."""
+    base, extra = np.divmod(length, tau + 1)
+    short = tau + 1 - extra
+    return (number - 1) * base + np.maximum(number - 1 - short, 0), base + (number > short)
+
+
+class Lines:
+    """The lines of some texts as arrays: text number, line number, start and length in one run of code points."""
+
+    def __init__(self, texts: list[str]):
+        joined = "\n".join(texts)
+        self.codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        ends = np.append(np.flatnonzero(self.codes == 10), len(self.codes))
+        self.start = np.append(0, ends[:-1] + 1)
+        self.length = ends - self.start
+        first = np.append(0, np.cumsum([t.count("\n") + 1 for t in texts]))
+        self.text = np.repeat(np.arange(len(texts)), np.diff(first))
+        self.no = np.arange(len(self.start)) - first[self.text]
+        self.lines = joined.split("\n")
+
+    def ids(self) -> tuple[np.ndarray, np.ndarray]:
+        """(id, digest): 24 parities and 40 bits of a hash, and 64 bits more; equal for equal lines only."""
+        import xxhash
+
+        n = len(self.lines)
+        both = [xxhash.xxh3_128_intdigest(x.encode("utf-8", "surrogatepass")) for x in self.lines]
+        low = np.fromiter((x & 0xFFFFFFFFFF for x in both), U64, n)
+        high = np.fromiter((x >> 64 for x in both), U64, n)
+        with np.errstate(over="ignore"):
+            classes = ((self.codes.astype(U64) * _SPREAD) >> U64(40)) % U64(24)
+        marks = np.append(np.uint32(1) << classes.astype(np.uint32), np.uint32(0))
+        marks[:-1][self.codes == 10] = 0
+        parity = np.bitwise_xor.reduceat(marks, np.minimum(self.start, len(marks) - 1)).astype(U64)
+        parity[self.length == 0] = 0
+        return (parity << U64(40)) | low, high
+
+    def keys(self, which: np.ndarray, tau: int, probing: bool) -> list[np.ndarray]:
+        """For some lines, an array of keys for each index entry or probe."""
+        with np.errstate(over="ignore"):
+            power = np.multiply.accumulate(np.append(U64(1), np.full(len(self.codes), _BASE, U64)))
+            back = np.multiply.accumulate(np.append(U64(1), np.full(len(self.codes), _INVERSE, U64)))
+            total = np.append(U64(0), np.cumsum((self.codes.astype(U64) + U64(1)) * _SPREAD * power[:-1]))
+            start, length, out = self.start[which], self.length[which], []
+            for delta, number, move in probes(tau) if probing else [(0, n, 0) for n in range(1, tau + 2)]:
+                at, size = segments(length - delta, number, tau)
+                at = start + at + move
+                h = (total[at + size] - total[at]) * back[at]
+                out.append(mix(h + mix((length - delta).astype(U64) * U64(16) + U64(number))))
+        return out
+
+
+def _blocks(texts: list[str]):
+    """Runs of texts of bounded size together; a longer text is a run of its own."""
+    held, size, at = [], 0, 0
+    for i, t in enumerate(texts):
+        if held and size + len(t) > _CHARS:
+            yield at, held
+            held, size, at = [], 0, i
+        held.append(t)
+        size += len(t)
+    if held:
+        yield at, held
+
+
+def _entries(docs: DataFrame, tau: int, min_near: int, probing: bool) -> DataFrame:
+    """(key, id): index entries or probes of the lines of docs (doc_id, text), once a task for each line."""
+
+    def run(batches):
+        seen: set[int] = set()
+        for b in batches:
+            for _, texts in _blocks(b.column(1).to_pylist()):
+                lines = Lines(texts)
+                ids = lines.ids()[0]
+                near = np.flatnonzero(lines.length >= min_near)
+                new = []
+                for i, x in zip(near.tolist(), ids[near].tolist()):
+                    if x not in seen:
+                        if len(seen) >= 1_000_000:  # forgetting only repeats entries
+                            seen.clear()
+                        seen.add(x)
+                        new.append(i)
+                if not new:
+                    continue
+                which = np.array(new)
+                for keys in lines.keys(which, tau, probing):
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(keys)), pa.array(signed(ids[which]))], ["key", "id"])
+
+    return in_arrow(docs.select("doc_id", "text"), run, "key long, id long")
+
+
+def _texts_of(docs: DataFrame, wanted: DataFrame, min_near: int) -> DataFrame:
+    """(id, line) for the wanted ids."""
+
+    def run(batches):
+        for b in batches:
+            for _, texts in _blocks(b.column(1).to_pylist()):
+                lines = Lines(texts)
+                ids = lines.ids()[0]
+                near = np.flatnonzero(lines.length >= min_near)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(ids[near])), pa.array([lines.lines[i] for i in near], pa.string())], ["id", "line"])
+
+    side = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+    return in_arrow(docs.select("doc_id", "text"), run, "id long, line string").join(side, "id", "left_semi").dropDuplicates(["id"])
+
+
+def similar_lines(docs: DataFrame, *, tau: int = TAU, min_near: int = MIN_NEAR) -> DataFrame:
+    """(a, b): ids of different lines of docs (doc_id, text), of min_near code points each or more, within tau
+    edits of each other. Each such pair once, a < b; no pair is lost."""
+    index, probe = _entries(docs, tau, min_near, False), _entries(docs, tau, min_near, True)
+    left, right = index.select("key", F.col("id").alias("x")), index.select("key", F.col("id").alias("y"))
+    parities = lambda c: F.shiftrightunsigned(c, 40)
+    fits = (F.col("x") != F.col("y")) & (F.bit_count(parities("x").bitwiseXOR(parities("y"))) <= 2 * tau)
+    pair = [F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")]
+    same = left.join(right, (left["key"] == right["key"]) & (F.col("x") < F.col("y")) & fits).select(*pair)
+    other = probe.select(F.col("key").alias("k"), F.col("id").alias("y"))
+    moved = left.join(other, (left["key"] == F.col("k")) & fits).select(*pair)
+    pairs = stored(same.union(moved).distinct(), "line-pairs")
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    texts = stored(_texts_of(docs, stored(ids, "line-ids"), min_near), "line-texts")
+    joined = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("s")), "a").join(
+        texts.select(F.col("id").alias("b"), F.col("line").alias("t")), "b"
     ).select("a", "b", "s", "t")
 
     def run(batches):
@@ -128,6 +228,24 @@ def similar_lines(lines: DataFrame, *, tau: int = TAU, min_near: int = MIN_NEAR)
     return in_arrow(joined, run, "a long, b long")
 
 
+def _spots(docs: DataFrame, min_exact: int) -> DataFrame:
+    """(line_id, digest, doc_id, no): where lines of min_exact code points or more, once stripped, occur."""
+
+    def run(batches):
+        for b in batches:
+            docs = b.column(0).to_pylist()
+            for first, texts in _blocks(b.column(1).to_pylist()):
+                lines = Lines(texts)
+                ids, digests = lines.ids()
+                some = np.flatnonzero(np.fromiter((len(x.strip()) >= min_exact for x in lines.lines), bool, len(lines.lines)))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(signed(ids[some])), pa.array(signed(digests[some])), pa.array([docs[first + i] for i in lines.text[some]], pa.int64()), pa.array(lines.no[some].astype(np.int32))],
+                    ["line_id", "digest", "doc_id", "no"],
+                )
+
+    return in_arrow(docs.select("doc_id", "text"), run, "line_id long, digest long, doc_id long, no int")
+
+
 def line_dedup(docs: DataFrame, *, id_col="doc_id", text_col="text", tau=TAU, min_exact=MIN_EXACT, min_near=MIN_NEAR) -> DataFrame:
     """(doc_id, text, n_lines, n_dropped, n_links, line_classes): a row for each row of docs.
 
@@ -140,20 +258,10 @@ def line_dedup(docs: DataFrame, *, id_col="doc_id", text_col="text", tau=TAU, mi
     are dropped together. Rows with a null id lose lines that others have and are no one's first.
     """
     texts = keyed_texts(docs, id_col, text_col)
-    rows = texts.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("no", "line")).filter(F.length(F.trim("line")) >= min_exact)
+    spots = stored(_spots(texts, min_exact), "spots")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "no"))
-    spots = rows.select("doc_id", "no", F.xxhash64("line").alias("line_id"), F.md5("line").alias("digest"))
-    # a line is known by a 64-bit hash below; two lines of one hash would show as two digests and are told apart
     lines = stored(spots.groupBy("line_id", "digest").agg(first.alias("first"), F.count(F.lit(1)).alias("copies")), "lines")
-    leads = lines.select("line_id", "digest", F.col("first.doc_id").alias("doc_id"), F.col("first.no").alias("no"))
-    # one whole text for each distinct line: read again where it occurs first
-    distinct = (
-        rows.select("doc_id", "no", "line").join(leads.hint("shuffle_hash"), ["doc_id", "no"])
-        .filter(F.col("digest") == F.md5("line"))
-        .select("line_id", "line").dropDuplicates(["line_id"])
-    )
-    distinct = stored(distinct, "distinct-lines")
-    links = stored(similar_lines(distinct, tau=tau, min_near=min_near), "line-links")
+    links = stored(similar_lines(texts, tau=tau, min_near=min_near), "line-links")
     roots = stored(components(links, "a", "b"), "line-roots")
     degree = links.select(F.explode(F.array("a", "b")).alias("line_id")).groupBy("line_id").agg(F.count(F.lit(1)).alias("degree"))
     named = (
