@@ -40,7 +40,7 @@ def retry_after(header: Column, now: Column) -> Column:
     seconds = F.when(text.rlike(r"^[-+]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][-+]?[0-9]+)?$"), text.cast("double"))
     date = F.try_to_timestamp(F.regexp_replace(F.regexp_replace(text, r"^[A-Za-z]{3},\s*", ""), r"\s*(GMT|UTC)$", ""), F.lit("d MMM yyyy HH:mm:ss"))
     wait = F.coalesce(seconds, F.unix_micros(date.cast("timestamp")) / 1e6 - F.unix_micros(now.cast("timestamp")) / 1e6)
-    return F.least(F.greatest(wait, F.lit(0.0)), F.lit(MOST_WAIT))
+    return F.when(wait.isNotNull() & ~F.isnan(wait), F.least(F.greatest(wait, F.lit(0.0)), F.lit(MOST_WAIT)))
 
 
 def backoff(base: Column, attempt: Column, asked: Column) -> Column:

@@ -257,7 +257,7 @@ def dt_year(spark, d):
 _WAITS = "SELECT event_id, ts, CASE event_id % 5 WHEN 0 THEN concat(CAST(event_id % 60 AS STRING), '') WHEN 1 THEN '-3' WHEN 2 THEN 'soon' WHEN 3 THEN NULL ELSE ' 2.5 ' END AS header FROM events"
 
 
-@query(f"SELECT event_id, CAST(least(greatest(TRY_CAST(trim(header) AS DOUBLE), 0), 30) AS DOUBLE) AS wait FROM ({_WAITS})")
+@query(f"SELECT event_id, CASE WHEN TRY_CAST(trim(header) AS DOUBLE) IS NOT NULL THEN CAST(least(greatest(TRY_CAST(trim(header) AS DOUBLE), 0), 30) AS DOUBLE) END AS wait FROM ({_WAITS})")
 def dt_retry_after(spark, d):
     return relation(spark, d, _WAITS).select("event_id", dates.retry_after(F.col("header"), F.col("ts")).alias("wait"))
 
@@ -267,7 +267,7 @@ def dt_stamps(spark, d):
     return relation(spark, d, "events").select("event_id", dates.iso_utc(F.col("ts")).alias("iso"), dates.run_stamp(F.col("ts")).alias("stamp"))
 
 
-@query(f"SELECT event_id, CAST(coalesce(least(greatest(TRY_CAST(trim(header) AS DOUBLE), 0), 30), power(2.0, event_id % 4)) AS DOUBLE) AS wait FROM ({_WAITS})")
+@query(f"SELECT event_id, CAST(CASE WHEN TRY_CAST(trim(header) AS DOUBLE) IS NOT NULL THEN least(greatest(TRY_CAST(trim(header) AS DOUBLE), 0), 30) ELSE power(2.0, event_id % 4) END AS DOUBLE) AS wait FROM ({_WAITS})")
 def dt_backoff(spark, d):
     w = relation(spark, d, _WAITS)
     return w.select("event_id", dates.backoff(F.lit(1.0), F.col("event_id") % 4, dates.retry_after(F.col("header"), F.col("ts"))).alias("wait"))
