@@ -1,14 +1,17 @@
 """Substring dedup by sliding sentence spans: every run of several consecutive sentences is hashed, hashes are
 joined over the corpus, and sentences that a repeated run covers go unless the run is the first of its kind.
 
-A sentence ends after ., ! or ? before white space, or at a newline; a sentence of more than `longest` words is
-read as pieces of `piece` words each, so that a repeated long sentence is a run as well. Words are compared
-lower-cased, without what stands between them.
+A sentence ends with marks that hold ., ! or ? before white space, or at a newline; a sentence of more than `longest` words is
+read in parts that end after words whose hash says so (one in eight), so that a passage falls into the same parts
+wherever it stands in a sentence, and after `longest` words at most. From each part on, the run that is hashed is the shortest of three or more
+parts with min_words words or more: a short phrase that recurs by chance is none. Words are compared lower-cased,
+without what stands between them.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -17,11 +20,22 @@ from pyspark.sql import functions as F
 
 from scholia.llm.common import U64, WORD, in_arrow, keyed_texts, mix, signed, stored
 
-RUN, MIN_WORDS, LONGEST, PIECE = 3, 12, 16, 8
-_SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?]+(?!\s)[^.!?\n]*)*(?:[.!?]*\s+|[.!?]+$|$)")
+RUN, MIN_WORDS, LONGEST, ONE_IN = 3, 25, 16, 8
+_BASE = U64(0x9FB21C651E98DF25)
+_INVERSE = U64(pow(int(_BASE), -1, 1 << 64))
+# A run of marks before white space, or a newline: each run is tried from its first mark only.
+_STOP = re.compile(r"(?<![^\w\s])[^\w\s]++(?=\s|\Z)|\n")
+_FULL = re.compile(r"[.!?\n]")
 
 
-def pieces(text: str, longest: int = LONGEST, piece: int = PIECE) -> tuple[list[str], list[int], np.ndarray]:
+def sentences(text: str) -> list[str]:
+    """Parts that add up to the text; a sentence ends with marks that hold ., ! or ?, or with a newline."""
+    ends = [m.end() for m in _STOP.finditer(text) if _FULL.search(m[0])]
+    cuts = [0, *ends] if ends and ends[-1] == len(text) else [0, *ends, len(text)]
+    return [text[a:b] for a, b in zip(cuts, cuts[1:]) if a < b]
+
+
+def pieces(text: str, longest: int = LONGEST) -> tuple[list[str], list[int], np.ndarray]:
     """(parts, words, hashes): parts of the text that add up to it, how many words each has, a hash of them.
     A part without words goes with the one before it, or the one after it at the start of the text."""
     import xxhash
@@ -31,9 +45,7 @@ def pieces(text: str, longest: int = LONGEST, piece: int = PIECE) -> tuple[list[
     words: list[int] = []
     hashes: list[int] = []
     open_front = ""
-    for sentence in _SENTENCE.findall(text):
-        if not sentence:
-            continue
+    for sentence in sentences(text):
         found = WORD.findall(sentence.lower())
         if not found:
             if parts:
@@ -46,8 +58,14 @@ def pieces(text: str, longest: int = LONGEST, piece: int = PIECE) -> tuple[list[
         else:
             starts = [m.start() for m in WORD.finditer(sentence)]
             if len(starts) == len(found):  # lower-casing may rarely change where words end
-                at = [0, *starts[piece::piece], len(sentence)]
-                cuts = [(sentence[a:b], found[i * piece : (i + 1) * piece]) for i, (a, b) in enumerate(zip(at, at[1:]))]
+                ends, last = [], 0
+                for i, w in enumerate(found[:-1], 1):
+                    if zlib.crc32(w.encode("utf-8", "surrogatepass")) % ONE_IN == 0 or i - last == longest:
+                        ends.append(i)
+                        last = i
+                places = [0, *ends, len(found)]
+                at = [0, *[starts[i] for i in ends], len(sentence)]
+                cuts = [(sentence[a:b], found[i:j]) for a, b, i, j in zip(at, at[1:], places, places[1:])]
             else:
                 cuts = [(sentence, found)]
         for part, own in cuts:
@@ -60,24 +78,26 @@ def pieces(text: str, longest: int = LONGEST, piece: int = PIECE) -> tuple[list[
     return parts, words, np.array(hashes, U64)
 
 
-def runs(words: list[int], hashes: np.ndarray, run: int, min_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """(first part, hash) of every run of `run` parts with min_words words or more."""
-    n = len(words) - run + 1
-    if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, U64)
+def runs(words: list[int], hashes: np.ndarray, run: int, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first part, end, hash) of the shortest run of `run` parts or more with min_words words or more from each
+    part on; the last parts of a text have none."""
+    n = len(words)
     total = np.concatenate([[0], np.cumsum(words)])
-    h = np.zeros(n, U64)
+    first = np.arange(n)
+    end = np.maximum(first + run, np.searchsorted(total, total[:-1] + min_words)) if n else first
+    first, end = first[end <= n], end[end <= n]
     with np.errstate(over="ignore"):
-        for j in range(run):
-            h = mix(h * U64(0x9FB21C651E98DF25) + hashes[j : j + n])
-    good = np.flatnonzero(total[run:] - total[:-run] >= min_words)
-    return good, h[good]
+        power = np.multiply.accumulate(np.append(U64(1), np.full(n, _BASE, U64)))
+        back = np.multiply.accumulate(np.append(U64(1), np.full(n, _INVERSE, U64)))
+        sums = np.append(U64(0), np.cumsum(mix(hashes) * power[:-1]))
+        h = mix((sums[end] - sums[first]) * back[first] + (end - first).astype(U64))
+    return first, end, h
 
 
 def substring_dedup(docs: DataFrame, *, id_col="doc_id", text_col="text", run=RUN, min_words=MIN_WORDS) -> DataFrame:
-    """(doc_id, text, n_parts, n_removed, removed): a row for each row of docs; removed: numbers (from 0) of the
+    """(doc_id, text, n_removed, removed): a row for each row of docs; removed: numbers (from 0) of the
     parts that went. The first of equal runs, by (doc_id, place), covers nothing; all others do, in the same
-    document too. Runs of fewer than min_words words are never compared.
+    document too. A passage with fewer than min_words words in whole parts is never compared.
 
     Null and empty texts have no parts and become empty. Rows that share an id are one document and lose the
     same parts. Rows with a null id come last: they lose what others have and never cause a loss.
@@ -89,7 +109,7 @@ def substring_dedup(docs: DataFrame, *, id_col="doc_id", text_col="text", run=RU
             ids, places, hashes = [], [], []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 _, words, h = pieces(text)
-                at, own = runs(words, h, run, min_words)
+                at, _, own = runs(words, h, run, min_words)
                 ids.append(np.full(len(at), np.iinfo(np.int64).max if doc is None else doc)), places.append(at), hashes.append(own)
             if ids:
                 yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(hashes))), pa.array(np.concatenate(ids)), pa.array(np.concatenate(places).astype(np.int32))], ["hash", "id", "place"])
@@ -102,16 +122,19 @@ def substring_dedup(docs: DataFrame, *, id_col="doc_id", text_col="text", run=RU
 
     def rewritten(batches):
         for b in batches:
-            out = [[], [], [], []]
+            new, removed = [], []
             for text, places in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                parts = pieces(text)[0]
-                gone = sorted({p + j for p in places or () for j in range(run) if p + j < len(parts)})
-                lost = set(gone)
-                for c, v in zip(out, ("".join(p for i, p in enumerate(parts) if i not in lost) if gone else text, len(parts), len(gone), gone)):
-                    c.append(v)
+                gone: list[int] = []
+                if places:
+                    parts, words, h = pieces(text)
+                    end = dict(zip(*(x.tolist() for x in runs(words, h, run, min_words)[:2])))
+                    lost = {j for p in places for j in range(p, end.get(p, p))}
+                    gone = sorted(lost)
+                    text = "".join(p for i, p in enumerate(parts) if i not in lost)
+                new.append(text), removed.append(gone)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.list_(pa.int32()))],
-                ["doc_id", "text", "n_parts", "n_removed", "removed"],
+                [b.column(0), pa.array(new, pa.string()), pa.array([len(x) for x in removed], pa.int64()), pa.array(removed, pa.list_(pa.int32()))],
+                ["doc_id", "text", "n_removed", "removed"],
             )
 
-    return in_arrow(joined, rewritten, "doc_id long, text string, n_parts long, n_removed long, removed array<int>")
+    return in_arrow(joined, rewritten, "doc_id long, text string, n_removed long, removed array<int>")

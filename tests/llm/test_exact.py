@@ -253,9 +253,10 @@ def test_substrings_against_brute_force(spark):
     first, gone = {}, {i: set() for i, _ in docs}
     for i, _ in docs:
         parts, words, h = cut[i]
-        for p in range(len(parts) - 2):
-            if sum(words[p : p + 3]) >= substring_dedup.MIN_WORDS and first.setdefault(tuple(h[p : p + 3].tolist()), (i, p)) != (i, p):
-                gone[i] |= {p, p + 1, p + 2}
+        for p in range(len(parts)):
+            end = next((e for e in range(p + 3, len(parts) + 1) if sum(words[p:e]) >= substring_dedup.MIN_WORDS), None)
+            if end and first.setdefault(tuple(h[p:end].tolist()), (i, p)) != (i, p):
+                gone[i] |= set(range(p, end))
     got = {r["doc_id"]: (r["text"], set(r["removed"])) for r in substring_dedup.substring_dedup(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()}
     assert got == {i: ("".join(p for k, p in enumerate(cut[i][0]) if k not in gone[i]), gone[i]) for i, _ in docs}
     assert any(gone.values())
