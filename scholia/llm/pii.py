@@ -29,7 +29,7 @@ _PATTERN = re.compile(
     r"|(?P<date>(?<![\w/.-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}[/.]\d{1,2}[/.]\d{4})(?![\w/-]))"
     r"|(?P<ipv4>(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\w|\.\d))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
-    r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?)(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?!\w)|(?<![\w(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w))"
+    r"|(?P<phone>(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?\d{2,4}[ .-]?\d{3,4}|\d{2,4}(?:[ .-]?\d{2,4}){1,3})(?!\w|\.\d)|(?<![\w(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w))"
     r"|(?P<card>(?<![\w.])\d(?:[ -]?\d){12,18}(?!\w))"
 )
 _MAYBE = re.compile(r"@|\d{3}|\d[./]\d")
@@ -173,13 +173,15 @@ def replace(text: str, key: bytes, back: bool = False) -> tuple[str, list[tuple[
     """(new text, spans): spans (kind, start, end) are code points of the old text; ends are exclusive."""
     if not _MAYBE.search(text):
         return text, []
-    out, spans, last = [], [], 0
-    for m in _PATTERN.finditer(text):
+    out, spans, last, at = [], [], 0, 0
+    while m := _PATTERN.search(text, at):
         new = pseudonym(m.lastgroup, m[0], key, back)
-        if new is not None:
-            out += [text[last : m.start()], new]
-            last = m.end()
-            spans.append((m.lastgroup, m.start(), m.end()))
+        if new is None:
+            at = m.start() + 1  # what fails may still hold a valid value
+            continue
+        out += [text[last : m.start()], new]
+        last = at = m.end()
+        spans.append((m.lastgroup, m.start(), m.end()))
     return "".join(out) + text[last:], spans
 
 

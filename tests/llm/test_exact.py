@@ -106,6 +106,11 @@ def test_feistel_is_a_permutation(n):
     assert seen == set(range(n)) and all(f.walk(f.walk(x, pii._yes), pii._yes, True) == x for x in range(0, n, max(1, n // 20)))
 
 
+def test_neighbouring_values_are_told_apart():
+    spans = pii.replace("+1 (826) 555-4081 190.137.3.9 and +1 (017) 555-7713 4539148803436467 1219538112535716 7.8.9.10", b"k")[1]
+    assert [k for k, _, _ in spans] == ["phone", "ipv4", "phone", "card", "ipv4"]
+
+
 def test_pii_links_and_leaves_invalid_values(spark):
     text = "pay 4539148803436467 or 4539 1488 0343 6467, not 4539148803436468; born 2001-02-03, mail a.b@x.org 300.1.1.1"
     out = pii.pseudonymise(spark.createDataFrame([(1, text), (2, "again 4539148803436467")], "doc_id long, text string"), b"key").collect()
