@@ -71,7 +71,10 @@ class ItemIndex:
     def seeds(self, s: np.ndarray) -> np.ndarray:
         """Places of shingles that some item has."""
         at = np.flatnonzero(self.filter[(s & U64(0xFFFFF)).astype(np.int64)])
-        return at[np.isin(s[at], self.known)] if len(at) else at
+        if not len(at):
+            return at
+        place = np.minimum(np.searchsorted(self.known, s[at]), len(self.known) - 1)
+        return at[self.known[place] == s[at]]
 
     def candidates(self, size: tuple, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(window, item number) pairs within the radius, once each."""
