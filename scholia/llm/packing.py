@@ -112,9 +112,19 @@ def tail_cuts(total: int, length: int) -> list[int]:
 
 
 class Encoder:
-    """Token ids as little-endian 16- or 32-bit bytes; keeps the ids of words, up to a bounded number."""
+    """Token ids as little-endian 16- or 32-bit bytes; keeps the ids of words, up to a bounded number.
 
-    def __init__(self, path: str, limit: int = 600_000):
+    A Python worker has one for each vocabulary, so that what one task has learnt serves the next."""
+
+    held: dict[str, Encoder] = {}
+
+    @classmethod
+    def of(cls, path: str) -> Encoder:
+        if path not in cls.held:
+            cls.held[path] = cls(path)
+        return cls.held[path]
+
+    def __init__(self, path: str, limit: int = 1_200_000):
         import regex
         from tokenizers import Tokenizer
 
@@ -128,16 +138,18 @@ class Encoder:
 
     def __call__(self, text: str) -> bytes:
         parts, known = self.parts(text), self.known
-        new = [p for p in dict.fromkeys(parts) if p not in known]
-        if new:
+        ids = list(map(known.get, parts))
+        if None in ids:
+            new = list({p for p, x in zip(parts, ids) if x is None})
             if len(known) + len(new) > self.limit:
                 known.clear()
-                new = list(dict.fromkeys(parts))
+                new = list(set(parts))
             for at in range(0, len(new), 4096):
                 some = new[at : at + 4096]
-                for p, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False)):
+                for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
                     known[p] = np.array(e.ids, self.type).tobytes()
-        return b"".join([known[p] for p in parts])
+            ids = [known[p] for p in parts]
+        return b"".join(ids)
 
 
 def encoded(docs: DataFrame, tokenizer: str, *, id_col="doc_id", text_col="text", source_col="source", queues=QUEUES) -> DataFrame:
@@ -159,7 +171,7 @@ def encoded(docs: DataFrame, tokenizer: str, *, id_col="doc_id", text_col="text"
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode, before = Encoder(tokenizer), {}
+        encode, before = Encoder.of(tokenizer), {}
         end = np.array([END], encode.type).tobytes()
         size = len(end)
         for b in batches:
