@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholia.functions import dates, identity, numbers, text
+from scholia.functions import dates, identity, numbers, payloads, text
 from scholia.operators import control, dedup, evidence, graph, report, retrieval, scoring, sources_of, synthesis, texts, verification
 from scholia.plans.views import oracle, relation
 from scholia.sources.storage import stored
@@ -1025,6 +1025,50 @@ def rate_limit(spark, d):
     return control.rate_limited(relation(spark, d, _RUNS), 3_600_000_000, "identity", "ts", "event_id").select("identity", "event_id", "sent_us")
 
 
+# ---- payloads ----------------------------------------------------------------------------------
+
+_ANSWER = """SELECT conv_id, turn, CASE turn % 6 WHEN 0 THEN concat('{"status":"completed","output":[{"type":"reasoning"},{"type":"message","role":"assistant","content":[{"type":"output_text","text":"a', CAST(conv_id AS STRING), '"},{"type":"output_text","text":"b"}]}],"usage":{"prompt_tokens":',
+  CAST(conv_id AS STRING), ',"output_tokens":7,"total_tokens":-1,"cost_in_usd_ticks":5}}') WHEN 1 THEN '{"error":{"message":"busy"}}' WHEN 2 THEN '{"status":"incomplete","incomplete_details":{"reason":"length"},"usage":{"input_tokens":true}}'
+  WHEN 3 THEN '{"status":"completed","output":[{"content":[{"type":"refusal","refusal":"no"}]}]}' WHEN 4 THEN '{"status":"completed","output":[]}' ELSE '[]' END AS payload FROM conversations"""
+
+
+@query(f"""SELECT conv_id, turn, turn % 6 IN (0, 2) AS reported, CASE WHEN turn % 6 = 0 THEN conv_id END AS input, CASE WHEN turn % 6 = 0 THEN CAST(7 AS BIGINT) END AS output, CAST(NULL AS BIGINT) AS total, CASE WHEN turn % 6 = 0 THEN CAST(5 AS BIGINT) END AS ticks FROM conversations""")
+def jsn_usage(spark, d):
+    u = relation(spark, d, _ANSWER).select("conv_id", "turn", payloads.usage(F.col("payload")).alias("u"))
+    return u.select("conv_id", "turn", "u.reported", "u.input", "u.output", "u.total", "u.ticks")
+
+
+@query("""SELECT conv_id, turn, CASE WHEN turn % 6 = 0 THEN 'a' || CAST(conv_id AS VARCHAR) || 'b' END AS text, CASE turn % 6 WHEN 1 THEN 'provider_error' WHEN 2 THEN 'incomplete' WHEN 3 THEN 'refusal' WHEN 4 THEN 'missing_output_text'
+  WHEN 5 THEN 'malformed_payload' END AS problem FROM conversations""")
+def jsn_output_text(spark, d):
+    return relation(spark, d, _ANSWER).select("conv_id", "turn", payloads.output_text(F.col("payload")).alias("o")).select("conv_id", "turn", "o.text", "o.problem")
+
+
+_ENVELOPE = """SELECT conv_id, turn, CASE turn % 5 WHEN 0 THEN concat('```json', chr(10), '{"items": [1, ', CAST(conv_id AS STRING), ']}', chr(10), '```') WHEN 1 THEN '{"items": {}}' WHEN 2 THEN '{"items": [], "more": 1}' WHEN 3 THEN 'not json' ELSE '[1]' END AS answer FROM conversations"""
+
+
+@query("""SELECT conv_id, turn, CASE WHEN turn % 5 = 0 THEN CAST(2 AS BIGINT) END AS n, CASE turn % 5 WHEN 1 THEN 'not_a_list' WHEN 2 THEN 'unexpected_field' WHEN 3 THEN 'invalid_output_json' WHEN 4 THEN 'not_an_object' END AS problem FROM conversations""")
+def jsn_envelope(spark, d):
+    e = relation(spark, d, _ENVELOPE).select("conv_id", "turn", payloads.envelope(F.col("answer"), "items").alias("e"))
+    return e.select("conv_id", "turn", F.col("e.n").cast("long").alias("n"), "e.problem")
+
+
+_XML = """SELECT c_custkey, concat('<PubmedArticleSet><PubmedArticle><MedlineCitation><PMID>0', CAST(c_custkey + 1 AS STRING), '</PMID><Article><Abstract><AbstractText Label="AIM">To  <i>see</i></AbstractText><AbstractText>Then.</AbstractText></Abstract></Article></MedlineCitation></PubmedArticle>',
+  CASE WHEN c_custkey % 3 = 0 THEN '' ELSE '</PubmedArticleSet>' END) AS xml FROM customer"""
+
+
+@query("SELECT c_custkey, CAST(c_custkey + 1 AS VARCHAR) AS pmid, 'AIM: To see Then.' AS abstract FROM customer WHERE c_custkey % 3 <> 0")
+def txt_xml_abstracts(spark, d):
+    x = relation(spark, d, _XML).select("c_custkey", F.explode(payloads.xml_abstracts("xml")).alias("a"))
+    return x.select("c_custkey", "a.pmid", "a.abstract")
+
+
+@query("SELECT conv_id, turn, text AS value FROM conversations WHERE length(text) >= 12 AND NOT starts_with(text, 'rec_')")
+def red_rejected_texts(spark, d):
+    raw = relation(spark, d, "conversations").select("conv_id", "turn", F.to_json(F.struct(F.struct("text", F.lit("rec_0123456789abcdef").alias("id"), F.lit("short").alias("s")).alias("item"))).alias("raw"))
+    return raw.select("conv_id", "turn", F.explode(payloads.rejected_texts("raw")).alias("value"))
+
+
 # ---- extensions: not in the reference, marked as such ------------------------------------------
 
 
