@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scholia.functions.text import bibliographic
+from scholia.sources.storage import stored
 
 # Node prefixes, edge directions, id forms.
 PREFIX = {"source": "src", "evidence": "ev", "gap": "gap", "hypothesis": "hyp", "prediction": "pred", "falsification_test": "fals"}
@@ -76,9 +77,9 @@ def build(evidence: DataFrame, gaps: DataFrame, hyps: DataFrame, eligible: DataF
     excluded (item, reason). Only what is kept may be referred to."""
     ev = judged_evidence(evidence, eligible)
     ev_ok = ev.filter("excluded_reason IS NULL")
-    gp = judged_gaps(gaps, ev_ok)
+    gp = stored(judged_gaps(gaps, ev_ok), "judged-gaps")
     gp_ok = gp.filter("excluded_reason IS NULL")
-    hy = judged_hypotheses(hyps, ev_ok, gp_ok)
+    hy = stored(judged_hypotheses(hyps, ev_ok, gp_ok), "judged-hypotheses")
     hy_ok = hy.filter("excluded_reason IS NULL")
 
     node = lambda df, kind, col: df.select(node_id(kind, F.col(col)).alias("node_id"), F.lit(kind).alias("type"), F.col(col).alias("item_id"))
