@@ -6,9 +6,10 @@ Weight of a shingle: how often it occurs in the document. Similarity: weighted J
 Plan: identical texts become one class by a digest (minima are combined before the shuffle, so a hot text
 costs nothing); one signature per class goes to `bands` buckets; every member of a bucket is compared with the
 bucket's hub - the member that shares most buckets with others, which is the original of a family of edited
-copies far more often than any other - and what stays apart is compared with further hubs, round by round,
-until no bucket holds members of two components that have not met a hub of either. No pairs within a bucket
-are emitted: each round emits at most one candidate for each member and bucket.
+copies far more often than any other - and what stays apart is compared with further hubs, round by round:
+each round emits at most one candidate for each member and bucket. The members of buckets that hold two
+components still are then compared with each other, all that differ in component, block by block, so that any
+two documents that share a bucket are connected or were found unlike.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 from scholia.llm.common import U64, Vocabulary, components, discard, in_arrow, keyed_texts, mix, shingles, signed, stored, word_hashes
 
 K_WORDS, THRESHOLD, BANDS, ROWS, ROUNDS = 5, 0.8, 20, 4, 3
+#: Members of a block: the rest of a bucket is compared by pairs of blocks, so no task holds more than two.
+BLOCK = 128
 _C1, _C2, _C3 = U64(0xD6E8FEB86659FD93), U64(0xA0761D6478BD642F), U64(0xE7037ED1A0B428DB)
 
 
@@ -147,6 +150,71 @@ def _verified(pairs: DataFrame, texts: DataFrame, k_words: int, threshold: float
     return in_arrow(joined, run, "a long, b long, similarity double")
 
 
+def similar_among(sets: list[tuple[np.ndarray, np.ndarray]], one: list[int], other: list[int] | None, threshold: float, skip) -> list[tuple[int, int, float]]:
+    """(i, j, similarity) of the similar pairs of one with other, or within one if other is None; skip(i, js)
+    says which of js need not be compared with i. Pairs that found ones connect already are left out."""
+    inside = other is None
+    other = one if inside else other
+    values, cells = np.unique(np.concatenate([sets[j][0] for j in other]), return_inverse=True)
+    counts = np.concatenate([sets[j][1] for j in other])
+    starts = np.concatenate([[0], np.cumsum([len(sets[j][0]) for j in other])])[:-1]
+    totals = {j: sets[j][1].sum() for j in {*one, *other}}
+    weights = np.array([totals[j] for j in other])
+    names, row = np.array(other), np.zeros(len(values), np.int64)
+    root = {j: j for j in totals}
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    out = []
+    for n, i in enumerate(one):
+        e, c = sets[i]
+        at = np.minimum(np.searchsorted(values, e), len(values) - 1)
+        known = values[at] == e
+        row[at[known]] = c[known]
+        both = np.add.reduceat(np.minimum(row[cells], counts), starts)
+        row[at[known]] = 0
+        sim = both / (totals[i] + weights - both)
+        hits = np.flatnonzero(sim >= threshold)
+        hits = hits[hits > n] if inside else hits
+        for j, drop in zip(hits, skip(i, names[hits])):
+            a, b = find(i), find(int(names[j]))
+            if not drop and a != b:
+                root[a] = b
+                out.append((i, int(names[j]), float(sim[j])))
+    return out
+
+
+def _verified_within(members: DataFrame, texts: DataFrame, k_words: int, threshold: float) -> DataFrame:
+    """(a, b, similarity) that connect all similar pairs of different roots in each bucket of members (bucket,
+    rep, root). A bucket is dealt to blocks by a hash, each pair of blocks is a group of its own; of the buckets
+    that a pair shares, only the least compares it."""
+
+    def run(group: pa.Table) -> pa.Table:
+        bucket, i, j = (group.column(n)[0].as_py() for n in ("bucket", "i", "j"))
+        rep, root, block = (group.column(n).to_pylist() for n in ("rep", "root", "block"))
+        held, vocabulary = [set(x) for x in group.column("held").to_pylist()], Vocabulary()
+        sets = [_multiset(t, vocabulary, k_words) for t in group.column("text").to_pylist()]
+
+        def skip(x, ys):
+            return [root[x] == root[y] or min(held[x] & held[y]) != bucket for y in ys]
+
+        one, other = ([n for n, b in enumerate(block) if b == x and len(sets[n][0])] for x in (i, j))
+        found = [] if not one or not other else similar_among(sets, one, None if i == j else other, threshold, skip)
+        return pa.table({"a": pa.array([rep[x] for x, _, _ in found], pa.int64()), "b": pa.array([rep[y] for _, y, _ in found], pa.int64()), "similarity": pa.array([s for _, _, s in found], pa.float64())})
+
+    blocks = members.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    held = members.groupBy("rep").agg(F.collect_set("bucket").alias("held"))
+    block = F.pmod(F.xxhash64("rep"), "blocks").alias("block")
+    dealt = members.join(blocks, "bucket").select("bucket", "rep", "root", block, F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("o"))
+    dealt = dealt.select("bucket", "rep", "root", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
+    texts = texts.select(F.col("doc_id").alias("rep"), "text").join(held, "rep")
+    return dealt.join(texts, "rep").groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long, similarity double")
+
+
 def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", k_words=K_WORDS, threshold=THRESHOLD, bands=BANDS, rows=ROWS, rounds=ROUNDS) -> DataFrame:
     """(doc_id, text_class, class_id): a row for each row of docs.
 
@@ -156,7 +224,7 @@ def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", k_word
     a text are null, both classes are null. Shorter texts than k_words words are one shingle.
 
     Two different documents of the threshold's similarity share a bucket but for (1 - s**rows)**bands:
-    2.6e-5 at 0.8 as set. rounds: how many hubs a bucket may try for members that no earlier hub joined.
+    2.6e-5 at 0.8 as set. rounds: how many hubs a bucket tries before its members are compared with each other.
     """
     texts = keyed_texts(docs, id_col, text_col).withColumn("digest", F.md5("text"))
     reps = stored(texts.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
@@ -191,13 +259,16 @@ def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", k_word
         swapped = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         tried = swapped if tried is None else tried.union(swapped)
         roots = stored(components(links, "a", "b"), "roots")
-        if step + 1 < rounds:
-            named = members.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("bucket", "rep", "w", F.coalesce("root", "rep").alias("root"))
-            mixed = named.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("bucket")
-            used = pairs.select(F.col("b").alias("rep")).distinct()
-            # members that were no hub yet stand for the next one; the rest of their bucket is compared with it
-            apart = stored(named.join(mixed, "bucket", "left_semi").join(used.withColumn("old", F.lit(True)), "rep", "left")
-                           .withColumn("w", F.when(F.col("old"), F.lit(0)).otherwise(F.col("w"))).drop("old"), "apart")
+        named = members.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("bucket", "rep", "w", F.coalesce("root", "rep").alias("root"))
+        mixed = named.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("bucket")
+        used = pairs.select(F.col("b").alias("rep")).distinct()
+        # members that were no hub yet stand for the next one; the rest of their bucket is compared with it
+        apart = stored(named.join(mixed, "bucket", "left_semi").join(used.withColumn("old", F.lit(True)), "rep", "left")
+                       .withColumn("w", F.when(F.col("old"), F.lit(0)).otherwise(F.col("w"))).drop("old"), "apart")
+    if apart.take(1):
+        rest = stored(_verified_within(apart.select("bucket", "rep", "root"), candidates, k_words, threshold), "links")
+        if rest.take(1):
+            roots = stored(components(rest if links is None else links.union(rest), "a", "b"), "roots")
     out = texts.select("doc_id", "digest").join(reps, "digest").select("doc_id", F.col("rep").alias("text_class"))
     if roots is None:
         return out.withColumn("class_id", F.col("text_class"))

@@ -88,6 +88,19 @@ def test_near_duplicates_against_all_pairs(spark):
     assert got == groups_of(pairs, range(len(texts)))
 
 
+def test_pairs_on_one_template_find_each_other(spark):
+    """Families that resemble each other (0.71), below the threshold: buckets full of them, pairs that no hub joins."""
+    template, texts = [f"t{i}" for i in range(200)], []
+    for f in range(150):
+        own = [f"f{f}x{i}" for i in range(40)]
+        texts += [" ".join(template + own), " ".join(template + own[:-24] + [f"f{f}y{i}" for i in range(24)])]
+    v = Vocabulary()
+    sets = [np.unique(shingles(word_hashes(t, v)), return_counts=True) for t in texts[:4]]
+    assert near_dedup.weighted_jaccard(sets[0], sets[1]) >= 0.8 > near_dedup.weighted_jaccard(sets[0], sets[2]) > 0.7
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i in range(len(texts))}
+
+
 @pytest.mark.parametrize("kind,value", [("card", "4539 1488 0343 6467"), ("iban", "GB82 WEST 1234 5698 7654 32"), ("date", "2024-02-29"), ("date", "31/12/1999"), ("date", "12/31/1999"), ("ipv4", "10.0.255.1"), ("ssn", "123-45-6789"),
                                         ("phone", "+1 (659) 555-3949"), ("email", "Anna.b7@mail2.example.com")])
 def test_pseudonyms_keep_their_format_and_come_back(kind, value):
