@@ -32,7 +32,8 @@ _PATTERN = re.compile(
     r"|(?P<phone>(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?\d{2,4}[ .-]?\d{3,4}|\d{2,4}(?:[ .-]?\d{2,4}){1,3})(?!\w|\.\d)|(?<![\w(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w))"
     r"|(?P<card>(?<![\w.])\d(?:[ -]?\d){12,18}(?!\w))"
 )
-_MAYBE = re.compile(r"@|\d{3}|\d[./]\d")
+# What every alternative holds: an e-mail its @, an IBAN its head, all others digits with at most a separator and a bracket between them.
+_MAYBE = re.compile(r"@|[A-Z]{2}\d{2}|\d[ .()/-]{0,3}\d")
 
 
 class Feistel:

@@ -119,6 +119,14 @@ def test_feistel_is_a_permutation(n):
     assert seen == set(range(n)) and all(f.walk(f.walk(x, pii._yes), pii._yes, True) == x for x in range(0, n, max(1, n // 20)))
 
 
+@pytest.mark.parametrize("kind,value", [("card", "45 39 14 88 03 43 64 67"), ("card", "4-5-3-9-1-4-8-8-0-3-4-3-6-4-6-7"), ("phone", "+45 12 34 56 78"), ("phone", "+4 (1) 23 456"), ("phone", "(659) 555-3949"), ("iban", "GB82 WEST 1234 5698 7654 32"),
+                                        ("date", "1/2/1999"), ("date", "2024-02-29"), ("ipv4", "1.2.3.4"), ("ssn", "123-45-6789"), ("email", "anna@example.com")])
+def test_values_in_groups_of_two_are_found_alone(kind, value):
+    alone, spans = pii.replace(f"ring {value} now", b"k")
+    assert spans == [(kind, 5, 5 + len(value))] and value not in alone
+    assert pii.replace(f"in 1999 ring {value} now", b"k")[0] == alone.replace("ring", "in 1999 ring")
+
+
 def test_neighbouring_values_are_told_apart():
     spans = pii.replace("+1 (826) 555-4081 190.137.3.9 and +1 (017) 555-7713 4539148803436467 1219538112535716 7.8.9.10", b"k")[1]
     assert [k for k, _, _ in spans] == ["phone", "ipv4", "phone", "card", "ipv4"]
