@@ -48,14 +48,33 @@ def url_key(url: Column) -> Column:
     return F.when(host != "", key)
 
 
-def link_targets(html: Column) -> Column:
-    """Addresses that a page declares for itself: link rel=canonical and meta refresh, absolute ones."""
+def resolved(target: Column, url: Column) -> Column:
+    """The address that a link means on the page at url: with a scheme and // as it stands, else by url's scheme,
+    host and path, without . and .. segments. Null for an empty one, another scheme's, or a url without a host."""
+    rest = F.regexp_extract(target, r"(?s)^([^?#]*)", 1)
+    tail = F.regexp_extract(target, r"(?s)^[^?#]*(.*)$", 1)
+    origin = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1)
+    folder = F.coalesce(F.nullif(F.regexp_extract(path_of(url), r"(?s)^(.*/)", 1), F.lit("")), F.lit("/"))
+    segments = F.split(F.when(target.startswith("/"), rest).otherwise(F.concat(folder, rest)), "/")
+    last = F.element_at(segments, -1)
+    path = F.array_join(F.aggregate(
+        F.when(last.isin(".", ".."), F.concat(segments, F.array(F.lit("")))).otherwise(segments), F.array().cast("array<string>"),
+        lambda held, x: F.when(x == ".", held).when(x == "..", F.slice(held, 1, F.greatest(F.size(held) - 1, F.lit(1)))).otherwise(F.concat(held, F.array(x)))), "/")
+    out = F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target)
+    out = out.when((target == "") | target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:") | (host_of(url) == ""), F.lit(None).cast("string"))
+    out = out.when(target.startswith("//"), F.concat(F.regexp_extract(url, r"(?s)^(.*?)://", 1), F.lit(":"), target))
+    return out.otherwise(F.concat(origin, F.when(rest == "", path_of(url)).otherwise(path), tail))
+
+
+def link_targets(html: Column, url: Column) -> Column:
+    """Addresses that the page at url declares for itself: link rel=canonical and meta refresh. A base element is
+    not read."""
     links = F.filter(F.regexp_extract_all(html, F.lit(r"(?is)<link\b[^>]*>"), F.lit(0)), lambda t: t.rlike(r"(?is)\brel\s*=\s*[\"']?canonical\b"))
     canonical = F.transform(links, lambda t: F.regexp_extract(t, r"(?is)\bhref\s*=\s*[\"']?([^\"'>\s]+)", 1))
     metas = F.filter(F.regexp_extract_all(html, F.lit(r"(?is)<meta\b[^>]*>"), F.lit(0)), lambda t: t.rlike(r"(?is)\bhttp-equiv\s*=\s*[\"']?refresh\b"))
     refresh = F.transform(metas, lambda t: F.regexp_extract(t, r"(?is)\burl\s*=\s*[\"']?([^\"'>\s]+)", 1))
     both = F.transform(F.concat(canonical, refresh), lambda u: F.regexp_replace(u, "&amp;", "&"))
-    return F.filter(both, lambda u: u.contains("://"))
+    return F.filter(F.transform(both, lambda u: resolved(u, url)), lambda u: u.isNotNull())
 
 
 def judge(pages: DataFrame, *, id_col="page_id", url_col="url", html_col="html", rules=RULES, redirects: DataFrame | None = None, default="allow") -> DataFrame:
@@ -68,8 +87,8 @@ def judge(pages: DataFrame, *, id_col="page_id", url_col="url", html_col="html",
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     verdicts = dict(rules)
     judged = rows.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.xxhash64(url_key(F.col("url"))).alias("key"),
-                         url_key(F.col("url")).isNotNull().alias("has"), F.explode_outer(link_targets(F.col("html"))).alias("target"))
-    declared = judged.filter("has AND target IS NOT NULL").select("key", F.xxhash64(url_key(F.col("target"))).alias("other"))
+                         url_key(F.col("url")).isNotNull().alias("has"), F.explode_outer(link_targets(F.col("html"), F.coalesce("url", F.lit("")))).alias("target"))
+    declared = judged.filter("has").filter(url_key(F.col("target")).isNotNull()).select("key", F.xxhash64(url_key(F.col("target"))).alias("other"))
     if redirects is not None:
         given = redirects.select(url_key(F.col("source")).alias("s"), url_key(F.col("target")).alias("t")).dropna()
         declared = declared.union(given.select(F.xxhash64("s"), F.xxhash64("t")))
@@ -78,7 +97,7 @@ def judge(pages: DataFrame, *, id_col="page_id", url_col="url", html_col="html",
     links = stored(declared.distinct(), "url-links")
     roots = components(links, "key", "other", "url-cc").withColumnRenamed("id", "key")
     roots = stored(roots, "url-roots")
-    named = rows.select("url").union(rows.select(F.explode(link_targets(F.col("html"))).alias("url")))
+    named = rows.select("url").union(rows.select(F.explode(link_targets(F.col("html"), F.coalesce("url", F.lit("")))).alias("url")))
     if redirects is not None:
         named = named.union(targets)
     keyed = named.select(F.xxhash64(url_key(F.col("url"))).alias("key"), url_key(F.col("url")).isNotNull().alias("has"),

@@ -203,6 +203,17 @@ def test_redirects_propagate_with_allow_first(spark):
     assert got == {1: ("example.org/es/", "block"), 2: (None, "block"), 3: (None, "block"), 4: (None, "allow"), 5: (None, "allow"), 6: (None, "block")}
 
 
+def test_relative_links_are_aliases_and_hostless_ones_are_none(spark):
+    canonical, refresh = '<link rel="canonical" href="{}">', '<meta http-equiv="refresh" content="0; url={}">'
+    links = [canonical.format("/es/1"), canonical.format("//a.example.org/es/1"), refresh.format("/es/"), canonical.format("../es/./1"), canonical.format("../x/../../es/1?b#c"),
+             canonical.format("http:///es/1"), canonical.format("file:///x"), canonical.format("mailto:a@b.c"), canonical.format("?a=1"), canonical.format("/en/?to=http://example.org/es/1"), ""]
+    rules = (("example.org/es/", "block"),)
+    pages = [(i, f"https://a.example.org/p{i}/q?z", h) for i, h in enumerate(links)]
+    got = {r["page_id"]: r for r in url_filter.judge(spark.createDataFrame(pages, "page_id long, url string, html string"), rules=rules).collect()}
+    assert [got[i]["verdict"] for i in range(len(links))] == ["block"] * 5 + ["allow"] * 6
+    assert len({got[i]["component"] for i in range(5, len(links))}) == 6 and got[0]["component"] == got[1]["component"] == got[3]["component"]
+
+
 def xx(values, seed=42):
     for v in values:
         data = v.encode() if isinstance(v, str) else struct.pack("<i" if isinstance(v, np.int32) else "<q", v)
