@@ -10,11 +10,14 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows of an Arrow batch: texts may be long, and a batch is held in a Python worker at once.
 BATCH_ROWS = 512
@@ -30,19 +33,44 @@ _M1, _M2 = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
 # ---- storage -----------------------------------------------------------------------------------
 
 
+_SCRATCH: ContextVar[str | None] = ContextVar("scratch", default=None)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one if that is unset."""
+    """The folder that all executors share: spark.checkpoint.dir. Where that is unset, a local session takes a
+    temporary folder, and any other has an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="scholia-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+def deleted(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """What stored() writes inside goes to a folder of its own, which is deleted at the end: by then the caller has
+    written whatever reads it."""
+    path = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
+    token = _SCRATCH.set(path)
+    try:
+        yield path
+    finally:
+        _SCRATCH.reset(token)
+        deleted(spark, path)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder as Parquet and read back: it cuts lineage and outlives executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{_SCRATCH.get() or shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._stored_at = path
@@ -53,9 +81,7 @@ def discard(df: DataFrame | None) -> None:
     """Delete what stored() wrote, once nothing lazy reads it any more."""
     path = getattr(df, "_stored_at", None)
     if path:
-        spark = df.sparkSession
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        deleted(df.sparkSession, path)
 
 
 def tuned(spark: SparkSession) -> SparkSession:
@@ -64,16 +90,18 @@ def tuned(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def keyed_texts(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
-    """Columns doc_id (long), text (null: empty) and any more that the caller names."""
+def keyed_texts(docs: DataFrame, id_col: str, text_col: str, *more: str, carry=()) -> DataFrame:
+    """Columns doc_id (long), text (null: empty), any more that the caller names, and carried, a struct of the
+    columns to carry along if there are any."""
     return docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
         *[F.col(c) for c in more],
+        *([F.struct(*[F.col(c) for c in carry]).alias("carried")] if carry else []),
     )
 
 
-def in_arrow(df: DataFrame, fn: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def in_arrow(df: DataFrame, fn: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     tuned(df.sparkSession)
     return df.mapInArrow(fn, schema)
 

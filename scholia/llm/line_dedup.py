@@ -9,6 +9,11 @@ time. Segment hashes come from prefix sums over a batch of texts.
 A line's id holds, besides a hash, the parities of its characters in 24 classes. An edit changes two of them at
 most, so candidates whose parities differ in more than 2 tau places are no pairs; the join leaves them out
 before it emits a row, which keeps lines that share half their text but differ by words from meeting.
+
+A segment that more than `crowd` index entries share is no join key: a family of n variants of a line would emit
+n * n pairs. Its lines are compared with a hub of theirs, what stays apart with further hubs, and what shares a
+crowded segment after that in different classes still is compared block by block, where each pair of blocks emits
+no more links than it takes to connect its lines. So every two lines within tau edits end in one class.
 """
 
 from __future__ import annotations
@@ -18,9 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scholia.llm.common import U64, components, in_arrow, keyed_texts, mix, signed, stored
+from scholia.llm.common import BROADCAST_ROWS, U64, components, in_arrow, keyed_texts, mix, signed, stored
 
-TAU, MIN_EXACT, MIN_NEAR = 2, 10, 20
+#: Two edits in ten code points leave a similarity of 0.8; shorter lines (blank ones, marks, numbers) always stay.
+TAU, MIN_LENGTH = 2, 10
+#: Index entries that may share a segment before it counts as crowded; hubs that a crowd tries; lines of a block.
+CROWD, ROUNDS, BLOCK = 32, 3, 256
 #: Line ids that may be broadcast to fetch their texts: 8 bytes each; more of them are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -150,16 +158,21 @@ def _blocks(texts: list[str]):
         yield at, held
 
 
-def _entries(docs: DataFrame, tau: int, min_near: int, probing: bool) -> DataFrame:
-    """(key, id): index entries or probes of the lines of docs (doc_id, text), once a task for each line."""
+def _worth(lines: Lines, least: int) -> np.ndarray:
+    """Numbers of the lines of `least` code points or more once stripped."""
+    return np.flatnonzero(np.fromiter((len(x) >= least and len(x.strip()) >= least for x in lines.lines), bool, len(lines.lines)))
+
+
+def _entries(docs: DataFrame, tau: int, least: int, probing: bool) -> DataFrame:
+    """(key, id): index entries or probes of the lines of docs (text), once a task for each line."""
 
     def run(batches):
         seen: set[int] = set()
         for b in batches:
-            for _, texts in _blocks(b.column(1).to_pylist()):
+            for _, texts in _blocks(b.column(0).to_pylist()):
                 lines = Lines(texts)
                 ids = lines.ids()[0]
-                near = np.flatnonzero(lines.length >= min_near)
+                near = _worth(lines, least)
                 new = []
                 for i, x in zip(near.tolist(), ids[near].tolist()):
                     if x not in seen:
@@ -173,122 +186,231 @@ def _entries(docs: DataFrame, tau: int, min_near: int, probing: bool) -> DataFra
                 for keys in lines.keys(which, tau, probing):
                     yield pa.RecordBatch.from_arrays([pa.array(signed(keys)), pa.array(signed(ids[which]))], ["key", "id"])
 
-    return in_arrow(docs.select("doc_id", "text"), run, "key long, id long")
+    return in_arrow(docs.select("text"), run, "key long, id long")
 
 
-def _texts_of(docs: DataFrame, wanted: DataFrame, min_near: int) -> DataFrame:
+def _texts_of(docs: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
     """(id, line) for the wanted ids."""
 
     def run(batches):
         for b in batches:
-            for _, texts in _blocks(b.column(1).to_pylist()):
+            for _, texts in _blocks(b.column(0).to_pylist()):
                 lines = Lines(texts)
                 ids = lines.ids()[0]
-                near = np.flatnonzero(lines.length >= min_near)
+                near = _worth(lines, least)
                 yield pa.RecordBatch.from_arrays([pa.array(signed(ids[near])), pa.array([lines.lines[i] for i in near], pa.string())], ["id", "line"])
 
     side = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
-    return in_arrow(docs.select("doc_id", "text"), run, "id long, line string").join(side, "id", "left_semi").dropDuplicates(["id"])
+    return in_arrow(docs.select("text"), run, "id long, line string").join(side, "id", "left_semi").dropDuplicates(["id"])
 
 
-def similar_lines(docs: DataFrame, *, tau: int = TAU, min_near: int = MIN_NEAR) -> DataFrame:
-    """(a, b): ids of different lines of docs (doc_id, text), of min_near code points each or more, within tau
-    edits of each other. Each such pair once, a < b; no pair is lost."""
-    index, probe = _entries(docs, tau, min_near, False), _entries(docs, tau, min_near, True)
-    left, right = index.select("key", F.col("id").alias("x")), index.select("key", F.col("id").alias("y"))
-    parities = lambda c: F.shiftrightunsigned(c, 40)
-    fits = (F.col("x") != F.col("y")) & (F.bit_count(parities("x").bitwiseXOR(parities("y"))) <= 2 * tau)
-    pair = [F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")]
-    same = left.join(right, (left["key"] == right["key"]) & (F.col("x") < F.col("y")) & fits).select(*pair)
-    other = probe.select(F.col("key").alias("k"), F.col("id").alias("y"))
-    moved = left.join(other, (left["key"] == F.col("k")) & fits).select(*pair)
-    pairs = stored(same.union(moved).distinct(), "line-pairs")
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = stored(_texts_of(docs, stored(ids, "line-ids"), min_near), "line-texts")
+def _codes(line: str) -> np.ndarray:
+    return np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _within(s: list[np.ndarray], t: list[np.ndarray], tau: int) -> np.ndarray:
+    """Which of the pairs s[i], t[i] are within tau edits: blocks of like lengths and of bounded cells."""
+    size = np.array([max(len(x), len(y)) for x, y in zip(s, t)], np.int64)
+    order, good, at = np.argsort(size, kind="stable"), np.zeros(len(size), bool), 0
+    while at < len(order):
+        most = max(1, 4_000_000 // int(size[order[min(len(order) - 1, at + 255)]] + 1))
+        block = order[at : at + min(256, most)]
+        good[block] = edit_distance_within([s[i] for i in block], [t[i] for i in block], tau) <= tau
+        at += len(block)
+    return good
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, tau: int) -> DataFrame:
+    """Those of pairs (a, b) whose lines are within tau edits."""
     joined = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("s")), "a").join(
         texts.select(F.col("id").alias("b"), F.col("line").alias("t")), "b"
     ).select("a", "b", "s", "t")
 
     def run(batches):
-        def codes(x):
-            return np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32)
-
-        for whole in batches:
-            s, t = whole.column(2).to_pylist(), whole.column(3).to_pylist()
-            size = np.array([max(len(x), len(y)) for x, y in zip(s, t)], np.int64)
-            order, good, at = np.argsort(size, kind="stable"), [], 0
-            while at < len(order):  # blocks of like lengths and of bounded cells
-                most = max(1, 4_000_000 // int(size[order[min(len(order) - 1, at + 255)]] + 1))
-                block = order[at : at + min(256, most)]
-                d = edit_distance_within([codes(s[i]) for i in block], [codes(t[i]) for i in block], tau)
-                good.extend(block[d <= tau].tolist())
-                at += len(block)
-            yield whole.take(pa.array(good, pa.int64())).select([0, 1])
+        for b in batches:
+            good = _within([_codes(x) for x in b.column(2).to_pylist()], [_codes(x) for x in b.column(3).to_pylist()], tau)
+            yield b.filter(pa.array(good)).select([0, 1])
 
     return in_arrow(joined, run, "a long, b long")
 
 
-def _spots(docs: DataFrame, min_exact: int) -> DataFrame:
-    """(line_id, digest, doc_id, no): where lines of min_exact code points or more, once stripped, occur."""
+def _fits(x: str, y: str, tau: int):
+    """Whether the parities of two ids allow tau edits."""
+    parities = lambda c: F.shiftrightunsigned(c, 40)
+    return (F.col(x) != F.col(y)) & (F.bit_count(parities(x).bitwiseXOR(parities(y))) <= 2 * tau)
+
+
+def connecting(ids: list[int], roots: list[int], lines: list[str], indexed: list[bool], one: list[int], other: list[int], tau: int) -> list[tuple[int, int]]:
+    """Pairs (ids) of a line of one and a line of other, within tau edits, of which one at least is indexed: as many
+    as connect what such pairs connect. Lines of equal roots are connected already."""
+    group = {r: r for r in roots}
+
+    def find(x: int) -> int:
+        while group[x] != x:
+            group[x] = group[group[x]]
+            x = group[x]
+        return x
+
+    codes = [_codes(x) for x in lines]
+    size = np.array([len(x) for x in codes])
+    parity = np.array(ids, np.int64).view(U64) >> U64(40)
+    index = np.array(indexed, bool)
+    names = np.array(other)
+    out = []
+    for i in one:
+        near = (np.bitwise_count(parity[names] ^ parity[i]) <= 2 * tau) & (np.abs(size[names] - size[i]) <= tau) & (index[names] | index[i])
+        rest = [j for j in names[near].tolist() if ids[j] != ids[i] and find(roots[j]) != find(roots[i])]
+        for at in range(0, len(rest), 64):
+            some = [j for j in rest[at : at + 64] if find(roots[j]) != find(roots[i])]
+            for j in np.array(some)[_within([codes[i]] * len(some), [codes[j] for j in some], tau)].tolist() if some else ():
+                a, b = find(roots[i]), find(roots[j])
+                if a != b:
+                    group[a] = b
+                    out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+    return out
+
+
+def _by_blocks(apart: DataFrame, texts: DataFrame, tau: int) -> DataFrame:
+    """Links (a, b) that connect what is within tau edits in each crowd of apart (key, id, indexed, root): a crowd is
+    dealt to blocks by a hash, and each pair of blocks is a group of its own."""
+
+    def run(group: pa.Table) -> pa.Table:
+        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+        ids, roots, lines, indexed, block = (group.column(c).to_pylist() for c in ("id", "root", "line", "indexed", "block"))
+        one, other = ([n for n, b in enumerate(block) if b == x] for x in (i, j))
+        found = connecting(ids, roots, lines, indexed, one, other, tau)
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    blocks = apart.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    block = F.pmod(F.xxhash64("id"), "blocks").alias("block")
+    dealt = apart.join(blocks, "key").select("key", "id", "indexed", "root", block, F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("o"))
+    dealt = dealt.select("key", "id", "indexed", "root", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
+    return dealt.join(texts, "id").groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
+
+
+def _in_crowds(members: DataFrame, texts: DataFrame, tau: int, rounds: int) -> list[DataFrame]:
+    """Tables of links (a, b) that connect what is within tau edits in each crowd of members (key, id, indexed)."""
+    weight = members.filter("indexed").groupBy("id").agg(F.count(F.lit(1)).alias("w"))
+    members = stored(members.join(weight, "id", "left").select("key", "id", "indexed", F.coalesce("w", F.lit(0)).alias("w")), "line-members")
+    links, tried = [], None
+    apart = members.withColumn("root", F.col("id"))
+    for _ in range(rounds):
+        hub = F.max_by(F.struct("id", "root"), F.struct("w", -F.col("id"))).alias("hub")
+        hubs = apart.filter("indexed").groupBy("key").agg(hub).select("key", F.col("hub.id").alias("h"), F.col("hub.root").alias("hub_root"))
+        pairs = apart.join(hubs, "key").filter((F.col("root") != F.col("hub_root")) & _fits("id", "h", tau))
+        pairs = pairs.select(F.least("id", "h").alias("a"), F.greatest("id", "h").alias("b")).distinct()
+        pairs = stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "line-tries")
+        used = stored(hubs.select(F.col("h").alias("id")).distinct().withColumn("old", F.lit(True)), "line-hubs")
+        if pairs.take(1):
+            links.append(stored(_verified(pairs, texts, tau), "line-links"))
+            tried = pairs if tried is None else tried.union(pairs)
+        if links:
+            every = links[0]
+            for more in links[1:]:
+                every = every.union(more)
+            roots = stored(components(every, "a", "b", "line-cc"), "line-roots")
+            named = members.join(roots, "id", "left").select("key", "id", "indexed", "w", F.coalesce("root", "id").alias("root"))
+        else:
+            named = members.withColumn("root", F.col("id"))
+        mixed = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("key")
+        # lines that were no hub yet stand for the next one
+        members = stored(members.join(used, "id", "left").select("key", "id", "indexed", F.when(F.col("old"), -1).otherwise(F.col("w")).alias("w")), "line-members")
+        apart = stored(named.drop("w").join(mixed, "key", "left_semi").join(members.select("key", "id", "w"), ["key", "id"]), "line-apart")
+        if not apart.take(1):
+            return links
+    return [*links, stored(_by_blocks(apart.select("key", "id", "indexed", "root"), texts, tau), "line-links")]
+
+
+def similar_lines(docs: DataFrame, *, tau: int = TAU, min_length: int = MIN_LENGTH, crowd: int = CROWD, rounds: int = ROUNDS) -> DataFrame:
+    """(a, b): ids of lines of docs (text) within tau edits of each other, a < b: every such pair whose segment
+    is not crowded, and of the others enough to connect all that are within tau edits. Lines have min_length code
+    points or more once stripped."""
+    index, probe = _entries(docs, tau, min_length, False), _entries(docs, tau, min_length, True)
+    crowded = stored(index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > crowd).select("key"), "line-crowded")
+    n_crowded = crowded.count()
+    side = F.broadcast(crowded) if n_crowded <= BROADCAST_ROWS else crowded
+    sparse = index.join(side, "key", "left_anti")
+    left, right = sparse.select("key", F.col("id").alias("x")), index.select(F.col("key").alias("k"), F.col("id").alias("y"))
+    pair = [F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")]
+    same = left.join(right, (left["key"] == F.col("k")) & (F.col("x") < F.col("y")) & _fits("x", "y", tau)).select(*pair)
+    moved = left.join(probe.select(F.col("key").alias("k"), F.col("id").alias("y")), (left["key"] == F.col("k")) & _fits("x", "y", tau)).select(*pair)
+    pairs = stored(same.union(moved).distinct(), "line-pairs")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
+    members = None
+    if n_crowded:
+        own = [t.join(side, "key", "left_semi").select("key", "id", F.lit(x).alias("indexed")) for t, x in ((index, True), (probe, False))]
+        members = stored(own[0].union(own[1]).groupBy("key", "id").agg(F.max("indexed").alias("indexed")), "line-members")
+        ids = ids.union(members.select("id"))
+    texts = stored(_texts_of(docs, stored(ids.distinct(), "line-ids"), min_length), "line-texts")
+    out = _verified(pairs, texts, tau)
+    for more in _in_crowds(members, texts, tau, rounds) if n_crowded else ():
+        out = out.union(more)
+    return out.distinct() if n_crowded else out
+
+
+def _spots(docs: DataFrame, least: int) -> DataFrame:
+    """(line_id, digest, doc_id, version, no): where lines of `least` code points or more, once stripped, occur."""
 
     def run(batches):
         for b in batches:
-            docs = b.column(0).to_pylist()
+            docs, versions = b.column(0).to_pylist(), b.column(2).to_pylist()
             for first, texts in _blocks(b.column(1).to_pylist()):
                 lines = Lines(texts)
                 ids, digests = lines.ids()
-                some = np.flatnonzero(np.fromiter((len(x.strip()) >= min_exact for x in lines.lines), bool, len(lines.lines)))
+                some = _worth(lines, least)
+                own = (lines.text[some] + first).tolist()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(ids[some])), pa.array(signed(digests[some])), pa.array([docs[first + i] for i in lines.text[some]], pa.int64()), pa.array(lines.no[some].astype(np.int32))],
-                    ["line_id", "digest", "doc_id", "no"],
+                    [pa.array(signed(ids[some])), pa.array(signed(digests[some])), pa.array([docs[i] for i in own], pa.int64()), pa.array([versions[i] for i in own], pa.int64()), pa.array(lines.no[some].astype(np.int32))],
+                    ["line_id", "digest", "doc_id", "version", "no"],
                 )
 
-    return in_arrow(docs.select("doc_id", "text"), run, "line_id long, digest long, doc_id long, no int")
+    return in_arrow(docs.select("doc_id", "text", "version"), run, "line_id long, digest long, doc_id long, version long, no int")
 
 
-def line_dedup(docs: DataFrame, *, id_col="doc_id", text_col="text", tau=TAU, min_exact=MIN_EXACT, min_near=MIN_NEAR) -> DataFrame:
-    """(doc_id, text, n_lines, n_dropped, n_links, line_classes): a row for each row of docs.
+def line_dedup(docs: DataFrame, *, id_col="doc_id", text_col="text", carry=(), tau=TAU, min_length=MIN_LENGTH, crowd=CROWD, rounds=ROUNDS) -> DataFrame:
+    """(doc_id, text, n_lines, n_dropped, n_links, line_classes, carried): a row for each row of docs.
 
     Lines are what newlines part. Lines that are identical, or that pairs within tau edits connect, are a class;
-    its first line by (doc_id, line number) stays and the others are dropped. Lines under min_exact code points
-    once stripped (blank ones among them) always stay; those under min_near join a class only if identical.
-    line_classes: for each line the id of its class (null: a line like no other, or too short); n_links: how
-    many similar pairs of different lines the document's lines are in, plus the other occurrences of its lines.
-    Null texts count as empty: one empty line. Rows that share an id are one document: the same lines of them
-    are dropped together. Rows with a null id lose lines that others have and are no one's first.
+    its first line by (doc_id, text's hash, line number) stays and the others are dropped. Lines under min_length
+    code points once stripped (blank ones among them) always stay. line_classes: for each line the id of its
+    class (null: a line like no other, or too short); n_links: how many other lines of the corpus the classes of
+    the document's lines hold, summed over its lines. carried: the columns named by carry as a struct, untouched.
+
+    Null texts count as empty: one empty line. A document is an id with a text: rows that share both lose the same
+    lines together, rows that share an id but not the text are documents of their own, and so are rows with a null
+    id, which come after all others. Lines are told apart by 128 bits; links between them go by 64 of these.
     """
-    texts = keyed_texts(docs, id_col, text_col)
-    spots = stored(_spots(texts, min_exact), "spots")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "no"))
+    texts = keyed_texts(docs, id_col, text_col, carry=carry).withColumn("version", F.xxhash64("text"))
+    spots = stored(_spots(texts, min_length), "spots")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "version", "no"))
     lines = stored(spots.groupBy("line_id", "digest").agg(first.alias("first"), F.count(F.lit(1)).alias("copies")), "lines")
-    links = stored(similar_lines(texts, tau=tau, min_near=min_near), "line-links")
+    links = stored(similar_lines(texts, tau=tau, min_length=min_length, crowd=crowd, rounds=rounds), "line-links")
     roots = stored(components(links, "a", "b"), "line-roots")
-    degree = links.select(F.explode(F.array("a", "b")).alias("line_id")).groupBy("line_id").agg(F.count(F.lit(1)).alias("degree"))
-    named = (
-        lines.join(roots.withColumnRenamed("id", "line_id"), "line_id", "left").join(degree, "line_id", "left")
-        .withColumn("class", F.coalesce("root", "line_id"))
-    )
-    heads = named.groupBy("class").agg(F.min("first").alias("head"), F.sum("copies").alias("size")).filter("size > 1")
+    # lines that occur once and have no link are in no class: they go no further
+    named = lines.join(roots.withColumnRenamed("id", "line_id"), "line_id", "left").filter("copies > 1 OR root IS NOT NULL")
+    named = named.select("line_id", "digest", "first", "copies", F.coalesce("root", "line_id").alias("class"), F.when(F.col("root").isNull(), F.col("digest")).alias("alone"))
+    heads = named.groupBy("class", "alone").agg(F.min("first").alias("head"), F.sum("copies").alias("size")).withColumnRenamed("class", "c").withColumnRenamed("alone", "o")
     repeated = stored(
-        named.join(heads, "class").select("line_id", "digest", "class", "head", (F.coalesce("degree", F.lit(0)) + F.col("copies") - 1).alias("links")),
+        named.join(heads, (F.col("class") == F.col("c")) & F.col("alone").eqNullSafe(F.col("o"))).select("line_id", "digest", "class", "head", (F.col("size") - 1).alias("others")),
         "repeated",
     )
     hits = spots.join(repeated, ["line_id", "digest"]).withColumn(
-        "drop", ~(F.col("head.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("head.no") == F.col("no")) & F.col("doc_id").isNotNull())
-    )
-    marks = hits.groupBy("doc_id").agg(
-        F.collect_set(F.when(F.col("drop"), F.col("no"))).alias("out"),
-        F.map_from_entries(F.collect_set(F.struct("no", "class"))).alias("classes"),
-        F.sum("links").alias("n_links"),
+        "drop", ~(F.col("head.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("head.version") == F.col("version")) & (F.col("head.no") == F.col("no")))
     )
-    out = texts.join(marks.withColumnRenamed("doc_id", "marked").hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("marked")), "left")
-    gone = F.coalesce("out", F.array().cast("array<int>"))
+    marks = hits.groupBy(F.col("doc_id").alias("marked"), F.col("version").alias("marked_version")).agg(F.collect_set(F.struct("no", "class", "others", "drop")).alias("marks"))
+    out = texts.join(marks.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("marked")) & (F.col("version") == F.col("marked_version")), "left")
     parts = F.split("text", "\n", -1)
+    every = F.sequence(F.lit(0), F.size(parts) - 1)
+    own = F.coalesce("marks", F.array().cast("array<struct<no:int,class:bigint,others:bigint,drop:boolean>>"))
+    gone = F.transform(F.filter(own, lambda m: m["drop"]), lambda m: m["no"])
+    classes = F.concat(F.transform(F.array_except(every, F.transform(own, lambda m: m["no"])), lambda i: F.struct(i.alias("no"), F.lit(None).cast("long").alias("class"))),
+                       F.transform(own, lambda m: F.struct(m["no"].alias("no"), m["class"].alias("class"))))
     return out.select(
         "doc_id",
-        F.when(F.size(gone) == 0, F.col("text")).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(gone, i)), "\n")).alias("text"),
+        F.when(F.size(gone) == 0, F.col("text")).otherwise(F.array_join(F.transform(F.array_except(every, gone), lambda i: F.element_at(parts, i + 1)), "\n")).alias("text"),
         F.size(parts).cast("long").alias("n_lines"),
         F.size(gone).cast("long").alias("n_dropped"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.transform(parts, lambda x, i: F.try_element_at(F.coalesce("classes", F.create_map().cast("map<int,bigint>")), i)).alias("line_classes"),
+        F.aggregate(own, F.lit(0).cast("long"), lambda n, m: n + m["others"]).alias("n_links"),
+        F.transform(F.array_sort(classes), lambda c: c["class"]).alias("line_classes"),
+        *(["carried"] if carry else []),
     )
