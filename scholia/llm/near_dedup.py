@@ -215,38 +215,28 @@ def _verified_within(members: DataFrame, texts: DataFrame, k_words: int, thresho
     return dealt.join(texts, "rep").groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long, similarity double")
 
 
-def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", k_words=K_WORDS, threshold=THRESHOLD, bands=BANDS, rows=ROWS, rounds=ROUNDS) -> DataFrame:
-    """(doc_id, text_class, class_id): a row for each row of docs.
-
-    text_class: the least id with the very same text. class_id: the least id of the documents that similar
-    pairs connect; a document like no other has its own id. Null texts count as empty; empty texts, and any
-    texts without words, are alike only if identical. Rows that share an id are one document. Where all ids of
-    a text are null, both classes are null. Shorter texts than k_words words are one shingle.
-
-    Two different documents of the threshold's similarity share a bucket but for (1 - s**rows)**bands:
-    2.6e-5 at 0.8 as set. rounds: how many hubs a bucket tries before its members are compared with each other.
-    """
+def _classes(docs: DataFrame, id_col, text_col, k_words, threshold, bands, rows, rounds) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(texts, nodes, roots): texts (doc_id, text, digest) for each row, nodes (node, digest, rep) for each distinct
+    text, roots (id, root) for the nodes that similar pairs connect."""
     texts = keyed_texts(docs, id_col, text_col).withColumn("digest", F.md5("text"))
-    reps = stored(texts.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
+    grouped = texts.groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    nodes = stored(grouped.select(F.monotonically_increasing_id().alias("node"), "digest", "rep"), "classes")
     signatures = stored(_signed_texts(texts, k_words, bands, rows), "signatures")
-    buckets = (
-        signatures.dropDuplicates(["digest"])
-        .join(reps.filter("rep IS NOT NULL"), "digest")
-        .select("rep", F.explode("bands").alias("bucket"))
-        .distinct()
-    )
+    buckets = signatures.dropDuplicates(["digest"]).join(nodes, "digest").select(F.col("node").alias("rep"), F.explode("bands").alias("bucket")).distinct()
     buckets = stored(buckets, "buckets")
     sizes = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = stored(buckets.join(sizes, "bucket"), "members")
     weight = members.groupBy("rep").agg(F.sum("n").alias("w"))
     members = stored(members.join(weight, "rep").select("bucket", "rep", "w"), "weighted")
-    involved = members.select("rep").distinct()
-    candidates = stored(texts.select("doc_id", "text").join(involved.withColumnRenamed("rep", "doc_id").hint("shuffle_hash"), "doc_id", "left_semi"), "candidates")
+    involved = nodes.join(members.select(F.col("rep").alias("node")).distinct(), "node", "left_semi").select("node", F.col("digest").alias("d"), "rep")
+    # a text is read at its least id: rows of one text are not gathered but where they share the id too
+    found = texts.join(involved.hint("shuffle_hash"), (texts["digest"] == F.col("d")) & texts["doc_id"].eqNullSafe(F.col("rep")))
+    candidates = stored(found.select(F.col("node").alias("doc_id"), "text").dropDuplicates(["doc_id"]), "candidates")
 
     links = tried = roots = None
     hub = F.max_by("rep", F.struct("w", -F.col("rep")))
     apart = members.withColumn("root", F.col("rep"))
-    for step in range(rounds):
+    for _ in range(rounds):
         hubs = apart.groupBy("bucket").agg(hub.alias("hub"), F.max_by("root", F.struct("w", -F.col("rep"))).alias("hub_root"))
         pairs = apart.join(hubs, "bucket").filter("root != hub_root").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
         if tried is not None:
@@ -269,7 +259,36 @@ def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", k_word
         rest = stored(_verified_within(apart.select("bucket", "rep", "root"), candidates, k_words, threshold), "links")
         if rest.take(1):
             roots = stored(components(rest if links is None else links.union(rest), "a", "b"), "roots")
-    out = texts.select("doc_id", "digest").join(reps, "digest").select("doc_id", F.col("rep").alias("text_class"))
     if roots is None:
-        return out.withColumn("class_id", F.col("text_class"))
-    return out.join(roots.withColumnRenamed("id", "text_class"), "text_class", "left").select("doc_id", "text_class", F.coalesce("root", "text_class").alias("class_id"))
+        roots = docs.sparkSession.createDataFrame([], "id long, root long")
+    return texts, nodes, roots
+
+
+def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", k_words=K_WORDS, threshold=THRESHOLD, bands=BANDS, rows=ROWS, rounds=ROUNDS) -> DataFrame:
+    """(doc_id, text_class, class_id): a row for each row of docs.
+
+    text_class: the least id with the very same text. class_id: the least id of the documents that similar
+    pairs connect; a document like no other has its own id. Null texts count as empty; empty texts, and any
+    texts without words, are alike only if identical. Texts are compared, not ids: rows that share an id but not
+    the text are compared as any others. Where all ids of a text are null, text_class is null, and class_id where
+    all ids of a class are. Shorter texts than k_words words are one shingle.
+
+    Two different documents of the threshold's similarity share a bucket but for (1 - s**rows)**bands:
+    2.6e-5 at 0.8 as set. rounds: how many hubs a bucket tries before its members are compared with each other.
+    """
+    texts, nodes, roots = _classes(docs, id_col, text_col, k_words, threshold, bands, rows, rounds)
+    joined = nodes.join(roots, nodes["node"] == roots["id"])
+    least = joined.groupBy("root").agg(F.min("rep").alias("least")).withColumnRenamed("root", "r")
+    linked = joined.join(least, F.col("root") == F.col("r")).select(F.col("digest").alias("d"), "least", F.lit(True).alias("linked"))
+    named = nodes.join(linked, nodes["digest"] == F.col("d"), "left").select("digest", "rep", F.when(F.col("linked"), F.col("least")).otherwise(F.col("rep")).alias("class_id"))
+    return texts.select("doc_id", "digest").join(named, "digest").select("doc_id", F.col("rep").alias("text_class"), "class_id")
+
+
+def representatives(docs: DataFrame, *, id_col="doc_id", text_col="text", k_words=K_WORDS, threshold=THRESHOLD, bands=BANDS, rows=ROWS, rounds=ROUNDS) -> DataFrame:
+    """(doc_id, digest): the document that stands for each class of near_duplicates(): the least id (null after all
+    others), of equal ones the text of least MD5. digest: the MD5 of its text, null read as empty."""
+    _, nodes, roots = _classes(docs, id_col, text_col, k_words, threshold, bands, rows, rounds)
+    head = F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "digest")).alias("head")
+    heads = nodes.join(roots, nodes["node"] == roots["id"]).groupBy("root").agg(head)
+    single = nodes.join(roots, nodes["node"] == roots["id"], "left_anti")
+    return heads.select(F.col("head.rep").alias("doc_id"), F.col("head.digest").alias("digest")).union(single.select(F.col("rep").alias("doc_id"), "digest"))
