@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scholia.llm.common import U64, Vocabulary, in_arrow, keyed_texts, shingles, word_hashes
 
@@ -37,7 +38,16 @@ def simhash(rows: np.ndarray, size: int) -> np.ndarray:
 
 
 class ItemIndex:
-    """Items by number of words; for each such size, items by each value of each block within the tolerance."""
+    """Items of k_words words or more, by number of shingles; for each such size, items by each value of each block
+    within the tolerance."""
+
+    @classmethod
+    def of(cls, items: list[tuple[int, str]], k_words: int, radius: int) -> list[ItemIndex]:
+        """An index for each shingle size: an item of fewer than k_words words has shingles of its own length."""
+        by_words, vocabulary = defaultdict(list), Vocabulary()
+        for item, text in items:
+            by_words[min(k_words, len(word_hashes(text, vocabulary)))].append((item, text))
+        return [cls(some, k, radius) for k, some in sorted(by_words.items()) if k]
 
     def __init__(self, items: list[tuple[int, str]], k_words: int, radius: int):
         vocabulary = Vocabulary()
@@ -49,10 +59,9 @@ class ItemIndex:
         for item, text in items:
             w = word_hashes(text, vocabulary)
             s = shingles(w, k_words)
-            if len(s):
-                every.append(s)
-                by_size[len(s), len(w) < k_words].append((len(self.counts), simhash(s, len(s))[0]))
-                self.counts.append((item, Counter(s.tolist()), len(w)))
+            every.append(s)
+            by_size[len(s)].append((len(self.counts), simhash(s, len(s))[0]))
+            self.counts.append((item, Counter(s.tolist()), len(w)))
         for size, rows in by_size.items():
             prints = np.array([p for _, p in rows], U64)
             tables = []
@@ -64,7 +73,7 @@ class ItemIndex:
                 start = np.searchsorted(where[order], np.arange(65537))
                 tables.append((start, which[order]))
             self.sizes[size] = {"number": np.array([n for n, _ in rows]), "prints": prints, "tables": tables}
-        self.known = np.unique(np.concatenate(every)) if every else np.zeros(0, U64)
+        self.known = np.unique(np.concatenate(every))
         self.filter = np.zeros(1 << 20, bool)
         self.filter[(self.known & U64(0xFFFFF)).astype(np.int64)] = True
 
@@ -76,7 +85,7 @@ class ItemIndex:
         place = np.minimum(np.searchsorted(self.known, s[at]), len(self.known) - 1)
         return at[self.known[place] == s[at]]
 
-    def candidates(self, size: tuple, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def candidates(self, size: int, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(window, item number) pairs within the radius, once each."""
         own = self.sizes[size]
         w, i = [], []
@@ -91,17 +100,14 @@ class ItemIndex:
         close = np.bitwise_count(prints[window] ^ own["prints"][item]) <= self.radius
         return window[close], own["number"][item[close]]
 
-    def search(self, text: str, vocabulary: Vocabulary, threshold: float) -> list[tuple[int, float, int, int]]:
-        """(item, similarity, first word, words) of the best window for each item that the text holds."""
-        words = word_hashes(text, vocabulary)
-        s = shingles(words, self.k_words)
+    def search(self, words: np.ndarray, threshold: float, best: dict[int, tuple]) -> None:
+        """Notes in best, for each item that a text of these words holds, (-similarity, first word, words) of the
+        best window. A text of fewer words than a shingle holds none."""
+        s = shingles(words, self.k_words) if len(words) >= self.k_words else words[:0]
         at = self.seeds(s) if len(s) else s
-        best: dict[int, tuple] = {}
         if not len(at):
-            return []
-        for (size, short), own in self.sizes.items():
-            if short and len(words) >= self.k_words:
-                continue  # an item of fewer words than a shingle equals whole texts only
+            return
+        for size in self.sizes:
             span = min(size, len(s))
             near = np.zeros(len(s) + 1, np.int64)
             np.add.at(near, np.maximum(at - span + 1, 0), 1)
@@ -114,7 +120,7 @@ class ItemIndex:
                 for at_most in range(0, len(run), 4096):
                     part = run[at_most : at_most + 4096]
                     prints = simhash(s[part[0] : part[-1] + span], span)
-                    for window, number in zip(*self.candidates((size, short), prints)):
+                    for window, number in zip(*self.candidates(size, prints)):
                         first = int(part[0] + window)
                         item, counts, n_words = self.counts[number]
                         mine = Counter(s[first : first + span].tolist())
@@ -122,7 +128,14 @@ class ItemIndex:
                         sim = both / (span + size - both)
                         if sim >= threshold and (-sim, first) < best.get(item, (1.0,))[:2]:
                             best[item] = (-sim, first, min(n_words, len(words)))
-        return [(item, -v[0], v[1], v[2]) for item, v in sorted(best.items())]
+
+
+def search(indexes: list[ItemIndex], text: str, vocabulary: Vocabulary, threshold: float) -> list[tuple[int, float, int, int]]:
+    """(item, similarity, first word, words) of the best window for each item that the text holds."""
+    words, best = word_hashes(text, vocabulary), {}
+    for index in indexes:
+        index.search(words, threshold, best)
+    return [(item, -v[0], v[1], v[2]) for item, v in sorted(best.items())]
 
 
 def _item_blocks(benchmark: DataFrame, id_col: str, text_col: str, block: int):
@@ -139,28 +152,34 @@ def _item_blocks(benchmark: DataFrame, id_col: str, text_col: str, block: int):
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col="doc_id", text_col="text", item_col="item_id", item_text_col="text",
-                 k_words=K_WORDS, threshold=THRESHOLD, radius=RADIUS, block=BLOCK) -> DataFrame:
-    """(doc_id, item_id, similarity, first_word, n_words): a row for each row of docs and item that a window of
-    it resembles by threshold or more, with the best window (the earliest of equals).
-
-    Null and empty texts and items match nothing, as do texts without words; null doc_ids are carried. A text
-    shorter than an item is one window. Items that repeat an id count as one: the better match of either.
+                 k_words=K_WORDS, threshold=THRESHOLD, radius=RADIUS, block=BLOCK, carry=()) -> DataFrame:
+    """(doc_id, item_id, similarity, first_word, n_words, carried): a row for each row of docs and item that a window
+    of it resembles by threshold or more, with the best window (the earliest of equals). carried: the columns named
+    by carry as a struct, untouched.
+
+    Null and empty texts and items match nothing, as do texts without words; null doc_ids are carried. A text of
+    fewer shingles than an item is one window. An item of fewer than k_words words is one shingle of its own length
+    and found wherever these words stand in a row. Items that repeat an id count as one: the better match of either.
     Exact for windows whose fingerprint is within the radius: at similarity 0.8 the expected distance is below
     10 of 64 bits.
     """
     spark, out = docs.sparkSession, None
-    texts = keyed_texts(docs, id_col, text_col)
-    schema = "doc_id long, item_id long, similarity double, first_word long, n_words long"
+    texts = keyed_texts(docs, id_col, text_col, carry=carry)
+    long, double = T.LongType(), T.DoubleType()
+    schema = T.StructType([T.StructField(n, t) for n, t in (("doc_id", long), ("item_id", long), ("similarity", double), ("first_word", long), ("n_words", long))])
+    schema = T.StructType([*schema.fields, *texts.schema.fields[2:]])
+    names = schema.names
     for items in _item_blocks(benchmark, item_col, item_text_col, block):
         shared = spark.sparkContext.broadcast(items)
 
         def run(batches, shared=shared):
-            index, vocabulary = ItemIndex(shared.value, k_words, radius), Vocabulary()
+            indexes, vocabulary = ItemIndex.of(shared.value, k_words, radius), Vocabulary()
             for b in batches:
-                rows = [(d, *m) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for m in index.search(t, vocabulary, threshold)]
-                columns = list(zip(*rows)) or [()] * 5
+                found = [(n, d, *m) for n, (d, t) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())) for m in search(indexes, t, vocabulary, threshold)]
+                row, *columns = list(zip(*found)) or [()] * 6
                 types = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["doc_id", "item_id", "similarity", "first_word", "n_words"])
+                more = [c.take(pa.array(row, pa.int64())) for c in b.columns[2:]]
+                yield pa.RecordBatch.from_arrays([*[pa.array(c, t) for c, t in zip(columns, types)], *more], names)
 
         found = in_arrow(texts, run, schema)
         out = found if out is None else out.union(found)
