@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scholia.llm.common import in_arrow, keyed_texts
 
@@ -94,9 +95,12 @@ def held_out(doc_id) -> F.Column:
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text", label_col="toxic", sample=4000, sample_chars=12_000_000) -> Toxicity:
     """Fits on at most `sample` labelled rows (the least by a hash of the id) outside the held-out third,
-    as far as their texts together stay under `sample_chars` code points, whole texts only.
+    as far as their texts together stay under `sample_chars` code points, whole texts only: a text that does not
+    fit is passed over, and the next ones are taken as far as they do.
 
-    Rows whose id, text or label is null are not learnt from. Of several labels for an id each counts.
+    Rows whose id, text or label is null are not learnt from. Of several labels for an id each counts. Where there
+    are labelled texts, but none of one class, there is nothing to learn: ValueError, if any class was passed over
+    for its length, and else a model that scores every text alike.
     """
     ids = (
         labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y"))
@@ -107,30 +111,38 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text
     )
     texts = keyed_texts(docs.filter(F.col(text_col).isNotNull()), id_col, text_col)
     rows = texts.join(F.broadcast(ids), "doc_id").withColumn("h", F.xxhash64("doc_id"))  # at most `sample` ids
-    kept, room = [], sample_chars
-    for r in rows.orderBy("h", "doc_id", "y").limit(sample).toLocalIterator():
-        room -= len(r["text"])
-        if room < 0:
-            break
+    rows = rows.withColumn("size", F.length("text")).orderBy("h", "doc_id", "y").limit(sample)
+    kept, room, passed = [], sample_chars, set()
+    for r in rows.withColumn("text", F.when(F.col("size") <= sample_chars, F.col("text"))).toLocalIterator():
+        if r["size"] > room:
+            passed.add(r["y"])
+            continue
+        room -= r["size"]
         kept.append((r["text"], r["y"]))
+    if passed - {y for _, y in kept}:
+        raise ValueError(f"no labelled text of class {min(passed - {y for _, y in kept})} fits into {sample_chars} code points")
     return fit([t for t, _ in kept], [y for _, y in kept])
 
 
-def score(docs: DataFrame, model: Toxicity, *, id_col="doc_id", text_col="text", threshold=0.7) -> DataFrame:
-    """(doc_id, held_out, score, predicted), a row for each row of docs. Null and empty texts have the score
-    of a text without features; a null id is not held out. Repeated rows are scored alike."""
+def score(docs: DataFrame, model: Toxicity, *, id_col="doc_id", text_col="text", threshold=0.7, carry=()) -> DataFrame:
+    """(doc_id, held_out, score, predicted, carried), a row for each row of docs. Null and empty texts have the
+    score of a text without features; a null id is not held out. Repeated rows are scored alike. carried: the
+    columns named by carry as a struct, untouched."""
+    rows = keyed_texts(docs, id_col, text_col, carry=carry)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         m = shared.value
         for b in batches:
             s = np.array([m.score(t) for t in b.column(1).to_pylist()], np.float64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s)], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), *b.columns[2:]], ["doc_id", "score", *b.schema.names[2:]])
 
-    out = in_arrow(keyed_texts(docs, id_col, text_col), run, "doc_id long, score double")
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("score", T.DoubleType()), *rows.schema.fields[2:]])
+    out = in_arrow(rows, run, schema)
     return out.select(
         "doc_id",
         F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"),
         "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"),
+        *rows.columns[2:],
     )
