@@ -69,3 +69,10 @@ def test_urls(spark):
     assert (by[1]["host"], by[1]["path"], by[1]["rule"], by[1]["verdict"]) == ("", "", None, "allow")
     assert (by[3]["host"], by[3]["rule"], by[3]["verdict"]) == ("x.com", "com/fr/", "allow")
     assert url_filter.judge(pages.limit(0)).collect() == []
+
+
+def test_lines_keep_unique_text_of_null_and_shared_ids(spark):
+    same, rest = "a line that both of them hold", ["wholly unique opening line", "a second one like no other", "third line of its own, alone"]
+    docs = [(None, f"{same}\n{same}"), (None, f"{rest[0]}\nyes"), (2, rest[1]), (2, rest[2]), (2, rest[2]), (1, same)]
+    got = line_dedup.line_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in got) == sorted([(0, ""), (0, f"{rest[0]}\nyes"), (2, rest[1]), (2, rest[2]), (2, rest[2]), (1, same)])

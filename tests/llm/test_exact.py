@@ -144,7 +144,7 @@ def test_pii_links_and_leaves_invalid_values(spark):
 
 
 def test_decontamination_against_all_windows(spark):
-    items = [(i, prose(n)) for i, n in enumerate((3, 5, 8, 14, 20, 30, 41))]
+    items = [(i, prose(n)) for i, n in enumerate((2, 3, 5, 8, 14, 20, 30, 41))]
     docs = []
     for d in range(60):
         t = prose(R.randrange(1, 120))
@@ -158,11 +158,12 @@ def test_decontamination_against_all_windows(spark):
         w = word_hashes(t, v)
         for i, it in items:
             iw = word_hashes(it, v)
-            s, x = shingles(w), Counter(shingles(iw).tolist())
+            k = min(5, len(iw))
+            s, x = shingles(w, k) if len(w) >= k else w[:0], Counter(shingles(iw, k).tolist())
             m = sum(x.values())
-            if len(iw) < 5 and len(w) >= 5:
-                continue
             span = min(m, len(s))
+            if not span:
+                continue
             best = max((sum((Counter(s[p : p + span].tolist()) & x).values()) / (span + m - sum((Counter(s[p : p + span].tolist()) & x).values())) for p in range(len(s) - span + 1)), default=0)
             if best >= 0.8:
                 want[d, i] = round(best, 9)
@@ -313,27 +314,54 @@ def test_edit_distance_within(tau):
     assert got.tolist() == [min(distance(a, b), tau + 1) for a, b in pairs]
 
 
-def test_lines_against_all_pairs(spark):
-    base = ["".join(R.choice("abcdé ") for _ in range(R.randrange(18, 45))) for _ in range(40)]
-    lines = []
-    for _ in range(250):
-        x = list(R.choice(base))
-        for _ in range(R.randrange(0, 4)):
-            i = R.randrange(len(x))
-            x[i : i + R.randrange(0, 2)] = R.choice("abcdé")
-        lines.append("".join(x))
-    docs = [(i, "\n".join(R.choice(lines) for _ in range(R.randrange(1, 6)))) for i in range(120)]
-    every = sorted({x for _, t in docs for x in t.split("\n")})
+def family(base, n, most, rnd=R):
+    out = []
+    for _ in range(n):
+        x = list(rnd.choice(base))
+        for _ in range(rnd.randrange(0, most)):
+            i = rnd.randrange(len(x))
+            x[i : i + rnd.randrange(0, 2)] = rnd.choice("abcdé")
+        out.append("".join(x))
+    return out
+
+
+@pytest.mark.parametrize("crowd,rounds", [(32, 3), (0, 1)])
+def test_lines_against_all_pairs(spark, crowd, rounds):
+    rnd = random.Random(crowd * 10 + rounds)
+    base = ["".join(rnd.choice("abcdé ") for _ in range(rnd.randrange(8, 45))) for _ in range(40)]
+    lines = family(base, 200, 4, rnd) + family(base[:1], 100, 6, rnd)
+    docs = [(i, "\n".join(rnd.choice(lines) for _ in range(rnd.randrange(1, 6)))) for i in range(150)]
+    worth = lambda x: len(x.strip()) >= 10
+    every = sorted({x for _, t in docs for x in t.split("\n") if worth(x)})
     ids = {x: int(signed(line_dedup.Lines([x]).ids()[0])[0]) for x in every}
-    near = [(ids[a], ids[b]) for i, a in enumerate(every) for b in every[:i] if min(len(a), len(b)) >= 20 and abs(len(a) - len(b)) <= 2 and distance(a, b) <= 2]
+    near = {tuple(sorted((ids[a], ids[b]))) for i, a in enumerate(every) for b in every[:i] if abs(len(a) - len(b)) <= 2 and distance(a, b) <= 2}
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
-    assert {tuple(r) for r in line_dedup.similar_lines(df).collect()} == {tuple(sorted(p)) for p in near}
+    links = {tuple(r) for r in line_dedup.similar_lines(df, crowd=crowd, rounds=rounds).collect()}
     root = groups_of(near, set(ids.values()))
-    first, want = {}, {}
+    assert links <= near and groups_of(links, set(ids.values())) == root
+    first, want, occurs = {}, {}, Counter(root[ids[x]] for _, t in docs for x in t.split("\n") if worth(x))
     for i, t in docs:
-        kept = [x for n, x in enumerate(t.split("\n")) if len(x.strip()) < 10 or first.setdefault(root[ids[x]], (i, n)) == (i, n)]
-        want[i] = "\n".join(kept)
-    assert {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(df).collect()} == want
+        kept = [x for n, x in enumerate(t.split("\n")) if not worth(x) or first.setdefault(root[ids[x]], (i, n)) == (i, n)]
+        want[i] = ("\n".join(kept), sum(occurs[root[ids[x]]] - 1 for x in t.split("\n") if worth(x)))
+    got = line_dedup.line_dedup(df, crowd=crowd, rounds=rounds).collect()
+    assert {r["doc_id"]: (r["text"], r["n_links"]) for r in got} == want
+    named = {}
+    for r in got:
+        for x, c in zip(dict(docs)[r["doc_id"]].split("\n"), r["line_classes"], strict=True):
+            if c is not None:
+                named.setdefault(root[ids[x]], set()).add(c)
+            else:
+                assert not worth(x) or occurs[root[ids[x]]] == 1
+    assert all(len(c) == 1 for c in named.values()) and len({min(c) for c in named.values()}) == len(named)
+
+
+def test_lines_of_one_family_emit_no_squares(spark):
+    """300 variants of a line: the links grow with the variants, not with their square."""
+    rnd = random.Random(3)
+    lines = sorted(set(family(["the quick brown fox jumps over a lazy dog"], 400, 3, rnd)))
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
+    assert line_dedup.similar_lines(df).count() < 20 * len(lines)
+    assert len({r["line_classes"][0] for r in line_dedup.line_dedup(df).collect()}) == 1
 
 
 @pytest.mark.parametrize("weights", [None, {0: 3.0, 1: 1.0, 2: 1.0}])
@@ -398,3 +426,13 @@ def test_schedule_serves_in_order_of_due_times(queues):
 
 def test_digest_is_plain_sha(spark):
     assert spark.range(1).select(F.sha2(F.lit("a:0:1"), 256)).first()[0] == hashlib.sha256(b"a:0:1").hexdigest()
+
+
+def test_toxicity_passes_over_texts_that_do_not_fit(spark):
+    docs = [(i, prose(30) + (" scumbag vileness" if i % 3 == 0 else "")) for i in range(90)] + [(1000 + i, "x " * 6000) for i in range(6)]
+    labels = [(i, int(i % 3 == 0)) for i, _ in docs]
+    d, y = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.train(d, y, sample_chars=11_000)
+    assert model.score("scumbag vileness") > 0.5 > model.score(prose(30))
+    with pytest.raises(ValueError):
+        toxicity.train(d.filter("doc_id >= 1000"), y, sample_chars=11_000)
