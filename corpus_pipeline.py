@@ -1,7 +1,12 @@
 """A corpus from documents to packed sequences: toxicity, line dedup, near-dedup, decontamination, packing.
 
 Each stage reads what its predecessor kept, written as Parquet; all but the last return the columns of
-documents.
+documents, in their order.
+
+A document is an id with a text (null: empty). Rows that share both are one document and share its fate; rows that
+share an id but not the text are documents of their own, as are rows whose id is null. Columns beyond doc_id and text
+are carried along untouched, whatever their names (n_chars alone follows the text, where there is one), and may be
+null. An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -12,39 +17,45 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scholia.llm import decontaminate, line_dedup, near_dedup, packing, toxicity
-from scholia.llm.common import shared_dir, tuned
+from scholia.llm.common import deleted, scratch, shared_dir, tuned
 from scholia.llm.queries import tokenizer_path
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs but for the ids of gone; rows with a null id stay."""
-    ids = gone.select(F.col("doc_id").alias("__gone")).filter("__gone IS NOT NULL").distinct()
-    return docs.join(ids.hint("shuffle_hash"), F.col("doc_id") == F.col("__gone"), "left_anti")
+def _text(docs: DataFrame):
+    return F.coalesce(docs["text"].cast("string"), F.lit(""))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a score of 0.7 or more go."""
     model = toxicity.train(docs, tuned(spark).read.parquet(f"{sf_dir}/labels.parquet"))
-    return _without(docs, toxicity.score(docs, model).filter("predicted = 1"))
+    return toxicity.score(docs, model, carry=docs.columns).filter("predicted = 0").select("carried.*")
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that resemble an earlier line go; texts and their lengths change, documents stay."""
-    kept = line_dedup.line_dedup(docs).filter("n_dropped > 0").select(F.col("doc_id").alias("__id"), F.col("text").alias("__text")).dropDuplicates(["__id"])
-    text = F.coalesce("__text", "text")
-    joined = docs.join(kept, F.col("doc_id") == F.col("__id"), "left")
-    changed = {"text": text, "n_chars": F.when(F.col("__text").isNull(), F.col("n_chars")).otherwise(F.length("__text").cast(docs.schema["n_chars"].dataType))}
-    return joined.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns])
+    """Lines that resemble an earlier line go; texts and their lengths change, documents stay. A text that loses
+    nothing stays as it is, null ones among them."""
+    out = line_dedup.line_dedup(docs, carry=docs.columns)
+    lost = F.col("n_dropped") > 0
+    changed = {"text": F.col("text").cast(docs.schema["text"].dataType)}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return out.select(*[(F.when(lost, changed[c]).otherwise(F.col("carried")[c]) if c in changed else F.col("carried")[c]).alias(c) for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the document with the least id stays."""
-    return _without(docs, near_dedup.near_duplicates(docs).filter("doc_id != class_id"))
+    """Of each class of near duplicates one document stays: the one with the least id."""
+    kept = near_dedup.representatives(docs).select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"))
+    same = docs["doc_id"].cast("long").eqNullSafe(kept["__id"]) & (F.md5(_text(docs)) == kept["__digest"])
+    return docs.join(kept.hint("shuffle_hash"), same, "left_semi")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    return _without(docs, decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+    rows = docs.select(F.col("doc_id"), F.col("text"), F.xxhash64(_text(docs)).alias("version"))
+    found = decontaminate.contaminated(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=("version",))
+    gone = found.select(F.col("doc_id").alias("__id"), F.col("carried.version").alias("__version")).distinct()
+    same = docs["doc_id"].cast("long").eqNullSafe(gone["__id"]) & (F.xxhash64(_text(docs)) == gone["__version"])
+    return docs.join(gone.hint("shuffle_hash"), same, "left_anti")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,9 +76,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = tuned(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    """The last stage's rows. A stage's table and what its operator stored are deleted once the next has read them."""
+    docs, last = tuned(spark).read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if last:
+            deleted(spark, last)
+        docs, last = spark.read.parquet(path), path
     return docs
