@@ -10,25 +10,29 @@ A line's id holds, besides a hash, the parities of its characters in 24 classes.
 most, so candidates whose parities differ in more than 2 tau places are no pairs; the join leaves them out
 before it emits a row, which keeps lines that share half their text but differ by words from meeting.
 
-A segment that more than `crowd` index entries share is no join key: a family of n variants of a line would emit
-n * n pairs. Its lines are compared with a hub of theirs, what stays apart with further hubs, and what shares a
-crowded segment after that in different classes still is compared block by block, where each pair of blocks emits
-no more links than it takes to connect its lines. So every two lines within tau edits end in one class.
+A segment that more than `crowd` indexed lines share is no join key: a family of n variants of a line would emit
+n * n pairs. Its lines are compared block by block, where each pair of blocks emits no more links than it takes to
+connect its lines, and compares no lines that are connected already. Where a crowd has over `hubbed` lines, they
+are compared with a hub of theirs first, what stays apart with further hubs, and only what is in different classes
+still goes to blocks. So every two lines within tau edits end in one class.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scholia.llm.common import BROADCAST_ROWS, U64, components, in_arrow, keyed_texts, mix, signed, stored
+from scholia.llm.common import U64, components, in_arrow, keyed_texts, mix, signed, stored
 
 #: Two edits in ten code points leave a similarity of 0.8; shorter lines (blank ones, marks, numbers) always stay.
 TAU, MIN_LENGTH = 2, 10
-#: Index entries that may share a segment before it counts as crowded; hubs that a crowd tries; lines of a block.
-CROWD, ROUNDS, BLOCK = 32, 3, 256
+#: Indexed lines that may share a segment before it counts as crowded; lines of a block; crowds that try hubs first,
+#: and how many of them.
+CROWD, BLOCK, HUBBED, ROUNDS = 32, 256, 2048, 3
 #: Line ids that may be broadcast to fetch their texts: 8 bytes each; more of them are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -288,8 +292,9 @@ def _by_blocks(apart: DataFrame, texts: DataFrame, tau: int) -> DataFrame:
     return dealt.join(texts, "id").groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
 
 
-def _in_crowds(members: DataFrame, texts: DataFrame, tau: int, rounds: int) -> list[DataFrame]:
-    """Tables of links (a, b) that connect what is within tau edits in each crowd of members (key, id, indexed)."""
+def _past_hubs(members: DataFrame, texts: DataFrame, tau: int, rounds: int) -> tuple[list[DataFrame], DataFrame]:
+    """(links, apart): tables of links (a, b) of lines with hubs of their crowds in members (key, id, indexed), and the
+    members (key, id, indexed, root) of the crowds that hold different roots still."""
     weight = members.filter("indexed").groupBy("id").agg(F.count(F.lit(1)).alias("w"))
     members = stored(members.join(weight, "id", "left").select("key", "id", "indexed", F.coalesce("w", F.lit(0)).alias("w")), "line-members")
     links, tried = [], None
@@ -304,48 +309,48 @@ def _in_crowds(members: DataFrame, texts: DataFrame, tau: int, rounds: int) -> l
         if pairs.take(1):
             links.append(stored(_verified(pairs, texts, tau), "line-links"))
             tried = pairs if tried is None else tried.union(pairs)
+        named = members.withColumn("root", F.col("id"))
         if links:
-            every = links[0]
-            for more in links[1:]:
-                every = every.union(more)
-            roots = stored(components(every, "a", "b", "line-cc"), "line-roots")
+            roots = stored(components(reduce(DataFrame.union, links), "a", "b", "line-cc"), "line-roots")
             named = members.join(roots, "id", "left").select("key", "id", "indexed", "w", F.coalesce("root", "id").alias("root"))
-        else:
-            named = members.withColumn("root", F.col("id"))
         mixed = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("key")
         # lines that were no hub yet stand for the next one
+        apart = named.join(mixed, "key", "left_semi").join(used, "id", "left").withColumn("w", F.when(F.col("old"), -1).otherwise(F.col("w")))
+        apart = stored(apart.select("key", "id", "indexed", "w", "root"), "line-apart")
         members = stored(members.join(used, "id", "left").select("key", "id", "indexed", F.when(F.col("old"), -1).otherwise(F.col("w")).alias("w")), "line-members")
-        apart = stored(named.drop("w").join(mixed, "key", "left_semi").join(members.select("key", "id", "w"), ["key", "id"]), "line-apart")
-        if not apart.take(1):
-            return links
-    return [*links, stored(_by_blocks(apart.select("key", "id", "indexed", "root"), texts, tau), "line-links")]
+    return links, apart.select("key", "id", "indexed", "root")
 
 
-def similar_lines(docs: DataFrame, *, tau: int = TAU, min_length: int = MIN_LENGTH, crowd: int = CROWD, rounds: int = ROUNDS) -> DataFrame:
+def similar_lines(docs: DataFrame, *, tau: int = TAU, min_length: int = MIN_LENGTH, crowd: int = CROWD, hubbed: int = HUBBED, rounds: int = ROUNDS) -> DataFrame:
     """(a, b): ids of lines of docs (text) within tau edits of each other, a < b: every such pair whose segment
     is not crowded, and of the others enough to connect all that are within tau edits. Lines have min_length code
     points or more once stripped."""
-    index, probe = _entries(docs, tau, min_length, False), _entries(docs, tau, min_length, True)
-    crowded = stored(index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > crowd).select("key"), "line-crowded")
-    n_crowded = crowded.count()
-    side = F.broadcast(crowded) if n_crowded <= BROADCAST_ROWS else crowded
-    sparse = index.join(side, "key", "left_anti")
-    left, right = sparse.select("key", F.col("id").alias("x")), index.select(F.col("key").alias("k"), F.col("id").alias("y"))
+    index = _entries(docs, tau, min_length, False).repartition("key").distinct()
+    index = stored(index.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))), "line-index")
     pair = [F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")]
-    same = left.join(right, (left["key"] == F.col("k")) & (F.col("x") < F.col("y")) & _fits("x", "y", tau)).select(*pair)
-    moved = left.join(probe.select(F.col("key").alias("k"), F.col("id").alias("y")), (left["key"] == F.col("k")) & _fits("x", "y", tau)).select(*pair)
-    pairs = stored(same.union(moved).distinct(), "line-pairs")
+    few = index.filter((F.col("n") > 1) & (F.col("n") <= crowd))
+    left, right = few.select("key", F.col("id").alias("x")), few.select(F.col("key").alias("k"), F.col("id").alias("y"))
+    same = left.join(right, (F.col("key") == F.col("k")) & (F.col("x") < F.col("y")) & _fits("x", "y", tau)).select(*pair)
+    # a crowded key is met once, without an id: who meets it is a member of the crowd
+    entries = index.select("key", F.when(F.col("n") <= crowd, F.col("id")).alias("x")).distinct()
+    probe = _entries(docs, tau, min_length, True).select(F.col("key").alias("k"), F.col("id").alias("y"))
+    met = entries.join(probe, (F.col("key") == F.col("k")) & (F.col("x").isNull() | _fits("x", "y", tau)))
+    met = stored(met.select("key", "x", "y").distinct(), "line-met")
+    pairs = stored(same.union(met.filter("x IS NOT NULL").select(*pair)).distinct(), "line-pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
-    members = None
-    if n_crowded:
-        own = [t.join(side, "key", "left_semi").select("key", "id", F.lit(x).alias("indexed")) for t, x in ((index, True), (probe, False))]
-        members = stored(own[0].union(own[1]).groupBy("key", "id").agg(F.max("indexed").alias("indexed")), "line-members")
-        ids = ids.union(members.select("id"))
-    texts = stored(_texts_of(docs, stored(ids.distinct(), "line-ids"), min_length), "line-texts")
-    out = _verified(pairs, texts, tau)
-    for more in _in_crowds(members, texts, tau, rounds) if n_crowded else ():
-        out = out.union(more)
-    return out.distinct() if n_crowded else out
+    crowds = index.filter(F.col("n") > crowd).select("key", "id", F.lit(True).alias("indexed"))
+    if not crowds.take(1):
+        return _verified(pairs, stored(_texts_of(docs, stored(ids.distinct(), "line-ids"), min_length), "line-texts"), tau)
+    members = crowds.union(met.filter("x IS NULL").select("key", F.col("y").alias("id"), F.lit(False).alias("indexed")))
+    members = stored(members.groupBy("key", "id").agg(F.max("indexed").alias("indexed")), "line-members")
+    texts = stored(_texts_of(docs, stored(ids.union(members.select("id")).distinct(), "line-ids"), min_length), "line-texts")
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
+    huge = stored(sizes.filter(F.col("size") > hubbed).select("key"), "line-huge")
+    links, apart = [_verified(pairs, texts, tau)], members.withColumn("root", F.col("id"))
+    if huge.take(1):
+        more, rest = _past_hubs(members.join(huge, "key", "left_semi"), texts, tau, rounds)
+        links, apart = [*links, *more], apart.join(huge, "key", "left_anti").select("key", "id", "indexed", "root").union(rest)
+    return reduce(DataFrame.union, [*links, _by_blocks(apart, texts, tau)]).distinct()
 
 
 def _spots(docs: DataFrame, least: int) -> DataFrame:
@@ -367,7 +372,7 @@ def _spots(docs: DataFrame, least: int) -> DataFrame:
     return in_arrow(docs.select("doc_id", "text", "version"), run, "line_id long, digest long, doc_id long, version long, no int")
 
 
-def line_dedup(docs: DataFrame, *, id_col="doc_id", text_col="text", carry=(), tau=TAU, min_length=MIN_LENGTH, crowd=CROWD, rounds=ROUNDS) -> DataFrame:
+def line_dedup(docs: DataFrame, *, id_col="doc_id", text_col="text", carry=(), tau=TAU, min_length=MIN_LENGTH, crowd=CROWD, hubbed=HUBBED, rounds=ROUNDS) -> DataFrame:
     """(doc_id, text, n_lines, n_dropped, n_links, line_classes, carried): a row for each row of docs.
 
     Lines are what newlines part. Lines that are identical, or that pairs within tau edits connect, are a class;
@@ -384,7 +389,7 @@ def line_dedup(docs: DataFrame, *, id_col="doc_id", text_col="text", carry=(), t
     spots = stored(_spots(texts, min_length), "spots")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "version", "no"))
     lines = stored(spots.groupBy("line_id", "digest").agg(first.alias("first"), F.count(F.lit(1)).alias("copies")), "lines")
-    links = stored(similar_lines(texts, tau=tau, min_length=min_length, crowd=crowd, rounds=rounds), "line-links")
+    links = stored(similar_lines(texts, tau=tau, min_length=min_length, crowd=crowd, hubbed=hubbed, rounds=rounds), "line-links")
     roots = stored(components(links, "a", "b"), "line-roots")
     # lines that occur once and have no link are in no class: they go no further
     named = lines.join(roots.withColumnRenamed("id", "line_id"), "line_id", "left").filter("copies > 1 OR root IS NOT NULL")
@@ -401,16 +406,17 @@ def line_dedup(docs: DataFrame, *, id_col="doc_id", text_col="text", carry=(), t
     out = texts.join(marks.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("marked")) & (F.col("version") == F.col("marked_version")), "left")
     parts = F.split("text", "\n", -1)
     every = F.sequence(F.lit(0), F.size(parts) - 1)
-    own = F.coalesce("marks", F.array().cast("array<struct<no:int,class:bigint,others:bigint,drop:boolean>>"))
-    gone = F.transform(F.filter(own, lambda m: m["drop"]), lambda m: m["no"])
-    classes = F.concat(F.transform(F.array_except(every, F.transform(own, lambda m: m["no"])), lambda i: F.struct(i.alias("no"), F.lit(None).cast("long").alias("class"))),
-                       F.transform(own, lambda m: F.struct(m["no"].alias("no"), m["class"].alias("class"))))
+    gone = F.transform(F.filter("marks", lambda m: m["drop"]), lambda m: m["no"])
+    unmarked = F.array_except(every, F.transform("marks", lambda m: m["no"]))
+    classes = F.concat(F.transform(unmarked, lambda i: F.struct(i.alias("no"), F.lit(None).cast("long").alias("class"))),
+                       F.transform("marks", lambda m: F.struct(m["no"].alias("no"), m["class"].alias("class"))))
+    plain = F.col("marks").isNull()
     return out.select(
         "doc_id",
-        F.when(F.size(gone) == 0, F.col("text")).otherwise(F.array_join(F.transform(F.array_except(every, gone), lambda i: F.element_at(parts, i + 1)), "\n")).alias("text"),
+        F.when(plain | (F.size(gone) == 0), F.col("text")).otherwise(F.array_join(F.transform(F.array_except(every, gone), lambda i: F.element_at(parts, i + 1)), "\n")).alias("text"),
         F.size(parts).cast("long").alias("n_lines"),
-        F.size(gone).cast("long").alias("n_dropped"),
-        F.aggregate(own, F.lit(0).cast("long"), lambda n, m: n + m["others"]).alias("n_links"),
-        F.transform(F.array_sort(classes), lambda c: c["class"]).alias("line_classes"),
+        F.when(plain, F.lit(0)).otherwise(F.size(gone)).cast("long").alias("n_dropped"),
+        F.when(plain, F.lit(0)).otherwise(F.aggregate("marks", F.lit(0).cast("long"), lambda n, m: n + m["others"])).cast("long").alias("n_links"),
+        F.when(plain, F.array_repeat(F.lit(None).cast("long"), F.size(parts))).otherwise(F.transform(F.array_sort(classes), lambda c: c["class"])).alias("line_classes"),
         *(["carried"] if carry else []),
     )

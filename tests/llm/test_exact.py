@@ -325,9 +325,10 @@ def family(base, n, most, rnd=R):
     return out
 
 
-@pytest.mark.parametrize("crowd,rounds", [(32, 3), (0, 1)])
-def test_lines_against_all_pairs(spark, crowd, rounds):
-    rnd = random.Random(crowd * 10 + rounds)
+@pytest.mark.parametrize("crowd,hubbed", [(32, 2048), (0, 4)])
+def test_lines_against_all_pairs(spark, crowd, hubbed, monkeypatch):
+    monkeypatch.setattr(line_dedup, "BLOCK", 16)
+    rnd = random.Random(crowd)
     base = ["".join(rnd.choice("abcdé ") for _ in range(rnd.randrange(8, 45))) for _ in range(40)]
     lines = family(base, 200, 4, rnd) + family(base[:1], 100, 6, rnd)
     docs = [(i, "\n".join(rnd.choice(lines) for _ in range(rnd.randrange(1, 6)))) for i in range(150)]
@@ -336,14 +337,14 @@ def test_lines_against_all_pairs(spark, crowd, rounds):
     ids = {x: int(signed(line_dedup.Lines([x]).ids()[0])[0]) for x in every}
     near = {tuple(sorted((ids[a], ids[b]))) for i, a in enumerate(every) for b in every[:i] if abs(len(a) - len(b)) <= 2 and distance(a, b) <= 2}
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
-    links = {tuple(r) for r in line_dedup.similar_lines(df, crowd=crowd, rounds=rounds).collect()}
+    links = {tuple(r) for r in line_dedup.similar_lines(df, crowd=crowd, hubbed=hubbed, rounds=1).collect()}
     root = groups_of(near, set(ids.values()))
     assert links <= near and groups_of(links, set(ids.values())) == root
     first, want, occurs = {}, {}, Counter(root[ids[x]] for _, t in docs for x in t.split("\n") if worth(x))
     for i, t in docs:
         kept = [x for n, x in enumerate(t.split("\n")) if not worth(x) or first.setdefault(root[ids[x]], (i, n)) == (i, n)]
         want[i] = ("\n".join(kept), sum(occurs[root[ids[x]]] - 1 for x in t.split("\n") if worth(x)))
-    got = line_dedup.line_dedup(df, crowd=crowd, rounds=rounds).collect()
+    got = line_dedup.line_dedup(df, crowd=crowd, hubbed=hubbed, rounds=1).collect()
     assert {r["doc_id"]: (r["text"], r["n_links"]) for r in got} == want
     named = {}
     for r in got:
