@@ -26,13 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scholia.llm.common import U64, components, in_arrow, keyed_texts, mix, signed, stored
+from scholia.llm.common import U64, components, in_arrow, keyed_texts, let, mix, signed, stored
 
 #: Two edits in ten code points leave a similarity of 0.8; shorter lines (blank ones, marks, numbers) always stay.
 TAU, MIN_LENGTH = 2, 10
 #: Indexed lines that may share a segment before it counts as crowded; lines of a block; crowds that try hubs first,
 #: and how many of them.
 CROWD, BLOCK, HUBBED, ROUNDS = 32, 256, 2048, 3
+#: Pairs that are verified together.
+PAIRS = 2048
 #: Line ids that may be broadcast to fetch their texts: 8 bytes each; more of them are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -42,7 +44,8 @@ def edit_distance_within(a: list[np.ndarray], b: list[np.ndarray], tau: int) ->
 
     Banded and bit-parallel: bit i of a word stands for the diagonal i - tau of the dynamic-programming matrix,
     and for each number of errors e <= tau one word tells which diagonals of the present column cost at most e
-    (Wu and Manber's recurrence kept to the 2 tau + 1 diagonals that matter). A batch of pairs moves on together.
+    (Wu and Manber's recurrence kept to the 2 tau + 1 diagonals that matter). A batch of pairs moves on together;
+    pairs that no diagonal can save any more leave it.
     """
     n = len(a)
     result = np.full(n, tau + 1, np.int64)
@@ -74,6 +77,12 @@ def edit_distance_within(a: list[np.ndarray], b: list[np.ndarray], tau: int) ->
                 now |= before | (before >> 1) | ((above << 1) & mask)
             before, above = state[e][:live].copy(), now
             state[e][:live] = now
+        if j % 16 == 15:
+            lost = state[tau][:live] == 0
+            if 2 * np.count_nonzero(lost) > live:
+                keep = np.append(~lost, np.ones(len(ok) - live, bool))
+                wide, text, state = wide[:, keep], text[:, keep], [x[keep] for x in state]
+                ok, la, lb, live = ok[keep], la[keep], lb[keep], live - int(lost.sum())
     end = np.int64(1) << (la - lb + tau)
     for e in range(tau, -1, -1):
         result[ok[(state[e] & end) != 0]] = e
@@ -217,8 +226,8 @@ def _within(s: list[np.ndarray], t: list[np.ndarray], tau: int) -> np.ndarray:
     size = np.array([max(len(x), len(y)) for x, y in zip(s, t)], np.int64)
     order, good, at = np.argsort(size, kind="stable"), np.zeros(len(size), bool), 0
     while at < len(order):
-        most = max(1, 4_000_000 // int(size[order[min(len(order) - 1, at + 255)]] + 1))
-        block = order[at : at + min(256, most)]
+        most = max(1, 4_000_000 // int(size[order[min(len(order) - 1, at + PAIRS - 1)]] + 1))
+        block = order[at : at + min(PAIRS, most)]
         good[block] = edit_distance_within([s[i] for i in block], [t[i] for i in block], tau) <= tau
         at += len(block)
     return good
@@ -247,30 +256,36 @@ def _fits(x: str, y: str, tau: int):
 def connecting(ids: list[int], roots: list[int], lines: list[str], indexed: list[bool], one: list[int], other: list[int], tau: int) -> list[tuple[int, int]]:
     """Pairs (ids) of a line of one and a line of other, within tau edits, of which one at least is indexed: as many
     as connect what such pairs connect. Lines of equal roots are connected already."""
-    group = {r: r for r in roots}
-
-    def find(x: int) -> int:
-        while group[x] != x:
-            group[x] = group[group[x]]
-            x = group[x]
-        return x
-
-    codes = [_codes(x) for x in lines]
-    size = np.array([len(x) for x in codes])
-    parity = np.array(ids, np.int64).view(U64) >> U64(40)
-    index = np.array(indexed, bool)
-    names = np.array(other)
-    out = []
+    codes, out = [_codes(x) for x in lines], []
+    names, label = np.array(ids, np.int64), np.unique(np.array(roots, np.int64), return_inverse=True)[1]
+    size, index = np.array([len(x) for x in codes]), np.array(indexed, bool)
+    parity, rest = names.view(U64) >> U64(40), np.array(other)
+
+    def unite(pairs: list[np.ndarray]) -> None:
+        x, y = np.concatenate(pairs, axis=1)
+        open_ = label[x] != label[y]
+        x, y = x[open_], y[open_]
+        if not len(x):
+            return
+        good = _within([codes[i] for i in x], [codes[j] for j in y], tau)
+        for i, j in zip(x[good].tolist(), y[good].tolist()):
+            if label[i] != label[j]:
+                label[label == label[j]] = label[i]
+                out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+
+    held, n = [], 0
     for i in one:
-        near = (np.bitwise_count(parity[names] ^ parity[i]) <= 2 * tau) & (np.abs(size[names] - size[i]) <= tau) & (index[names] | index[i])
-        rest = [j for j in names[near].tolist() if ids[j] != ids[i] and find(roots[j]) != find(roots[i])]
-        for at in range(0, len(rest), 64):
-            some = [j for j in rest[at : at + 64] if find(roots[j]) != find(roots[i])]
-            for j in np.array(some)[_within([codes[i]] * len(some), [codes[j] for j in some], tau)].tolist() if some else ():
-                a, b = find(roots[i]), find(roots[j])
-                if a != b:
-                    group[a] = b
-                    out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+        near = (label[rest] != label[i]) & (np.bitwise_count(parity[rest] ^ parity[i]) <= 2 * tau) & (np.abs(size[rest] - size[i]) <= tau) & (index[rest] | index[i])
+        near = rest[near]
+        if one is other:
+            near = near[near > i]
+        held.append(np.array([np.full(len(near), i), near]))
+        n += len(near)
+        if i == one[0] or n >= PAIRS:  # the first line joins most of its like, which need no comparison any more
+            unite(held)
+            held, n = [], 0
+    if held:
+        unite(held)
     return out
 
 
@@ -281,7 +296,8 @@ def _by_blocks(apart: DataFrame, texts: DataFrame, tau: int) -> DataFrame:
     def run(group: pa.Table) -> pa.Table:
         i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
         ids, roots, lines, indexed, block = (group.column(c).to_pylist() for c in ("id", "root", "line", "indexed", "block"))
-        one, other = ([n for n, b in enumerate(block) if b == x] for x in (i, j))
+        one = [n for n, b in enumerate(block) if b == i]
+        other = one if i == j else [n for n, b in enumerate(block) if b == j]
         found = connecting(ids, roots, lines, indexed, one, other, tau)
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
@@ -413,7 +429,7 @@ def line_dedup(docs: DataFrame, *, id_col="doc_id", text_col="text", carry=(), t
     plain = F.col("marks").isNull()
     return out.select(
         "doc_id",
-        F.when(plain | (F.size(gone) == 0), F.col("text")).otherwise(F.array_join(F.transform(F.array_except(every, gone), lambda i: F.element_at(parts, i + 1)), "\n")).alias("text"),
+        F.when(plain | (F.size(gone) == 0), F.col("text")).otherwise(let(parts, lambda p: F.array_join(F.transform(F.array_except(every, gone), lambda i: F.element_at(p, i + 1)), "\n"))).alias("text"),
         F.size(parts).cast("long").alias("n_lines"),
         F.when(plain, F.lit(0)).otherwise(F.size(gone)).cast("long").alias("n_dropped"),
         F.when(plain, F.lit(0)).otherwise(F.aggregate("marks", F.lit(0).cast("long"), lambda n, m: n + m["others"])).cast("long").alias("n_links"),
