@@ -153,7 +153,7 @@ def txt_markdown(spark, d):
 
 
 _FOUND = lambda kinds: " || ".join(f"CASE WHEN regexp_matches(t, '{p.replace(chr(39), chr(39) * 2)}') THEN '{k},' ELSE '' END" for k, p in kinds.items())
-_SALTED = """SELECT doc_id, substr(text, 1, 80) || CASE doc_id % 8 WHEN 0 THEN ' doi:10.1234/x.1' WHEN 1 THEN ' PMID: 123' WHEN 2 THEN ' PMC12345' WHEN 3 THEN ' see https://example.org/a' WHEN 4 THEN ' arXiv:2101.00001v2'
+_SALTED = """SELECT doc_id, text || CASE doc_id % 8 WHEN 0 THEN ' doi:10.1234/x.1' WHEN 1 THEN ' PMID: 123' WHEN 2 THEN ' PMC12345' WHEN 3 THEN ' see https://example.org/a' WHEN 4 THEN ' arXiv:2101.00001v2'
   WHEN 5 THEN ' (Smith et al., 1999)' WHEN 6 THEN ' Journal of Tests; title: x' ELSE '' END AS t FROM documents"""
 
 
@@ -175,10 +175,10 @@ def red_identifiers(spark, d):
     return relation(spark, d, _SALTED).select("doc_id", text.without_identifiers(F.col("t")).alias("text"))
 
 
-@query("SELECT page_id, regexp_replace(url || CASE WHEN contains(url, '#') THEN '' WHEN contains(url, '?') THEN '&token=abc' ELSE '?api_key=abc' END, '(?i)([?&](?:" + "|".join(text.SENSITIVE_PARAMETERS)
-       + r")=)[^&#]*', '\1[REDACTED]', 'g') AS url FROM pages")
+@query(r"""SELECT page_id, regexp_replace(url || CASE WHEN contains(url, '#') THEN '' WHEN contains(url, '?') THEN '&token=abc' ELSE '?api_key=abc&tool=x&secret=s&x-api-key=9' END,
+  '(?i)([?&](?:api_key|apikey|key|token|access_token|password|secret|email|mailto|authorization|x-api-key|xai_api_key)=)[^&#]*', '\1[REDACTED]', 'g') AS url FROM pages""")
 def red_params(spark, d):
-    u = F.concat("url", F.when(F.col("url").contains("#"), F.lit("")).when(F.col("url").contains("?"), F.lit("&token=abc")).otherwise(F.lit("?api_key=abc")))
+    u = F.concat("url", F.when(F.col("url").contains("#"), F.lit("")).when(F.col("url").contains("?"), F.lit("&token=abc")).otherwise(F.lit("?api_key=abc&tool=x&secret=s&x-api-key=9")))
     return relation(spark, d, "pages").select("page_id", text.redacted_url(u).alias("url"))
 
 

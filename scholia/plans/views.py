@@ -68,13 +68,13 @@ SELECT doc_id, CAST(item_index AS INT) AS item_index, record_id, text AS source_
 FROM v_text CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5), (6)) AS k(item_index)""",
     # accepted evidence ids: one for each document, and gaps and hypotheses that refer to them, some dangling
     "v_evidence": """
-SELECT doc_id, concat('ev_', lpad(CAST(doc_id % 10000 AS STRING), 4, '0')) AS evidence_id, record_id, CAST(floor(doc_id / 3) AS BIGINT) AS source_no,
+SELECT doc_id, concat('ev_', CASE WHEN doc_id < 10000 THEN lpad(CAST(doc_id AS STRING), 4, '0') ELSE CAST(doc_id AS STRING) END) AS evidence_id, record_id, CAST(floor(doc_id / 3) AS BIGINT) AS source_no,
   CASE WHEN doc_id % 10 = 3 THEN concat('See ', substr(text, 1, 20), ' (1999)') ELSE substr(text, 1, 60) END AS claim, substr(text, 20, 60) AS finding,
   CASE doc_id % 4 WHEN 0 THEN 'established' WHEN 1 THEN 'conflicting' WHEN 2 THEN 'inference' ELSE 'established' END AS category,
   CASE doc_id % 6 WHEN 0 THEN 'Platelets treated with the blocker showed lower adhesion' WHEN 1 THEN 'Binding to the receptor was seen' WHEN 2 THEN 'Values were higher and associated with age'
     WHEN 3 THEN 'The membrane was observed' WHEN 4 THEN 'Knockout abolished the response' ELSE 'Signaling increased' END AS quote,
   CASE doc_id % 5 WHEN 0 THEN 'preprint' WHEN 1 THEN 'peer-reviewed journal article' WHEN 2 THEN 'peer-reviewed journal article' WHEN 3 THEN 'unknown' ELSE 'peer-reviewed journal article' END AS source_type
-FROM v_text WHERE doc_id < 10000""",
+FROM v_text""",
     "v_gap": """
 SELECT concat('gap_', lpad(CAST(q AS STRING), 2, '0')) AS gap_id, q, ARR(concat('ev_', lpad(CAST(q * 3 AS STRING), 4, '0')), concat('ev_', lpad(CAST(q * 3 + 1 AS STRING), 4, '0'))) AS supporting,
   CASE WHEN q % 3 = 0 THEN ARR(concat('ev_', lpad(CAST(q * 3 + 2 AS STRING), 4, '0'))) WHEN q % 7 = 1 THEN ARR('ev_9999') ELSE ARR(concat('ev_', lpad(CAST(q * 3 + 1 AS STRING), 4, '0'))) END AS conflicting,

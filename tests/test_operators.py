@@ -40,7 +40,9 @@ def test_identity_key_is_hmac(spark):
 
 @pytest.mark.parametrize("words,want", [
     ("10-20 µM and 3×10^6 cells/mL", [("10", "µM"), ("20", "µM"), ("3000000", "cells/mL")]), ("CD62 at 1,234.50 mg", [("1234.5", "mg")]), ("−5 °C to 37°C", [("-5", "°C"), ("37", "°C")]),
-    ("10⁶ and 3D", [("1000000", None)]), ("5 per cent; doi:10.1234/5", [("5", "%")]), ("1e-3 s", [("0.001", "s")]), ("", [])])
+    ("10⁶ and 3D", [("1000000", None)]), ("5 per cent; doi:10.1234/5", [("5", "%")]), ("1e-3 s", [("0.001", "s")]), ("", []),
+    ("5 Hours, 7 min/d, 2 percentage", [("5", "h"), ("7", "min/d"), ("2", None)]), ("10 -20 mg", [("10", "mg"), ("20", "mg")]), ("IL-6 and 5HT, 1234,567", [("1234", None)]), ("4 cm^2 or 4 cm2", [("4", "cm2"), ("4", "cm2")]),
+    ("2 to 3 °C", [("2", "°C"), ("3", "°C")]), ("10^3, 2 x 10 3 cells/mL", [("1000", None), ("2000", "cells/mL")])])
 def test_numbers(words, want):
     assert [(n["value"], n["unit"]) for n in numbers.scan_numbers(words)] == want
 
@@ -178,3 +180,17 @@ def test_run_directories_and_stages(spark, tmp_path):
     storage.write_stage(spark.createDataFrame([(1, None)], "b int, a string"), a, "sources")
     assert [r["value"] for r in spark.read.text(f"{a}/sources").collect()] == ['{"a":null,"b":1}']
     assert storage.output_files(spark, a).count() >= 1
+
+
+@pytest.mark.parametrize("given,want", [
+    ("password=a1 secret=b&xai_api_key=c tool=d", "password=[REDACTED] secret=[REDACTED]&xai_api_key=[REDACTED] tool=d"),
+    ("Bearer abcdefg1, bearer bonds are safe", "Bearer [REDACTED], bearer bonds are safe"),
+    ("Authorization: Basic dXNlcg, next", "Authorization: Basic [REDACTED], next"), ("x-api-key=\"k9\" rest", "x-api-key=\"[REDACTED]\" rest"),
+    ("authorization=zz; Authorization: Bearer abc12345", "authorization=[REDACTED]; Authorization: Bearer [REDACTED]"), ("key xai-" + "A1" * 8 + " end xai-short", "key [REDACTED] end xai-short")])
+def test_secrets_in_text(spark, given, want):
+    assert one(spark, text.redacted_secrets(F.lit(given))) == want
+
+
+def test_sensitive_parameters(spark):
+    url = "https://h.org/a?db=x&api_key=K&TOKEN=t&tool=me&password=p&email=a%40b.org#f"
+    assert one(spark, text.redacted_url(F.lit(url))) == "https://h.org/a?db=x&api_key=[REDACTED]&TOKEN=[REDACTED]&tool=me&password=[REDACTED]&email=[REDACTED]#f"
