@@ -1,13 +1,16 @@
 """Order MinHash fingerprints (Marcais et al., 2019), in built-in functions only.
 
-The k-mers of a text are its runs of k words; the o-th equal one is a k-mer of its own (k-mer, o). A hash
-ranks them and deals them to `bins` bins; a bin keeps its `picks` least, puts them in the order in which the
-text has them, and hashes that tuple. Two texts' likeness is the share of equal tuples among the bins that
-either fills: unlike a set sketch it falls when the same k-mers come in another order. One ranking dealt to
-bins replaces as many rankings as bins, so the cost of a k-mer doesn't grow with the number of bins.
+The k-mers of a text are its runs of k words; the o-th equal one is a k-mer of its own (k-mer, o). Each of `bins`
+coordinates has an order of all k-mers: those that a hash deals to the coordinate come first, by that hash, and after
+them all others by a hash of the coordinate's own. A coordinate keeps the `picks` least k-mers of the text, puts them
+in the order in which the text has them, and hashes that tuple. Two texts' likeness is the share of equal tuples: unlike
+a set sketch it falls when the same k-mers come in another order. Each order is uniformly random and the same for all
+texts, so the likeness means the same at every length; only the coordinates to which a text has fewer than `picks`
+k-mers dealt - few of a long text - cost a pass over it.
 
 Within a text all steps are array functions: sorted longs whose upper 36 bits are a hash and whose lower 28 are
-a place. A text of over 2**28 words cannot be a Spark string.
+a place. In a text of
+over 2**28 words places run into hashes: its sketch is defined, but says little.
 """
 
 from __future__ import annotations
@@ -36,8 +39,8 @@ def _starts(values: Column, key) -> Column:
 
 
 def sketch(text: Column, *, k: int = K, bins: int = BINS, picks: int = PICKS) -> Column:
-    """array<long> of a hash for each bin, null for a bin without k-mers. Words are runs of letters, digits
-    and marks, lower-cased; a text of fewer than k words is one k-mer, a text without words has null bins."""
+    """array<long> of a hash for each coordinate. Words are runs of letters, digits and marks, lower-cased; a text
+    of fewer than k words is one k-mer, and a text without words has nulls."""
     words = F.transform(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}\p{M}_]+"), lambda w: w != ""), lambda w: F.xxhash64(w))
 
     def kmers(w: Column) -> Column:
@@ -60,32 +63,39 @@ def sketch(text: Column, *, k: int = K, bins: int = BINS, picks: int = PICKS) ->
 
     shift = 64 - (bins - 1).bit_length()
 
-    def tuples(q: Column, starts: Column) -> Column:
-        """For each bin that has k-mers: its number in the upper bits' order, and the hash of its tuple."""
+    def dealt(q: Column, starts: Column) -> Column:
+        """For each coordinate that has k-mers: its number, and its least k-mers."""
         return F.transform(
             F.sequence(F.lit(1), F.size(starts) - 1),
-            lambda j: let(
-                F.slice(q, F.element_at(starts, j) + 1, F.least(F.lit(picks), F.element_at(starts, j + 1) - F.element_at(starts, j))),
-                lambda low: F.struct(
-                    F.shiftrightunsigned(F.element_at(low, 1), shift).cast("int").alias("bin"),
-                    # sorted by place: the place goes to the front
-                    F.xxhash64(F.transform(F.array_sort(F.transform(low, lambda x: F.struct(_bits(x, _PLACE).alias("p"), _bits(x, _HASH).alias("h")))), lambda x: x["h"])).alias("tuple"),
-                ),
+            lambda j: F.struct(
+                F.shiftrightunsigned(F.element_at(q, F.element_at(starts, j) + 1), shift).cast("int").alias("bin"),
+                F.slice(q, F.element_at(starts, j) + 1, F.least(F.lit(picks), F.element_at(starts, j + 1) - F.element_at(starts, j))).alias("low"),
             ),
         )
 
-    empty = F.array_repeat(F.lit(None).cast("long"), bins)
+    def completed(low: Column, q: Column, b: Column) -> Column:
+        """low, and as many of the others as it lacks, by the coordinate's own hash."""
+        others = F.transform(F.filter(q, lambda x: ~F.array_contains(low, x)), lambda x: F.struct(F.xxhash64(_bits(x, _HASH), b).alias("r"), x.alias("x")))
+        return F.when(F.size(low) >= F.least(F.lit(picks), F.size(q)), low).otherwise(
+            F.concat(low, F.transform(F.slice(F.array_sort(others), F.lit(1), F.lit(picks) - F.size(low)), lambda s: s["x"])))
 
-    def laid(t: Column) -> Column:
-        return let(F.map_from_entries(t), lambda m: F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.try_element_at(m, b)))
+    def ordered(low: Column) -> Column:
+        """The hash of some k-mers in the order of their places."""
+        return F.xxhash64(F.transform(F.array_sort(F.transform(low, lambda x: F.struct(_bits(x, _PLACE).alias("p"), _bits(x, _HASH).alias("h")))), lambda x: x["h"]))
+
+    empty, none = F.array_repeat(F.lit(None).cast("long"), bins), F.array().cast("array<long>")
+
+    def laid(q: Column, held: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: let(F.coalesce(F.try_element_at(held, b), none), lambda low: ordered(completed(low, q, b))))
 
     return let(words, lambda w: F.when(F.size(w) == 0, empty).otherwise(
         let(F.sort_array(kmers(w)), lambda s: let(_starts(s, lambda x: _bits(x, _HASH)), lambda a: let(
-            F.sort_array(numbered(s, a)), lambda q: let(_starts(q, lambda x: F.shiftrightunsigned(x, shift)), lambda b: laid(tuples(q, b))))))))
+            F.sort_array(numbered(s, a)), lambda q: let(
+                F.map_from_entries(dealt(q, _starts(q, lambda x: F.shiftrightunsigned(x, shift)))), lambda held: laid(q, held)))))))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Equal bins by the bins that either fills; two texts without words are alike."""
+    """Equal coordinates by all; two texts without words are alike, and a text without words is like no other."""
     pairs = F.arrays_zip(a.alias("x"), b.alias("y"))
     same = F.size(F.filter(pairs, lambda p: p["x"] == p["y"]))
     filled = F.size(F.filter(pairs, lambda p: p["x"].isNotNull() | p["y"].isNotNull()))
@@ -115,7 +125,10 @@ def edited_pairs(docs: DataFrame, *, id_col="doc_id", text_col="text", k: int =
     n = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     bounds = rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 100 * n)).first()[0] or []
     bounds = sorted(set(bounds))  # fewer than n numbers
-    place = F.lit(0) if not bounds else F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in bounds]), lambda b: b < F.col("doc_id")))
+    place, steps = F.lit(0), [1 << i for i in reversed(range(len(bounds).bit_length()))]
+    if bounds:  # how many bounds lie below, by bisection
+        held = F.array(*[F.lit(b).cast("long") for b in bounds])
+        place = F.aggregate(F.array(*[F.lit(x) for x in steps]), F.lit(0), lambda lo, x: F.when(F.try_element_at(held, lo + x) < F.col("doc_id"), lo + x).otherwise(lo))
     place = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(place)
     placed = rows.withColumn("range", place)
     lead = placed.groupBy("range").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("i"), F.col("doc_id").isNotNull().alias("n"), F.sha2("text", 256).alias("d"))).alias("lead")).collect()

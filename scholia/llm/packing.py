@@ -15,6 +15,8 @@ queue) totals. No shuffle moves tokens or texts.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from bisect import bisect_right
 from dataclasses import dataclass
@@ -114,6 +116,9 @@ def tail_cuts(total: int, length: int) -> list[int]:
 class Encoder:
     """Token ids as little-endian 16- or 32-bit bytes; keeps the ids of words, up to a bounded number.
 
+    Words are kept only if the vocabulary's file says that it parts words by the byte-level pattern and does nothing
+    before; texts that hold one of its added tokens, and all texts of other vocabularies, are encoded as a whole.
+
     A Python worker has one for each vocabulary, so that what one task has learnt serves the next."""
 
     held: dict[str, Encoder] = {}
@@ -129,14 +134,20 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        # fixed values: the pattern that parts words in this vocabulary's pre-tokeniser
+        told = json.loads(self.tokenizer.to_str())
+        before = told.get("pre_tokenizer") or {}
+        self.by_words = told.get("normalizer") is None and told["model"]["type"] == "BPE" and before == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": before.get("trim_offsets"), "use_regex": True}
+        added = [re.escape(t["content"]) for t in told.get("added_tokens", [])]
+        self.added = re.compile("|".join(added)) if added else None
+        # fixed values: the pattern by which byte-level pre-tokenisers part words
         self.parts = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
         self.type = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.known: dict[str, bytes] = {}
         self.limit = limit
 
     def __call__(self, text: str) -> bytes:
+        if not self.by_words or self.added and self.added.search(text):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.type).tobytes()
         parts, known = self.parts(text), self.known
         ids = list(map(known.get, parts))
         if None in ids:
@@ -152,12 +163,15 @@ class Encoder:
         return b"".join(ids)
 
 
-def encoded(docs: DataFrame, tokenizer: str, *, id_col="doc_id", text_col="text", source_col="source", queues=QUEUES) -> DataFrame:
-    """(doc_id, queue, part, before, tokens, wide): stored. before: the queue's tokens earlier in the partition."""
-    spark = docs.sparkSession
+def source_queues(docs: DataFrame, source_col: str, queues: int) -> dict[str | None, int] | None:
+    """The queue of each source, by name; None where there are more than `queues` sources."""
     names = [r[0] for r in docs.select(F.col(source_col).cast("string")).distinct().limit(queues + 1).collect()]
-    if len(names) <= queues:
-        known = {n: i for i, n in enumerate(sorted(names, key=lambda n: (n is not None, n or "")))}
+    return {n: i for i, n in enumerate(sorted(names, key=lambda n: (n is not None, n or "")))} if len(names) <= queues else None
+
+
+def encoded(docs: DataFrame, tokenizer: str, known: dict[str | None, int] | None, *, id_col="doc_id", text_col="text", source_col="source", queues=QUEUES) -> DataFrame:
+    """(doc_id, queue, part, before, tokens, wide): stored. before: the queue's tokens earlier in the partition."""
+    if known is not None:
         number = F.coalesce(*[F.when(F.col(source_col).cast("string").eqNullSafe(F.lit(n)), F.lit(i)) for n, i in known.items()], F.lit(0)) if known else F.lit(0)
         if len(known) > 64:  # a long chain of comparisons: a map instead
             pairs = [x for n, i in known.items() if n is not None for x in (F.lit(n), F.lit(i))]
@@ -192,19 +206,27 @@ def pack(docs: DataFrame, tokenizer: str, *, id_col="doc_id", text_col="text", s
          length=LENGTH, window=WINDOW, queues=QUEUES) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, queue): a row for each piece.
 
-    proportions: queue number to target weight (a positive number); as a rule the shares of the tokens that the
-    sources hold, so that all queues end together. Beyond `queues` distinct sources, queues are hash groups of
-    sources. Null texts are empty: their one token is the closing id. Null sources are a queue. Rows that
+    proportions: source to target weight (a positive number, None names the null source); as a rule the shares of the
+    tokens that the sources hold, so that all queues end together. A source that proportions leaves out is an error,
+    as are proportions for more than `queues` sources. Without them, sources beyond that number share queues by a
+    hash: queues keep their proportions, sources within a queue come as they lie. Null texts are empty: their one token is the closing id. Null sources are a queue. Rows that
     share an id are packed one by one. An empty table has no pieces.
     """
     spark = docs.sparkSession
-    tokens = encoded(docs, tokenizer, id_col=id_col, text_col=text_col, source_col=source_col, queues=queues)
+    known = source_queues(docs, source_col, queues)
+    if proportions is not None:
+        if known is None:
+            raise ValueError(f"proportions are kept for at most {queues} sources")
+        if lacking := [n for n in known if not proportions.get(n, 0) > 0]:
+            raise ValueError(f"no proportion for the sources {lacking}")
+        proportions = {q: proportions[n] for n, q in known.items()}
+    tokens = encoded(docs, tokenizer, known, id_col=id_col, text_col=text_col, source_col=source_col, queues=queues)
     sums = stored(tokens.groupBy("queue", "part").agg(F.sum("n").alias("sum")), "token-sums")
     totals = {r["queue"]: r["t"] for r in sums.groupBy("queue").agg(F.sum("sum").alias("t")).collect()}  # at most `queues` rows
     if not totals:
         return spark.createDataFrame([], "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, queue int")
     rank = {q: i for i, q in enumerate(sorted(totals))}
-    weight = lambda q: totals[q] if proportions is None else max(1, round(proportions.get(q, 0) * 10**9))
+    weight = lambda q: totals[q] if proportions is None else max(1, round(proportions[q] * 10**9))
     schedule = Schedule(tuple(totals[q] for q in rank), tuple(weight(q) for q in rank))
     earlier = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = sums.select("queue", "part", F.coalesce(F.sum("sum").over(earlier), F.lit(0)).alias("base"))

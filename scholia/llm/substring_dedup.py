@@ -36,14 +36,14 @@ def sentences(text: str) -> list[str]:
 
 
 def pieces(text: str, longest: int = LONGEST) -> tuple[list[str], list[int], np.ndarray]:
-    """(parts, words, hashes): parts of the text that add up to it, how many words each has, a hash of them.
+    """(parts, words, hashes): parts of the text that add up to it, how many words each has, two hashes of them.
     A part without words goes with the one before it, or the one after it at the start of the text."""
     import xxhash
 
-    digest = xxhash.xxh3_64_intdigest
+    digest = xxhash.xxh3_128_digest
     parts: list[str] = []
     words: list[int] = []
-    hashes: list[int] = []
+    hashes: list[bytes] = []
     open_front = ""
     for sentence in sentences(text):
         found = WORD.findall(sentence.lower())
@@ -72,14 +72,14 @@ def pieces(text: str, longest: int = LONGEST) -> tuple[list[str], list[int], np.
             parts.append(open_front + part)
             open_front = ""
             words.append(len(own))
-            hashes.append(digest(" ".join(own)))
+            hashes.append(digest(" ".join(own).encode("utf-8", "surrogatepass")))
     if open_front:
-        parts.append(open_front), words.append(0), hashes.append(0)
-    return parts, words, np.array(hashes, U64)
+        parts.append(open_front), words.append(0), hashes.append(bytes(16))
+    return parts, words, np.frombuffer(b"".join(hashes), U64).reshape(-1, 2)
 
 
-def runs(words: list[int], hashes: np.ndarray, run: int, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first part, end, hash) of the shortest run of `run` parts or more with min_words words or more from each
+def runs(words: list[int], hashes: np.ndarray, run: int, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first part, end, hash, check) of the shortest run of `run` parts or more with min_words words or more from each
     part on; the last parts of a text have none."""
     n = len(words)
     total = np.concatenate([[0], np.cumsum(words)])
@@ -89,36 +89,46 @@ def runs(words: list[int], hashes: np.ndarray, run: int, min_words: int) -> tupl
     with np.errstate(over="ignore"):
         power = np.multiply.accumulate(np.append(U64(1), np.full(n, _BASE, U64)))
         back = np.multiply.accumulate(np.append(U64(1), np.full(n, _INVERSE, U64)))
-        sums = np.append(U64(0), np.cumsum(mix(hashes) * power[:-1]))
-        h = mix((sums[end] - sums[first]) * back[first] + (end - first).astype(U64))
-    return first, end, h
+        both = []
+        for one in hashes.T:
+            sums = np.append(U64(0), np.cumsum(mix(one) * power[:-1]))
+            both.append(mix((sums[end] - sums[first]) * back[first] + (end - first).astype(U64)))
+    return first, end, *both
 
 
 def substring_dedup(docs: DataFrame, *, id_col="doc_id", text_col="text", run=RUN, min_words=MIN_WORDS) -> DataFrame:
     """(doc_id, text, n_removed, removed): a row for each row of docs; removed: numbers (from 0) of the
-    parts that went. The first of equal runs, by (doc_id, place), covers nothing; all others do, in the same
-    document too. A passage with fewer than min_words words in whole parts is never compared.
+    parts that went. The first of equal runs, by (doc_id, text's hash, place), covers nothing; all others do, in the
+    same document too. A passage with fewer than min_words words in whole parts is never compared. Runs are told
+    apart by 128 bits.
 
-    Null and empty texts have no parts and become empty. Rows that share an id are one document and lose the
-    same parts. Rows with a null id come last: they lose what others have and never cause a loss.
+    Null and empty texts have no parts and become empty. A document is an id with a text: rows that share both lose
+    the same parts, rows that share an id but not the text are documents of their own, and so are rows with a null
+    id, which come after all others.
     """
-    texts = keyed_texts(docs, id_col, text_col)
+    texts = keyed_texts(docs, id_col, text_col).withColumn("version", F.xxhash64("text"))
 
     def hashed(batches):
         for b in batches:
-            ids, places, hashes = [], [], []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            numbers, places, hashes, checks = [], [], [], []
+            for n, text in enumerate(b.column(1).to_pylist()):
                 _, words, h = pieces(text)
-                at, _, own = runs(words, h, run, min_words)
-                ids.append(np.full(len(at), np.iinfo(np.int64).max if doc is None else doc)), places.append(at), hashes.append(own)
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(hashes))), pa.array(np.concatenate(ids)), pa.array(np.concatenate(places).astype(np.int32))], ["hash", "id", "place"])
-
-    spans = stored(in_arrow(texts, hashed, "hash long, id long, place int"), "spans")
-    repeated = spans.groupBy("hash").agg(F.min(F.struct("id", "place")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    later = spans.join(repeated.select("hash", "first"), "hash").filter((F.col("first.id") != F.col("id")) | (F.col("first.place") != F.col("place")))
-    marks = stored(later.groupBy("id").agg(F.collect_set("place").alias("places")), "marks")
-    joined = texts.withColumn("id", F.coalesce("doc_id", F.lit((1 << 63) - 1))).join(marks.hint("shuffle_hash"), "id", "left").select("doc_id", "text", "places")
+                at, _, own, check = runs(words, h, run, min_words)
+                numbers.append(np.full(len(at), n)), places.append(at), hashes.append(own), checks.append(check)
+            if numbers:
+                rows = pa.array(np.concatenate(numbers).astype(np.int64))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(signed(np.concatenate(hashes))), pa.array(signed(np.concatenate(checks))), b.column(0).take(rows), b.column(2).take(rows), pa.array(np.concatenate(places).astype(np.int32))],
+                    ["hash", "check", "id", "version", "place"])
+
+    spans = stored(in_arrow(texts, hashed, "hash long, check long, id long, version long, place int"), "spans")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "version", "place")).alias("first")
+    repeated = spans.groupBy("hash", "check").agg(first, F.count(F.lit(1)).alias("n")).filter("n > 1")
+    is_first = F.col("first.id").eqNullSafe(F.col("id")) & (F.col("first.version") == F.col("version")) & (F.col("first.place") == F.col("place"))
+    later = spans.join(repeated.select("hash", "check", "first"), ["hash", "check"]).filter(~is_first)
+    marks = later.groupBy(F.col("id").alias("marked"), F.col("version").alias("marked_version")).agg(F.collect_set("place").alias("places"))
+    marks = stored(marks, "marks").hint("shuffle_hash")
+    joined = texts.join(marks, F.col("doc_id").eqNullSafe(F.col("marked")) & (F.col("version") == F.col("marked_version")), "left").select("doc_id", "text", "places")
 
     def rewritten(batches):
         for b in batches:

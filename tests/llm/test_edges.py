@@ -76,3 +76,11 @@ def test_lines_keep_unique_text_of_null_and_shared_ids(spark):
     docs = [(None, f"{same}\n{same}"), (None, f"{rest[0]}\nyes"), (2, rest[1]), (2, rest[2]), (2, rest[2]), (1, same)]
     got = line_dedup.line_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert sorted((r["doc_id"] or 0, r["text"]) for r in got) == sorted([(0, ""), (0, f"{rest[0]}\nyes"), (2, rest[1]), (2, rest[2]), (2, rest[2]), (1, same)])
+
+
+def test_passages_keep_unique_text_of_null_and_shared_ids(spark):
+    own = [" ".join(f"Sentence {w}{i} has its very own words number{i}{w} here and there{w}{i}." for i in range(5)) for w in "abcde"]
+    docs = [(None, own[0]), (None, own[1]), (2, own[2]), (2, own[3]), ((1 << 63) - 1, own[4]), (7, own[3]), (None, own[1])]
+    got = substring_dedup.substring_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    kept = {(r["doc_id"], r["text"]) for r in got}
+    assert {(None, own[0]), (None, own[1]), (2, own[2]), (2, own[3]), ((1 << 63) - 1, own[4])} <= kept and (7, "") in kept

@@ -235,15 +235,25 @@ def plain_sketch(text, k=fingerprint.K, bins=fingerprint.BINS, picks=fingerprint
     for place, m in enumerate(mers):
         ranked.append((xx([m, np.int32(seen[m])]) & upper, place))
         seen[m] += 1
-    out = [None] * bins
+    out = []
     shift = 64 - (bins - 1).bit_length()
-    for b in range(bins):
-        own = sorted((h, p) for h, p in ranked if (h & (1 << 64) - 1) >> shift == b)[:picks]
-        if own:
-            out[b] = xx([h for _, h in sorted((p, h) for h, p in own)])
+    for b in range(bins):  # each coordinate's own order of all k-mers
+        own = sorted(ranked, key=lambda r: (0, r[0]) if (r[0] & (1 << 64) - 1) >> shift == b else (1, xx([r[0], np.int32(b)])))[:picks]
+        out.append(xx([h for _, h in sorted((p, h) for h, p in own)]))
     return out
 
 
+@pytest.mark.parametrize("n", [12, 40, 200, 1000])
+def test_swapped_halves_are_as_unlike_at_every_length(spark, n):
+    """Two picks keep their order if both are of one half: about half of the coordinates."""
+    rnd, near = random.Random(n), []
+    texts = ["".join(f"w{rnd.random()} " for _ in range(n)) for _ in range(12)]
+    halves = [" ".join(w[n // 2 :] + w[: n // 2]) for w in (t.split() for t in texts)]
+    df = spark.createDataFrame(list(zip(texts, halves)), "a string, b string")
+    near = [r[0] for r in df.select(fingerprint.likeness(fingerprint.sketch(F.col("a")), fingerprint.sketch(F.col("b")))).collect()]
+    assert 0.35 < sum(near) / len(near) < 0.6
+
+
 def test_order_minhash_against_plain_python_and_edits(spark):
     docs = [(i, t) for i, t in enumerate([prose(n) for n in (1, 2, 3, 10, 60, 200)] + ["a b a b a b a b " * 20, "", "...", prose(40)])]
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
@@ -293,7 +303,7 @@ def test_substrings_against_brute_force(spark):
         parts, words, h = cut[i]
         for p in range(len(parts)):
             end = next((e for e in range(p + 3, len(parts) + 1) if sum(words[p:e]) >= substring_dedup.MIN_WORDS), None)
-            if end and first.setdefault(tuple(h[p:end].tolist()), (i, p)) != (i, p):
+            if end and first.setdefault(h[p:end].tobytes(), (i, p)) != (i, p):
                 gone[i] |= set(range(p, end))
     got = {r["doc_id"]: (r["text"], set(r["removed"])) for r in substring_dedup.substring_dedup(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()}
     assert got == {i: ("".join(p for k, p in enumerate(cut[i][0]) if k not in gone[i]), gone[i]) for i, _ in docs}
@@ -365,12 +375,12 @@ def test_lines_of_one_family_emit_no_squares(spark):
     assert len({r["line_classes"][0] for r in line_dedup.line_dedup(df).collect()}) == 1
 
 
-@pytest.mark.parametrize("weights", [None, {0: 3.0, 1: 1.0, 2: 1.0}])
+@pytest.mark.parametrize("weights", [None, {None: 3.0, "a": 1.0, "b": 1.0}])
 def test_packing_is_whole_gapless_and_mixed(spark, weights):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(tokenizer_path())
-    docs = [(i, prose(R.randrange(0, 60)) if i % 9 else "", ["a", "b", "b", "b"][i % 4] if i % 11 else None) for i in range(300)]
+    docs = [(i, (prose(R.randrange(0, 60)) + " <|endoftext|> x" * (i % 13 == 0)) if i % 9 else "", ["a", "b", "b", "b"][i % 4] if i % 11 else None) for i in range(300)]
     pieces = packing.pack(spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(5), tokenizer_path(), proportions=weights, length=64, window=256).collect()
     by_doc = {}
     for r in pieces:
@@ -400,7 +410,7 @@ def test_packing_is_whole_gapless_and_mixed(spark, weights):
     totals = Counter()
     for r in pieces:
         totals[r["queue"]] += r["length"]
-    w = {q: (totals[q] if weights is None else weights[q]) for q in totals}
+    w = {q: (totals[q] if weights is None else weights[[None, "a", "b"][q]]) for q in totals}
     for block in range(full // 4):  # windows of four sequences: the share of every queue that is not yet empty
         for s in range(4 * block, 4 * block + 4):
             for _, n, q in sequences[s]:
@@ -437,3 +447,18 @@ def test_toxicity_passes_over_texts_that_do_not_fit(spark):
     assert model.score("scumbag vileness") > 0.5 > model.score(prose(30))
     with pytest.raises(ValueError):
         toxicity.train(d.filter("doc_id >= 1000"), y, sample_chars=11_000)
+
+
+def test_proportions_name_every_source(spark):
+    docs = spark.createDataFrame([(1, "a b", "s"), (2, "c", "t")], "doc_id long, text string, source string")
+    with pytest.raises(ValueError):
+        packing.pack(docs, tokenizer_path(), proportions={"s": 1.0})
+
+
+def test_whole_texts_where_words_cannot_be_parted():
+    from tokenizers import Tokenizer
+
+    encode, plain = packing.Encoder.of(tokenizer_path()), Tokenizer.from_file(tokenizer_path())
+    assert encode.by_words
+    for t in ("a <|endoftext|> b", "naïve  東京\n\n x's", "", "<|endoftext|>"):
+        assert np.frombuffer(encode(t), encode.type).tolist() == plain.encode(t, add_special_tokens=False).ids
