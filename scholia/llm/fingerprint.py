@@ -9,8 +9,7 @@ texts, so the likeness means the same at every length; only the coordinates to w
 k-mers dealt - few of a long text - cost a pass over it.
 
 Within a text all steps are array functions: sorted longs whose upper 36 bits are a hash and whose lower 28 are
-a place. In a text of
-over 2**28 words places run into hashes: its sketch is defined, but says little.
+a place. In a text of over 2**28 words places run into hashes: its sketch is defined, but says little.
 """
 
 from __future__ import annotations
@@ -74,14 +73,20 @@ def sketch(text: Column, *, k: int = K, bins: int = BINS, picks: int = PICKS) ->
         )
 
     def completed(low: Column, q: Column, b: Column) -> Column:
-        """low, and as many of the others as it lacks, by the coordinate's own hash."""
-        others = F.transform(F.filter(q, lambda x: ~F.array_contains(low, x)), lambda x: F.struct(F.xxhash64(_bits(x, _HASH), b).alias("r"), x.alias("x")))
-        return F.when(F.size(low) >= F.least(F.lit(picks), F.size(q)), low).otherwise(
-            F.concat(low, F.transform(F.slice(F.array_sort(others), F.lit(1), F.lit(picks) - F.size(low)), lambda s: s["x"])))
+        """low, and as many of the others as it lacks, by the coordinate's own hash: one least at a time, no sort."""
+
+        def fill(low: Column, others: Column, lacking: int) -> Column:
+            if not lacking:
+                return low
+            return F.when(F.size(low) >= picks, low).otherwise(let(F.array_min(others), lambda m: F.when(m.isNull(), low).otherwise(
+                let(F.concat(low, F.array(m["x"])), lambda more: fill(more, F.filter(others, lambda s: s["r"] > m["r"]), lacking - 1)))))
+
+        ranked = F.transform(F.filter(q, lambda x: ~F.array_contains(low, x)), lambda x: F.struct(F.xxhash64(_bits(x, _HASH), b).alias("r"), x.alias("x")))
+        return F.when(F.size(low) >= picks, low).otherwise(let(ranked, lambda others: fill(low, others, picks)))
 
     def ordered(low: Column) -> Column:
         """The hash of some k-mers in the order of their places."""
-        return F.xxhash64(F.transform(F.array_sort(F.transform(low, lambda x: F.struct(_bits(x, _PLACE).alias("p"), _bits(x, _HASH).alias("h")))), lambda x: x["h"]))
+        return F.xxhash64(F.transform(F.sort_array(F.transform(low, lambda x: F.struct(_bits(x, _PLACE).alias("p"), _bits(x, _HASH).alias("h")))), lambda x: x["h"]))
 
     empty, none = F.array_repeat(F.lit(None).cast("long"), bins), F.array().cast("array<long>")
 
@@ -91,7 +96,7 @@ def sketch(text: Column, *, k: int = K, bins: int = BINS, picks: int = PICKS) ->
     return let(words, lambda w: F.when(F.size(w) == 0, empty).otherwise(
         let(F.sort_array(kmers(w)), lambda s: let(_starts(s, lambda x: _bits(x, _HASH)), lambda a: let(
             F.sort_array(numbered(s, a)), lambda q: let(
-                F.map_from_entries(dealt(q, _starts(q, lambda x: F.shiftrightunsigned(x, shift)))), lambda held: laid(q, held)))))))
+                _starts(q, lambda x: F.shiftrightunsigned(x, shift)), lambda b: let(F.map_from_entries(dealt(q, b)), lambda held: laid(q, held))))))))
 
 
 def likeness(a: Column, b: Column) -> Column:
