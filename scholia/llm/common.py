@@ -173,7 +173,8 @@ def components(links: DataFrame, a: str, b: str, name: str = "cc") -> DataFrame:
     """(id, root): for each id that a link names, the least id of its component.
 
     Alternating large and small stars: every step joins an edge list with one minimum per node, minima are
-    combined before they are shuffled, and no component is gathered anywhere. Each step is a written table.
+    combined before they are shuffled, and no component is gathered anywhere. Each step is a written table. The
+    end is reached when the list is a forest of stars: no node has two parents, and no parent has one.
     Null ends and self links are ignored; an empty list of links has an empty result.
     """
     edges = stored(
@@ -182,8 +183,12 @@ def components(links: DataFrame, a: str, b: str, name: str = "cc") -> DataFrame:
         .distinct(),
         name,
     )
-    state = None
-    while True:
+
+    def forest(edges: DataFrame) -> bool:
+        ends = edges.select(F.col("u").alias("id"), F.lit(1).alias("child"), F.lit(0).alias("parent")).union(edges.select("v", F.lit(0), F.lit(1)))
+        return not ends.groupBy("id").agg(F.sum("child").alias("c"), F.max("parent").alias("p")).filter("c + p > 1 AND c > 0").take(1)
+
+    while not forest(edges):
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
@@ -199,9 +204,5 @@ def components(links: DataFrame, a: str, b: str, name: str = "cc") -> DataFrame:
         discard(edges)
         discard(large)
         edges = nxt
-        now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == state or not now[0]:
-            break
-        state = now
     roots = edges.select(F.col("u").alias("id"), F.col("v").alias("root"))
     return roots.union(edges.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())

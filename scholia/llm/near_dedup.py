@@ -6,8 +6,7 @@ Weight of a shingle: how often it occurs in the document. Similarity: weighted J
 Plan: identical texts become one class by a digest (minima are combined before the shuffle, so a hot text
 costs nothing); one signature per class goes to `bands` buckets; every member of a bucket is compared with the
 bucket's hub - the member that shares most buckets with others, which is the original of a family of edited
-copies far more often than any other - and what stays apart is compared with further hubs, round by round:
-each round emits at most one candidate for each member and bucket. The members of buckets that hold two
+copies far more often than any other -, which emits at most one candidate for each member and bucket. The members of buckets that hold two
 components still are then compared with each other, all that differ in component, block by block, so that any
 two documents that share a bucket are connected or were found unlike.
 """
@@ -21,7 +20,7 @@ from pyspark.sql import functions as F
 
 from scholia.llm.common import U64, Vocabulary, components, discard, in_arrow, keyed_texts, mix, shingles, signed, stored, word_hashes
 
-K_WORDS, THRESHOLD, BANDS, ROWS, ROUNDS = 5, 0.8, 20, 4, 3
+K_WORDS, THRESHOLD, BANDS, ROWS, ROUNDS = 5, 0.8, 20, 4, 1
 #: Members of a block: the rest of a bucket is compared by pairs of blocks, so no task holds more than two.
 BLOCK = 128
 _C1, _C2, _C3 = U64(0xD6E8FEB86659FD93), U64(0xA0761D6478BD642F), U64(0xE7037ED1A0B428DB)
@@ -245,10 +244,11 @@ def _classes(docs: DataFrame, id_col, text_col, k_words, threshold, bands, rows,
         if not pairs.take(1):
             break
         found = stored(_verified(pairs, candidates, k_words, threshold), "links")
-        links = found if links is None else links.union(found)
         swapped = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         tried = swapped if tried is None else tried.union(swapped)
-        roots = stored(components(links, "a", "b"), "roots")
+        if roots is None or found.take(1):
+            links = found if links is None else links.union(found)
+            roots = stored(components(links, "a", "b"), "roots")
         named = members.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("bucket", "rep", "w", F.coalesce("root", "rep").alias("root"))
         mixed = named.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("bucket")
         used = pairs.select(F.col("b").alias("rep")).distinct()
