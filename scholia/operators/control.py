@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StructField, StructType
 
 from scholia.functions.identity import stripped
 
@@ -60,36 +62,71 @@ def run_status(budget: Column, auth: Column, degraded: Column) -> Column:
     return F.when(budget, F.lit("budget_exhausted")).when(auth, F.lit("model_auth_error")).when(degraded, F.lit("degraded")).otherwise(F.lit("ok"))
 
 
-# Which failures are worth another attempt.
-RETRYABLE = ("timeout", "connection_error", "transport_error", "rate_limited", "server_error")
+# Kinds of failures that are worth another attempt whatever their status; http_error is where the
+# status says so, and auth_error, config_error, parse_error, incomplete, refused, schema_violation, budget_exhausted
+# and model_error never are.
+RETRYABLE = ("rate_limited", "timeout", "connection_error")
 
 
-def retryable(error: Column, http_status: Column) -> Column:
-    return F.coalesce(http_status == 429, F.lit(False)) | F.coalesce(http_status >= 500, F.lit(False)) | F.coalesce(error.isin(*RETRYABLE), F.lit(False))
+def retryable(kind: Column, http_status: Column) -> Column:
+    status = F.coalesce((http_status == 429) | (http_status >= 500), F.lit(False))
+    return F.coalesce(kind.isin(*RETRYABLE) | ((kind == "http_error") & status), F.lit(False))
 
 
 # ---- folds -------------------------------------------------------------------------------------
 
 
+def quota_decisions(runs: DataFrame, limit: int, window_s: int = 86_400, key: str = "identity", ts: str = "ts", order: tuple[str, ...] = ("ts", "event_id"),
+                    keeps_expired: bool = False, future_s: int | None = None) -> DataFrame:
+    """(key, the last of order, granted, used, retry_after_s) for every requested run: it is granted if fewer than
+    `limit` granted runs lie after its time - window (a run exactly that old is out). Denied runs are not counted.
+
+    Runs come as `order` says, which need not be the order of their times. future_s: stamps that lie further ahead than
+    this are not counted. keeps_expired: a denied run leaves the stamps as they were, those that it did not count
+    among them; else what has expired is gone for good. A run without a time is denied and changes nothing.
+
+    Each identity's runs pass one task in order; what is held is the stamps in force, `limit` or few more.
+    """
+    window, ahead, last = window_s * 1_000_000, None if future_s is None else future_s * 1_000_000, order[-1]
+    rows = runs.select(F.col(key), F.unix_micros(F.col(ts).cast("timestamp")).alias("t"), *[F.col(c).alias(f"o{n}") for n, c in enumerate(order)])
+    dealt = rows.repartition(key).sortWithinPartitions(key, *[f"o{n}" for n in range(len(order))])
+
+    def run(batches):
+        at, stamps = object(), []
+        for b in batches:
+            granted, used, wait = [], [], []
+            for who, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if who != at:
+                    at, stamps = who, []
+                live = [] if t is None else [x for x in stamps if x > t - window and (ahead is None or x <= t + ahead)]
+                ok = t is not None and len(live) < limit
+                wait.append(None if ok or not live else max(0.0, (sorted(live)[len(live) - limit if keeps_expired else 0] + window - t) / 1e6))
+                if ok:
+                    stamps = [*live, t]
+                elif t is not None and not keeps_expired:
+                    stamps = live
+                granted.append(ok), used.append(len(live) + ok)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(b.num_columns - 1), pa.array(granted, pa.bool_()), pa.array(used, pa.int32()), pa.array(wait, pa.float64())],
+                                             [key, last, "granted", "used", "retry_after_s"])
+
+    kind = {f.name: f.dataType for f in runs.schema}
+    return dealt.mapInArrow(run, StructType([StructField(key, kind[key]), StructField(last, kind[last]), StructField("granted", BooleanType()),
+                                             StructField("used", IntegerType()), StructField("retry_after_s", DoubleType())]))
+
+
 def rolling_quota(runs: DataFrame, limit: int, window_s: int = 86_400, key: str = "identity", ts: str = "ts", order: str = "event_id") -> DataFrame:
-    """(key, order, ts, granted, used, retry_after_s) for every requested run in time order: it is granted if
-    fewer than `limit` granted runs lie after ts - window (a run exactly that old is out). Denied runs are not
-    counted, so no window frame tells this: each identity's runs are folded with the stamps still in force -
-    `limit` of them at most - as the state."""
-    stamps = F.array_sort(F.collect_list(F.struct(F.unix_micros(F.col(ts).cast("timestamp")).alias("t"), F.col(order).alias("i"))))
-    window = window_s * 1_000_000
-    none = F.struct(F.array().cast("array<bigint>").alias("live"), F.array().cast("array<struct<i:bigint,t:bigint,granted:boolean,used:int,retry:double>>").alias("out"))
+    """Decisions on runs in the order of their times, ties by `order`."""
+    return quota_decisions(runs, limit, window_s, key, ts, (ts, order))
 
-    def step(s: Column, r: Column) -> Column:
-        live = F.filter(s["live"], lambda t: t > r["t"] - window)
-        n = F.size(live)
-        ok = n < limit
-        retry = F.when(~ok, F.greatest(F.lit(0.0), (F.element_at(live, 1) + window - r["t"]) / 1e6))
-        row = F.struct(r["i"].cast("bigint").alias("i"), r["t"].alias("t"), ok.alias("granted"), F.when(ok, n + 1).otherwise(n).alias("used"), retry.alias("retry"))
-        return F.struct(F.when(ok, F.concat(live, F.array(r["t"]))).otherwise(live).alias("live"), F.concat(s["out"], F.array(row)).alias("out"))
-
-    folded = runs.groupBy(key).agg(stamps.alias("r")).select(key, F.explode(F.aggregate("r", none, step, lambda s: s["out"])).alias("x"))
-    return folded.select(key, F.col("x.i").alias(order), F.col("x.granted").alias("granted"), F.col("x.used").alias("used"), F.col("x.retry").alias("retry_after_s"))
+
+def quota_of_sql_store(runs: DataFrame, limit: int, window_s: int = 86_400, key: str = "identity", ts: str = "ts", order: str = "event_id") -> DataFrame:
+    """Runs as they arrive: stamps ahead of the clock count, expired ones are deleted first."""
+    return quota_decisions(runs, limit, window_s, key, ts, (order,))
+
+
+def quota_of_file_store(runs: DataFrame, limit: int, window_s: int = 86_400, key: str = "identity", ts: str = "ts", order: str = "event_id") -> DataFrame:
+    """Runs as they arrive: stamps over 300 s ahead do not count, and only a granted run rewrites an identity's stamps."""
+    return quota_decisions(runs, limit, window_s, key, ts, (order,), keeps_expired=True, future_s=300)
 
 
 def quota_message_hours(retry_after_s: Column) -> Column:

@@ -190,3 +190,18 @@ def dot_text(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     e = edges.select(F.lit(1).alias("part"), F.col("edge_id").alias("k"), F.concat(F.lit('  "'), esc(F.col("source")), F.lit('" -> "'), esc(F.col("target")), F.lit('" [label="'), "type", F.lit('"];')).alias("line"))
     lines = F.transform(F.array_sort(F.collect_list(F.struct("part", "k", "line"))), lambda x: x["line"])
     return n.unionByName(e).agg(F.concat(F.lit("digraph evidence {\n"), F.array_join(lines, "\n"), F.lit("\n}")).alias("dot"))
+
+
+# Names of node types, in the order in which nodes are offered.
+TYPE_LABELS = {"source": "Source", "evidence": "Evidence", "gap": "Research gap", "hypothesis": "Hypothesis", "prediction": "Prediction", "falsification_test": "Falsification test"}
+
+
+def node_options(nodes: DataFrame) -> DataFrame:
+    """(type_order, id, label) over nodes (id, type, title): to be ordered by the first two; titles of over 70 code points
+    are cut to 69 and an ellipsis."""
+    kind, title = F.col("type"), F.coalesce("title", F.lit(""))
+    order, name = F.lit(99), kind
+    for n, (k, label) in enumerate(TYPE_LABELS.items()):
+        order, name = F.when(kind == k, F.lit(n)).otherwise(order), F.when(kind == k, F.lit(label)).otherwise(name)
+    short = F.when(F.length(title) > 70, F.concat(F.substring(title, 1, 69), F.lit("…"))).otherwise(title)
+    return nodes.select(order.cast("long").alias("type_order"), "id", F.concat(name, F.lit(" · "), F.col("id"), F.lit(" — "), short).alias("label"))

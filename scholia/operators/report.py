@@ -67,6 +67,15 @@ def leaks(texts: DataFrame, needles: DataFrame, path: str = "path", text: str =
     return held.select(path, F.col("hit.n").alias(needle))
 
 
+def listed_sources(citations: DataFrame, records: DataFrame, key: str = "report_id") -> DataFrame:
+    """(key, ref, record_id, cited, resolved) of every source: the cited ones under their numbers, those without a record
+    under none, then R1, R2, ... for the records (key, record_id, ordinal) that nothing cites, by ordinal."""
+    cited = citations.select(key, "ref", "record_id", F.lit(True).alias("cited"), (F.col("status") == "resolved").alias("resolved"))
+    rest = records.join(citations.filter("status = 'resolved'").select(key, "record_id"), [key, "record_id"], "left_anti")
+    n = F.row_number().over(Window.partitionBy(key).orderBy("ordinal", "record_id"))
+    return cited.union(rest.select(key, F.concat(F.lit("R"), n.cast("string")), "record_id", F.lit(False), F.lit(True)))
+
+
 def report_status(issues: Column, rejections: Column) -> Column:
     return F.when(issues > 0, F.lit("issues")).when(rejections > 0, F.lit("passed_with_rejections")).otherwise(F.lit("passed"))
 

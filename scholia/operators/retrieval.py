@@ -35,6 +35,31 @@ def contributed(hits: DataFrame, merged: DataFrame, per: list[str]) -> DataFrame
         *per, "query", "retrieved", F.coalesce("contributed", F.lit(0).cast("long")).alias("contributed"))
 
 
+def query_number(query_id: Column) -> Column:
+    """The number in an id such as q10; ids of another form come after all numbers."""
+    digits = F.regexp_extract(query_id, r"^q*([0-9]+)$", 1)
+    return F.coalesce(F.when(digits != "", digits.cast("long")), F.lit(1_000_000).cast("long"))
+
+
+def in_query_order(ids: Column) -> Column:
+    """An array of query ids by their numbers; equal numbers stay in the order given."""
+    keyed = F.transform(ids, lambda x, i: F.struct(query_number(x).alias("n"), i.alias("i"), x.alias("x")))
+    return F.transform(F.array_sort(keyed), lambda k: k["x"])
+
+
+def summary(hits: DataFrame, statuses: DataFrame, unique: DataFrame, key: str = "question_id") -> DataFrame:
+    """(key, total_retrieved, unique_records, duplicates_merged, failed_databases, partially_failed_databases) of each
+    investigation; hits (key, database), statuses (key, database, status), unique (key): a row for each merged record."""
+    got = hits.groupBy(key).agg(F.count(F.lit(1)).alias("total_retrieved"))
+    left = unique.groupBy(key).agg(F.count(F.lit(1)).alias("unique_records"))
+    named = lambda status: F.array_sort(F.collect_set(F.when(F.col("status") == status, F.col("database"))))
+    bad = statuses.groupBy(key).agg(named("failed").alias("failed_databases"), named("partial").alias("partially_failed_databases"))
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
+    return bad.join(got, key, "left").join(left, key, "left").select(
+        key, zero(F.col("total_retrieved")).alias("total_retrieved"), zero(F.col("unique_records")).alias("unique_records"),
+        (zero(F.col("total_retrieved")) - zero(F.col("unique_records"))).alias("duplicates_merged"), "failed_databases", "partially_failed_databases")
+
+
 def search_status(n_ids: Column, n_docs: Column, n_errors: Column) -> Column:
     """ok without errors, failed with errors and nothing found, else partial."""
     return F.when(n_errors == 0, F.lit("ok")).when((n_docs == 0) & (n_ids == 0), F.lit("failed")).otherwise(F.lit("partial"))

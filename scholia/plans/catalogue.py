@@ -1086,6 +1086,176 @@ def ext_session(spark, d):
     return s.select("user_id", F.unix_micros("w.start").alias("start_us"), "n")
 
 
+# ---- quota stores: runs as they arrive, their clocks disturbed -----------------------------------
+
+_ARRIVALS = """SELECT user_id AS identity, CASE event_id % 5 WHEN 0 THEN ts + INTERVAL '2' DAY WHEN 1 THEN ts + INTERVAL '4' MINUTE WHEN 2 THEN ts - INTERVAL '9' HOUR ELSE ts END AS ts, event_id FROM events"""
+
+
+def _store_oracle(counted: str, denied: str, first: str) -> str:
+    return f"""WITH RECURSIVE runs AS (SELECT identity, ts, event_id, row_number() OVER (PARTITION BY identity ORDER BY event_id) AS n FROM ({_ARRIVALS})),
+fold AS (SELECT identity, n, event_id, [ts] AS live, true AS granted, CAST(1 AS BIGINT) AS used, CAST(NULL AS DOUBLE) AS retry FROM runs WHERE n = 1
+  UNION ALL SELECT identity, n, event_id, CASE WHEN len(kept) < 3 THEN kept || [ts] ELSE {denied} END, len(kept) < 3, CASE WHEN len(kept) < 3 THEN len(kept) + 1 ELSE len(kept) END,
+    CASE WHEN len(kept) < 3 THEN NULL ELSE greatest(0.0, (epoch_us({first}) + 86400000000 - epoch_us(ts)) / 1e6) END
+  FROM (SELECT r.identity, r.n, r.event_id, r.ts, f.live AS old, list_filter(f.live, lambda x: {counted}) AS kept FROM fold f JOIN runs r ON r.identity = f.identity AND r.n = f.n + 1))
+SELECT identity, event_id, granted, used, CAST(round(retry) AS BIGINT) AS retry_after_s FROM fold"""
+
+
+def _decided(df):
+    return df.select("identity", "event_id", "granted", F.col("used").cast("long").alias("used"), F.round("retry_after_s").cast("long").alias("retry_after_s"))
+
+
+@query(_store_oracle("x > r.ts - INTERVAL 24 HOUR", "kept", "list_min(kept)"))
+def quota_sql_store(spark, d):
+    return _decided(control.quota_of_sql_store(relation(spark, d, _ARRIVALS), 3))
+
+
+@query(_store_oracle("x > r.ts - INTERVAL 24 HOUR AND x <= r.ts + INTERVAL 300 SECOND", "old", "list_sort(kept)[len(kept) - 2]"))
+def quota_file_store(spark, d):
+    return _decided(control.quota_of_file_store(relation(spark, d, _ARRIVALS), 3))
+
+
+@query("SELECT event_id, CAST(CASE WHEN value IS NULL OR value <= 1 THEN 1 ELSE ceil(value) END AS BIGINT) AS hours FROM events")
+def quota_message(spark, d):
+    return relation(spark, d, "events").select("event_id", control.quota_message_hours(F.col("value") * 3600).alias("hours"))
+
+
+# ---- statuses and failures ---------------------------------------------------------------------
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 'kill_switch' WHEN event_id % 7 = 0 THEN 'gate_closed' WHEN event_id % 5 = 0 THEN 'missing_credentials' WHEN event_id % 3 = 0 THEN 'quota_store_unavailable'
+  WHEN user_id % 2 = 0 THEN 'available' ELSE 'anonymous' END AS status FROM events""")
+def ctl_availability(spark, d):
+    n = lambda k: F.col("event_id") % k
+    reason = F.when(F.col("user_id") % 2 == 0, F.when(n(2) == 0, F.lit("allowed")).otherwise(F.lit("auth_not_required"))).otherwise(F.lit("anonymous"))
+    problem = F.when(n(3) == 0, F.lit("quota_store_unavailable"))
+    return relation(spark, d, "events").select("event_id", control.availability(n(11) == 0, n(7) != 0, n(5) != 0, problem, reason).alias("status"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'budget_exhausted' WHEN event_id % 5 = 0 THEN 'model_auth_error' WHEN event_id % 3 = 0 THEN 'degraded' ELSE 'ok' END AS status FROM events")
+def ctl_run_status(spark, d):
+    n = lambda k: F.col("event_id") % k == 0
+    return relation(spark, d, "events").select("event_id", control.run_status(n(7), n(5), n(3)).alias("status"))
+
+
+_FAILURES = """SELECT event_id, CASE event_id % 13 WHEN 0 THEN 'model_error' WHEN 1 THEN 'config_error' WHEN 2 THEN 'http_error' WHEN 3 THEN 'auth_error' WHEN 4 THEN 'rate_limited' WHEN 5 THEN 'timeout' WHEN 6 THEN 'connection_error'
+  WHEN 7 THEN 'parse_error' WHEN 8 THEN 'incomplete' WHEN 9 THEN 'refused' WHEN 10 THEN 'schema_violation' WHEN 11 THEN 'budget_exhausted' ELSE NULL END AS kind,
+  CASE event_id % 4 WHEN 0 THEN 429 WHEN 1 THEN 503 WHEN 2 THEN 404 ELSE NULL END AS status FROM events"""
+
+
+@query("""SELECT event_id, event_id % 13 IN (4, 5, 6) OR (event_id % 13 = 2 AND event_id % 4 IN (0, 1)) AS retryable FROM events""")
+def ctl_retryable(spark, d):
+    return relation(spark, d, _FAILURES).select("event_id", control.retryable(F.col("kind"), F.col("status")).alias("retryable"))
+
+
+_FOUND_COUNTS = "SELECT event_id, event_id % 3 AS ids, event_id % 2 AS docs, event_id % 5 AS errors FROM events"
+
+
+@query(f"SELECT event_id, CASE WHEN errors = 0 THEN 'ok' WHEN ids + docs = 0 THEN 'failed' ELSE 'partial' END AS status FROM ({_FOUND_COUNTS})")
+def src_search_status(spark, d):
+    c = F.col
+    return relation(spark, d, _FOUND_COUNTS).select("event_id", retrieval.search_status(c("ids"), c("docs"), c("errors")).alias("status"))
+
+
+@query(f"SELECT event_id, CASE WHEN ids > 0 THEN 'issues' WHEN docs > 0 THEN 'passed_with_rejections' ELSE 'passed' END AS status FROM ({_FOUND_COUNTS})")
+def rep_status(spark, d):
+    return relation(spark, d, _FOUND_COUNTS).select("event_id", report.report_status(F.col("ids"), F.col("docs")).alias("status"))
+
+
+_SPEND = "SELECT conv_id, CASE turn % 3 WHEN 0 THEN 'reported_ticks' WHEN 1 THEN 'estimated' ELSE NULL END AS cost_source, CAST(chars AS DECIMAL(18,0)) AS cost FROM v_attempt"
+
+
+@query(f"SELECT conv_id, cost_source, CAST(sum(cost) AS DOUBLE) AS spend, count(*) AS n FROM ({_SPEND}) GROUP BY conv_id, cost_source")
+def agg_spend_by_source(spark, d):
+    return control.spend_by_source(relation(spark, d, _SPEND), "conv_id").withColumn("spend", F.col("spend").cast("double"))
+
+
+# ---- names, ids, orders ------------------------------------------------------------------------
+
+_STAGES = "SELECT doc_id, concat(CASE doc_id % 4 WHEN 0 THEN 'extraction:' WHEN 1 THEN 'gaps:' WHEN 2 THEN 'extraction' ELSE ':' END, source) AS stage FROM documents"
+
+
+@query(f"SELECT doc_id, CASE WHEN split_part(stage, ':', 1) = 'extraction' THEN 'evidence' ELSE split_part(stage, ':', 1) END AS stage FROM ({_STAGES})")
+def txt_stage_key(spark, d):
+    return relation(spark, d, _STAGES).select("doc_id", text.stage_key(F.col("stage")).alias("stage"))
+
+
+@query(r"SELECT p_partkey, regexp_replace(lower(trim(' ' || p_name || '- ' || p_brand || ' ')), '[\s\-]+', '_', 'g') AS key FROM part")
+def nrm_key_form(spark, d):
+    return relation(spark, d, "part").select("p_partkey", text.key_form(F.concat(F.lit(" "), "p_name", F.lit("- "), "p_brand", F.lit(" "))).alias("key"))
+
+
+_PATHS = r"""SELECT page_id, concat('read /home/', CAST(page_id AS STRING), '/x.txt, then C:', chr(92), 'tmp', chr(92), 'y and a/tmp/b http://h/tmp/z (/opt/w)') AS t FROM pages"""
+
+
+@query(r"""SELECT page_id, regexp_replace(t, '(^|[^\w.:/\-])(?:/(?:tmp|home|Users|var|private|mnt|workspace|root|opt|srv|etc|usr)(?:/[^\s)\]''"`>|,;]*)?|[A-Za-z]:\\[^\s)\]''"`>|,;]*)', '\1[path]', 'g') AS text FROM (""" + _PATHS + ")")
+def red_paths(spark, d):
+    return relation(spark, d, _PATHS).select("page_id", text.masked_paths(F.col("t")).alias("text"))
+
+
+_QUERY_IDS = "SELECT question_id, database, concat(CASE WHEN query = 3 THEN 'x' ELSE 'q' END, CAST(query * 3 AS STRING)) AS q, query FROM (SELECT DISTINCT question_id, database, query FROM v_hit) AS u"
+
+
+@query(f"SELECT question_id, database, string_agg(q, ',' ORDER BY CASE WHEN query = 3 THEN 1000000 ELSE query END) AS queries FROM ({_QUERY_IDS}) GROUP BY question_id, database")
+def ord_query_ids(spark, d):
+    ids = relation(spark, d, _QUERY_IDS).groupBy("question_id", "database").agg(F.sort_array(F.collect_list("q"), asc=False).alias("q"))
+    return ids.select("question_id", "database", F.array_join(retrieval.in_query_order(F.col("q")), ",").alias("queries"))
+
+
+_OPTION_NODES = """SELECT concat('src:', record_id) AS id, 'source' AS type, concat(record_id, CASE WHEN doc_id % 5 = 0 THEN ' [PREPRINT]' ELSE '' END) AS title FROM v_text
+  UNION ALL SELECT concat('ev:', evidence_id), 'evidence', concat(claim, finding) FROM v_evidence UNION ALL SELECT concat('gap:', gap_id), 'gap', gap_statement FROM v_gap
+  UNION ALL SELECT concat('hyp:', hypothesis_id), 'hypothesis', hypothesis FROM v_hyp UNION ALL SELECT concat('pred:', hypothesis_id), 'prediction', NULL FROM v_hyp"""
+
+
+@query(f"""SELECT CAST(CASE type WHEN 'source' THEN 0 WHEN 'evidence' THEN 1 WHEN 'gap' THEN 2 WHEN 'hypothesis' THEN 3 ELSE 4 END AS BIGINT) AS type_order, id,
+  CASE type WHEN 'source' THEN 'Source' WHEN 'evidence' THEN 'Evidence' WHEN 'gap' THEN 'Research gap' WHEN 'hypothesis' THEN 'Hypothesis' ELSE 'Prediction' END || ' · ' || id || ' — ' ||
+  CASE WHEN length(title) > 70 THEN substr(title, 1, 69) || '…' ELSE coalesce(title, '') END AS label FROM ({_OPTION_NODES})""")
+def grf_node_options(spark, d):
+    return graph.node_options(relation(spark, d, _OPTION_NODES))
+
+
+# ---- views for models, summaries, sources ------------------------------------------------------
+
+_SEEN = "SELECT evidence_id, record_id, claim, CASE WHEN doc_id % 6 = 0 THEN '' ELSE concat(finding, ' PMID: 12') END AS finding, category, source_type AS confidence, concat(quote, ' doi:10.1234/x.1') AS quote FROM v_evidence"
+
+
+@query(f"""SELECT evidence_id, record_id AS source_record_id, {_nested_replace('claim', '[redacted:identifier]')} AS claim, nullif({_nested_replace('finding', '[redacted:identifier]')}, '') AS finding,
+  category AS evidence_category, confidence, {_nested_replace('quote', '[redacted:identifier]')} AS verified_quote FROM ({_SEEN})""")
+def prj_evidence_view(spark, d):
+    return evidence.model_view(relation(spark, d, _SEEN), quote=True)
+
+
+@query("""SELECT gap_id, coalesce(string_agg(claim || chr(10) || finding, chr(10) ORDER BY i), '') AS reference FROM (SELECT gap_id, unnest(refs) AS evidence_id, generate_subscripts(refs, 1) AS i FROM (SELECT gap_id, supporting || conflicting AS refs FROM v_gap))
+  LEFT JOIN v_evidence USING (evidence_id) GROUP BY gap_id""")
+def jn_reference_text(spark, d):
+    gaps = relation(spark, d, "v_gap").withColumn("refs", F.concat("supporting", "conflicting"))
+    return synthesis.reference_text(gaps, relation(spark, d, "v_evidence"), "gap_id", "refs")
+
+
+_KNOWN = "SELECT DISTINCT CAST(floor(ordinal / 50) AS BIGINT) AS report_id, concat('r', CAST((ordinal * 17) % 29 AS STRING)) AS record_id, (ordinal * 17) % 29 AS ordinal FROM v_record"
+
+
+@query(f"""WITH uses AS ({_USES}), known AS ({_KNOWN}), first AS (SELECT report_id, record_id, min(position) AS spot FROM uses GROUP BY ALL),
+marked AS (SELECT f.*, f.record_id IN (SELECT record_id FROM known) AS ok FROM first f)
+SELECT report_id, CASE WHEN ok THEN 'S' || row_number() OVER (PARTITION BY report_id, ok ORDER BY spot, record_id) END AS ref, record_id, true AS cited, ok AS resolved FROM marked
+UNION ALL SELECT report_id, 'R' || row_number() OVER (PARTITION BY report_id ORDER BY ordinal, record_id), record_id, false, true FROM known k
+  WHERE NOT EXISTS (SELECT 1 FROM first f WHERE f.report_id = k.report_id AND f.record_id = k.record_id)""")
+def rep_listed_sources(spark, d):
+    known = relation(spark, d, _KNOWN)
+    return report.listed_sources(report.numbered_citations(relation(spark, d, _USES), known), known)
+
+
+@query(f"""SELECT question_id, coalesce(n, 0) AS total_retrieved, coalesce(u, 0) AS unique_records, coalesce(n, 0) - coalesce(u, 0) AS duplicates_merged, failed AS failed_databases, part AS partially_failed_databases FROM
+  (SELECT question_id, coalesce(string_agg(database, ',' ORDER BY database) FILTER (WHERE s = 'failed'), '') AS failed, coalesce(string_agg(database, ',' ORDER BY database) FILTER (WHERE s = 'partial'), '') AS part FROM
+    (SELECT question_id, database, CASE WHEN bool_and(status = 'ok') THEN 'ok' WHEN bool_and(status = 'failed') THEN 'failed' ELSE 'partial' END AS s FROM ({_STATUS}) GROUP BY ALL) GROUP BY question_id)
+  LEFT JOIN (SELECT question_id, count(*) AS n, count(DISTINCT record_id) AS u FROM v_hit GROUP BY question_id) USING (question_id)""")
+def agg_retrieval_summary(spark, d):
+    hits = relation(spark, d, "v_hit")
+    each = retrieval.query_status(relation(spark, d, _STATUS).withColumn("at", F.struct("question_id", "database")), "at").select("at.question_id", "at.database", "status")
+    out = retrieval.summary(hits, each, hits.select("question_id", "record_id").distinct())
+    listed = ("failed_databases", "partially_failed_databases")
+    return out.select(*[F.array_join(c, ",").alias(c) if c in listed else F.col(c) for c in out.columns])
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records retrieved, identified, deduplicated, scored and ranked: the head of every investigation."""
     return rank_greedy(spark, sf_dir)

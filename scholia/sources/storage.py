@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, which all executors share; a temporary folder only where it is unset."""
+    """spark.checkpoint.dir, which all executors share. Where it is unset, a local session takes a temporary folder,
+    and any other has an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="scholia-tables-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
