@@ -6,9 +6,10 @@ Weight of a shingle: how often it occurs in the document. Similarity: weighted J
 Plan: identical texts become one class by a digest (minima are combined before the shuffle, so a hot text
 costs nothing); one signature per class goes to `bands` buckets; every member of a bucket is compared with the
 bucket's hub - the member that shares most buckets with others, which is the original of a family of edited
-copies far more often than any other -, which emits at most one candidate for each member and bucket. The members of buckets that hold two
-components still are then compared with each other, all that differ in component, block by block, so that any
-two documents that share a bucket are connected or were found unlike.
+copies far more often than any other -, which emits one candidate for each member and bucket at most. The
+members of buckets that hold two components still are then compared with each other, all that differ in
+component, block by block, so that any two documents that share a bucket are connected or were found unlike.
+With more rounds, further hubs are tried before that.
 """
 
 from __future__ import annotations
