@@ -2,8 +2,8 @@
 joined over the corpus, and sentences that a repeated run covers go unless the run is the first of its kind.
 
 A sentence ends with marks that hold ., ! or ? before white space, or at a newline; a sentence of more than `longest` words is
-read in parts that end after words whose hash says so (one in eight), so that a passage falls into the same parts
-wherever it stands in a sentence, and after `longest` words at most. From each part on, the run that is hashed is the shortest of three or more
+read in parts that end after words whose hash is the least among their neighbours, so that a passage falls into the same parts
+wherever it stands in a sentence. From each part on, the run that is hashed is the shortest of three or more
 parts with min_words words or more: a short phrase that recurs by chance is none. Words are compared lower-cased,
 without what stands between them.
 """
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from scholia.llm.common import U64, WORD, in_arrow, keyed_texts, mix, signed, stored
 
-RUN, MIN_WORDS, LONGEST, ONE_IN = 3, 25, 16, 8
+RUN, MIN_WORDS, LONGEST, NEAR = 3, 20, 10, 3
 _BASE = U64(0x9FB21C651E98DF25)
 _INVERSE = U64(pow(int(_BASE), -1, 1 << 64))
 # A run of marks before white space, or a newline: each run is tried from its first mark only.
@@ -35,6 +35,21 @@ def sentences(text: str) -> list[str]:
     return [text[a:b] for a, b in zip(cuts, cuts[1:]) if a < b]
 
 
+def cut_words(words: list[str], longest: int) -> list[int]:
+    """Where the parts of a long sentence end: after words whose hash is the least within NEAR words on both sides (of
+    equal ones the first), so that NEAR words of context decide; without such a word, after `longest` words. The last part
+    may have NEAR + 1 words more."""
+    hashes = [zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words]
+    ends, last = [], 0
+    for i in range(NEAR, len(words) - NEAR - 1):
+        h = hashes[i]
+        least = h < hashes[i - 1] and h <= hashes[i + 1] and h < min(hashes[i - NEAR : i]) and h <= min(hashes[i + 1 : i + NEAR + 1])
+        if least or i + 1 - last >= longest:
+            ends.append(i + 1)
+            last = i + 1
+    return ends
+
+
 def pieces(text: str, longest: int = LONGEST) -> tuple[list[str], list[int], np.ndarray]:
     """(parts, words, hashes): parts of the text that add up to it, how many words each has, two hashes of them.
     A part without words goes with the one before it, or the one after it at the start of the text."""
@@ -58,11 +73,7 @@ def pieces(text: str, longest: int = LONGEST) -> tuple[list[str], list[int], np.
         else:
             starts = [m.start() for m in WORD.finditer(sentence)]
             if len(starts) == len(found):  # lower-casing may rarely change where words end
-                ends, last = [], 0
-                for i, w in enumerate(found[:-1], 1):
-                    if zlib.crc32(w.encode("utf-8", "surrogatepass")) % ONE_IN == 0 or i - last == longest:
-                        ends.append(i)
-                        last = i
+                ends = cut_words(found, longest)
                 places = [0, *ends, len(found)]
                 at = [0, *[starts[i] for i in ends], len(sentence)]
                 cuts = [(sentence[a:b], found[i:j]) for a, b, i, j in zip(at, at[1:], places, places[1:])]

@@ -310,6 +310,30 @@ def test_substrings_against_brute_force(spark):
     assert any(gone.values())
 
 
+def test_passages_that_begin_and_end_inside_sentences_are_found(spark):
+    rnd = random.Random(51)
+
+    def sentence():
+        return prose(rnd.randrange(4, 40), rnd).capitalize() + "."
+
+    docs, lengths = [], []
+    for i in range(150):
+        n = rnd.randrange(51, 61)
+        words = " ".join(sentence() for _ in range(12)).split()
+        start = rnd.randrange(len(words) - n)
+        passage = " ".join(words[start : start + n])
+        for half in range(2):
+            own = " ".join(sentence() for _ in range(12)).split()
+            at = rnd.randrange(10, len(own) - 10)
+            docs.append((2 * i + half, " ".join([*own[:at], passage, *own[at:]])))
+        lengths.append(n)
+    out = {r["doc_id"]: r for r in substring_dedup.substring_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    lost = [len(docs[2 * i + 1][1].split()) - len(out[2 * i + 1]["text"].split()) for i in range(150)]
+    assert not any(out[2 * i]["n_removed"] for i in range(150))
+    assert sum(n > 0 for n in lost) >= 149 and all(n <= m for n, m in zip(lost, lengths))
+    assert sum(lost) / sum(lengths) > 0.75
+
+
 @pytest.mark.parametrize("tau", [1, 2, 3])
 def test_edit_distance_within(tau):
     pairs = []
