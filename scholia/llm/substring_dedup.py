@@ -111,7 +111,7 @@ def substring_dedup(docs: DataFrame, *, id_col="doc_id", text_col="text", run=RU
     """(doc_id, text, n_removed, removed): a row for each row of docs; removed: numbers (from 0) of the
     parts that went. The first of equal runs, by (doc_id, text's hash, place), covers nothing; all others do, in the
     same document too. A passage with fewer than min_words words in whole parts is never compared. Runs are told
-    apart by 128 bits.
+    apart by 96 bits.
 
     Null and empty texts have no parts and become empty. A document is an id with a text: rows that share both lose
     the same parts, rows that share an id but not the text are documents of their own, and so are rows with a null
@@ -129,10 +129,10 @@ def substring_dedup(docs: DataFrame, *, id_col="doc_id", text_col="text", run=RU
             if numbers:
                 rows = pa.array(np.concatenate(numbers).astype(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(np.concatenate(hashes))), pa.array(signed(np.concatenate(checks))), b.column(0).take(rows), b.column(2).take(rows), pa.array(np.concatenate(places).astype(np.int32))],
+                    [pa.array(signed(np.concatenate(hashes))), pa.array((np.concatenate(checks) >> U64(32)).astype(np.uint32).view(np.int32)), b.column(0).take(rows), b.column(2).take(rows), pa.array(np.concatenate(places).astype(np.int32))],
                     ["hash", "check", "id", "version", "place"])
 
-    spans = stored(in_arrow(texts, hashed, "hash long, check long, id long, version long, place int"), "spans")
+    spans = stored(in_arrow(texts, hashed, "hash long, check int, id long, version long, place int"), "spans")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "version", "place")).alias("first")
     repeated = spans.groupBy("hash", "check").agg(first, F.count(F.lit(1)).alias("n")).filter("n > 1")
     is_first = F.col("first.id").eqNullSafe(F.col("id")) & (F.col("first.version") == F.col("version")) & (F.col("first.place") == F.col("place"))
