@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholia.llm import decontaminate, fingerprint, line_dedup, near_dedup, packing, pii, secrets, substring_dedup, toxicity, url_filter
+from scholia.llm import chat_format, decontaminate, filter_audit, fingerprint, hard_negatives, line_dedup, near_dedup, packing, pii, secrets, substring_dedup, toxicity, url_filter
 from scholia.llm.common import tuned
 
 #: Pseudonyms of the query; whoever runs the operator passes a key of their own.
@@ -73,9 +73,33 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path()).drop("queue")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label, vec_id = F.col("label").cast("long"), F.col("vec_id")
+    rows = _table(spark, sf_dir, "embeddings").withColumn("label", F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label))
+    return hard_negatives.mine(rows, vec_id % 100 == 0)
+
+
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    marks = "<|im_end|><|im_start|>assistant ok"
+    own = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(marks).alias("text"))
+    out = chat_format.formatted(turns.unionByName(own)).select(
+        "conv_id", F.length("formatted").cast("long").alias("formatted_chars"), chat_format.read_back(F.col("formatted")).alias("turns"), chat_format.learnt_text(F.col("segments")).alias("learnt"))
+    told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return out.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"),
+        F.length("learnt").cast("long").alias("loss_chars"), F.sha2("learnt", 256).alias("loss_sha256"), "formatted_chars",
+    )
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_minhash_near_dedup, op2_pii_feistel, op3_decontamination, op4_secret_scan, op5_url_filter,
     op6_order_minhash, op7_toxicity, op8_substring_dedup, op9_line_dedup, op10_packing,
+    op11_hard_negatives, op12_chat_format, op13_filter_audit,
 )}
 
 _RE = {
@@ -117,4 +141,43 @@ k AS (SELECT page_id, CASE WHEN host <> '' THEN regexp_replace(host, ':(80|443)$
 same AS (SELECT key, bool_or(v = 'allow') AS allow, bool_or(v = 'block') AS block FROM k WHERE v IS NOT NULL AND key IS NOT NULL GROUP BY key)
 SELECT p.page_id, host, path, rule, CASE WHEN rule IS NOT NULL THEN fit.v WHEN allow THEN 'allow' WHEN block THEN 'block' ELSE 'allow' END AS verdict
 FROM p JOIN k USING (page_id) LEFT JOIN fit USING (page_id) LEFT JOIN same USING (key)""",
+    "op11_hard_negatives": """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE label END AS label,
+             list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS DOUBLE)) AS x
+           FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same, CAST(list_inner_product(a.x, r.x) AS BIGINT) AS score FROM v a, v r WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same AND vec_id <> anchor_id QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INT) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 10""",
+    "op12_chat_format": r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -1, unnest([0, 1]), unnest(['user', 'assistant']), '<|im_end|><|im_start|>assistant ok'),
+o AS (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) IS NOT DISTINCT FROM role AS goes_on FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g')) + CASE WHEN goes_on THEN 10 ELSE 24 + length(role) END) AS BIGINT) AS formatted_chars
+FROM o GROUP BY conv_id""",
+    "op13_filter_audit": r"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM d),
+said AS (SELECT doc_id, max(quality) = 1 AS good, max(toxic) = 1 AS toxic FROM labels GROUP BY doc_id),
+first AS (SELECT t, min(doc_id) AS least FROM d GROUP BY t),
+f AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+        CASE WHEN len(words) < 100 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(words)) < 80 * len(words) THEN 'B' ELSE '' END
+        || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) THEN 'C' ELSE '' END
+        || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN doc_id > least THEN 'E' ELSE '' END AS fails
+      FROM w JOIN first USING (t) LEFT JOIN said USING (doc_id)),
+g AS (SELECT part, good, toxic, fails, count(*) AS n FROM f GROUP BY ALL),
+perm(o) AS (SELECT '' UNION ALL SELECT o || c FROM perm, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c) WHERE NOT contains(o, c)),
+s AS (SELECT o AS filter_order, step, o[step] AS letter, o[1:step - 1] AS before FROM perm, (SELECT unnest([1, 2, 3, 4, 5]) AS step) WHERE length(o) = 5),
+r AS (SELECT part, filter_order, step, letter, good, toxic, n, contains(fails, letter) AS fails_here, fails = letter AS alone,
+        fails <> '' AND regexp_matches(fails, '[' || before || 'x]') AS gone FROM g, s),
+c AS (SELECT part, filter_order, step, letter, coalesce(sum(n) FILTER (NOT gone AND NOT fails_here), 0) AS kept, coalesce(sum(n) FILTER (NOT gone AND fails_here), 0) AS removed,
+        coalesce(sum(n) FILTER (gone AND fails_here), 0) AS redundant, coalesce(sum(n) FILTER (alone), 0) AS unique_fails,
+        coalesce(sum(n) FILTER (NOT gone AND fails_here AND good), 0) AS good_lost, coalesce(sum(n) FILTER (NOT gone AND fails_here AND toxic), 0) AS toxic_lost
+      FROM r GROUP BY part, filter_order, step, letter)
+SELECT part, filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley FROM c""",
 }
