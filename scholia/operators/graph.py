@@ -1,4 +1,8 @@
-"""The provenance graph: nodes, edges, exclusions, counts, violations, neighbours, DOT text."""
+"""The provenance graph: nodes, edges, exclusions, counts, violations, neighbours, DOT text.
+
+`per` names the columns that tell graphs apart, where a table holds many: every relation has them then, and nothing
+refers to an item of another graph.
+"""
 
 from __future__ import annotations
 
@@ -26,40 +30,43 @@ def edge_id(kind: Column, source: Column, target: Column) -> Column:
     return F.concat_ws("|", kind, source, target)
 
 
-def _all_known(items: DataFrame, key: str, refs: str, known: DataFrame, known_key: str) -> DataFrame:
+Per = tuple[str, ...]
+
+
+def _all_known(items: DataFrame, key: str, refs: str, known: DataFrame, known_key: str, per: Per = ()) -> DataFrame:
     """(key, n, n_missing): relational division - how many references an item has, and how many dangle."""
-    each = items.select(key, F.explode_outer(F.array_distinct(refs)).alias("ref"))
-    hit = each.join(known.select(F.col(known_key).alias("ref")).distinct().withColumn("_hit", F.lit(True)), "ref", "left")
-    return hit.groupBy(key).agg(F.count("ref").alias("n"), F.count_if(F.col("ref").isNotNull() & F.col("_hit").isNull()).alias("n_missing"))
+    each = items.select(*per, key, F.explode_outer(F.array_distinct(refs)).alias("ref"))
+    hit = each.join(known.select(*per, F.col(known_key).alias("ref")).distinct().withColumn("_hit", F.lit(True)), [*per, "ref"], "left")
+    return hit.groupBy(*per, key).agg(F.count("ref").alias("n"), F.count_if(F.col("ref").isNotNull() & F.col("_hit").isNull()).alias("n_missing"))
 
 
-def judged_evidence(evidence: DataFrame, eligible: DataFrame) -> DataFrame:
+def judged_evidence(evidence: DataFrame, eligible: DataFrame, per: Per = ()) -> DataFrame:
     """evidence (evidence_id, record_id, claim, finding, ...) with excluded_reason."""
-    ok = eligible.select("record_id").distinct().withColumn("_ok", F.lit(True))
+    ok = eligible.select(*per, "record_id").distinct().withColumn("_ok", F.lit(True))
     dirty = bibliographic(F.col("claim")) | bibliographic(F.col("finding"))
     reason = (
         F.when(~F.coalesce(F.col("evidence_id").rlike(r"^ev_[0-9]{4}$"), F.lit(False)), F.lit("invalid_evidence_id"))
         .when(F.col("_ok").isNull(), F.lit("source_not_verified_record")).when(dirty, F.lit("bibliographic_text_in_model_text"))
     )
-    return evidence.join(ok, "record_id", "left").withColumn("excluded_reason", reason).drop("_ok")
+    return evidence.join(ok, [*per, "record_id"], "left").withColumn("excluded_reason", reason).drop("_ok")
 
 
-def judged_gaps(gaps: DataFrame, evidence: DataFrame) -> DataFrame:
+def judged_gaps(gaps: DataFrame, evidence: DataFrame, per: Per = ()) -> DataFrame:
     """gaps (gap_id, supporting, conflicting, gap_statement, why_unresolved) with excluded_reason. A gap needs a
     supporting item, and all its references among the kept evidence."""
-    refs = _all_known(gaps.withColumn("_refs", F.concat("supporting", "conflicting")), "gap_id", "_refs", evidence, "evidence_id")
+    refs = _all_known(gaps.withColumn("_refs", F.concat("supporting", "conflicting")), "gap_id", "_refs", evidence, "evidence_id", per)
     dirty = bibliographic(F.col("gap_statement")) | bibliographic(F.col("why_unresolved"))
     reason = (
         F.when(~F.coalesce(F.col("gap_id").rlike(r"^gap_[0-9]{2}$"), F.lit(False)), F.lit("invalid_gap_id"))
         .when((F.col("n_missing") > 0) | (F.size("supporting") == 0), F.lit("gap_references_missing_evidence")).when(dirty, F.lit("bibliographic_text_in_model_text"))
     )
-    return gaps.join(refs, "gap_id", "left").withColumn("excluded_reason", reason).drop("n", "n_missing")
+    return gaps.join(refs, [*per, "gap_id"], "left").withColumn("excluded_reason", reason).drop("n", "n_missing")
 
 
-def judged_hypotheses(hyps: DataFrame, evidence: DataFrame, gaps: DataFrame) -> DataFrame:
+def judged_hypotheses(hyps: DataFrame, evidence: DataFrame, gaps: DataFrame, per: Per = ()) -> DataFrame:
     """hyps (hypothesis_id, evidence_ids, alternative_ids, gap_id, hypothesis, prediction, tests) with excluded_reason."""
-    refs = _all_known(hyps.withColumn("_refs", F.concat("evidence_ids", "alternative_ids")), "hypothesis_id", "_refs", evidence, "evidence_id")
-    known = gaps.select("gap_id").distinct().withColumn("_gap", F.lit(True))
+    refs = _all_known(hyps.withColumn("_refs", F.concat("evidence_ids", "alternative_ids")), "hypothesis_id", "_refs", evidence, "evidence_id", per)
+    known = gaps.select(*per, "gap_id").distinct().withColumn("_gap", F.lit(True))
     blank = lambda c: F.coalesce(F.trim(c) == "", F.lit(True))
     lacking = blank(F.col("prediction")) | (F.size("tests") < 4) | F.exists("tests", blank)
     dirty = bibliographic(F.col("hypothesis")) | bibliographic(F.col("prediction"))
@@ -69,42 +76,42 @@ def judged_hypotheses(hyps: DataFrame, evidence: DataFrame, gaps: DataFrame) ->
         .when(F.col("_gap").isNull(), F.lit("hypothesis_references_missing_gap")).when(lacking, F.lit("hypothesis_missing_prediction_or_falsification"))
         .when(dirty, F.lit("bibliographic_text_in_model_text"))
     )
-    return hyps.join(refs, "hypothesis_id", "left").join(known, "gap_id", "left").withColumn("excluded_reason", reason).drop("n", "n_missing", "_gap")
+    return hyps.join(refs, [*per, "hypothesis_id"], "left").join(known, [*per, "gap_id"], "left").withColumn("excluded_reason", reason).drop("n", "n_missing", "_gap")
 
 
-def build(evidence: DataFrame, gaps: DataFrame, hyps: DataFrame, eligible: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def build(evidence: DataFrame, gaps: DataFrame, hyps: DataFrame, eligible: DataFrame, per: Per = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(nodes, edges, excluded): nodes (node_id, type, item_id); edges (edge_id, type, source, target, recorded_by);
     excluded (item, reason). Only what is kept may be referred to."""
-    ev = judged_evidence(evidence, eligible)
+    ev = judged_evidence(evidence, eligible, per)
     ev_ok = ev.filter("excluded_reason IS NULL")
-    gp = stored(judged_gaps(gaps, ev_ok), "judged-gaps")
+    gp = stored(judged_gaps(gaps, ev_ok, per), "judged-gaps")
     gp_ok = gp.filter("excluded_reason IS NULL")
-    hy = stored(judged_hypotheses(hyps, ev_ok, gp_ok), "judged-hypotheses")
+    hy = stored(judged_hypotheses(hyps, ev_ok, gp_ok, per), "judged-hypotheses")
     hy_ok = hy.filter("excluded_reason IS NULL")
 
-    node = lambda df, kind, col: df.select(node_id(kind, F.col(col)).alias("node_id"), F.lit(kind).alias("type"), F.col(col).alias("item_id"))
+    node = lambda df, kind, col: df.select(*per, node_id(kind, F.col(col)).alias("node_id"), F.lit(kind).alias("type"), F.col(col).alias("item_id"))
     nodes = reduce(DataFrame.unionByName, [
-        node(ev_ok.select("record_id").distinct(), "source", "record_id"), node(ev_ok, "evidence", "evidence_id"), node(gp_ok, "gap", "gap_id"),
+        node(ev_ok.select(*per, "record_id").distinct(), "source", "record_id"), node(ev_ok, "evidence", "evidence_id"), node(gp_ok, "gap", "gap_id"),
         node(hy_ok, "hypothesis", "hypothesis_id"), node(hy_ok, "prediction", "hypothesis_id"), node(hy_ok, "falsification_test", "hypothesis_id")]).distinct()
 
-    edge = lambda df, kind, s, t, by=None: df.select(F.lit(kind).alias("type"), s.alias("source"), t.alias("target"), (by if by is not None else F.lit(None).cast("string")).alias("by"))
+    edge = lambda df, kind, s, t, by=None: df.select(*per, F.lit(kind).alias("type"), s.alias("source"), t.alias("target"), (by if by is not None else F.lit(None).cast("string")).alias("by"))
     E = lambda c: node_id("evidence", F.col(c))  # noqa: E731, N806
     H = node_id("hypothesis", F.col("hypothesis_id"))  # noqa: N806
     G = node_id("gap", F.col("gap_id"))  # noqa: N806
-    sup, con = gp_ok.select("gap_id", F.explode("supporting").alias("e")), gp_ok.select("gap_id", F.explode("conflicting").alias("e"))
-    pairs = sup.join(con.withColumnRenamed("e", "f"), "gap_id").filter("e != f")  # within one gap: a few ids on either side
+    sup, con = (gp_ok.select(*per, "gap_id", F.explode(c).alias("e")) for c in ("supporting", "conflicting"))
+    pairs = sup.join(con.withColumnRenamed("e", "f"), [*per, "gap_id"]).filter("e != f")  # within one gap: a few ids on either side
     edges = reduce(DataFrame.unionByName, [
         edge(ev_ok, "supports", node_id("source", F.col("record_id")), E("evidence_id")),
         edge(sup, "motivates", E("e"), G), edge(con, "motivates", E("e"), G),
         edge(pairs, "contradicts", F.least(E("e"), E("f")), F.greatest(E("e"), E("f")), F.col("gap_id")),
-        edge(hy_ok.select("hypothesis_id", F.explode("evidence_ids").alias("e")), "supports", E("e"), H),
+        edge(hy_ok.select(*per, "hypothesis_id", F.explode("evidence_ids").alias("e")), "supports", E("e"), H),
         edge(hy_ok, "addresses", H, G), edge(hy_ok, "tests", node_id("prediction", F.col("hypothesis_id")), H),
         edge(hy_ok, "tests", node_id("falsification_test", F.col("hypothesis_id")), H)])
-    edges = edges.groupBy("type", "source", "target").agg(F.array_sort(F.collect_set("by")).alias("recorded_by"))
-    edges = edges.select(edge_id(F.col("type"), F.col("source"), F.col("target")).alias("edge_id"), "type", "source", "target", "recorded_by")
+    edges = edges.groupBy(*per, "type", "source", "target").agg(F.array_sort(F.collect_set("by")).alias("recorded_by"))
+    edges = edges.select(*per, edge_id(F.col("type"), F.col("source"), F.col("target")).alias("edge_id"), "type", "source", "target", "recorded_by")
 
     out = lambda df, kind, col: df.filter("excluded_reason IS NOT NULL").select(
-        F.when(F.col("excluded_reason") == f"invalid_{kind}_id", F.lit(kind)).otherwise(node_id(kind, F.col(col))).alias("item"), F.col("excluded_reason").alias("reason"))
+        *per, F.when(F.col("excluded_reason") == f"invalid_{kind}_id", F.lit(kind)).otherwise(node_id(kind, F.col(col))).alias("item"), F.col("excluded_reason").alias("reason"))
     excluded = out(ev, "evidence", "evidence_id").unionByName(out(gp, "gap", "gap_id")).unionByName(out(hy, "hypothesis", "hypothesis_id"))
     return nodes, edges, excluded
 
@@ -117,22 +124,22 @@ def counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return every.join(got, "what", "left").select("what", F.coalesce("count", F.lit(0).cast("long")).alias("n"))
 
 
-def violations(nodes: DataFrame, edges: DataFrame, evidence: DataFrame, gaps: DataFrame, hyps: DataFrame, eligible: DataFrame, cited: DataFrame | None = None) -> DataFrame:
+def violations(nodes: DataFrame, edges: DataFrame, evidence: DataFrame, gaps: DataFrame, hyps: DataFrame, eligible: DataFrame, cited: DataFrame | None = None, per: Per = ()) -> DataFrame:
     """(code, item): one query for each rule over a given graph and its inputs; empty: valid."""
     bad = []
-    add = lambda df, code, col: bad.append(df.select(F.lit(code).alias("code"), F.col(col).alias("item")))
+    add = lambda df, code, col: bad.append(df.select(*per, F.lit(code).alias("code"), F.col(col).alias("item")))
     form = F.lit(False)
     for kind, pattern in FORMS.items():
         form = form | ((F.col("type") == kind) & F.col("node_id").rlike(pattern))
     add(nodes.filter(~form), "invalid_node_id", "node_id")
     for kind, df, col in (("source", eligible, "record_id"), ("evidence", evidence, "evidence_id"), ("gap", gaps, "gap_id"), ("hypothesis", hyps, "hypothesis_id")):
-        add(nodes.filter(F.col("type") == kind).join(df.select(F.col(col).alias("item_id")).distinct(), "item_id", "left_anti"), f"unresolved_{kind}", "node_id")
-    parents = nodes.filter("type = 'hypothesis'").select("item_id")
-    add(nodes.filter(F.col("type").isin("prediction", "falsification_test")).join(parents, "item_id", "left_anti"), "orphan_test_node", "node_id")
+        add(nodes.filter(F.col("type") == kind).join(df.select(*per, F.col(col).alias("item_id")).distinct(), [*per, "item_id"], "left_anti"), f"unresolved_{kind}", "node_id")
+    parents = nodes.filter("type = 'hypothesis'").select(*per, "item_id")
+    add(nodes.filter(F.col("type").isin("prediction", "falsification_test")).join(parents, [*per, "item_id"], "left_anti"), "orphan_test_node", "node_id")
     add(edges.filter(~F.col("type").isin(*RULES)), "invalid_edge_type", "edge_id")
     ends = edges.filter(F.col("type").isin(*RULES))
-    s, t = nodes.select(F.col("node_id").alias("source"), F.col("type").alias("s_type")), nodes.select(F.col("node_id").alias("target"), F.col("type").alias("t_type"))
-    placed = ends.join(s, "source", "left").join(t, "target", "left")
+    s, t = (nodes.select(*per, F.col("node_id").alias(end), F.col("type").alias(kind)) for end, kind in (("source", "s_type"), ("target", "t_type")))
+    placed = ends.join(s, [*per, "source"], "left").join(t, [*per, "target"], "left")
     add(placed.filter("s_type IS NULL OR t_type IS NULL"), "dangling_edge", "edge_id")
     whole = placed.filter("s_type IS NOT NULL AND t_type IS NOT NULL")
     direction = F.lit(False)
@@ -141,33 +148,33 @@ def violations(nodes: DataFrame, edges: DataFrame, evidence: DataFrame, gaps: Da
     add(whole.filter(~direction), "invalid_edge_direction", "edge_id")
     fine = whole.filter(direction)
     add(fine.filter(F.col("edge_id") != edge_id(F.col("type"), F.col("source"), F.col("target"))), "invalid_edge_id", "edge_id")
-    own = evidence.select(node_id("evidence", F.col("evidence_id")).alias("target"), node_id("source", F.col("record_id")).alias("due"))
-    from_source = fine.filter("type = 'supports' AND s_type = 'source'").join(own, "target", "left")
+    own = evidence.select(*per, node_id("evidence", F.col("evidence_id")).alias("target"), node_id("source", F.col("record_id")).alias("due"))
+    from_source = fine.filter("type = 'supports' AND s_type = 'source'").join(own, [*per, "target"], "left")
     add(from_source.filter(~F.col("source").eqNullSafe(F.col("due"))), "wrong_source_link", "edge_id")
-    links = from_source.filter("source = due").groupBy("target").agg(F.count(F.lit(1)).alias("n"))
-    add(nodes.filter("type = 'evidence'").join(links.select(F.col("target").alias("node_id"), "n"), "node_id", "left").filter("coalesce(n, 0) != 1"), "evidence_source_link", "node_id")
-    set_of = lambda df, key, col: df.groupBy(F.col(key).alias("node_id")).agg(F.array_sort(F.collect_list(col)).alias("have"))
-    h = nodes.filter("type = 'hypothesis'").join(hyps.select(F.col("hypothesis_id").alias("item_id"), "evidence_ids", "gap_id"), "item_id", "left")
+    links = from_source.filter("source = due").groupBy(*per, "target").agg(F.count(F.lit(1)).alias("n"))
+    add(nodes.filter("type = 'evidence'").join(links.select(*per, F.col("target").alias("node_id"), "n"), [*per, "node_id"], "left").filter("coalesce(n, 0) != 1"), "evidence_source_link", "node_id")
+    set_of = lambda df, key, col: df.groupBy(*per, F.col(key).alias("node_id")).agg(F.array_sort(F.collect_list(col)).alias("have"))
+    h = nodes.filter("type = 'hypothesis'").join(hyps.select(*per, F.col("hypothesis_id").alias("item_id"), "evidence_ids", "gap_id"), [*per, "item_id"], "left")
     cites = set_of(fine.filter("type = 'supports' AND s_type = 'evidence'"), "target", "source")
     due = F.array_sort(F.transform("evidence_ids", lambda e: F.concat(F.lit("ev:"), e)))
-    add(h.join(cites, "node_id", "left").filter(~due.eqNullSafe(F.col("have")) | (F.size("evidence_ids") == 0)), "hypothesis_evidence_links", "node_id")
-    add(h.join(set_of(fine.filter("type = 'addresses'"), "source", "target"), "node_id", "left").filter(
+    add(h.join(cites, [*per, "node_id"], "left").filter(~due.eqNullSafe(F.col("have")) | (F.size("evidence_ids") == 0)), "hypothesis_evidence_links", "node_id")
+    add(h.join(set_of(fine.filter("type = 'addresses'"), "source", "target"), [*per, "node_id"], "left").filter(
         ~F.array(F.concat(F.lit("gap:"), "gap_id")).eqNullSafe(F.col("have"))), "hypothesis_gap_link", "node_id")
-    add(h.join(set_of(fine.filter("type = 'tests'"), "target", "source"), "node_id", "left").filter(
+    add(h.join(set_of(fine.filter("type = 'tests'"), "target", "source"), [*per, "node_id"], "left").filter(
         ~F.array(F.concat(F.lit("fals:"), "item_id"), F.concat(F.lit("pred:"), "item_id")).eqNullSafe(F.col("have"))), "hypothesis_test_links", "node_id")
     add(fine.filter((F.col("type") == "tests") & (F.substring_index("source", ":", -1) != F.substring_index("target", ":", -1))), "test_parent_mismatch", "edge_id")
-    said = gaps.select(F.concat(F.lit("gap:"), "gap_id").alias("target"), F.explode(F.array_distinct(F.concat("supporting", "conflicting"))).alias("e")).select(
-        "target", F.concat(F.lit("ev:"), "e").alias("source"))
-    add(fine.filter("type = 'motivates'").join(said, ["source", "target"], "left_anti"), "unrecorded_motivation", "edge_id")
-    noted = gaps.select("gap_id", "supporting", "conflicting")
-    claims = fine.filter("type = 'contradicts'").select("edge_id", "source", "target", F.explode_outer("recorded_by").alias("gap_id")).join(noted, "gap_id", "left")
+    said = gaps.select(*per, F.concat(F.lit("gap:"), "gap_id").alias("target"), F.explode(F.array_distinct(F.concat("supporting", "conflicting"))).alias("e")).select(
+        *per, "target", F.concat(F.lit("ev:"), "e").alias("source"))
+    add(fine.filter("type = 'motivates'").join(said, [*per, "source", "target"], "left_anti"), "unrecorded_motivation", "edge_id")
+    noted = gaps.select(*per, "gap_id", "supporting", "conflicting")
+    claims = fine.filter("type = 'contradicts'").select(*per, "edge_id", "source", "target", F.explode_outer("recorded_by").alias("gap_id")).join(noted, [*per, "gap_id"], "left")
     a, b = F.substring_index("source", ":", -1), F.substring_index("target", ":", -1)
     clash = (F.array_contains("supporting", a) & F.array_contains("conflicting", b)) | (F.array_contains("supporting", b) & F.array_contains("conflicting", a))
-    add(claims.groupBy("edge_id", "source", "target").agg(F.bool_or(F.coalesce(clash, F.lit(False))).alias("ok")).filter("NOT ok OR source >= target"), "invented_contradiction", "edge_id")
+    add(claims.groupBy(*per, "edge_id", "source", "target").agg(F.bool_or(F.coalesce(clash, F.lit(False))).alias("ok")).filter("NOT ok OR source >= target"), "invented_contradiction", "edge_id")
     if cited is not None:
-        graph = nodes.filter("type = 'source'").select("item_id").distinct()
-        report = cited.select(F.col("record_id").alias("item_id")).distinct()
-        add(graph.join(report, "item_id", "left_anti").union(report.join(graph, "item_id", "left_anti")), "report_graph_citation_mismatch", "item_id")
+        graph = nodes.filter("type = 'source'").select(*per, "item_id").distinct()
+        report = cited.select(*per, F.col("record_id").alias("item_id")).distinct()
+        add(graph.join(report, [*per, "item_id"], "left_anti").union(report.join(graph, [*per, "item_id"], "left_anti")), "report_graph_citation_mismatch", "item_id")
     return reduce(DataFrame.unionByName, bad)
 
 

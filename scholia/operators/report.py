@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholia.functions.text import markdown_escaped, safe_id
+from scholia.operators.matching import holding
 from scholia.operators.sources_of import badge
 
 # Section titles of a report, in order.
@@ -57,14 +58,14 @@ def sections(reports: DataFrame, key: str = "report_id", column: str = "report",
 
 
 def leaks(texts: DataFrame, needles: DataFrame, path: str = "path", text: str = "text", needle: str = "needle") -> DataFrame:
-    """(path, needle) for every needle that a text holds, as it is, Markdown-escaped or JSON-escaped.
-
-    Needles are a stated, small set: they are one array, and each text is scanned once against all of them."""
-    escaped = F.regexp_replace(needle, r"([\\`*_\[\]|<>#])", r"\\$1")
-    json = F.regexp_extract(F.to_json(F.struct(F.col(needle).alias("n"))), r'(?s)^\{"n":"(.*)"\}$', 1)
-    forms = needles.filter(F.col(needle) != "").distinct().agg(F.collect_list(F.struct(F.col(needle).alias("n"), escaped.alias("e"), json.alias("j"))).alias("all"))
-    held = texts.join(F.broadcast(forms)).select(path, F.explode(F.filter("all", lambda x: F.col(text).contains(x["n"]) | F.col(text).contains(x["e"]) | F.col(text).contains(x["j"]))).alias("hit"))
-    return held.select(path, F.col("hit.n").alias(needle))
+    """(path, needle) for every needle that a text holds, as it is, Markdown-escaped or JSON-escaped (with other letters
+    than ASCII as they are or as \\u escapes). Texts and needles may both be large: they meet on grams."""
+    n = F.col(needle)
+    json = F.expr(f"substring(to_json(array({needle})), 3, length(to_json(array({needle}))) - 4)")
+    escaped = F.regexp_replace(n, r"([\\`*_\[\]|<>#])", r"\\$1")
+    ascii_json = F.array_join(F.transform(F.split(json, ""), lambda c: F.when(c.rlike(r"^[\x00-\x7F]*$"), c).otherwise(F.lower(F.regexp_replace(F.hex(F.encode(c, "UTF-16BE")), "(.{4})", r"\\u$1")))), "")
+    forms = needles.filter(n != "").select(n, F.explode(F.array_distinct(F.array(n, escaped, json, ascii_json))).alias("form")).distinct()
+    return holding(texts.select(path, text), forms, path, text, "form").join(forms, "form").select(path, needle).distinct()
 
 
 def listed_sources(citations: DataFrame, records: DataFrame, key: str = "report_id") -> DataFrame:

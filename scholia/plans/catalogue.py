@@ -6,31 +6,16 @@ same views. Names begin with the family of the operator.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scholia.functions import dates, identity, numbers, payloads, text
 from scholia.operators import control, dedup, evidence, graph, report, retrieval, scoring, sources_of, synthesis, texts, verification
-from scholia.plans.views import oracle, relation
+from scholia.plans import graph_queries, payload_queries  # noqa: F401 - they list their queries
+from scholia.plans.registry import ORACLE_SQL, QUERIES, query  # noqa: F401
+from scholia.plans.views import relation
 from scholia.sources.storage import stored
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(fn: Query) -> Query:
-        QUERIES[fn.__name__] = fn
-        if sql is not None:
-            ORACLE_SQL[fn.__name__] = oracle(sql)
-        return fn
-
-    return add
-
-
 def _joined(c, sep: str = "|"):
     return F.array_join(F.transform(c, lambda x: x.cast("string")), sep)
 
@@ -195,10 +180,10 @@ def red_safe_id(spark, d):
     return t.select("doc_id", s.alias("s")).select("doc_id", "s.value", "s.sha256", F.col("s.length").cast("long").alias("length"))
 
 
-_NEEDLES = "SELECT DISTINCT substr(text, 1, 30) AS needle FROM benchmark WHERE length(text) >= 30"
+_NEEDLES = "SELECT text AS needle FROM benchmark UNION ALL SELECT substr(text, 1, CAST(item_id % 15 AS INT)) FROM benchmark"
 
 
-@query(f"SELECT CAST(doc_id AS VARCHAR) AS path, needle FROM documents JOIN ({_NEEDLES}) ON contains(text, needle)")
+@query(f"SELECT CAST(doc_id AS VARCHAR) AS path, needle FROM documents JOIN (SELECT DISTINCT needle FROM ({_NEEDLES}) WHERE needle <> '') ON contains(text, needle)")
 def red_leak_scan(spark, d):
     docs = relation(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), "text")
     return report.leaks(docs, relation(spark, d, _NEEDLES))
@@ -1161,12 +1146,12 @@ def rep_status(spark, d):
     return relation(spark, d, _FOUND_COUNTS).select("event_id", report.report_status(F.col("ids"), F.col("docs")).alias("status"))
 
 
-_SPEND = "SELECT conv_id, CASE turn % 3 WHEN 0 THEN 'reported_ticks' WHEN 1 THEN 'estimated' ELSE NULL END AS cost_source, CAST(chars AS DECIMAL(18,0)) AS cost FROM v_attempt"
+_SPEND_BY_SOURCE = "SELECT conv_id, CASE turn % 3 WHEN 0 THEN 'reported_ticks' WHEN 1 THEN 'estimated' ELSE NULL END AS cost_source, CAST(chars AS DECIMAL(18,0)) AS cost FROM v_attempt"
 
 
-@query(f"SELECT conv_id, cost_source, CAST(sum(cost) AS DOUBLE) AS spend, count(*) AS n FROM ({_SPEND}) GROUP BY conv_id, cost_source")
+@query(f"SELECT conv_id, cost_source, CAST(sum(cost) AS DOUBLE) AS spend, count(*) AS n FROM ({_SPEND_BY_SOURCE}) GROUP BY conv_id, cost_source")
 def agg_spend_by_source(spark, d):
-    return control.spend_by_source(relation(spark, d, _SPEND), "conv_id").withColumn("spend", F.col("spend").cast("double"))
+    return control.spend_by_source(relation(spark, d, _SPEND_BY_SOURCE), "conv_id").withColumn("spend", F.col("spend").cast("double"))
 
 
 # ---- names, ids, orders ------------------------------------------------------------------------
