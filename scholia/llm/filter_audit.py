@@ -10,7 +10,7 @@ from __future__ import annotations
 from itertools import permutations
 from math import factorial
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholia.llm.common import stored
@@ -94,9 +94,9 @@ def replay(rows: DataFrame, letters: str) -> DataFrame:
         count(F.col("mask") == F.col("bit"), "unique_fails"), count(here & F.col("good"), "good_lost"), count(here & F.col("toxic"), "toxic_lost"),
     )
     named = counted.join(F.broadcast(every.select("order_id", "filter_order")), "order_id").withColumn("letter", F.expr("substring(filter_order, at + 1, 1)"))
-    total = named.groupBy("part", "letter").agg(F.sum("removed").alias("shapley"))
-    return named.join(total, ["part", "letter"]).select(
-        "part", "filter_order", (F.col("at") + 1).cast("int").alias("step"), "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley"
+    of_letter = Window.partitionBy("part", "letter")  # 120 rows for five filters
+    return named.select(
+        "part", "filter_order", (F.col("at") + 1).cast("int").alias("step"), "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", F.sum("removed").over(of_letter).alias("shapley")
     )
 
 
