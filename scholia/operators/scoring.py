@@ -125,12 +125,37 @@ def scored(candidates: DataFrame, question: str, catalog: tuple[Concept, ...] =
 
     Adds concepts, keyword_hits, title_concepts, abstract_only_concepts, query_ids, databases, best_rank,
     title_score, abstract_score, origin_score and base_score."""
-    spark = candidates.sparkSession
-    q = spark.range(1).select(asked_concepts(F.lit(question), catalog).alias("a"), stems(F.lit(question)).alias("s")).first()
+    q = candidates.sparkSession.range(1).select(asked_concepts(F.lit(question), catalog).alias("_asked"), stems(F.lit(question)).alias("_stems"))
+    return _scores(candidates.crossJoin(F.broadcast(q)), candidates.columns, catalog)  # one row
+
+
+def scored_for(candidates: DataFrame, questions: DataFrame, key: str = "question_id", catalog: tuple[Concept, ...] = CONCEPTS) -> DataFrame:
+    """scored() for many questions (key, question) at once: candidates carry key; those of no question go."""
+    q = questions.select(key, asked_concepts(F.col("question"), catalog).alias("_asked"), stems(F.col("question")).alias("_stems"))
+    return _scores(candidates.join(q, key), candidates.columns, catalog)
+
+
+def enriched(candidates: DataFrame, questions: DataFrame, abstracts: DataFrame, limit: int, key: str = "question_id", catalog: tuple[Concept, ...] = CONCEPTS) -> DataFrame:
+    """Scores of all questions after enrichment: candidates are scored by title and provenance, the `limit` best of each
+    question are given their abstract (key, record_id, abstract) where there is one, and all are scored again.
+
+    Adds considered (whether the candidate was among the best). One plan, no action."""
+    if limit < 0:
+        raise ValueError("limit must not be negative")
+    plain = candidates.withColumn("abstract", F.lit(None).cast("string"))
+    place = F.row_number().over(Window.partitionBy(key).orderBy(*score_order()))
+    chosen = scored_for(plain, questions, key, catalog).withColumn("_n", place).filter(F.col("_n") <= limit).select(key, "record_id", F.lit(True).alias("_chosen"))
+    given = chosen.join(abstracts.select(key, "record_id", "abstract"), [key, "record_id"], "left")
+    whole = plain.drop("abstract").join(given, [key, "record_id"], "left").withColumn("considered", F.coalesce("_chosen", F.lit(False))).drop("_chosen")
+    return scored_for(whole, questions, key, catalog)
+
+
+def _scores(found: DataFrame, columns: list[str], catalog: tuple[Concept, ...]) -> DataFrame:
+    """found has _asked and _stems, what each row's question asks for."""
     words = lambda xs: F.array(*[F.lit(x) for x in xs]) if xs else F.array().cast("array<string>")
-    asked, stem_list = words(q["a"]), words(q["s"])
+    asked, stem_list = F.col("_asked"), F.col("_stems")
     anchors = words([c.name for c in catalog if c.anchor])
-    found = candidates.withColumn("title_concepts", text_concepts(F.col("title"), asked, catalog)).withColumn("_th", stem_hits(F.col("title"), stem_list))
+    found = found.withColumn("title_concepts", text_concepts(F.col("title"), asked, catalog)).withColumn("_th", stem_hits(F.col("title"), stem_list))
     found = found.withColumn("_ac", F.when(F.col("abstract").isNotNull(), text_concepts(F.col("abstract"), asked, catalog)).otherwise(words([]))).withColumn(
         "_ah", F.when(F.col("abstract").isNotNull(), stem_hits(F.col("abstract"), stem_list)).otherwise(words([])))
     queries = F.array_sort(F.array_distinct(F.transform("origins", lambda o: o["query"])))
@@ -143,7 +168,7 @@ def scored(candidates: DataFrame, question: str, catalog: tuple[Concept, ...] =
         + ABSTRACT_CONCEPT * F.size(F.array_except(new, anchors)) + ABSTRACT_KEYWORD * F.size(F.array_except("_ah", "_th")))
     none = F.coalesce(abstract_score, F.lit(0))
     return found.select(
-        *candidates.columns,
+        *columns,
         F.filter(asked, lambda c: F.array_contains("title_concepts", c) | F.array_contains("_ac", c)).alias("concepts"),
         F.filter(stem_list, lambda s: F.array_contains("_th", s) | F.array_contains("_ah", s)).alias("keyword_hits"),
         "title_concepts", new.alias("abstract_only_concepts"), queries.alias("query_ids"),

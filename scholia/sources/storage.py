@@ -28,6 +28,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored_by(df: DataFrame, name: str, by: str) -> DataFrame:
+    """stored(), a folder for each value of the column `by`: reads of one value open its folder alone."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.partitionBy(by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def run_directory(spark: SparkSession, root: str, stamp: str) -> str:
     """root/stamp, or root/stamp-2, -3, ... where that exists; made."""
     jvm, n = spark._jvm, 1
