@@ -51,10 +51,11 @@ def slots_of(text: str, sizes: tuple[int, ...], bits: int) -> list[np.ndarray]:
     return out
 
 
-def fit(texts: list[str], labels: list[int], sizes=(3, 4, 5, 6), bits=20, alpha=0.5, l2=0.02, steps=200, features=4096) -> Toxicity:
-    """Naive Bayes log-count ratios of presence, then a logistic regression on presence * ratio over the
-    `features` slots whose ratios lie most standard errors from 0. Without both classes in the labels the
-    score is the smoothed share of ones everywhere."""
+def fit(texts: list[str], labels: list[int], sizes=(3, 4, 5, 6), bits=20, alpha=0.5, l2=0.2, steps=300, features=4096, errors=3.0, least=64) -> Toxicity:
+    """Naive Bayes log-count ratios of presence, then a logistic regression on presence * ratio over the slots whose
+    ratios lie most standard errors from 0: at most `features` of them, those of over `errors` errors, but `least` at
+    least (what chance alone gives would drown a single telling word). Without both classes in the labels the score
+    is the smoothed share of ones everywhere."""
     y = np.array(labels, np.float64)
     if not len(y) or y.min() == y.max():
         share = float(np.clip(y.mean() if len(y) else 0.0, 0.01, 0.99))
@@ -67,9 +68,11 @@ def fit(texts: list[str], labels: list[int], sizes=(3, 4, 5, 6), bits=20, alpha=
     r = np.log((ones + alpha) / (n1 + 2 * alpha)) - np.log((zeros + alpha) / (n0 + 2 * alpha))
     z = np.abs(r) / np.sqrt(1 / (ones + alpha) + 1 / (zeros + alpha))
     z[ones + zeros < 3] = 0.0
+    best = np.argsort(-z, kind="stable")[:features]
+    far = z[best] > errors
+    far[:least] = z[best[:least]] > 0
     chosen = np.zeros(1 << bits, bool)
-    chosen[np.argsort(-z, kind="stable")[:features]] = True
-    chosen &= z > 0
+    chosen[best[far]] = True
     rows = [slots[chosen[slots]] for slots in rows]
     at, row = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(slots) for slots in rows])
     place = np.cumsum(chosen) - 1
@@ -82,8 +85,8 @@ def fit(texts: list[str], labels: list[int], sizes=(3, 4, 5, 6), bits=20, alpha=
         m_w, v_w = 0.9 * m_w + 0.1 * gw, 0.999 * v_w + 0.001 * gw * gw
         m_b, v_b = 0.9 * m_b + 0.1 * gb, 0.999 * v_b + 0.001 * gb * gb
         c1, c2 = 1 - 0.9**t, 1 - 0.999**t
-        w -= 0.02 * (m_w / c1) / (np.sqrt(v_w / c2) + 1e-10)
-        b -= 0.02 * (m_b / c1) / (np.sqrt(v_b / c2) + 1e-10)
+        w -= 0.05 * (m_w / c1) / (np.sqrt(v_w / c2) + 1e-10)
+        b -= 0.05 * (m_b / c1) / (np.sqrt(v_b / c2) + 1e-10)
     weights = np.zeros(1 << bits, np.float32)
     weights[chosen] = w * r[chosen]
     return Toxicity(weights, float(b), tuple(sizes), bits)

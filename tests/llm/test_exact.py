@@ -273,13 +273,13 @@ def test_order_minhash_against_plain_python_and_edits(spark):
 
 
 def test_toxicity_on_held_out_rows(spark):
-    bad = ["scumbag", "idiotic", "vileness"]
+    bad, rnd = ["scumbag", "idiotic", "vileness"], random.Random(21)
     docs, labels = [], []
     for i in range(600):
-        w = prose(30).split()
+        w = prose(30, rnd).split()
         toxic = i % 4 == 0
         if toxic:
-            w[R.randrange(len(w))] = R.choice(bad)
+            w[rnd.randrange(len(w))] = rnd.choice(bad)
         docs.append((i, " ".join(w)))
         labels.append((i, int(toxic)))
     d, y = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
@@ -292,6 +292,19 @@ def test_toxicity_on_held_out_rows(spark):
     assert np.array_equal(toxicity.train(d, flipped).weights, model.weights)  # held-out labels are never seen
 
 
+def test_toxicity_finds_a_lone_word_in_any_draw(spark):
+    """Held-out texts with one telling word among thirty of chance: all are found, none else, whatever the draw."""
+    for seed in range(3):
+        rnd = random.Random(seed)
+        words = ["".join(rnd.choice("abcdefghij") for _ in range(rnd.randrange(2, 8))) for _ in range(400)]
+        texts = [[rnd.choice(words) for _ in range(30)] for _ in range(600)]
+        for w in texts[::4]:
+            w[rnd.randrange(30)] = rnd.choice(["scumbag", "idiotic", "vileness"])
+        texts, y = [" ".join(w) for w in texts], [int(i % 4 == 0) for i in range(600)]
+        model = toxicity.fit(texts[:400], y[:400])
+        assert [int(model.score(t) >= 0.7) for t in texts[400:]] == y[400:]
+
+
 def test_substrings_against_brute_force(spark):
     sentences = [prose(R.randrange(3, 30)).capitalize() + R.choice([".", "!", "?"]) for _ in range(80)]
     passages = [" ".join(R.sample(sentences, 5)) for _ in range(6)]
@@ -464,11 +477,12 @@ def test_digest_is_plain_sha(spark):
 
 
 def test_toxicity_passes_over_texts_that_do_not_fit(spark):
-    docs = [(i, prose(30) + (" scumbag vileness" if i % 3 == 0 else "")) for i in range(90)] + [(1000 + i, "x " * 6000) for i in range(6)]
+    rnd = random.Random(22)
+    docs = [(i, prose(30, rnd) + (" scumbag vileness" if i % 3 == 0 else "")) for i in range(90)] + [(1000 + i, "x " * 6000) for i in range(6)]
     labels = [(i, int(i % 3 == 0)) for i, _ in docs]
     d, y = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
     model = toxicity.train(d, y, sample_chars=11_000)
-    assert model.score("scumbag vileness") > 0.5 > model.score(prose(30))
+    assert model.score("scumbag vileness") > 0.5 > model.score(prose(30, rnd))
     with pytest.raises(ValueError):
         toxicity.train(d.filter("doc_id >= 1000"), y, sample_chars=11_000)
 
