@@ -57,7 +57,7 @@ def run(answers: DataFrame, key: str, judge: Judge, allowed: tuple[str, ...], co
 
     judge(raw, a VARIANT) -> an array of (code, detail), empty where the item passes; an item from max_items on is
     rejected unjudged. codes: those that are counted. A null answer is a failed one; an empty list has no items."""
-    judged = answers.select("run_id", F.coalesce("repaired", F.lit(False)).alias("repaired"), F.coalesce(envelope(F.col("answer"), key)["problem"], F.when(F.col("answer").isNull(), F.lit("no_answer"))).alias("problem"),
+    judged = answers.select("run_id", F.coalesce("repaired", F.lit(False)).alias("repaired"), F.when(F.col("answer").isNull(), F.lit("no_answer")).otherwise(envelope(F.col("answer"), key)["problem"]).alias("problem"),
                             F.try_variant_get(parsed(unfenced(F.col("answer"))), f"$.{key}", "array<variant>").alias("items"))
     items = judged.select("run_id", "repaired", "problem", F.posexplode_outer(F.when(F.col("problem").isNull(), F.col("items"))).alias("item_index", "raw"))
     over = F.array(F.struct(F.lit("exceeds_item_limit").alias("code"), F.lit(f"more than {max_items} items").alias("detail"))).cast(_REASONS)

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from scholia.functions import schemas
 from scholia.functions.text import key_form
 from scholia.functions.variants import key_paths, text_of
-from scholia.operators import list_stage, reviews, scoring, search
+from scholia.operators import list_stage, progress, reviews, scoring, search
 from scholia.operators.evidence import BIBLIOGRAPHIC_KEYS, CATEGORIES
 from scholia.plans.registry import query
 from scholia.plans.views import relation
@@ -257,3 +259,51 @@ def rev_stress(spark, d):
 def rev_first_revisions(spark, d):
     runs = relation(spark, d, "SELECT c_custkey AS run_id, i AS item_index, concat('hyp_0', CAST((c_custkey + i) % 4 AS STRING)) AS hypothesis_id FROM customer CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5)) AS v(i)")
     return reviews.first_revisions(runs, _reviewed(spark, d)[0])
+
+
+# ---- progress ----------------------------------------------------------------------------------
+
+_CALLS = """SELECT conv_id AS run_id, turn AS seq, CASE (conv_id + turn) % 8 WHEN 0 THEN 'question' WHEN 1 THEN 'extraction' WHEN 2 THEN 'extraction' WHEN 3 THEN 'gaps' WHEN 4 THEN 'hypotheses' WHEN 5 THEN 'hypothesis_critic' WHEN 6 THEN 'report' ELSE 'other' END AS call FROM conversations"""
+_EVENTS = f"""SELECT run_id, seq, n, stage, state FROM (SELECT run_id, seq, before, stage AS s FROM (SELECT *, lag(stage) OVER (PARTITION BY run_id ORDER BY seq) AS before FROM (SELECT run_id, seq, CASE call WHEN 'question' THEN 'define' WHEN 'extraction' THEN 'extract'
+  WHEN 'hypothesis_critic' THEN 'hypotheses' ELSE call END AS stage FROM ({_CALLS}) WHERE call <> 'other')) WHERE before IS NULL OR before <> stage), LATERAL (SELECT before AS stage, 'done' AS state, 0 AS n WHERE before IS NOT NULL UNION ALL
+  SELECT 'check', 'done', 1 WHERE before = 'extract' UNION ALL SELECT s, 'running', (before IS NOT NULL)::INT + (coalesce(before, '') = 'extract')::INT)"""
+
+
+@query(f"SELECT run_id, seq, n, stage, state FROM ({_EVENTS})")
+def ctl_progress_events(spark, d):
+    return progress.call_events(relation(spark, d, _CALLS))
+
+
+@query(f"""SELECT run_id, stage, CASE WHEN state IS NULL THEN 'skipped' WHEN state = 'running' THEN 'done' ELSE state END AS state FROM (SELECT run_id, unnest(['define', 'search', 'verify', 'extract', 'check', 'gaps', 'hypotheses', 'report']) AS stage FROM (SELECT DISTINCT conv_id AS run_id FROM conversations))
+  LEFT JOIN (SELECT run_id, stage, arg_max(state, seq * 10 + n) AS state FROM ({_EVENTS}) GROUP BY ALL) USING (run_id, stage)""")
+def ctl_progress_final(spark, d):
+    calls = relation(spark, d, _CALLS)
+    return progress.final_states(progress.call_events(calls), calls.select("run_id").distinct())
+
+
+_MOVES = "SELECT conv_id AS run_id, turn AS seq, 0 AS n, CASE conv_id % 3 WHEN 0 THEN 'define' WHEN 1 THEN 'gaps' ELSE 'odd' END AS stage, CASE (conv_id * 3 + turn * 5) % 7 WHEN 0 THEN 'done' WHEN 1 THEN 'skipped' WHEN 2 THEN 'failed' WHEN 3 THEN 'pending' ELSE 'running' END AS state FROM conversations"
+
+
+@query(f"""SELECT run_id, seq, stage, state, before, stage <> 'odd' AND CASE before WHEN 'pending' THEN state IN ('running', 'done', 'skipped', 'failed') WHEN 'running' THEN state IN ('running', 'done', 'failed') WHEN 'done' THEN state IN ('running', 'done') ELSE state = before END AS legal
+  FROM (SELECT *, coalesce(lag(state) OVER (PARTITION BY run_id, stage ORDER BY seq), 'pending') AS before FROM ({_MOVES}))""")
+def ctl_progress_judged(spark, d):
+    return progress.judged(relation(spark, d, _MOVES)).drop("n")
+
+
+# ---- schemas -----------------------------------------------------------------------------------
+
+_SCHEMA = T.StructType([
+    T.StructField("section", T.StringType(), False, {"choices": ["key_findings", "limitations"]}), T.StructField("text", T.StringType(), False), T.StructField("note", T.StringType(), True),
+    T.StructField("ids", T.ArrayType(T.StringType(), False), False, {"most": 2}), T.StructField("score", T.StructType([T.StructField("n", T.LongType(), False), T.StructField("ok", T.BooleanType(), False)]), False)])
+_SHAPES = """SELECT p_partkey, CASE p_partkey % 8 WHEN 1 THEN concat('```json', chr(10), '{"section":"odd","text":"', p_name, '","ids":["a",3],"score":{"n":1.5,"ok":"yes"},"more":1}', chr(10), '```') WHEN 2 THEN '{"text":null,"note":7,"ids":"x","score":[]}'
+  WHEN 3 THEN '[1]' WHEN 4 THEN 'no json' WHEN 5 THEN concat('{"section":"limitations","text":"', p_name, '","note":"n","ids":["a","b","c"],"score":{"n":2,"ok":true}}')
+  ELSE concat('{"section":"limitations","text":"', p_name, '","note":null,"ids":["a"],"score":{"n":', CAST(p_partkey AS STRING), ',"ok":true}}') END AS answer FROM part"""
+
+
+@query(f"""SELECT p_partkey, CASE p_partkey % 8 WHEN 4 THEN 'invalid_output_json' WHEN 1 THEN 'schema_violation' WHEN 2 THEN 'schema_violation' WHEN 3 THEN 'schema_violation' WHEN 5 THEN 'schema_violation' END AS problem, CASE p_partkey % 8
+  WHEN 1 THEN 'section: Input should be ''key_findings'' or ''limitations''; note: Field required; ids.1: Input should be a valid string; score.n: Input should be a valid integer; score.ok: Input should be a valid boolean; ... and 1 more'
+  WHEN 2 THEN 'section: Field required; text: Input should be a valid string; note: Input should be a valid string; ids: Input should be a valid list; score: Input should be a valid dictionary'
+  WHEN 3 THEN '<root>: Input should be a valid dictionary' WHEN 5 THEN 'ids: List should have at most 2 items after validation, not 3' END AS summary, CASE WHEN p_partkey % 8 IN (0, 6, 7) THEN p_partkey END AS n FROM ({_SHAPES})""")
+def jsn_schema(spark, d):
+    v = relation(spark, d, _SHAPES).select("p_partkey", schemas.validated(F.col("answer"), _SCHEMA, 5).alias("v"))
+    return v.select("p_partkey", "v.problem", "v.summary", F.col("v.value.score.n").alias("n"))
