@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scholia.functions import variants
+from scholia.operators import audit
 from scholia.operators.evidence import BIBLIOGRAPHIC_KEYS
 from scholia.plans.registry import query
 from scholia.plans.views import relation
@@ -46,3 +47,35 @@ def red_answer_structure(spark, d):
     s = variants.structure(F.when(F.col("p_partkey") % 7 == 5, F.lit('["x"]')).otherwise(F.col("payload")))
     out = relation(spark, d, _DEEP).select("p_partkey", s.alias("s"))
     return out.select("p_partkey", "s.parse_status", "s.json_type", F.when(F.col("s.top_level_keys").isNotNull(), F.array_join("s.top_level_keys", ",")).alias("top_level_keys"), F.col("s.item_count").cast("long").alias("item_count"))
+
+
+# ---- stored calls ------------------------------------------------------------------------------
+
+# a run for each conversation, an entry for each turn: its whole text is the answer, two turns of three are redacted
+_ENTRIES = """SELECT conv_id AS run_id, CAST(turn AS INT) AS entry, 'extraction' AS stage, CASE WHEN turn % 4 = 3 THEN NULL WHEN turn % 4 = 2 THEN concat('{"items":[1,2],"A b":0,"k', CAST(conv_id AS STRING), '":"x"}') ELSE text END AS response_text FROM conversations"""
+
+
+def _entries(spark, d):
+    e = relation(spark, d, _ENTRIES).withColumn("response_sha256", F.sha2("response_text", 256))
+    message = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))
+    e = e.withColumn("messages", F.array(message("user", F.lit("go on")), message("assistant", F.concat(F.lit("said "), F.col("run_id").cast("string")))))
+    final = F.max(F.when(F.col("entry") == 0, F.col("response_sha256")))
+    plans = e.groupBy("run_id").agg(F.array_sort(F.collect_list(F.when(F.col("entry") % 3 < 2, F.col("entry")))).alias("entries"), final.alias("final_sha256"))
+    return e, plans.select("run_id", "entries", F.lit("rec_1").alias("record_id"), "final_sha256", F.array(F.struct(F.lit(0).alias("item_index"), F.lit("accepted").alias("status"))).alias("items"))
+
+
+@query(f"""SELECT run_id, entry, redacted AS model_output_redacted, CASE WHEN NOT redacted OR response_text IS NULL THEN response_text
+  WHEN entry = 0 THEN '{{"call_record_id":"rec_1","items":[{{"item_index":0,"status":"accepted"}}],"parse_status":"validated_envelope","redaction_mode":"safe_diagnostics","response_length":' || length(response_text) || ',"response_sha256":"' || sha256(response_text) || '"}}'
+  WHEN entry % 4 = 2 THEN '{{"call_record_id":"rec_1","item_count":2,"note":"response failed validation; content not stored","parse_status":"object","redaction_mode":"safe_diagnostics","response_length":' || length(response_text) || ',"response_sha256":"' || sha256(response_text) || '","top_level_keys":["a_b","items","k' || run_id || '"]}}'
+  ELSE '{{"call_record_id":"rec_1","note":"response failed validation; content not stored","parse_status":"invalid_json","redaction_mode":"safe_diagnostics","response_length":' || length(response_text) || ',"response_sha256":"' || sha256(response_text) || '"}}' END AS response_text,
+  CASE WHEN redacted THEN '{{"echoed_model_output":"[redacted]","length":' || length('said ' || run_id) || ',"redaction_mode":"safe_diagnostics","sha256":"' || sha256('said ' || run_id) || '"}}' ELSE 'said ' || run_id END AS echo
+  FROM (SELECT *, entry % 3 < 2 AS redacted FROM ({_ENTRIES}))""")
+def red_audit_entries(spark, d):
+    kept = audit.redacted(*_entries(spark, d))[0]
+    return kept.select("run_id", "entry", "model_output_redacted", "response_text", F.get("messages", F.lit(1))["content"].alias("echo"))
+
+
+@query(f"SELECT run_id, entry, response_text, 'said ' || run_id AS said FROM ({_ENTRIES}) WHERE entry % 3 < 2")
+def red_audit_originals(spark, d):
+    taken = audit.redacted(*_entries(spark, d))[1]
+    return taken.select("run_id", "entry", "response_text", F.array_join("assistant_messages", "|").alias("said"))
