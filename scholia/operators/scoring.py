@@ -49,6 +49,8 @@ ANCHOR, CONCEPT, KEYWORD, ORIGINAL = 15, 10, 3, 2
 ABSTRACT_ANCHOR, ABSTRACT_CONCEPT, ABSTRACT_KEYWORD = 7, 5, 1
 QUERY_BONUS, NOVELTY, REDUNDANCY, NEAR_DUPLICATE, NEAR = 3, 12, 15, 20, 0.75
 NO_RANK, FOCUSED = 10**6, 6
+#: Candidates of a question: a thousand hits of each of seven queries in two databases.
+POOL = 14_000
 
 
 def _every(c: Column, patterns: tuple[str, ...]) -> Column:
@@ -212,14 +214,17 @@ def greedy_order(rows: list[dict]) -> list[dict]:
     return ranked
 
 
-def ranked(scores: DataFrame, key: str, title_tokens: Column) -> DataFrame:
+def ranked(scores: DataFrame, key: str, title_tokens: Column, most: int = POOL) -> DataFrame:
     """(key, rank, record_id, selection_score, new_concepts, near_duplicate_of, same_profile): greedy per key.
 
-    Each question's candidate pool is bounded by the retrieval limits; questions run in parallel."""
+    Questions run in parallel. A question's pool is what its searches may return, `most` at most; a larger one is an
+    error, for the order of its candidates is found one by one."""
     anchors = F.array(*[F.lit(c.name) for c in CONCEPTS if c.anchor])
     slim = scores.select(F.col(key).alias("k"), "record_id", F.array_except("concepts", anchors).alias("facets"), title_tokens.alias("tokens"), "base_score", "best_rank")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        if len(pdf) > most:
+            raise ValueError(f"a question has {len(pdf)} candidates, at most {most} are ranked")
         rows = [{"record_id": r.record_id, "facets": set(r.facets), "tokens": set() if r.tokens is None else set(r.tokens), "base_score": int(r.base_score),
                  "best_rank": None if pd.isna(r.best_rank) else int(r.best_rank)} for r in pdf.itertuples()]
         out = greedy_order(rows)

