@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 from scholia.llm.common import U64, Vocabulary, components, discard, in_arrow, keyed_texts, mix, shingles, signed, stored, word_hashes
 
 K_WORDS, THRESHOLD, BANDS, ROWS, ROUNDS = 5, 0.8, 20, 4, 1
-#: Members of a block: the rest of a bucket is compared by pairs of blocks, so no task holds more than two.
-BLOCK = 128
+#: Members and code points of a block on average: the rest of a bucket is compared by pairs of blocks, so no task holds
+#: more than two, and each text is copied once for each block of its bucket.
+BLOCK, BLOCK_CHARS = 256, 1_000_000
 _C1, _C2, _C3 = U64(0xD6E8FEB86659FD93), U64(0xA0761D6478BD642F), U64(0xE7037ED1A0B428DB)
 
 
@@ -206,7 +207,9 @@ def _verified_within(members: DataFrame, texts: DataFrame, k_words: int, thresho
         found = [] if not one or not other else similar_among(sets, one, None if i == j else other, threshold, skip)
         return pa.table({"a": pa.array([rep[x] for x, _, _ in found], pa.int64()), "b": pa.array([rep[y] for _, y, _ in found], pa.int64()), "similarity": pa.array([s for _, _, s in found], pa.float64())})
 
-    blocks = members.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    sizes = texts.select(F.col("doc_id").alias("rep"), F.length("text").cast("long").alias("size"))
+    whole = F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("size") / BLOCK_CHARS)
+    blocks = members.join(sizes, "rep").groupBy("bucket").agg(F.greatest(F.ceil(whole), F.lit(1).cast("long")).alias("blocks"))
     held = members.groupBy("rep").agg(F.collect_set("bucket").alias("held"))
     block = F.pmod(F.xxhash64("rep"), "blocks").alias("block")
     dealt = members.join(blocks, "bucket").select("bucket", "rep", "root", block, F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("o"))
