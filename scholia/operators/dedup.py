@@ -2,23 +2,35 @@
 
 Two records match on equal DOIs, or - unless both have DOIs - on equal PMIDs, or - unless both have either - on
 equal title, year and first author. A record merges into the first earlier one that it matches in its merged
-state, so this is no transitive closure. Matching records share a DOI, a PMID or a title with some constituent;
-components over these keys are found by distributed label propagation, and each component is folded in order.
+state, so this is no transitive closure. An investigation's records are folded in order, investigation by
+investigation: what one may retrieve is bounded. Without investigations, matching records share a DOI, a PMID or a
+title with some constituent; components over these keys are found by distributed label propagation, and each
+component is folded in order.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scholia.functions.identity import surname_of, title_of
+from scholia.functions.identity import surname_of
+from scholia.functions.identity import title_of as normalised_title
 
+#: Records of an investigation: a thousand hits of each of seven queries in two databases.
+POOL = 14_000
 FIELDS = ("title", "year", "doi", "pmid", "journal")
 RECORD = "ordinal long, record_id string, source_database string, title string, year int, doi string, pmid string, journal string, authors array<string>"
 MERGED = RECORD + ", provenance array<struct<ordinal:long,record_id:string,matched_on:string>>, conflicts array<string>"
 
 
+@lru_cache(maxsize=100_000)
+def title_of(title: str | None) -> str | None:
+    return normalised_title(title)
+
+
 def match_rule(a: dict, b: dict) -> str | None:
     """The rule by which two records are one, or None."""
     for rule in ("doi", "pmid"):
@@ -86,11 +98,14 @@ def block_components(records: DataFrame, title_key: F.Column) -> DataFrame:
     return records.join(roots, "ordinal", "left").withColumn("root", F.coalesce("root", "ordinal"))
 
 
-def deduplicated(records: DataFrame, title_key: F.Column) -> DataFrame:
+def deduplicated(records: DataFrame, title_key: F.Column, per: str | None = None, most: int = POOL) -> DataFrame:
     """Merged records (MERGED), each under the ordinal of its first constituent.
 
-    records: RECORD with identifiers and titles as retrieved; ordinal tells the order. Components of one
-    record - nearly all - never leave the JVM."""
+    records: RECORD with identifiers and titles as retrieved; ordinal tells the order. per: the column that tells
+    investigations apart; records of different ones never meet, and one of over `most` records is an error. Without
+    it all records may meet; components of one record never leave the JVM."""
+    if per:
+        return _of_investigations(records, per, most)
     held = block_components(records.select(*[c.split()[0] for c in RECORD.split(", ")]), title_key)
     sizes = held.groupBy("root").agg(F.count(F.lit(1)).alias("_n"))
     held = held.join(sizes, "root")
@@ -100,15 +115,25 @@ def deduplicated(records: DataFrame, title_key: F.Column) -> DataFrame:
         F.array().cast("array<string>").alias("conflicts"),
     )
 
+    shared = held.filter("_n > 1").drop("_n").groupBy("root").applyInPandas(_folded, MERGED)
+    return alone.unionByName(shared)
+
+
+def _folded(pdf: pd.DataFrame) -> pd.DataFrame:
+    rows = pdf.sort_values("ordinal").drop(columns=["root"]).astype(object).where(lambda d: d.notna(), None).to_dict("records")
+    for r in rows:
+        r["authors"] = [] if r["authors"] is None else list(r["authors"])
+        r["year"] = None if r["year"] is None else int(r["year"])
+    return pd.DataFrame(fold(rows), columns=[c.split()[0] for c in MERGED.replace("array<struct<ordinal:long,record_id:string,matched_on:string>>", "array").split(", ")])
+
+
+def _of_investigations(records: DataFrame, per: str, most: int) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values("ordinal").drop(columns=["root"]).astype(object).where(lambda d: d.notna(), None).to_dict("records")
-        for r in rows:
-            r["authors"] = [] if r["authors"] is None else list(r["authors"])
-            r["year"] = None if r["year"] is None else int(r["year"])
-        return pd.DataFrame(fold(rows), columns=[c.split()[0] for c in MERGED.replace("array<struct<ordinal:long,record_id:string,matched_on:string>>", "array").split(", ")])
+        if len(pdf) > most:
+            raise ValueError(f"an investigation has {len(pdf)} records, at most {most} are deduplicated at once")
+        return _folded(pdf)
 
-    shared = held.filter("_n > 1").drop("_n").groupBy("root").applyInPandas(run, MERGED)
-    return alone.unionByName(shared)
+    return records.select(F.col(per).alias("root"), *[c.split()[0] for c in RECORD.split(", ")]).groupBy("root").applyInPandas(run, MERGED)
 
 
 def merge_log(merged: DataFrame) -> DataFrame:
