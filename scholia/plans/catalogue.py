@@ -167,9 +167,14 @@ def red_params(spark, d):
     return relation(spark, d, "pages").select("page_id", text.redacted_url(u).alias("url"))
 
 
-@query()
+# every document with a secret of one of six kinds behind it; what the rules say of the texts' own secrets SQL repeats for the two rules that it can express
+_SECRETS = """SELECT doc_id, text, CASE doc_id % 6 WHEN 0 THEN ' Bearer abcdefgh1' WHEN 1 THEN ' authorization: Basic dXNlcjpwYXNz' WHEN 2 THEN ' x-api-key = k-123' WHEN 3 THEN ' xai-0123456789abcdef_x' WHEN 4 THEN ' see bearer bonds, token=a&b' ELSE ' Authorization: zzz' END AS more FROM documents"""
+
+
+@query(r"""SELECT doc_id, regexp_replace(regexp_replace(text, '(?i)\b(""" + "|".join(text.SENSITIVE_IN_TEXT) + r""")=[^&\s"'']+', '\1=[REDACTED]', 'g'), '\bxai-[A-Za-z0-9_\-]{16,}', '[REDACTED]', 'g') || CASE doc_id % 6 WHEN 0 THEN ' Bearer [REDACTED]' WHEN 1 THEN ' authorization: Basic [REDACTED]' WHEN 2 THEN ' x-api-key = [REDACTED]'
+  WHEN 3 THEN ' [REDACTED]' WHEN 4 THEN ' see bearer bonds, token=[REDACTED]&b' ELSE ' Authorization: [REDACTED]' END AS text FROM documents""")
 def red_secrets(spark, d):
-    return relation(spark, d, "documents").select("doc_id", text.redacted_secrets(F.col("text")).alias("text"))
+    return relation(spark, d, _SECRETS).select("doc_id", text.redacted_secrets(F.concat("text", "more")).alias("text"))
 
 
 @query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN record_id END AS value, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE sha256('x' || record_id) END AS sha256,
@@ -1264,16 +1269,16 @@ def jn_reference_text(spark, d):
     return synthesis.reference_text(gaps, relation(spark, d, "v_evidence"), "gap_id", "refs")
 
 
-_KNOWN = "SELECT DISTINCT CAST(floor(ordinal / 50) AS BIGINT) AS report_id, concat('r', CAST((ordinal * 17) % 29 AS STRING)) AS record_id, (ordinal * 17) % 29 AS ordinal FROM v_record"
+_KNOWN_RECORDS = "SELECT DISTINCT CAST(floor(ordinal / 50) AS BIGINT) AS report_id, concat('r', CAST((ordinal * 17) % 29 AS STRING)) AS record_id, (ordinal * 17) % 29 AS ordinal FROM v_record"
 
 
-@query(f"""WITH uses AS ({_USES}), known AS ({_KNOWN}), first AS (SELECT report_id, record_id, min(position) AS spot FROM uses GROUP BY ALL),
+@query(f"""WITH uses AS ({_USES}), known AS ({_KNOWN_RECORDS}), first AS (SELECT report_id, record_id, min(position) AS spot FROM uses GROUP BY ALL),
 marked AS (SELECT f.*, f.record_id IN (SELECT record_id FROM known) AS ok FROM first f)
 SELECT report_id, CASE WHEN ok THEN 'S' || row_number() OVER (PARTITION BY report_id, ok ORDER BY spot, record_id) END AS ref, record_id, true AS cited, ok AS resolved FROM marked
 UNION ALL SELECT report_id, 'R' || row_number() OVER (PARTITION BY report_id ORDER BY ordinal, record_id), record_id, false, true FROM known k
   WHERE NOT EXISTS (SELECT 1 FROM first f WHERE f.report_id = k.report_id AND f.record_id = k.record_id)""")
 def rep_listed_sources(spark, d):
-    known = relation(spark, d, _KNOWN)
+    known = relation(spark, d, _KNOWN_RECORDS)
     return report.listed_sources(report.numbered_citations(relation(spark, d, _USES), known), known)
 
 

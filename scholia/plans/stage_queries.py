@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from scholia.functions import schemas
 from scholia.functions.text import key_form
 from scholia.functions.variants import key_paths, text_of
-from scholia.operators import list_stage, progress, reviews, scoring, search
+from scholia.operators import list_stage, progress, reviews, scoring, search, synthesis
 from scholia.operators.evidence import BIBLIOGRAPHIC_KEYS, CATEGORIES
 from scholia.plans.registry import query
 from scholia.plans.views import relation
@@ -307,3 +307,28 @@ _SHAPES = """SELECT p_partkey, CASE p_partkey % 8 WHEN 1 THEN concat('```json',
 def jsn_schema(spark, d):
     v = relation(spark, d, _SHAPES).select("p_partkey", schemas.validated(F.col("answer"), _SCHEMA, 5).alias("v"))
     return v.select("p_partkey", "v.problem", "v.summary", F.col("v.value.score.n").alias("n"))
+
+
+# ---- hypotheses with all their texts -----------------------------------------------------------
+
+# a hypothesis for each document, which cites the evidence of its document; seven of eight have one flaw
+_FLAWS = """SELECT doc_id, concat('ev_', lpad(CAST(doc_id % 10000 AS STRING), 4, '0')) AS evidence_id, concat('Platelets were seen to rise. ', text) AS quote, CAST(doc_id % 8 AS INT) AS flaw FROM documents WHERE text IS NOT NULL"""
+
+
+@query(f"""SELECT doc_id, CASE flaw WHEN 6 THEN 'identifier_in_text' ELSE '' END AS hard, CASE flaw WHEN 1 THEN 'untraceable_quote' WHEN 2 THEN 'unsupported_claim' WHEN 3 THEN 'unsupported_claim|procedural_protocol_detail' WHEN 4 THEN 'empty_text' WHEN 5 THEN 'self_labeled_discovery' ELSE '' END AS soft FROM ({_FLAWS})""")
+def hyp_whole_flags(spark, d):
+    c, lit = F.col, F.lit
+    f = relation(spark, d, _FLAWS)
+    flaw = lambda n, text, plain: F.when(c("flaw") == n, lit(text)).otherwise(lit(plain))
+    evidence = f.select("doc_id", "evidence_id", lit("Counts rose by 12 mg").alias("claim"), lit(None).cast("string").alias("finding"), "quote", lit(None).cast("string").alias("source_text"))
+    texts = {"hypothesis": lit("Shear may matter for adhesion"), "rationale": F.when(c("flaw") == 7, lit('As said: "Platelets were seen"')).otherwise(flaw(1, 'As said: "never written in any text"', "It was seen once")),
+             "prediction": F.when(c("flaw") == 3, lit("Counts rise by 12 mL in all")).otherwise(flaw(2, "Counts rise by 987654321 mg", "Counts rise by 12 mg")), "alternative": lit("Another cause"), "weakening": lit("No difference"),
+             "supporting": lit("A clear rise"), "compared": lit("Two groups"), "measured": lit("Adhesion of cells")}
+    h = f.select("doc_id", *[x.alias(k) for k, x in texts.items()], F.array(F.when(c("flaw") == 4, lit(" ")).when(c("flaw") == 5, lit("this is a breakthrough")).when(c("flaw") == 6, lit("see 10.1234/x.1 there")).otherwise(lit("flow is steady"))).alias("assumptions"),
+                 F.array(lit("few items")).alias("limitations"), F.array("evidence_id").alias("evidence_ids"), F.array().cast("array<string>").alias("alternative_ids"))
+    h = synthesis.with_references(h, evidence, list(texts), ["assumptions", "limitations"], key="doc_id", per=())
+    none = F.array().cast("array<string>")
+    cols = {k: c(k) for k in (*texts, "assumptions", "limitations", "evidence_ids", "alternative_ids", "quote_refs", "number_problems")}
+    cols |= {"basis": lit("inference"), "level": lit("observation"), "confidence": lit("low"), "gap_id": lit("gap_01"), "gaps": F.array(lit("gap_01")), "sources": none, "evidence": c("evidence_ids"), "supported_level": lit("observation")}
+    hard, soft = synthesis.hypothesis_flags(cols)
+    return h.select("doc_id", F.array_join(F.array_distinct(hard), "|").alias("hard"), F.array_join(soft, "|").alias("soft"))
