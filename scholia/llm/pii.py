@@ -65,6 +65,15 @@ class Feistel:
         return x
 
 
+#: The country codes of two digits; 1 and 7 have one digit, all others three.
+TWO_DIGITS = "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
+
+
+def country_code(digits: str) -> str:
+    """The country code that an international number begins with; no code is the start of another."""
+    return digits[: 1 if digits[0] in "17" else 2 if digits[:2] in TWO_DIGITS else 3]
+
+
 def luhn_digit(payload: str) -> str:
     total = 0
     for i, c in enumerate(reversed(payload)):
@@ -136,9 +145,10 @@ def pseudonym(kind: str, value: str, key: bytes, back: bool = False) -> str | No
             return None
         if not 0 <= day < _DAYS:
             return None
-        # a date that reads as month/day stays one that can only be read so, and the other way round
-        clear = lambda x: (dt.date.fromordinal(x + _FIRST).day > 12) if american else True
-        new = dt.date.fromordinal(Feistel(key, "date-us" if american else "date", _DAYS).walk(day, clear, back) + _FIRST)
+        # one permutation for every way of writing: days after the twelfth, which alone can be read as month/day, stay such
+        late = d > 12
+        clear = lambda x: (dt.date.fromordinal(x + _FIRST).day > 12) == late
+        new = dt.date.fromordinal(Feistel(key, "date", _DAYS).walk(day, clear, back) + _FIRST)
         if iso:
             return new.isoformat()
         sep = value[1] if not value[1].isdigit() else value[2]
@@ -157,13 +167,11 @@ def pseudonym(kind: str, value: str, key: bytes, back: bool = False) -> str | No
             return None
         return _refill(value, f"{Feistel(key, 'ssn', 10**9).walk(int(digits), ok, back):09d}")
     if kind == "phone":
-        code = re.match(r"\+\d{1,3}(?=[ .(-])", value)  # the country code stays if it is set off
-        head = code[0] if code else "+" if value[0] == "+" else ""
-        rest = digits[len(head) - head.startswith("+") :]
+        code = country_code(digits) if value[0] == "+" else ""  # it stays, set off or not
+        rest = digits[len(code) :]
         if not 7 <= len(digits) <= 15 or len(rest) < 5:
             return None
-        new = f"{Feistel(key, f'phone{len(rest)}', 10 ** len(rest)).walk(int(rest), _yes, back):0{len(rest)}d}"
-        return head + _refill(value[len(head) :], new)
+        return _refill(value, code + f"{Feistel(key, f'phone{len(rest)}', 10 ** len(rest)).walk(int(rest), _yes, back):0{len(rest)}d}")
     local, _, domain = value.partition("@")
     x, n = _by_class(local)
     shape = re.sub("[0-9]", "0", re.sub("[a-z]", "a", re.sub("[A-Z]", "A", local)))
