@@ -370,15 +370,15 @@ def dup_doi_only(spark, d):
 _RUN = "CAST(floor(ordinal % 4001 / 20) AS BIGINT)"
 _MATCH = """CASE WHEN x.doi IS NOT NULL AND r.doi IS NOT NULL THEN x.doi = r.doi WHEN x.pmid IS NOT NULL AND r.pmid IS NOT NULL THEN x.pmid = r.pmid
   ELSE coalesce(x.title_key = r.title_key AND x.year = r.year AND x.surname = r.surname, false) END"""
-_FIELDS = ("title", "year", "doi", "pmid", "journal", "author", "surname", "jkey")
+_MERGED_FIELDS = ("title", "year", "doi", "pmid", "journal", "author", "surname", "jkey")
 _DIFFER = lambda a, key="": f"CAST(coalesce(x.{a} <> r.{a}{f' AND x.{key} IS DISTINCT FROM r.{key}' if key else ''}, false) AS INT)"
 _STATE = "STRUCT(ordinal BIGINT, record_id VARCHAR, title VARCHAR, year BIGINT, doi VARCHAR, pmid VARCHAR, journal VARCHAR, author VARCHAR, surname VARCHAR, jkey VARCHAR, title_key VARCHAR, constituents BIGINT[], conflicts BIGINT)[]"
 
 
 @query(f"""WITH RECURSIVE s AS (SELECT *, {_RUN} AS run, {_RECORD_ID} AS record_id, nullif(trim(regexp_replace(lower(journal), '[^a-z0-9]+', ' ', 'g')), '') AS jkey, row_number() OVER (PARTITION BY {_RUN} ORDER BY ordinal) AS n FROM ({_IDS})),
 f AS (SELECT DISTINCT run, CAST(0 AS BIGINT) AS n, CAST([] AS {_STATE}) AS m FROM s
-  UNION ALL SELECT run, n, CASE WHEN hit IS NULL THEN list_append(m, {{'ordinal': r.ordinal, 'record_id': r.record_id, {', '.join(f"'{c}': r.{c}" for c in _FIELDS)}, 'title_key': r.title_key, 'constituents': [r.ordinal], 'conflicts': 0}})
-    ELSE list_transform(m, lambda x, i: CASE WHEN i = hit THEN {{'ordinal': x.ordinal, 'record_id': x.record_id, {', '.join(f"'{c}': coalesce(x.{c}, r.{c})" for c in _FIELDS)}, 'title_key': CASE WHEN x.title IS NULL THEN r.title_key ELSE x.title_key END,
+  UNION ALL SELECT run, n, CASE WHEN hit IS NULL THEN list_append(m, {{'ordinal': r.ordinal, 'record_id': r.record_id, {', '.join(f"'{c}': r.{c}" for c in _MERGED_FIELDS)}, 'title_key': r.title_key, 'constituents': [r.ordinal], 'conflicts': 0}})
+    ELSE list_transform(m, lambda x, i: CASE WHEN i = hit THEN {{'ordinal': x.ordinal, 'record_id': x.record_id, {', '.join(f"'{c}': coalesce(x.{c}, r.{c})" for c in _MERGED_FIELDS)}, 'title_key': CASE WHEN x.title IS NULL THEN r.title_key ELSE x.title_key END,
       'constituents': list_append(x.constituents, r.ordinal), 'conflicts': x.conflicts + {_DIFFER('title', 'title_key')} + {_DIFFER('year')} + {_DIFFER('doi')} + {_DIFFER('pmid')} + {_DIFFER('journal', 'jkey')} + {_DIFFER('surname')}}} ELSE x END) END
   FROM (SELECT f.run, r.n, f.m, r, nullif(list_position(list_transform(f.m, lambda x: {_MATCH}), true), 0) AS hit FROM f JOIN s AS r ON r.run = f.run AND r.n = f.n + 1))
 SELECT u.ordinal, u.record_id, u.title, u.year, u.doi, u.pmid, u.journal, array_to_string(u.constituents, ',') AS constituents, u.conflicts AS n_conflicts FROM (SELECT unnest(arg_max(m, n)) AS u FROM f GROUP BY run)""")
