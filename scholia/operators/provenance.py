@@ -88,6 +88,85 @@ def references(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("graph_id").agg(*[ids(k).alias(name) for k, name in names.items()])
 
 
+# ---- display -----------------------------------------------------------------------------------
+
+# How nodes and edges are drawn.
+NODE_STYLE = {
+    "source": 'shape=note, style=filled, fillcolor="#E8F0FE"', "evidence": 'shape=box, style="rounded,filled", fillcolor="#E6F4EA"', "gap": 'shape=hexagon, style=filled, fillcolor="#FEF7E0"',
+    "hypothesis": 'shape=ellipse, style=filled, fillcolor="#F3E8FD"', "prediction": 'shape=box, style="filled,dashed", fillcolor="#FFFFFF"', "falsification_test": 'shape=box, style="filled,dotted", fillcolor="#FFFFFF"',
+}
+EDGE_STYLE = {
+    "supports": 'color="#1E8E3E", penwidth=1.5', "contradicts": 'color="#D93025", style=dashed, dir=both, penwidth=2', "motivates": 'color="#F29900"', "addresses": 'color="#9334E6", penwidth=1.5', "tests": 'color="#5F6368", style=dotted',
+}
+DOT_HEAD = """digraph evidence_graph {
+  rankdir=LR; graph [fontname="Helvetica", fontsize=10];
+  node [fontname="Helvetica", fontsize=9]; edge [fontname="Helvetica", fontsize=8];"""
+LEGEND = "\n".join([
+    '  subgraph cluster_legend { label="Legend"; fontsize=9; style=dashed;',
+    *[f'    "legend_{i}_a" [label="", shape=point, width=0.05]; "legend_{i}_b" [label="{t}", shape=plaintext];\n    "legend_{i}_a" -> "legend_{i}_b" [{style}];' for i, (t, style) in enumerate(EDGE_STYLE.items())], "  }"])
+WIDTH, MOST_LINES = 28, 3
+
+
+def _case(kind: Column, values: dict) -> Column:
+    out = F.lit(None).cast("string")
+    for k, v in values.items():
+        out = F.when(kind == k, v if isinstance(v, Column) else F.lit(v)).otherwise(out)
+    return out
+
+
+def title(kind: Column, body: Column) -> Column:
+    """What a node is called: its own words, else its id; a preprint says that it is one."""
+    at = lambda f: F.nullif(F.get_json_object(body, f"$.{f}"), F.lit(""))
+    extra = F.when(at("preprint_label").isNotNull(), F.lit(f" [{PREPRINT_LABEL}]")).otherwise(F.lit(""))
+    none = F.lit("")
+    return _case(kind, {"source": F.concat(F.coalesce(at("title"), at("record_id")), extra), "evidence": F.coalesce(at("claim"), at("evidence_id")), "gap": F.coalesce(at("gap_statement"), at("gap_id")),
+                        "hypothesis": F.coalesce(at("hypothesis"), at("hypothesis_id")), "prediction": F.coalesce(at("text"), none), "falsification_test": F.coalesce(at("measured"), none)})
+
+
+def short_id(kind: Column, item: Column) -> Column:
+    return _case(kind, {"source": "Source", "evidence": item, "gap": item, "hypothesis": F.concat(item, F.lit(" (unvalidated)")), "prediction": F.concat(F.lit("Prediction "), item), "falsification_test": F.concat(F.lit("Falsification "), item)})
+
+
+def wrapped(text: Column) -> Column:
+    """Lines of at most WIDTH code points of whole words, MOST_LINES of them; the last ends in an ellipsis if more follow."""
+    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    start = F.struct(F.array().cast("array<string>").alias("lines"), F.lit("").alias("cur"))
+
+    def step(s: Column, w: Column) -> Column:  # lines beyond the last shown are counted once, so the state stays small
+        full = (F.length(s["cur"]) + F.length(w) + 1 > WIDTH) & (s["cur"] != "")
+        lines = F.when(full & (F.size(s["lines"]) <= MOST_LINES), F.array_append(s["lines"], s["cur"])).otherwise(s["lines"])
+        return F.struct(lines.alias("lines"), F.when(full, w).otherwise(F.trim(F.concat(s["cur"], F.lit(" "), w))).alias("cur"))
+
+    lines = F.aggregate(words, start, step, lambda s: F.when(s["cur"] != "", F.array_append(s["lines"], s["cur"])).otherwise(s["lines"]))
+    cut = F.concat(F.slice(lines, 1, MOST_LINES - 1), F.array(F.concat(F.substring(F.get(lines, F.lit(MOST_LINES - 1)), 1, WIDTH - 1), F.lit("…"))))
+    return F.when(F.size(lines) > MOST_LINES, cut).otherwise(lines)
+
+
+def dot_escaped(text: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x00-\x1f\x7f]", " "), r"([\\\"])", r"\\$1")
+
+
+def dot_texts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(graph_id, dot): each graph in DOT, nodes and edges by id, with a legend. A graph is one row here."""
+    label = F.array_join(F.transform(F.concat(F.array(short_id(F.col("type"), F.col("item_id"))), wrapped(title(F.col("type"), F.col("body")))), dot_escaped), "\\n")
+    n = nodes.select("graph_id", F.lit(0).alias("part"), F.col("node_id").alias("key"), F.concat(F.lit('  "'), dot_escaped(F.col("node_id")), F.lit('" [label="'), label, F.lit('", '), _case(F.col("type"), NODE_STYLE), F.lit("];")).alias("line"))
+    e = edges.select("graph_id", F.lit(1).alias("part"), F.col("edge_id").alias("key"), F.concat(F.lit('  "'), dot_escaped(F.col("source")), F.lit('" -> "'), dot_escaped(F.col("target")), F.lit('" [label="'), "type", F.lit('", '),
+                     _case(F.col("type"), EDGE_STYLE), F.lit("];")).alias("line"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "key", "line"))), lambda x: x["line"]), "\n")
+    return n.unionByName(e).groupBy("graph_id").agg(F.concat(F.lit(DOT_HEAD + "\n"), text, F.lit("\n" + LEGEND + "\n}\n")).alias("dot"))
+
+
+def summaries(nodes: DataFrame, edges: DataFrame, excluded: DataFrame, violations: DataFrame) -> DataFrame:
+    """(graph_id, status, errors, n_nodes, n_edges, n_excluded, content_sha256): a line for each graph."""
+    count = lambda df, name: df.groupBy("graph_id").agg(F.count("*").alias(name))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c)
+    out = content_hash(lines(nodes, edges, excluded)).drop("n")
+    for df, name in ((nodes, "n_nodes"), (edges, "n_edges"), (excluded, "n_excluded"), (violations, "errors")):
+        out = out.join(count(df, name), "graph_id", "left")
+    status = F.when(F.coalesce("errors", F.lit(0)) > 0, F.lit("failed")).when(F.coalesce("n_excluded", F.lit(0)) > 0, F.lit("passed_with_exclusions")).otherwise(F.lit("passed"))
+    return out.select("graph_id", status.alias("status"), zero("errors"), zero("n_nodes"), zero("n_edges"), zero("n_excluded"), "content_sha256")
+
+
 # ---- content hash ------------------------------------------------------------------------------
 
 #: Lines of a part: a part of more is told apart by one more hex digit of its lines' hashed keys.

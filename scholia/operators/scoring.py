@@ -181,6 +181,11 @@ def _scores(found: DataFrame, columns: list[str], catalog: tuple[Concept, ...])
     )
 
 
+def text_relevant(concepts: Column, keyword_hits: Column) -> Column:
+    """Whether a candidate's texts have anything of what is asked."""
+    return (F.size(concepts) > 0) | (F.size(keyword_hits) > 0)
+
+
 def score_order() -> list[Column]:
     return [F.desc("base_score"), F.coalesce("best_rank", F.lit(NO_RANK)), F.col("record_id")]
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from scholia.operators import graph, provenance
+from scholia.operators import evidence, graph, provenance
 from scholia.plans.registry import query
 from scholia.plans.views import relation
 from scholia.sources.storage import stored
@@ -105,3 +105,39 @@ def grf_content_hash(spark, d):
 def grf_references(spark, d):
     refs = provenance.references(_built(spark, d)[0])
     return refs.select("graph_id", *[F.array_join(c, ",").alias(c) for c in ("source_record_ids", "evidence_ids", "gap_ids", "hypothesis_ids")])
+
+
+_N = f"""SELECT graph_id, 'src:' || record_id AS id, 'Source' AS short, 'source' AS type, title || CASE WHEN source_type = 'preprint' THEN ' [Preprint — not peer-reviewed]' ELSE '' END AS title FROM ({_REC})
+  UNION ALL SELECT graph_id, 'ev:' || {_EV_ID.format('n')}, {_EV_ID.format('n')}, 'evidence', 'Reading ' || n || ' rose' FROM ({_REC}) UNION ALL SELECT graph_id, 'gap:gap_01', 'gap_01', 'gap', 'What drives the rise' FROM ({_GRAPHS})
+  UNION ALL SELECT graph_id, 'hyp:hyp_01', 'hyp_01 (unvalidated)', 'hypothesis', 'Shear may raise counts' FROM ({_GRAPHS}) UNION ALL SELECT graph_id, 'pred:hyp_01', 'Prediction hyp_01', 'prediction', 'Counts rise by a third' FROM ({_GRAPHS})
+  UNION ALL SELECT graph_id, 'fals:hyp_01', 'Falsification hyp_01', 'falsification_test', 'counts' FROM ({_GRAPHS})"""
+_E = f"""SELECT graph_id, 'supports' AS type, 'src:' || record_id AS s, 'ev:' || {_EV_ID.format('n')} AS t FROM ({_REC}) UNION ALL SELECT graph_id, 'supports', 'ev:' || {_EV_ID.format('a')}, 'hyp:hyp_01' FROM ({_GRAPHS})
+  UNION SELECT graph_id, 'motivates', 'ev:' || {_EV_ID.format('a')}, 'gap:gap_01' FROM ({_GRAPHS}) UNION SELECT graph_id, 'motivates', 'ev:' || {_EV_ID.format('b')}, 'gap:gap_01' FROM ({_GRAPHS})
+  UNION SELECT graph_id, 'contradicts', 'ev:' || {_EV_ID.format('a')}, 'ev:' || {_EV_ID.format('b')} FROM ({_GRAPHS}) WHERE a <> b UNION SELECT graph_id, 'addresses', 'hyp:hyp_01', 'gap:gap_01' FROM ({_GRAPHS})
+  UNION SELECT graph_id, 'tests', unnest(['pred:hyp_01', 'fals:hyp_01']), 'hyp:hyp_01' FROM ({_GRAPHS})"""
+_TEXT = lambda s: "'" + s.replace("'", "''") + "'"
+_STYLE = lambda styles: "CASE type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in styles.items()) + " END"
+# every title has at most two lines: a preprint's breaks before its last word
+_WRAP = "CASE WHEN type = 'source' AND contains(title, '[') THEN replace(title, ' peer-reviewed]', chr(92) || 'npeer-reviewed]') ELSE title END"
+
+
+@query(f"""SELECT graph_id, {_TEXT(provenance.DOT_HEAD)} || chr(10) || string_agg(line, chr(10) ORDER BY part, key) || chr(10) || {_TEXT(provenance.LEGEND)} || chr(10) || '}}' || chr(10) AS dot FROM (
+  SELECT graph_id, 0 AS part, id AS key, '  "' || id || '" [label="' || short || chr(92) || 'n' || {_WRAP} || '", ' || {_STYLE(provenance.NODE_STYLE)} || '];' AS line FROM ({_N})
+  UNION ALL SELECT graph_id, 1, type || '|' || s || '|' || t, '  "' || s || '" -> "' || t || '" [label="' || type || '", ' || {_STYLE(provenance.EDGE_STYLE)} || '];' FROM ({_E})) GROUP BY graph_id""")
+def grf_dot_of_many(spark, d):
+    nodes, edges, _ = _built(spark, d)
+    return provenance.dot_texts(nodes, edges)
+
+
+@query(f"""WITH n AS (SELECT graph_id, count(*) AS n_nodes FROM ({_N}) GROUP BY 1), e AS (SELECT graph_id, count(*) AS n_edges FROM ({_E}) GROUP BY 1)
+SELECT graph_id, CASE WHEN graph_id % 3 = 0 THEN 'failed' ELSE 'passed' END AS status, CASE WHEN graph_id % 3 = 0 THEN 2 ELSE 0 END AS errors, n_nodes, n_edges, 0 AS n_excluded FROM n JOIN e USING (graph_id)""")
+def grf_summaries(spark, d):
+    nodes, edges, excluded = _built(spark, d)
+    bad = relation(spark, d, _GRAPHS).filter("graph_id % 3 = 0").select("graph_id", F.explode(F.array(F.lit("a"), F.lit("b"))).alias("code"))
+    return provenance.summaries(nodes, edges, excluded, bad).drop("content_sha256")
+
+
+@query(f"SELECT graph_id, 'gap_01' AS gap_id, {_EV_ID.format('a')} AS supporting, {_EV_ID.format('b')} AS conflicting FROM ({_GRAPHS})")
+def prj_gap_view(spark, d):
+    v = evidence.gap_view(_inputs(spark, d)[2], provenance.PER)
+    return v.select("graph_id", "gap_id", F.array_join("supporting_evidence_ids", ",").alias("supporting"), F.array_join("conflicting_evidence_ids", ",").alias("conflicting"))
