@@ -3,8 +3,9 @@
 A needle of LEAST code points or more is looked up by one gram, the one whose hash is least in its first LEAST code
 points. A text is cut into the grams that are least in any window of that size (a third of its positions), so it
 yields the gram of every needle that it holds. Shorter needles are grams of their own length. Texts and needles meet
-on hashes of grams, and what meets is compared. Neither side is collected or broadcast by this module, and no text
-meets a needle that it shares no gram with.
+on hashes of grams, and what meets is compared: no text meets a needle that it shares no gram with. Where the needles
+have no more than FEW grams, tasks hold these (8 bytes each) and drop all other grams of a text before the shuffle;
+beyond it, all grams that a text yields are shuffled.
 """
 
 from __future__ import annotations
@@ -16,8 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scholia.sources.storage import stored
+
 #: Code points of a gram, and of the window whose least gram is indexed.
 GRAM, LEAST = 8, 12
+#: Grams of needles that every task may hold; they are counted first.
+FEW = 200_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -47,8 +52,16 @@ def least_grams(text: str) -> np.ndarray:
     return np.unique(least)
 
 
-def _grams(df: DataFrame, first_only: bool, lengths: tuple[int, ...] = ()) -> DataFrame:
-    """df (id, text) as (id, size, gram); size LEAST stands for all needles from LEAST on."""
+def _grams(df: DataFrame, first_only: bool, lengths: tuple[int, ...] = (), only: dict[int, np.ndarray] | None = None) -> DataFrame:
+    """df (id, text) as (id, size, gram); size LEAST stands for all needles from LEAST on. only: of each size the grams that
+    count, sorted; null: all."""
+
+    def kept(n: int, grams: np.ndarray) -> np.ndarray:
+        if only is None:
+            return grams
+        known = only.get(n, grams[:0])
+        at = np.searchsorted(known, grams)
+        return grams[(at < len(known)) & (known[np.minimum(at, len(known) - 1)] == grams)] if len(known) else grams[:0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -58,7 +71,7 @@ def _grams(df: DataFrame, first_only: bool, lengths: tuple[int, ...] = ()) -> Da
                     n = min(len(text), LEAST)
                     found = [(n, least_grams(text[:LEAST]) if n == LEAST else _hashes(text, n))]
                 else:
-                    found = [(LEAST, least_grams(text)), *((n, np.unique(_hashes(text, n))) for n in lengths)]
+                    found = [(n, np.unique(kept(n, least_grams(text) if n == LEAST else _hashes(text, n)))) for n in lengths]
                 for n, g in found:
                     at.append(np.full(len(g), i))
                     sizes.append(np.full(len(g), n, np.int32))
@@ -76,7 +89,11 @@ def holding(texts: DataFrame, needles: DataFrame, id_col: str, text_col: str, ne
     """
     every = needles.select(F.col(needle_col).alias("text")).filter("text <> ''").distinct().withColumn("id", F.col("text"))
     held = texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text IS NOT NULL")
-    short = tuple(sorted(r[0] for r in every.select(F.length("text").alias("n")).filter(F.col("n") < LEAST).distinct().collect()))  # at most LEAST - 1 rows
-    wanted = _grams(every, True).withColumnRenamed("id", "needle")
-    pairs = _grams(held, False, short).join(wanted, ["size", "gram"]).select("id", "needle").distinct()
+    wanted = stored(_grams(every, True).withColumnRenamed("id", "needle"), "needles")
+    counts = {r["size"]: r["n"] for r in wanted.groupBy("size").agg(F.count_distinct("gram").alias("n")).collect()}  # a row for each of LEAST sizes at most
+    only = None
+    if sum(counts.values()) <= FEW:
+        grams = wanted.select("size", "gram").distinct().toPandas()
+        only = {int(n): np.sort(g.to_numpy(np.int64).view(np.uint64)) for n, g in grams.groupby("size")["gram"]}
+    pairs = _grams(held, False, tuple(sorted(counts)), only).join(wanted, ["size", "gram"]).select("id", "needle").distinct()
     return pairs.join(held, "id").filter(F.contains("text", "needle")).select(F.col("id").alias(id_col), F.col("needle").alias(needle_col)).distinct()

@@ -61,7 +61,9 @@ def test_walks_below_the_last_level_and_without_json(spark):
     assert got == [("not_an_object", k, None, None) for k in ("list", "str", "int", "float", "bool", "NoneType")] + [("invalid_json", None, None, None), ("object", None, ["[redacted]", "a_b", "items"], 2)]
 
 
-def test_held_strings_against_every_pair(spark):
+@pytest.mark.parametrize("few", [0, 200_000])
+def test_held_strings_against_every_pair(spark, few, monkeypatch):
+    monkeypatch.setattr(matching, "FEW", few)
     rnd = random.Random(9)
     word = lambda: "".join(rnd.choice("aé𝒳b ") for _ in range(rnd.randrange(0, 60)))
     texts = [(k, word() * rnd.randrange(1, 4)) for k in range(80)] + [(80, None), (81, ""), (5, "another text of id 5"), (82, "a" * 5000)]
