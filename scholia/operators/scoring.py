@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scholia.functions.text import keywords, set_jaccard, stems, word_tokens
+from scholia.functions.text import keywords, stems, word_tokens
 
 _PLATELET = r"\bplatelets?\b|\bthrombocytes?\b"
 _ACTIVATION = r"\bactivat\w*"
@@ -295,8 +295,3 @@ def verification_rounds(ordered: DataFrame, target: int, accepted: tuple[str, ..
 
     folded = ordered.groupBy(key).agg(F.aggregate(ok, start, step).alias("s"))
     return folded.select(key, F.explode("s.rounds").alias("r")).select(key, F.col("r.round").alias("round"), F.col("r.checked").alias("checked_in_round"), F.col("r.passed").alias("passed_in_round"))
-
-
-def near_titles(pairs: DataFrame, a: Column, b: Column) -> DataFrame:
-    """pairs with the token Jaccard of two titles."""
-    return pairs.withColumn("similarity", set_jaccard(F.array_distinct(word_tokens(a)), F.array_distinct(word_tokens(b))))

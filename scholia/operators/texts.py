@@ -64,6 +64,31 @@ def source_text(text: Column, limit: int = 4000) -> Column:
     )
 
 
+def prepared(candidates: DataFrame, cached: DataFrame, failed: DataFrame, works: DataFrame, limit: int = 4000) -> DataFrame:
+    """candidates (record_id, pmid, doi) with their source text: struct source of source_text(), origin, access_level and
+    problem.
+
+    A PMID's answer comes first: cached (pmid, text: null where the answer has no abstract); a PMID of a failed request
+    (pmid, status, message) ends there. Where it has no text, the DOI's work is asked: works (doi, text, status and
+    message where that request failed, null else). A failed work is the candidate's failure only without a PMID; else it has
+    no abstract."""
+    c = candidates.join(cached.select("pmid", F.col("text").alias("p_text"), F.lit(True).alias("p_known")), "pmid", "left")
+    c = c.join(failed.select("pmid", F.col("status").alias("p_status"), F.col("message").alias("p_message")), "pmid", "left")
+    c = c.join(works.select("doi", F.col("text").alias("w_text"), F.col("status").alias("w_status"), F.col("message").alias("w_message"), F.lit(True).alias("w_known")), "doi", "left")
+    some = lambda t: F.coalesce(F.col(t), F.lit("")) != ""
+    first = F.col("p_status").isNull() & some("p_text") & F.col("pmid").isNotNull()
+    second = F.col("p_status").isNull() & ~first & F.col("doi").isNotNull() & F.col("w_status").isNull() & some("w_text")
+    text = F.when(first, F.col("p_text")).when(second, F.col("w_text"))
+    bad = F.col("p_status").isNotNull() | (F.col("pmid").isNull() & F.col("doi").isNotNull() & F.col("w_status").isNotNull())
+    source = source_text(text, limit)
+    asked = F.when(F.col("pmid").isNotNull(), F.when(F.col("p_known"), F.lit("no abstract in PubMed efetch")).otherwise(F.lit("PMID not returned by efetch")))
+    work = F.when(F.col("doi").isNotNull(), F.when(F.col("w_status").isNotNull(), F.col("w_message")).otherwise(F.lit("Crossref work has no abstract")))
+    problem = F.when(F.col("p_status").isNotNull(), F.col("p_message")).when(bad, F.col("w_message")).when(~first & ~second, F.concat_ws("; ", asked, work))
+    origin = F.when(first, F.lit("pubmed")).when(second, F.lit("crossref"))
+    status = F.when(F.col("p_status").isNotNull(), F.col("p_status")).when(bad, F.col("w_status")).otherwise(source["status"])
+    return c.select(*candidates.columns, source.alias("source"), origin.alias("origin"), F.concat(origin, F.lit("_abstract")).alias("access_level"), status.alias("status"), problem.alias("problem"))
+
+
 def model_sources(texts: DataFrame) -> DataFrame:
     """The three fields that may be shown to a model, of usable rows only."""
     return texts.filter("status = 'ok' AND text IS NOT NULL AND text <> ''").select("record_id", "access_level", F.col("text").alias("source_text"))

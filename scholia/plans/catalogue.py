@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from scholia.functions import dates, identity, numbers, payloads, text
 from scholia.operators import control, dedup, evidence, graph, report, retrieval, scoring, sources_of, synthesis, texts, verification
-from scholia.plans import graph_queries, payload_queries, report_queries, stage_queries  # noqa: F401 - they list their queries
+from scholia.plans import graph_queries, payload_queries, report_queries, source_queries, stage_queries  # noqa: F401 - they list their queries
 from scholia.plans.registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 from scholia.plans.views import relation
 from scholia.sources.storage import stored

@@ -15,16 +15,16 @@ from scholia.plans.views import relation
 
 # ---- searches ----------------------------------------------------------------------------------
 
-_HITS = "SELECT o_orderkey AS ordinal, o_orderpriority AS term, CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE CAST(year(o_orderdate) AS INT) END AS year, concat('r', CAST(o_orderkey AS STRING)) AS record_id FROM orders"
+_HITS = "SELECT o_orderkey AS ordinal, concat(o_orderpriority, ' ', CAST(o_custkey % 97 AS STRING)) AS term, CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE CAST(year(o_orderdate) AS INT) END AS year, concat('r', CAST(o_orderkey AS STRING)) AS record_id FROM orders"
 
 
-@query(f"SELECT ordinal, record_id FROM ({_HITS}) WHERE term = '1-URGENT' AND year >= 1994 AND year <= 1996 ORDER BY ordinal LIMIT 1000")
+@query(f"SELECT ordinal, record_id FROM ({_HITS}) WHERE term = '1-URGENT 5' AND year >= 1994 AND year <= 1996 ORDER BY ordinal LIMIT 1000")
 def src_searched(spark, d):
-    return search.searched(relation(spark, d, _HITS), "1-URGENT", 5000, 1994, 1996).select("ordinal", "record_id")
+    return search.searched(relation(spark, d, _HITS), "1-URGENT 5", 5000, 1994, 1996).select("ordinal", "record_id")
 
 
-_SEARCHES = """SELECT c_custkey AS search_id, CASE c_custkey % 5 WHEN 0 THEN '1-URGENT' WHEN 1 THEN '2-HIGH' WHEN 2 THEN '3-MEDIUM' WHEN 3 THEN '5-LOW' ELSE 'nothing' END AS term, CAST(c_custkey % 11 * 3 - 5 AS INT) AS most,
-  CASE WHEN c_custkey % 2 = 0 THEN CAST(1993 + c_custkey % 4 AS INT) END AS from_year, CASE WHEN c_custkey % 3 = 0 THEN CAST(1995 + c_custkey % 3 AS INT) END AS to_year FROM customer WHERE c_custkey % 20 = 0 OR c_custkey < 40"""
+_SEARCHES = """SELECT c_custkey AS search_id, concat(CASE c_custkey % 5 WHEN 0 THEN '1-URGENT' WHEN 1 THEN '2-HIGH' WHEN 2 THEN '3-MEDIUM' WHEN 3 THEN '5-LOW' ELSE 'nothing' END, ' ', CAST(c_custkey % 97 AS STRING)) AS term, CAST(c_custkey % 11 * 3 - 5 AS INT) AS most,
+  CASE WHEN c_custkey % 2 = 0 THEN CAST(1993 + c_custkey % 4 AS INT) END AS from_year, CASE WHEN c_custkey % 3 = 0 THEN CAST(1995 + c_custkey % 3 AS INT) END AS to_year FROM customer"""
 
 
 @query(f"""SELECT search_id, rank, ordinal FROM (SELECT search_id, most, ordinal, row_number() OVER (PARTITION BY search_id ORDER BY ordinal) - 1 AS rank FROM ({_SEARCHES}) s JOIN ({_HITS}) h USING (term)
@@ -332,3 +332,26 @@ def hyp_whole_flags(spark, d):
     cols |= {"basis": lit("inference"), "level": lit("observation"), "confidence": lit("low"), "gap_id": lit("gap_01"), "gaps": F.array(lit("gap_01")), "sources": none, "evidence": c("evidence_ids"), "supported_level": lit("observation")}
     hard, soft = synthesis.hypothesis_flags(cols)
     return h.select("doc_id", F.array_join(F.array_distinct(hard), "|").alias("hard"), F.array_join(soft, "|").alias("soft"))
+
+
+@query(f"""WITH r AS (SELECT c_custkey AS run_id, CASE c_custkey % 8 WHEN 3 THEN 'failed' WHEN 5 THEN 'not_run' ELSE 'ok' END AS outcome FROM customer), d AS ({_DUE}),
+have AS (SELECT run_id, max(item_index) FILTER (code = 'ok' AND item_index < 5) AS h1, bool_or(code = 'ok' AND item_index = 5) AS h2 FROM d GROUP BY run_id),
+s AS (SELECT run_id, h1, h2, CASE WHEN outcome <> 'ok' THEN outcome WHEN h1 IS NOT NULL AND h2 THEN 'completed' ELSE 'incomplete' END AS critic FROM r JOIN have USING (run_id)),
+h AS (SELECT run_id, critic, 'hyp_01' AS hypothesis_id, CASE h1 WHEN 0 THEN 'pass' WHEN 1 THEN 'fail' END AS verdict FROM s UNION ALL SELECT run_id, critic, 'hyp_02', CASE WHEN h2 THEN 'fail' END FROM s)
+SELECT run_id, hypothesis_id, CASE WHEN verdict IS NOT NULL OR critic <> 'completed' THEN critic ELSE 'incomplete' END AS critic_status, verdict FROM h""")
+def rev_safe_stress(spark, d):
+    candidates, r = _reviewed(spark, d)
+    calls = relation(spark, d, "SELECT c_custkey AS run_id, CASE c_custkey % 8 WHEN 3 THEN 'failed' WHEN 5 THEN 'not_run' ELSE 'ok' END AS outcome FROM customer")
+    status = reviews.critic_status(candidates, r, calls)
+    c = candidates.join(r.filter("code = 'ok'").select("run_id", "hypothesis_id", "checks"), ["run_id", "hypothesis_id"], "left").join(status, "run_id")
+    s = reviews.safe_stress_summary(F.col("checks").isNotNull(), F.col("critic_status"), F.col("checks"))
+    return c.select("run_id", "hypothesis_id", s.alias("s")).select("run_id", "hypothesis_id", "s.critic_status", F.element_at("s.critic_verdicts", reviews.CHECKS[0]).alias("verdict"))
+
+
+@query(r"""SELECT ordinal, regexp_matches(lower(title), '\bsmall\b|\btiny\b|\bsteel\b|\bbrass\b|\brod\b|\bplate\b|\bwidget|\bgizmo|\bsize|\bmeets|\burgent|\borders') AS relevant FROM v_record""")
+def prj_text_relevant(spark, d):
+    r = relation(spark, d, "v_record")
+    origin = F.array(F.struct(F.lit(1).alias("query"), F.col("source_database").alias("database"), F.lit(1).alias("rank")))
+    catalog = (*_CATALOG[:2], scoring.Concept("metal", ("metal",), False, (), (r"\bsize\w*",), _CATALOG[2].text))
+    s = scoring.scored(r.select("ordinal", F.col("ordinal").cast("string").alias("record_id"), "title", F.lit(None).cast("string").alias("abstract"), origin.alias("origins")), next(iter(_ASKED)), catalog)
+    return s.select("ordinal", scoring.text_relevant(F.col("concepts"), F.col("keyword_hits")).alias("relevant"))
