@@ -126,7 +126,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Vocabulary(dict):
     """word -> 64-bit hash; the table is emptied when it holds `limit` words, so memory is bounded."""
 
-    def __init__(self, limit: int = 1_000_000):
+    def __init__(self, limit: int = 200_000):
         super().__init__()
         self.limit = limit
 
