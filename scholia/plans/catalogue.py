@@ -293,11 +293,16 @@ def agg_query_status(spark, d):
     return retrieval.query_status(relation(spark, d, _STATUS), "question_id")
 
 
-@query("""SELECT p.record_id, coalesce(string_agg(DISTINCT CAST(h.query AS VARCHAR) || ':' || h.database || ':' || CAST(h.rank AS VARCHAR), ',' ORDER BY CAST(h.query AS VARCHAR) || ':' || h.database || ':' || CAST(h.rank AS VARCHAR)), '') AS origins
-  FROM (SELECT DISTINCT concat('m', p_partkey % 50) AS record_id, concat('r', p_partkey % 120) AS source_record_id FROM part) p LEFT JOIN (SELECT * FROM v_hit WHERE question_id = 0) h ON h.record_id = p.source_record_id GROUP BY p.record_id""")
+# merged records of every investigation: those of one number by fifty are one, and each investigation has one that no query found
+_PROVENANCE = """SELECT DISTINCT concat('m', CAST(question_id AS STRING), '_', CAST(CAST(substr(record_id, 2) AS INT) % 50 AS STRING)) AS record_id, concat(CAST(question_id AS STRING), '/', record_id) AS source_record_id FROM v_hit
+  UNION ALL SELECT DISTINCT concat('m', CAST(question_id AS STRING), '_none'), concat(CAST(question_id AS STRING), '/none') FROM v_hit"""
+
+
+@query(f"""SELECT p.record_id, coalesce(string_agg(DISTINCT CAST(h.query AS VARCHAR) || ':' || h.database || ':' || CAST(h.rank AS VARCHAR), ',' ORDER BY CAST(h.query AS VARCHAR) || ':' || h.database || ':' || CAST(h.rank AS VARCHAR)), '') AS origins
+  FROM ({_PROVENANCE}) p LEFT JOIN v_hit h ON h.question_id || '/' || h.record_id = p.source_record_id GROUP BY p.record_id""")
 def jn_origins(spark, d):
-    p = relation(spark, d, "SELECT DISTINCT concat('m', CAST(p_partkey % 50 AS STRING)) AS record_id, concat('r', CAST(p_partkey % 120 AS STRING)) AS source_record_id FROM part")
-    o = retrieval.origins(p, relation(spark, d, "v_hit").filter("question_id = 0"))  # the origins of one investigation
+    hits = relation(spark, d, "v_hit").withColumn("record_id", F.concat_ws("/", F.col("question_id").cast("string"), "record_id"))
+    o = retrieval.origins(relation(spark, d, _PROVENANCE), hits)
     one = lambda x: F.concat_ws(":", x["query"].cast("string"), x["database"], x["rank"].cast("string"))
     return o.select("record_id", F.array_join(F.array_sort(F.transform("origins", one)), ",").alias("origins"))
 
@@ -629,7 +634,7 @@ def ver_counts(spark, d):
 
 # ---- texts -------------------------------------------------------------------------------------
 
-_CONSIDERED = "SELECT doc_id, pmid, CASE WHEN doc_id % 2 = 0 THEN substr(text, 1, 50) WHEN doc_id % 5 = 0 THEN '  ' ELSE NULL END AS pubmed_abstract, doc_id % 13 = 0 AS pubmed_failed, CASE WHEN doc_id % 4 = 1 THEN substr(text, 5, 40) ELSE NULL END AS inline_abstract FROM v_text"
+_CONSIDERED = "SELECT doc_id, pmid, CASE WHEN doc_id % 2 = 0 THEN text WHEN doc_id % 5 = 0 THEN '  ' ELSE NULL END AS pubmed_abstract, doc_id % 13 = 0 AS pubmed_failed, CASE WHEN doc_id % 4 = 1 THEN reverse(text) ELSE NULL END AS inline_abstract FROM v_text"
 _ENRICHED = f"""SELECT doc_id, CASE origin WHEN 'pubmed_efetch' THEN pubmed_abstract WHEN 'crossref_search_result' THEN inline_abstract END AS abstract, origin AS abstract_origin,
   CASE WHEN origin IS NOT NULL THEN NULL WHEN pmid IS NOT NULL AND pubmed_failed THEN 'pubmed efetch failed; no Crossref abstract in search result' WHEN pmid IS NOT NULL THEN 'no abstract in PubMed efetch or Crossref search result'
     ELSE 'no abstract in Crossref search result (no PMID)' END AS title_only_reason
@@ -933,10 +938,11 @@ def grf_neighbours(spark, d):
     return graph.neighbours(nodes, edges).withColumn("related", F.array_join("related", ","))
 
 
-@query()
+@query(f"""SELECT 'digraph evidence {{' || chr(10) || string_agg(line, chr(10) ORDER BY part, k) || chr(10) || '}}' AS dot FROM (SELECT 0 AS part, node_id AS k, '  "' || node_id || '" [label="' || item_id || '"];' AS line FROM ({_NODES})
+  UNION ALL SELECT 1, edge_id, '  "' || source || '" -> "' || target || '" [label="' || type || '"];' FROM ({_EDGES}))""")
 def grf_dot(spark, d):
     nodes, edges = _graph(spark, d)[:2]
-    return graph.dot_text(nodes.filter("type <> 'source'"), edges.filter("type <> 'supports'"))
+    return graph.dot_text(nodes, edges)
 
 
 # ---- reports -----------------------------------------------------------------------------------
