@@ -146,12 +146,11 @@ def assembled(
     n = lambda df, kind: df.groupBy("report_id").agg(F.count("*").alias("n")).withColumn("kind", F.lit(kind))
     accepted = reduce(DataFrame.unionByName, [n(evidence, "evidence"), n(gaps, "synthesis"), n(hyps, "synthesis"), n(paragraphs, "synthesis")])
     checks = check_lines(rejected, accepted, reports)
-    gap_rows = gp
     pieces += [
         _said(reports, LIMITS, 0, ABSTRACTS_ONLY), _said(reports, LIMITS, 9, NO_SEMANTIC),
-        _said(gap_rows, G, line, "- **", c("gap_id"), "** **[", c("label"), "]** ", md(c("gap_statement")), " Why unresolved: ", md(c("why_unresolved")), " — supporting evidence: "),
-        _cited(gap_rows, "supporting", evidence, G, line, 1), _said(gap_rows, G, line, "; conflicting evidence: ", piece=300_000), _cited(gap_rows, "conflicting", evidence, G, line, 300_001),
-        _said(gap_rows, G, line, "; confidence: ", c("confidence"), ".", piece=600_000), _if_none(reports, gaps, G, NO_GAPS),
+        _said(gp, G, line, "- **", c("gap_id"), "** **[", c("label"), "]** ", md(c("gap_statement")), " Why unresolved: ", md(c("why_unresolved")), " — supporting evidence: "),
+        _cited(gp, "supporting", evidence, G, line, 1), _said(gp, G, line, "; conflicting evidence: ", piece=300_000), _cited(gp, "conflicting", evidence, G, line, 300_001),
+        _said(gp, G, line, "; confidence: ", c("confidence"), ".", piece=600_000), _if_none(reports, gaps, G, NO_GAPS),
         _said(reports, H, -1, "\n" + DISCLAIMER, piece=1), _if_none(reports, hyps, H, NO_HYPOTHESES),
         _said(hy, H, line, "### ", c("hypothesis_id")), _said(hy, H, line + 1, "- **Candidate hypothesis:** ", md(c("hypothesis"))),
         _said(hy, H, line + 2, "- **Claim level:** ", F.replace(c("level"), F.lit("_"), F.lit(" ")), " (cited evidence supports at most ", F.replace(c("supported_level"), F.lit("_"), F.lit(" ")), ")."),

@@ -16,7 +16,6 @@ from scholia.functions.variants import canonical_struct, parsed, strings
 from scholia.operators import graph
 from scholia.operators.matching import holding
 from scholia.operators.sources_of import badge
-from scholia.sources.storage import stored
 
 PER = ("graph_id",)
 
