@@ -466,7 +466,7 @@ g AS (SELECT DISTINCT question_id, 0 AS rank, CAST(NULL AS STRUCT(record_id VARC
           list_filter(g.done, lambda x: len(c.tokens) > 0 AND len(x.tokens) > 0 AND {_COMMON('x.tokens', 'c.tokens')} >= 0.75)[1].record_id AS dup
         FROM g JOIN c USING (question_id) WHERE NOT list_contains(list_transform(g.done, lambda x: x.record_id), c.record_id)))
     GROUP BY question_id, rank))
-SELECT question_id, rank, pick.record_id, pick.score AS selection_score, array_to_string(pick.fresh, '|') AS new_concepts, pick.dup AS near_duplicate_of, pick.same AS same_profile FROM g WHERE rank > 0""")
+SELECT question_id, rank, pick.record_id, CAST(pick.score AS INT) AS selection_score, array_to_string(pick.fresh, '|') AS new_concepts, pick.dup AS near_duplicate_of, CAST(pick.same AS INT) AS same_profile FROM g WHERE rank > 0""")
 def rank_greedy(spark, d):
     out = scoring.ranked(_scored(spark, d), "question_id", text.word_tokens(F.col("title")))
     return out.select("question_id", "rank", "record_id", "selection_score", _joined(F.col("new_concepts")).alias("new_concepts"), "near_duplicate_of", "same_profile")

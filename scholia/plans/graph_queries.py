@@ -130,7 +130,7 @@ def grf_dot_of_many(spark, d):
 
 
 @query(f"""WITH n AS (SELECT graph_id, count(*) AS n_nodes FROM ({_N}) GROUP BY 1), e AS (SELECT graph_id, count(*) AS n_edges FROM ({_E}) GROUP BY 1)
-SELECT graph_id, CASE WHEN graph_id % 3 = 0 THEN 'failed' ELSE 'passed' END AS status, CASE WHEN graph_id % 3 = 0 THEN 2 ELSE 0 END AS errors, n_nodes, n_edges, 0 AS n_excluded FROM n JOIN e USING (graph_id)""")
+SELECT graph_id, CASE WHEN graph_id % 3 = 0 THEN 'failed' ELSE 'passed' END AS status, CAST(CASE WHEN graph_id % 3 = 0 THEN 2 ELSE 0 END AS BIGINT) AS errors, n_nodes, n_edges, CAST(0 AS BIGINT) AS n_excluded FROM n JOIN e USING (graph_id)""")
 def grf_summaries(spark, d):
     nodes, edges, excluded = _built(spark, d)
     bad = relation(spark, d, _GRAPHS).filter("graph_id % 3 = 0").select("graph_id", F.explode(F.array(F.lit("a"), F.lit("b"))).alias("code"))

@@ -47,7 +47,7 @@ _WORKS = """SELECT p_partkey AS search_id, CASE p_partkey % 6 WHEN 1 THEN '[]' W
   ELSE concat('{"message":{"total-results":', CAST(p_partkey AS STRING), ',"items":[{"DOI":"10.5/W', CAST(p_partkey AS STRING), '","title":["', p_name, '"]}', CASE WHEN p_partkey % 6 = 4 THEN ',null' ELSE '' END, ',{"title":["Second"],"abstract":" "}]}}') END AS answer FROM part"""
 
 
-@query(f"""SELECT search_id, CASE search_id % 6 WHEN 1 THEN 'failed' WHEN 2 THEN 'failed' WHEN 3 THEN 'failed' WHEN 4 THEN 'partial' ELSE 'ok' END AS status, CASE WHEN search_id % 6 IN (1, 2, 3) THEN 0 ELSE 2 END AS records,
+@query(f"""SELECT search_id, CASE search_id % 6 WHEN 1 THEN 'failed' WHEN 2 THEN 'failed' WHEN 3 THEN 'failed' WHEN 4 THEN 'partial' ELSE 'ok' END AS status, CAST(CASE WHEN search_id % 6 IN (1, 2, 3) THEN 0 ELSE 2 END AS BIGINT) AS records,
   CASE WHEN search_id % 6 NOT IN (1, 2) THEN search_id END AS total FROM ({_WORKS})""")
 def src_works_outcomes(spark, d):
     return search.works_found(relation(spark, d, _WORKS))[2]
