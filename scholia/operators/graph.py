@@ -14,11 +14,12 @@ from pyspark.sql import functions as F
 from scholia.functions.text import bibliographic
 from scholia.sources.storage import stored
 
-# Node prefixes, edge directions, id forms.
+# Node prefixes, edge directions, id forms. Numbers of evidence are padded to four digits; from 10,000 on they have more.
+EVIDENCE_ID = r"ev_(?:[0-9]{4}|[1-9][0-9]{4,})"
 PREFIX = {"source": "src", "evidence": "ev", "gap": "gap", "hypothesis": "hyp", "prediction": "pred", "falsification_test": "fals"}
 RULES = {"supports": ("source>evidence", "evidence>hypothesis"), "contradicts": ("evidence>evidence",), "motivates": ("evidence>gap",), "addresses": ("hypothesis>gap",),
          "tests": ("prediction>hypothesis", "falsification_test>hypothesis")}
-FORMS = {"source": r"^src:rec_[0-9a-f]{16}$", "evidence": r"^ev:ev_[0-9]{4}$", "gap": r"^gap:gap_[0-9]{2}$", "hypothesis": r"^hyp:hyp_[0-9]{2}$",
+FORMS = {"source": r"^src:rec_[0-9a-f]{16}$", "evidence": rf"^ev:{EVIDENCE_ID}$", "gap": r"^gap:gap_[0-9]{2}$", "hypothesis": r"^hyp:hyp_[0-9]{2}$",
          "prediction": r"^pred:hyp_[0-9]{2}$", "falsification_test": r"^fals:hyp_[0-9]{2}$"}
 
 
@@ -45,7 +46,7 @@ def judged_evidence(evidence: DataFrame, eligible: DataFrame, per: Per = ()) ->
     ok = eligible.select(*per, "record_id").distinct().withColumn("_ok", F.lit(True))
     dirty = bibliographic(F.col("claim")) | bibliographic(F.col("finding"))
     reason = (
-        F.when(~F.coalesce(F.col("evidence_id").rlike(r"^ev_[0-9]{4}$"), F.lit(False)), F.lit("invalid_evidence_id"))
+        F.when(~F.coalesce(F.col("evidence_id").rlike(f"^{EVIDENCE_ID}$"), F.lit(False)), F.lit("invalid_evidence_id"))
         .when(F.col("_ok").isNull(), F.lit("source_not_verified_record")).when(dirty, F.lit("bibliographic_text_in_model_text"))
     )
     return evidence.join(ok, [*per, "record_id"], "left").withColumn("excluded_reason", reason).drop("_ok")

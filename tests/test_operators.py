@@ -146,6 +146,17 @@ def test_graph_rules_find_each_fault(spark):
     assert graph.status(0, 1) == "passed_with_exclusions"
 
 
+def test_graph_of_over_ten_thousand_items(spark):
+    """Numbers of evidence have four digits up to 9,999 and more from there on; none is padded beyond four."""
+    ids = ["ev_9999", "ev_10000", "ev_123456", "ev_00001", "ev_12", "ev_x"]
+    rec = lambda k: "rec_" + f"{k:016x}"
+    ev = spark.createDataFrame([(e, rec(k), "claim", "finding") for k, e in enumerate(ids)], "evidence_id string, record_id string, claim string, finding string")
+    got = {r["evidence_id"]: r["excluded_reason"] for r in graph.judged_evidence(ev, ev).collect()}
+    assert got == dict.fromkeys(ids[:3]) | dict.fromkeys(ids[3:], "invalid_evidence_id")
+    nodes = ev.select(F.concat(F.lit("ev:"), "evidence_id").alias("node_id")).filter(F.col("node_id").rlike(graph.FORMS["evidence"]))
+    assert sorted(r[0] for r in nodes.collect()) == ["ev:ev_10000", "ev:ev_123456", "ev:ev_9999"]
+
+
 def test_quota_boundary_and_stream(spark, tmp_path):
     day = dt.timedelta(days=1)
     t0 = dt.datetime(2024, 1, 1, 12)
