@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scholia.functions import schemas
-from scholia.operators import list_stage, progress, reviews, scoring, search
+from scholia.operators import list_stage, progress, reviews, scoring, search, synthesis
 from scholia.streaming import progress as streamed
 
 EVENTS = "run_id long, seq long, n int, stage string, state string"
@@ -101,3 +101,15 @@ def test_reviews_withhold_what_cites(spark):
     got = [r[0] for r in df.select(reviews.sanitised(F.col("t"), known("ev_0001"), known(), known("gap_01"))).collect()]
     assert [r["withheld"] for r in got] == [False, False, True, True, True, False, True]
     assert got[0]["text"] == "fine text" and len(got[5]["text"]) == 400 and got[5]["text"].endswith("…") and got[2]["text"] == reviews.WITHHELD
+
+
+def test_references_of_ids_that_many_rows_have(spark):
+    """Evidence texts are compared where they lie: a hypothesis gets back the spans and numbers that were found, no text."""
+    ev = spark.createDataFrame([("ev_0001", "rose by 12 mg", None, f"text {k} of many" + " with the words that are quoted" * (k == 39), None) for k in range(40)] + [("ev_0002", "7", "5 mL", None, "other words entirely")],
+                               "evidence_id string, claim string, finding string, quote string, source_text string")
+    said = ['as "the words that are quoted" 12 mg', 'as "the words that are quoted" and "never said by anyone" 12 mL', 'as "other words entirely" 5 mL and 7, see ev_0002', None]
+    h = spark.createDataFrame([(k, ["ev_0001"] if k < 2 else [], None, t, ["x", None]) for k, t in enumerate(said)], "k int, evidence_ids array<string>, alternative_ids array<string>, t string, l array<string>")
+    got = {r["k"]: r for r in synthesis.with_references(h, ev, ["t"], ["l"], key="k").collect()}
+    assert {k: r["quote_refs"] for k, r in got.items()} == {0: ["the words that are quoted"], 1: ["the words that are quoted"], 2: ["other words entirely"], 3: []}
+    assert {k: [(p["value"], p["problem"]) for p in r["number_problems"]] for k, r in got.items()} == {0: [], 1: [("12", "unit_mismatch")], 2: [], 3: []}
+    assert got[1].asDict().keys() == {"k", "evidence_ids", "alternative_ids", "t", "l", "quote_refs", "number_problems"}
