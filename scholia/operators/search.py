@@ -48,12 +48,20 @@ def searched(hits: DataFrame, term: str, most: int, from_year: int | None = None
 
 
 def searched_all(hits: DataFrame, searches: DataFrame, order: str = "ordinal") -> DataFrame:
-    """Many searches (search_id, term, most, from_year, to_year) at once: (search_id, rank from 0, hits' columns)."""
-    year = F.col("year")
+    """Many searches (search_id, term, most, from_year, to_year) at once: (search_id, rank from 0, hits' columns).
+
+    The first hits of a term in each year hold the first hits of any of its ranges of years. Each distinct range is ranked
+    once over these, and its list goes to all searches that ask for it: rows follow hits and answers, not their pairs."""
+    year, of_range = F.col("year"), ["term", "from_year", "to_year"]
+    asked = searches.select("search_id", *of_range, clamped(F.col("most")).alias("_most"))
+    ranges = asked.groupBy(*of_range).agg(F.max("_most").alias("_all"))
+    place = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(order))
+    near = hits.join(ranges.groupBy("term").agg(F.max("_all").alias("_term")), "term").withColumn("_n", place("term", "year")).filter((F.col("_n") <= MOST) & (F.col("_n") <= F.col("_term")))
     fits = (F.col("from_year").isNull() & F.col("to_year").isNull()) | (year.between(F.coalesce("from_year", F.lit(FIRST_YEAR)), F.coalesce("to_year", F.lit(LAST_YEAR))))
-    place = F.row_number().over(Window.partitionBy("search_id").orderBy(order)) - 1
-    found = hits.join(searches.select("search_id", "term", clamped(F.col("most")).alias("most"), "from_year", "to_year"), "term").filter(fits)
-    return found.withColumn("rank", place).filter((F.col("rank") < F.col("most")) & (F.col("rank") < MOST)).select("search_id", "rank", *hits.columns)
+    ranked = near.join(ranges, "term").filter(fits).withColumn("rank", place(*of_range) - 1).filter((F.col("rank") < MOST) & (F.col("rank") < F.col("_all")))
+    a, r = asked.alias("a"), ranked.select("rank", "from_year", "to_year", *[F.col(c).alias(f"_hit_{c}") for c in hits.columns]).alias("r")
+    same = (F.col("a.term") == F.col("r._hit_term")) & F.col("a.from_year").eqNullSafe(F.col("r.from_year")) & F.col("a.to_year").eqNullSafe(F.col("r.to_year")) & (F.col("rank") < F.col("_most"))
+    return a.join(r, same).select("search_id", "rank", *[F.col(f"_hit_{c}").alias(c) for c in hits.columns])
 
 
 def works_found(answers: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -113,3 +113,18 @@ def test_references_of_ids_that_many_rows_have(spark):
     assert {k: r["quote_refs"] for k, r in got.items()} == {0: ["the words that are quoted"], 1: ["the words that are quoted"], 2: ["other words entirely"], 3: []}
     assert {k: [(p["value"], p["problem"]) for p in r["number_problems"]] for k, r in got.items()} == {0: [], 1: [("12", "unit_mismatch")], 2: [], 3: []}
     assert got[1].asDict().keys() == {"k", "evidence_ids", "alternative_ids", "t", "l", "quote_refs", "number_problems"}
+
+
+def test_searches_of_one_term_share_their_ranges(spark):
+    """Many searches for one term: each has the first hits of its own years, and no row stands for a search and a hit that it leaves out."""
+    hits = [("t" if k % 3 else "u", 1990 + k % 5 if k % 7 else None, k, f"r{k}") for k in range(600)]
+    searches = [(k, "tux"[k % 3], k % 9 - 2, 1991 + k % 3 if k % 2 else None, 1992 + k % 2 if k % 5 else None) for k in range(200)]
+    out = search.searched_all(spark.createDataFrame(hits, "term string, year int, ordinal long, record_id string"), spark.createDataFrame(searches, "search_id long, term string, most int, from_year int, to_year int"))
+    want = set()
+    for i, term, most, lo, hi in searches:
+        fit = [h for h in hits if h[0] == term and ((lo is None and hi is None) or (h[1] is not None and (lo or 1800) <= h[1] <= (hi or 3000)))]
+        want |= {(i, rank, *h) for rank, h in enumerate(sorted(fit, key=lambda h: h[2])[: max(0, most)])}
+    assert out.columns == ["search_id", "rank", "term", "year", "ordinal", "record_id"]
+    assert {tuple(r) for r in out.collect()} == want and out.count() == len(want)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("row_number") >= 2
