@@ -367,7 +367,7 @@ def _for_dedup(spark, d, keep_doi_only: bool) -> DataFrame:
 
 @query(f"SELECT min(ordinal) AS ordinal, doi, count(*) AS n FROM ({_IDS}) WHERE doi IS NOT NULL GROUP BY doi")
 def dup_doi_only(spark, d):
-    merged = dedup.deduplicated(_for_dedup(spark, d, True), F.col("doi"))
+    merged = dedup.deduplicated(_for_dedup(spark, d, True), identity.ascii_title(F.col("title")))
     return merged.select("ordinal", "doi", F.size("provenance").cast("long").alias("n"))
 
 
@@ -389,7 +389,7 @@ f AS (SELECT DISTINCT run, CAST(0 AS BIGINT) AS n, CAST([] AS {_STATE}) AS m FRO
 SELECT u.ordinal, u.record_id, u.title, u.year, u.doi, u.pmid, u.journal, array_to_string(u.constituents, ',') AS constituents, u.conflicts AS n_conflicts FROM (SELECT unnest(arg_max(m, n)) AS u FROM f GROUP BY run)""")
 def dup_full(spark, d):
     run = F.floor(F.col("ordinal") % 4001 / 20).cast("long").alias("run")
-    merged = dedup.deduplicated(_for_dedup(spark, d, False).select("*", run), identity.ascii_title(F.col("title")), "run")
+    merged = dedup.deduplicated(_for_dedup(spark, d, False).select("*", run), identity.ascii_title(F.col("title")), "run", None)
     return merged.select("ordinal", "record_id", "title", F.col("year").cast("long").alias("year"), "doi", "pmid", "journal", _joined(F.transform("provenance", lambda p: p["ordinal"]), ",").alias("constituents"), F.size("conflicts").cast("long").alias("n_conflicts"))
 
 
@@ -402,7 +402,7 @@ def dup_whole_table(spark, d):
 
 @query(f"""SELECT min(ordinal) AS ordinal, string_agg(CAST(ordinal AS VARCHAR), ',' ORDER BY ordinal) AS merged FROM ({_IDS}) WHERE doi IS NOT NULL GROUP BY doi HAVING count(*) > 1""")
 def dup_merge_log(spark, d):
-    merged = dedup.deduplicated(_for_dedup(spark, d, True), F.col("doi")).filter(F.size("provenance") > 1)
+    merged = dedup.deduplicated(_for_dedup(spark, d, True), identity.ascii_title(F.col("title"))).filter(F.size("provenance") > 1)
     return merged.select("ordinal", _joined(F.transform("provenance", lambda p: p["ordinal"]), ",").alias("merged"))
 
 
