@@ -19,6 +19,7 @@ from scholia.sources.storage import stored
 
 #: Where a unit's last state ends, and whether a row of a sweep asks or begins a unit's state.
 _OPEN, _ASKS, _BEGINS = 2**62, 0, 1
+_STRETCH = 20_000  # records of the first stretch
 _FIELDS = ("doi", "pmid", "title", "year", "author")
 _EVENT = ("k1", "k2", "at", "what", "unit", "until", "mask")
 
@@ -88,16 +89,34 @@ def units(records: DataFrame) -> DataFrame:
     base = stored(base.withColumn("keys", _keys(F.col("doi"), F.col("pmid"), _triple(F.col("title.key"), F.col("year"), F.col("author.key")))), "fold-records")
     able = base.filter(F.size("keys") > 0)
     asks = stored(_events(able.select("part", F.col("ordinal").alias("at"), F.col("ordinal").alias("unit"), F.col("ordinal").alias("until"), "keys"), _ASKS), "fold-asks")
-    guess = asks.filter("mask = 0").groupBy("k1", "k2").agg(F.min("at").alias("first"))
-    guess = asks.join(guess, ["k1", "k2"], "left").groupBy(F.col("at").alias("ordinal")).agg(F.coalesce(F.min("first"), F.col("ordinal")).alias("unit"))
-    assigned = stored(guess, "fold-units")
-    while True:
-        rows = asks.unionByName(_events(_states(able.drop("keys"), assigned), _BEGINS))
-        found = rows.repartition("k1", "k2").sortWithinPartitions("k1", "k2", "at", "what").mapInPandas(_swept, "ordinal long, unit long")
-        after = found.groupBy("ordinal").agg(F.min("unit").alias("unit")).join(assigned.select("ordinal", F.col("unit").alias("before")), "ordinal")
-        after = stored(after.select("ordinal", "unit", (F.col("unit") != F.col("before")).alias("moved")), "fold-units")
-        if not after.filter("moved").take(1):
-            break
-        assigned = after.drop("moved")
+    firsts = asks.filter("mask = 0").groupBy("k1", "k2").agg(F.min("at").alias("first"))
+    guess = stored(asks.join(firsts, ["k1", "k2"], "left").groupBy(F.col("at").alias("ordinal")).agg(F.coalesce(F.min("first"), F.col("ordinal")).alias("first")), "fold-guess")
+    n, settled, low = guess.count(), None, None
+    for high in [*_stretches(guess, n), None]:
+        within = lambda df, c: df.filter((F.lit(True) if low is None else F.col(c) > low) & (F.lit(True) if high is None else F.col(c) <= high))  # noqa: B023, E731
+        new = within(guess, "ordinal")
+        if settled is None:
+            new = new.select("ordinal", F.col("first").alias("unit"))
+        else:  # what stands for a settled record is its unit
+            new = new.join(settled.select(F.col("ordinal").alias("first"), F.col("unit").alias("_unit")), "first", "left").select("ordinal", F.coalesce("_unit", "first").alias("unit"))
+        new = stored(new, "fold-units")
+        asked, known = within(asks, "at"), able.drop("keys") if high is None else able.drop("keys").filter(F.col("ordinal") <= high)
+        while True:
+            rows = asked.unionByName(_events(_states(known, new if settled is None else new.unionByName(settled)), _BEGINS))
+            found = rows.repartition("k1", "k2").sortWithinPartitions("k1", "k2", "at", "what").mapInPandas(_swept, "ordinal long, unit long")
+            after = found.groupBy("ordinal").agg(F.min("unit").alias("unit")).join(new.select("ordinal", F.col("unit").alias("before")), "ordinal")
+            after = stored(after.select("ordinal", "unit", (F.col("unit") != F.col("before")).alias("moved")), "fold-units")
+            new = after.drop("moved")
+            if not after.filter("moved").take(1):
+                break
+        settled, low = (new if settled is None else settled.unionByName(new)), high
     alone = base.filter(F.size("keys") == 0).select("ordinal", F.col("ordinal").alias("unit"))
-    return after.select("ordinal", "unit").unionByName(alone)
+    return settled.unionByName(alone)
+
+
+def _stretches(rows: DataFrame, n: int) -> list[int]:
+    """Ordinals that end the first _STRETCH records, the first eight times as many, and so on: about, any will do."""
+    sizes = []
+    while _STRETCH * 8 ** len(sizes) * 2 < n:
+        sizes.append(_STRETCH * 8 ** len(sizes) / n)
+    return sorted(set(rows.select(F.percentile_approx("ordinal", sizes, 10_000)).first()[0])) if sizes else []
