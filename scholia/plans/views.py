@@ -10,6 +10,11 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Narrow tables by their key, whose rows become long texts and lists: a file of many rows is few splits, so they are
+#: dealt out by key, this many rows to a task.
+DEALT = {"customer": "c_custkey", "part": "p_partkey", "supplier": "s_suppkey"}
+ROWS_OF_A_TASK = 5_000
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 VIEWS = {
@@ -123,12 +128,22 @@ def relation(spark: SparkSession, sf_dir: str, query: str) -> DataFrame:
     if re.fullmatch(r"\w+", query):
         query = f"SELECT * FROM {query}"
     text = with_views(query, True)
+    direct = " ".join([query, *[v for k, v in _needed(query).items() if k != "v_record"]])  # which joins 200 parts alone
     for t in TABLES:
         if re.search(rf"\b{t}\b", text):
-            spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+            table = spark.read.parquet(f"{sf_dir}/{t}.parquet")
+            if t in DEALT and re.search(rf"\b{t}\b", direct):
+                table = dealt(table, DEALT[t])
+            table.createOrReplaceTempView(t)
     return spark.sql(text)
 
 
+def dealt(table: DataFrame, key: str, rows: int = ROWS_OF_A_TASK) -> DataFrame:
+    """table by its key in as many partitions as its rows need; one of few rows as it is."""
+    n = -(-table.count() // rows)
+    return table.repartition(n, key) if n > 1 else table
+
+
 def oracle(query: str) -> str:
     """The text of an oracle query; a WITH of its own continues that of the views."""
     views = _needed(query)
