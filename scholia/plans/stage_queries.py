@@ -12,6 +12,7 @@ from scholia.operators import list_stage, progress, reviews, scoring, search, sy
 from scholia.operators.evidence import BIBLIOGRAPHIC_KEYS, CATEGORIES
 from scholia.plans.registry import query
 from scholia.plans.views import relation
+from scholia.sources.storage import stored
 
 # ---- searches ----------------------------------------------------------------------------------
 
@@ -247,6 +248,7 @@ SELECT run_id, hypothesis_id, CASE WHEN reviewed OR critic IN ('not_run', 'faile
   CASE WHEN (CASE WHEN reviewed OR critic IN ('not_run', 'failed') THEN critic ELSE 'incomplete' END) <> 'completed' THEN '{reviews.NOT_TESTED}' WHEN hypothesis_id = 'hyp_02' THEN '{reviews.REVISED}' ELSE '{reviews.COMPLETED}' END AS note FROM h""")
 def rev_stress(spark, d):
     candidates, r = _reviewed(spark, d)
+    r = stored(r.filter("code = 'ok'").select("run_id", "hypothesis_id", "code"), "reviews")
     calls = relation(spark, d, "SELECT c_custkey AS run_id, CASE c_custkey % 8 WHEN 3 THEN 'failed' WHEN 5 THEN 'not_run' ELSE 'ok' END AS outcome FROM customer")
     status = reviews.critic_status(candidates, r, calls)
     ok = r.filter("code = 'ok'").select("run_id", "hypothesis_id", F.lit(True).alias("has"))
@@ -341,6 +343,7 @@ h AS (SELECT run_id, critic, 'hyp_01' AS hypothesis_id, CASE h1 WHEN 0 THEN 'pas
 SELECT run_id, hypothesis_id, CASE WHEN verdict IS NOT NULL OR critic <> 'completed' THEN critic ELSE 'incomplete' END AS critic_status, verdict FROM h""")
 def rev_safe_stress(spark, d):
     candidates, r = _reviewed(spark, d)
+    r = stored(r.filter("code = 'ok'").select("run_id", "hypothesis_id", "code", "checks"), "reviews")
     calls = relation(spark, d, "SELECT c_custkey AS run_id, CASE c_custkey % 8 WHEN 3 THEN 'failed' WHEN 5 THEN 'not_run' ELSE 'ok' END AS outcome FROM customer")
     status = reviews.critic_status(candidates, r, calls)
     c = candidates.join(r.filter("code = 'ok'").select("run_id", "hypothesis_id", "checks"), ["run_id", "hypothesis_id"], "left").join(status, "run_id")
