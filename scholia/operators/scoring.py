@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -222,23 +223,36 @@ def greedy_order(rows: list[dict]) -> list[dict]:
 def ranked(scores: DataFrame, key: str, title_tokens: Column, most: int = POOL) -> DataFrame:
     """(key, rank, record_id, selection_score, new_concepts, near_duplicate_of, same_profile): greedy per key.
 
-    Questions run in parallel. A question's pool is what its searches may return, `most` at most; a larger one is an
+    Questions come one after the other, one is held at a time. A question's pool is what its searches may return, `most` at most; a larger one is an
     error, for the order of its candidates is found one by one."""
     anchors = F.array(*[F.lit(c.name) for c in CONCEPTS if c.anchor])
     slim = scores.select(F.col(key).alias("k"), "record_id", F.array_except("concepts", anchors).alias("facets"), title_tokens.alias("tokens"), "base_score", "best_rank")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > most:
-            raise ValueError(f"a question has {len(pdf)} candidates, at most {most} are ranked")
-        rows = [{"record_id": r.record_id, "facets": set(r.facets), "tokens": set() if r.tokens is None else set(r.tokens), "base_score": int(r.base_score),
-                 "best_rank": None if pd.isna(r.best_rank) else int(r.best_rank)} for r in pdf.itertuples()]
-        out = greedy_order(rows)
-        return pd.DataFrame({"k": pdf["k"].iloc[0], "rank": range(1, len(out) + 1), "record_id": [r["record_id"] for r in out],
-                             "selection_score": [r["selection_score"] for r in out], "new_concepts": [r["new_facets"] for r in out],
-                             "near_duplicate_of": [r["dup"] for r in out], "same_profile": [r["same"] for r in out]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k, held, schema = None, [], None
+
+        def done() -> list[dict]:
+            return [{"k": k, "rank": n, "record_id": r["record_id"], "selection_score": r["selection_score"], "new_concepts": r["new_facets"], "near_duplicate_of": r["dup"], "same_profile": r["same"]}
+                    for n, r in enumerate(greedy_order(held), 1)]
+
+        for b in batches:
+            out = []
+            schema = schema or pa.schema([b.schema.field("k"), ("rank", pa.int32()), ("record_id", pa.string()), ("selection_score", pa.int32()), ("new_concepts", pa.list_(pa.string())),
+                                          ("near_duplicate_of", pa.string()), ("same_profile", pa.int32())])
+            for r in b.to_pylist():
+                if r["k"] != k:
+                    out += done()
+                    k, held = r["k"], []
+                held.append({"record_id": r["record_id"], "facets": set(r["facets"]), "tokens": set(r["tokens"] or ()), "base_score": r["base_score"], "best_rank": r["best_rank"]})
+                if len(held) > most:
+                    raise ValueError(f"a question has over {most} candidates, at most {most} are ranked")
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema)
+        if held:
+            yield pa.RecordBatch.from_pylist(done(), schema)
 
     schema = f"k {slim.schema['k'].dataType.simpleString()}, rank int, record_id string, selection_score int, new_concepts array<string>, near_duplicate_of string, same_profile int"
-    return slim.groupBy("k").applyInPandas(run, schema).withColumnRenamed("k", key)
+    return slim.repartition("k").sortWithinPartitions("k").mapInArrow(run, schema).withColumnRenamed("k", key)
 
 
 JOURNAL, PREPRINT, CONFERENCE, BOOK, UNKNOWN = "peer-reviewed journal article", "preprint", "conference paper", "book/chapter", "unknown"
