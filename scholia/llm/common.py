@@ -6,6 +6,7 @@ inner names at once, so extra or clashing columns of the input never meet its ow
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -102,8 +103,25 @@ def keyed_texts(docs: DataFrame, id_col: str, text_col: str, *more: str, carry=(
 
 
 def in_arrow(df: DataFrame, fn: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """fn over df; at its end a worker gives back what it freed, for it lives on and runs the next stage."""
+
+    def run(batches):
+        try:
+            yield from fn(batches)
+        finally:
+            freed()
+
     tuned(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+    return df.mapInArrow(run, schema)
+
+
+def freed() -> None:
+    """Free memory goes back to the system: Arrow's pool and, where it can, that of the C library."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

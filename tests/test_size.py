@@ -49,3 +49,17 @@ def test_small_groups_are_streamed(spark):
     assert {(x.q, x.rank): x.record_id for x in ranked.collect()} == {(i or None, k): f"r{2 * i + 2 - k}" for i in range(n) for k in (1, 2)}
     with pytest.raises(Exception, match="over 1 candidates"):
         scoring.ranked(c, "q", F.array(F.col("record_id")), 1).collect()
+
+
+def test_a_worker_gives_back_memory_at_the_end(spark, monkeypatch):
+    from scholia.llm import common
+
+    class Plan:
+        sparkSession = spark
+
+        def mapInArrow(self, fn, schema):
+            return fn
+
+    calls = []
+    monkeypatch.setattr(common, "freed", lambda: calls.append(1), raising=False)
+    assert list(common.in_arrow(Plan(), lambda batches: (b for b in batches), "a long")([1, 2])) == [1, 2] and calls == [1]
