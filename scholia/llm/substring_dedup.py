@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scholia.llm.common import U64, WORD, in_arrow, keyed_texts, mix, signed, stored
+from scholia.llm.common import U64, WORD, discard, in_arrow, keyed_texts, mix, signed, stored
 
 RUN, MIN_WORDS, LONGEST, NEAR = 3, 20, 10, 3
 _BASE = U64(0x9FB21C651E98DF25)
@@ -139,6 +139,7 @@ def substring_dedup(docs: DataFrame, *, id_col="doc_id", text_col="text", run=RU
     later = spans.join(repeated.select("hash", "check", "first"), ["hash", "check"]).filter(~is_first)
     marks = later.groupBy(F.col("id").alias("marked"), F.col("version").alias("marked_version")).agg(F.collect_set("place").alias("places"))
     marks = stored(marks, "marks").hint("shuffle_hash")
+    discard(spans)  # before the texts are shuffled
     joined = texts.join(marks, F.col("doc_id").eqNullSafe(F.col("marked")) & (F.col("version") == F.col("marked_version")), "left").select("doc_id", "text", "places")
 
     def rewritten(batches):

@@ -63,3 +63,19 @@ def test_a_worker_gives_back_memory_at_the_end(spark, monkeypatch):
     calls = []
     monkeypatch.setattr(common, "freed", lambda: calls.append(1), raising=False)
     assert list(common.in_arrow(Plan(), lambda batches: (b for b in batches), "a long")([1, 2])) == [1, 2] and calls == [1]
+
+
+def test_runs_are_deleted_before_texts_are_shuffled(spark):
+    """op8's table of runs is gone once the marks are written; the result, not yet computed then, is right."""
+    import glob
+
+    from scholia.llm import common
+    from scholia.llm.substring_dedup import substring_dedup
+
+    words = " ".join(f"w{i}" for i in range(60)) + ". "
+    docs = spark.createDataFrame([(1, words * 1 + "one end."), (2, words * 1 + "two end.")], "doc_id long, text string")
+    with common.scratch(spark) as path:
+        out = substring_dedup(docs)
+        assert glob.glob(path.removeprefix("file:") + "/marks-*") and not glob.glob(path.removeprefix("file:") + "/spans-*")
+        rows = {r.doc_id: r.n_removed for r in out.collect()}
+    assert rows[1] == 0 and rows[2] > 0
