@@ -99,10 +99,12 @@ def expanded_queries(questions: DataFrame, catalog: tuple[Concept, ...] = CONCEP
         tagged_anchor = F.when(hit, F.lit(group(c.terms))).otherwise(tagged_anchor)
         plain_anchor = F.when(hit, F.lit(" ".join(c.terms))).otherwise(plain_anchor)
     facets = [c for c in catalog if not c.anchor]
-    facet_word = lambda w: F.array_contains(F.flatten(F.array(*[
-        F.when(F.array_contains("matched", c.name), F.array(*[F.lit(x) for t in c.terms for x in t.split()])).otherwise(F.array().cast("array<string>")) for c in facets])), w)
-    by_pattern = lambda w: _any_of([F.array_contains("matched", c.name) & _any_of([w.rlike(p) for p in c.any_asked + c.asked]) for c in facets])
-    core = F.slice(F.filter("words", lambda w: ~facet_word(w) & ~by_pattern(w)), 1, 3)
+    none = F.array().cast("array<string>")
+    # words that belong to an asked facet: its terms' words, and what one of its patterns finds; facets that are not asked cost nothing
+    told = lambda c: lambda w: _any_of([w.isin(*[x for t in c.terms for x in t.split()]), *([w.rlike("|".join(f"(?:{p})" for p in patterns))] if (patterns := dict.fromkeys(c.any_asked + c.asked)) else [])])
+    taken = F.flatten(F.array(*[F.when(F.array_contains("matched", c.name), F.filter("words", told(c))).otherwise(none) for c in facets]))
+    base = base.withColumn("core", F.slice(F.array_except("words", taken), 1, 3))  # words are distinct
+    core = F.col("core")
     tagged_core = F.when(F.size(core) > 1, F.concat(F.lit("("), F.array_join(F.transform(core, lambda w: F.concat(w, F.lit("[tiab]"))), " AND "), F.lit(")"))).when(
         F.size(core) == 1, F.concat(F.element_at(core, 1), F.lit("[tiab]")))
     anchored = base.withColumn("tagged_anchor", F.coalesce(tagged_anchor, tagged_core)).withColumn(

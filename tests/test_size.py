@@ -79,3 +79,14 @@ def test_runs_are_deleted_before_texts_are_shuffled(spark):
         assert glob.glob(path.removeprefix("file:") + "/marks-*") and not glob.glob(path.removeprefix("file:") + "/spans-*")
         rows = {r.doc_id: r.n_removed for r in out.collect()}
     assert rows[1] == 0 and rows[2] > 0
+
+
+def test_an_expansion_tests_the_words_of_asked_facets_alone(spark):
+    """A question's words are matched once, by one pattern for each facet that it asks for."""
+    q = spark.createDataFrame([(1, "Does shear-induced membrane lipid signaling matter in clotting platelets?"), (2, "Does sleep restore memory"), (3, None)], "question_id long, question string")
+    out = scoring.expanded_queries(q)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("RLIKE") < 60
+    assert {(r.question_id, r.query_id): r.plain for r in out.collect() if r.question_id != 1} == {(2, "q1"): "Does sleep restore memory", (3, "q1"): None}
+    assert [r.plain for r in out.filter("question_id = 1").orderBy("query_id").collect()][1] == "platelet activation shear stress shear-induced"
+    bare = (scoring.Concept("x", ("memory",), False, (), (), ()),)  # a facet without patterns takes its own words alone
+    assert {r.plain for r in scoring.expanded_queries(q.filter("question_id = 2"), bare).collect()} == {"Does sleep restore memory", "sleep restore memory"}
