@@ -2,10 +2,11 @@
 
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from scholia.operators import dedup, reviews, scoring
+from scholia.operators import dedup, matching, reviews, scoring
 from scholia.plans import views
 
 
@@ -90,3 +91,24 @@ def test_an_expansion_tests_the_words_of_asked_facets_alone(spark):
     assert [r.plain for r in out.filter("question_id = 1").orderBy("query_id").collect()][1] == "platelet activation shear stress shear-induced"
     bare = (scoring.Concept("x", ("memory",), False, (), (), ()),)  # a facet without patterns takes its own words alone
     assert {r.plain for r in scoring.expanded_queries(q.filter("question_id = 2"), bare).collect()} == {"Does sleep restore memory", "sleep restore memory"}
+
+
+def test_a_text_is_hashed_once_for_all_sizes_of_needles(monkeypatch):
+    """Grams of twelve sizes cost one pass over a text of twelve steps, and find what a scan for each needle finds."""
+    text = "abcabcdefghijklm, \U0001f600 and again abcdefghijklm" * 9
+    needles = ["a", "bc", "\U0001f600 an", "defghijk", "abcdefghijkl", "abcdefghijklm, ", "zz", "bcdefghijklmn"]
+    grams = {}
+    for n in needles:
+        size, g = matching._of_needle(n)
+        grams.setdefault(size, []).extend(g)
+    passes, runs = [], matching._runs
+    monkeypatch.setattr(matching, "_runs", lambda t, most: passes.append(most) or runs(t, most))
+    sizes = tuple(sorted(grams))
+    few = dict(matching._of_text(text, sizes, {n: matching.Known(np.array(g, np.uint64)) for n, g in grams.items()}))
+    assert passes == [8]
+    every = dict(matching._of_text(text, sizes, None))
+    for n in needles:
+        size, g = matching._of_needle(n)
+        if size < matching.LEAST or n in text:
+            assert (set(g) <= set(few[size])) == (set(g) <= set(every[size])) == (n in text), n
+    assert dict(matching._of_text("", sizes, None)) == {} and set(dict(matching._of_text("ab", sizes, None))) == {1, 2}
