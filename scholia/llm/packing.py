@@ -141,14 +141,34 @@ class Encoder:
         self.added = re.compile("|".join(added)) if added else None
         # fixed values: the pattern by which byte-level pre-tokenisers part words
         self.parts = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
+        self.ascii_parts = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+").findall
+        self.separator = self._separator(told.get("added_tokens", []))
         self.type = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.known: dict[str, bytes] = {}
         self.limit = limit
 
+    @staticmethod
+    def _separator(added: list[dict]) -> tuple[str, int] | None:
+        """The one added token, if words can stand on either side of it and only it be found between them."""
+        if len(added) != 1 or any(added[0].get(k) for k in ("single_word", "lstrip", "rstrip", "normalized")):
+            return None
+        text = added[0]["content"]
+        return None if any(text.startswith(text[k:]) for k in range(1, len(text))) else (text, added[0]["id"])
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """The ids of each word, of a call for all of them."""
+        if self.separator is None:
+            return [np.array(e.ids, self.type).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        mark, number = self.separator
+        ids = np.array(self.tokenizer.encode_batch_fast([mark.join(words)], add_special_tokens=False)[0].ids, self.type)
+        size, ends = ids.itemsize, [*np.flatnonzero(ids == number).tolist(), len(ids)]
+        held = ids.tobytes()
+        return [held[a * size : b * size] for a, b in zip([0, *(x + 1 for x in ends[:-1])], ends)]
+
     def __call__(self, text: str) -> bytes:
         if not self.by_words or self.added and self.added.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.type).tobytes()
-        parts, known = self.parts(text), self.known
+        parts, known = (self.ascii_parts if text.isascii() else self.parts)(text), self.known
         ids = list(map(known.get, parts))
         if None in ids:
             new = list({p for p, x in zip(parts, ids) if x is None})
@@ -157,8 +177,7 @@ class Encoder:
                 new = list(set(parts))
             for at in range(0, len(new), 4096):
                 some = new[at : at + 4096]
-                for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                    known[p] = np.array(e.ids, self.type).tobytes()
+                known.update(zip(some, self._words(some), strict=True))
             ids = [known[p] for p in parts]
         return b"".join(ids)
 

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from scholia.llm import chat_format, filter_audit, hard_negatives
+from scholia.llm import chat_format, filter_audit, hard_negatives, packing
 
 # ---- hard negatives ----------------------------------------------------------------------------
 
@@ -166,3 +166,36 @@ def test_audit_of_nothing(spark):
 def test_too_many_filters_are_an_error(spark):
     with pytest.raises(ValueError):
         filter_audit.orders(spark, "ABCDEFGH")
+
+
+# ---- packing -----------------------------------------------------------------------------------
+
+
+def test_new_words_are_encoded_by_one_call():
+    import public_tokenizers
+
+    e, calls = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json")), []
+    tokenizer = e.tokenizer
+
+    class Counted:
+        def encode(self, *a, **k):
+            return tokenizer.encode(*a, **k)
+
+        def encode_batch_fast(self, texts, **k):
+            calls.append(len(texts))
+            return tokenizer.encode_batch_fast(texts, **k)
+
+    e.tokenizer = Counted()
+    rng = random.Random(3)
+    odd = ["\x1c", "\x85", " ", "́", "'s", "'ll", "<|endof", "<", ">", "|", "é", "²", "٣", "😀", "\n", "\t", "\x00", "_", "<|endoftext|>"]
+    texts = ["".join(rng.choice(odd) if rng.random() < 0.3 else chr(rng.randrange(128)) for _ in range(rng.randrange(60))) for _ in range(400)]
+    texts += ["".join(chr(rng.randrange(128)) for _ in range(2_000)), " ".join(f"w{rng.random()}" for _ in range(3_000))]
+    for t in texts:
+        assert e(t) == np.array(tokenizer.encode(t, add_special_tokens=False).ids, e.type).tobytes(), t
+        assert not t.isascii() or e.ascii_parts(t) == e.parts(t), t
+    assert set(calls) == {1}
+    mark = {"content": "<|endoftext|>", "id": 7}
+    assert e._separator([mark]) == ("<|endoftext|>", 7)
+    assert [e._separator(x) for x in ([], [mark, mark], [mark | {"lstrip": True}], [mark | {"content": "aba"}])] == [None] * 4
+    e.separator, e.known = None, {}
+    assert e("one two") == np.array(tokenizer.encode("one two", add_special_tokens=False).ids, e.type).tobytes()
