@@ -10,6 +10,7 @@ without what stands between them.
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 
@@ -23,30 +24,46 @@ from scholia.llm.common import U64, WORD, discard, in_arrow, keyed_texts, mix, s
 RUN, MIN_WORDS, LONGEST, NEAR = 3, 20, 10, 3
 _BASE = U64(0x9FB21C651E98DF25)
 _INVERSE = U64(pow(int(_BASE), -1, 1 << 64))
-# A run of marks before white space, or a newline: each run is tried from its first mark only.
-_STOP = re.compile(r"(?<![^\w\s])[^\w\s]++(?=\s|\Z)|\n")
-_FULL = re.compile(r"[.!?\n]")
+# A newline, or the rest of a run of marks from its first ., ! or ? on: each run is looked at once.
+_STOP = re.compile(r"[.!?\n](?:(?<=\n)|[^\w\s]*+)")
 
 
 def sentences(text: str) -> list[str]:
     """Parts that add up to the text; a sentence ends with marks that hold ., ! or ?, or with a newline."""
-    ends = [m.end() for m in _STOP.finditer(text) if _FULL.search(m[0])]
+    ends = [e for m in _STOP.finditer(text) if (e := m.end()) == len(text) or text[e].isspace() or text[e - 1] == "\n"]
     cuts = [0, *ends] if ends and ends[-1] == len(text) else [0, *ends, len(text)]
     return [text[a:b] for a, b in zip(cuts, cuts[1:]) if a < b]
 
 
+class _Hashes(dict):
+    """Hashes of words, of a bounded number of them."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 200_000:
+            self.clear()
+        self[word] = h = zlib.crc32(word.encode("utf-8", "surrogatepass"))
+        return h
+
+
+_hash_of = _Hashes().__getitem__
+# So many words, each with what follows up to the next one.
+_WORDS = functools.cache(lambda n: re.compile(rf"(?:\w++\W++){{{n}}}"))
+
+
 def cut_words(words: list[str], longest: int) -> list[int]:
     """Where the parts of a long sentence end: after words whose hash is the least within NEAR words on both sides (of
     equal ones the first), so that NEAR words of context decide; without such a word, after `longest` words. The last part
     may have NEAR + 1 words more."""
-    hashes = [zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words]
-    ends, last = [], 0
-    for i in range(NEAR, len(words) - NEAR - 1):
-        h = hashes[i]
-        least = h < hashes[i - 1] and h <= hashes[i + 1] and h < min(hashes[i - NEAR : i]) and h <= min(hashes[i + 1 : i + NEAR + 1])
-        if least or i + 1 - last >= longest:
+    hashes = list(map(_hash_of, words))
+    ends, last, stop = [], 0, len(words) - NEAR - 1
+    low = [i for i, (x, h, y) in enumerate(zip(hashes, hashes[1:], hashes[2:]), 1) if x > h <= y]
+    for c in [*[i for i in low if NEAR <= i < stop and hashes[i] < min(hashes[i - NEAR : i]) and hashes[i] <= min(hashes[i + 1 : i + NEAR + 1])], stop]:
+        while (i := max(NEAR, last, last + longest - 1)) < c:
             ends.append(i + 1)
             last = i + 1
+        if c < stop:
+            ends.append(c + 1)
+            last = c + 1
     return ends
 
 
@@ -61,7 +78,8 @@ def pieces(text: str, longest: int = LONGEST) -> tuple[list[str], list[int], np.
     hashes: list[bytes] = []
     open_front = ""
     for sentence in sentences(text):
-        found = WORD.findall(sentence.lower())
+        low = sentence.lower()
+        found = WORD.findall(low)
         if not found:
             if parts:
                 parts[-1] += sentence
@@ -71,11 +89,19 @@ def pieces(text: str, longest: int = LONGEST) -> tuple[list[str], list[int], np.
         if len(found) <= longest:
             cuts = [(sentence, found)]
         else:
-            starts = [m.start() for m in WORD.finditer(sentence)]
-            if len(starts) == len(found):  # lower-casing may rarely change where words end
+            # lower-casing may rarely change where words end; where it leaves each code point one, it does not
+            starts = None if len(low) == len(sentence) else [m.start() for m in WORD.finditer(sentence)]
+            if starts is None or len(starts) == len(found):
                 ends = cut_words(found, longest)
                 places = [0, *ends, len(found)]
-                at = [0, *[starts[i] for i in ends], len(sentence)]
+                if starts is None:
+                    at, here = [0], WORD.search(sentence).start()
+                    for i, j in zip(places, ends):
+                        here = _WORDS(j - i).match(sentence, here).end()
+                        at.append(here)
+                    at.append(len(sentence))
+                else:
+                    at = [0, *[starts[i] for i in ends], len(sentence)]
                 cuts = [(sentence[a:b], found[i:j]) for a, b, i, j in zip(at, at[1:], places, places[1:])]
             else:
                 cuts = [(sentence, found)]
@@ -89,6 +115,12 @@ def pieces(text: str, longest: int = LONGEST) -> tuple[list[str], list[int], np.
     return parts, words, np.frombuffer(b"".join(hashes), U64).reshape(-1, 2)
 
 
+@functools.cache
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n + 1 powers of the base and of its inverse."""
+    return tuple(np.multiply.accumulate(np.append(U64(1), np.full(n, x, U64))) for x in (_BASE, _INVERSE))
+
+
 def runs(words: list[int], hashes: np.ndarray, run: int, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(first part, end, hash, check) of the shortest run of `run` parts or more with min_words words or more from each
     part on; the last parts of a text have none."""
@@ -98,8 +130,7 @@ def runs(words: list[int], hashes: np.ndarray, run: int, min_words: int) -> tupl
     end = np.maximum(first + run, np.searchsorted(total, total[:-1] + min_words)) if n else first
     first, end = first[end <= n], end[end <= n]
     with np.errstate(over="ignore"):
-        power = np.multiply.accumulate(np.append(U64(1), np.full(n, _BASE, U64)))
-        back = np.multiply.accumulate(np.append(U64(1), np.full(n, _INVERSE, U64)))
+        power, back = (x[: n + 1] for x in (_powers(1 << n.bit_length()) if n < 1 << 16 else _powers.__wrapped__(n)))
         both = []
         for one in hashes.T:
             sums = np.append(U64(0), np.cumsum(mix(one) * power[:-1]))

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 from itertools import permutations
 
@@ -11,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from scholia.llm import chat_format, filter_audit, hard_negatives, packing
+from scholia.llm import chat_format, filter_audit, hard_negatives, packing, substring_dedup
 
 # ---- hard negatives ----------------------------------------------------------------------------
 
@@ -199,3 +200,42 @@ def test_new_words_are_encoded_by_one_call():
     assert [e._separator(x) for x in ([], [mark, mark], [mark | {"lstrip": True}], [mark | {"content": "aba"}])] == [None] * 4
     e.separator, e.known = None, {}
     assert e("one two") == np.array(tokenizer.encode("one two", add_special_tokens=False).ids, e.type).tobytes()
+
+
+# ---- passages ----------------------------------------------------------------------------------
+
+
+def test_passages_are_parted_in_few_steps():
+    """Parts are those of the plain rules, a text's marks are matched once for a sentence end, and a word is hashed once."""
+    rng = random.Random(8)
+
+    def plain_sentences(text):
+        ends = [m.end() for m in re.finditer(r"(?<![^\w\s])[^\w\s]++(?=\s|\Z)|\n", text) if re.search(r"[.!?\n]", m[0])]
+        cuts = [0, *ends] if ends and ends[-1] == len(text) else [0, *ends, len(text)]
+        return [text[a:b] for a, b in zip(cuts, cuts[1:]) if a < b]
+
+    def plain_cuts(words, longest, near=substring_dedup.NEAR):
+        h, ends, last = [zlib.crc32(w.encode()) for w in words], [], 0
+        for i in range(near, len(words) - near - 1):
+            if h[i] < min(h[i - near : i]) and h[i] <= min(h[i + 1 : i + near + 1]) or i + 1 - last >= longest:
+                ends.append(i + 1)
+                last = i + 1
+        return ends
+
+    for _ in range(2_000):
+        text = "".join(rng.choice(["a", "Bc", "İ", "ΑΣ", "_", "9", ".", "!", "?", ",", "…", "\"", " ", " ", " ", "\n"]) for _ in range(rng.randrange(120)))
+        assert substring_dedup.sentences(text) == plain_sentences(text), text
+        parts, words, _ = substring_dedup.pieces(text)
+        assert "".join(parts) == text and len(parts) == len(words)
+        for part, n in zip(parts, words):
+            assert "İ" in text or len(re.findall(r"\w+", part)) == n, text
+        some = [rng.choice("abcdefghij") for _ in range(rng.randrange(60))]
+        for longest in (1, 3, 4, 10, 50):
+            assert substring_dedup.cut_words(some, longest) == plain_cuts(some, longest)
+    assert len([m for m in substring_dedup._STOP.finditer("one, two; (three) - four?! five... six")]) == 2
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and len(chr(c).lower()) == 1]
+    assert all(bool(re.match(r"\w", c)) == bool(re.match(r"\w", c.lower())) for c in every)
+    for n in (0, 1, 5, 70_000):
+        power, back = (np.multiply.accumulate(np.append(np.uint64(1), np.full(n, x, np.uint64))) for x in (substring_dedup._BASE, substring_dedup._INVERSE))
+        got = substring_dedup._powers(n)
+        assert (got[0] == power).all() and (got[1] == back).all()
