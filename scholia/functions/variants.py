@@ -80,12 +80,21 @@ def rewritten(v: Column, leaf: Callable[[Column], Column], field: Callable[[Colu
     return F.when(children(v).isNull(), leaf(v)).otherwise(F.concat(ends("{", "["), inner, ends("}", "]")))
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), an array, with value evaluated once, however often body names it."""
+    return F.flatten(F.transform(F.array(value), body))
+
+
 def strings(v: Column, depth: int = DEPTH) -> Column:
     """Every string value at any level, fields by key, items in order; a container deeper than depth is one string."""
+    return once(v, lambda x: _strings(x, depth))
+
+
+def _strings(v: Column, depth: int) -> Column:
     one = lambda c: F.array_compact(F.array(c))
     if depth == 0:
         return one(F.when(children(v).isNull(), text_of(v)).otherwise(F.to_json(v)))
-    inner = F.flatten(F.transform(children(v), lambda e: strings(e["value"], depth - 1)))
+    inner = F.flatten(F.transform(children(v), lambda e: _strings(e["value"], depth - 1)))
     return F.when(children(v).isNull(), one(text_of(v))).otherwise(inner)
 
 

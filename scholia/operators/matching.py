@@ -6,6 +6,7 @@ yields the gram of every needle that it holds. Shorter needles are grams of thei
 on hashes of grams, and what meets is compared: no text meets a needle that it shares no gram with. Where the needles
 have no more than FEW grams, tasks hold these (8 bytes each, and a table of bits) and look all grams of a text up there
 before the shuffle; beyond it, all grams that a text yields are shuffled. One pass over a text hashes the grams of all sizes.
+No more than SCANNED needles are looked for as they are, where the texts lie: nothing is hashed, shuffled or joined.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from scholia.sources.storage import stored
 GRAM, LEAST = 8, 12
 #: Grams of needles that every task may hold; they are counted first.
 FEW = 200_000
+#: Needles for which a scan each costs less than grams; they are counted first.
+SCANNED = 32
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -117,9 +120,13 @@ def holding(texts: DataFrame, needles: DataFrame, id_col: str, text_col: str, ne
 
     Null texts hold nothing, null and empty needles are in nothing. Rows that share an id hold what any of them holds.
     """
-    every = needles.select(F.col(needle_col).alias("text")).filter("text <> ''").distinct().withColumn("id", F.col("text"))
+    every = needles.select(F.col(needle_col).alias("text")).filter("text <> ''").distinct()
     held = texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text IS NOT NULL")
-    wanted = stored(_grams(every, True).withColumnRenamed("id", "needle"), "needles")
+    some = [r["text"] for r in every.take(SCANNED + 1)]
+    if len(some) <= SCANNED:
+        found = F.array_compact(F.array(F.lit(None).cast("string"), *[F.when(F.contains("text", F.lit(n)), F.lit(n)) for n in some]))
+        return held.select(F.col("id").alias(id_col), F.explode(found).alias(needle_col)).distinct()
+    wanted = stored(_grams(every.withColumn("id", F.col("text")), True).withColumnRenamed("id", "needle"), "needles")
     counts = {r["size"]: r["n"] for r in wanted.groupBy("size").agg(F.count_distinct("gram").alias("n")).collect()}  # a row for each of LEAST sizes at most
     only = None
     if sum(counts.values()) <= FEW:

@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from scholia.operators import dedup, matching, reviews, scoring
+from scholia.functions import variants
+from scholia.operators import dedup, matching, provenance, reviews, scoring
 from scholia.plans import views
 
 
@@ -112,3 +113,49 @@ def test_a_text_is_hashed_once_for_all_sizes_of_needles(monkeypatch):
         if size < matching.LEAST or n in text:
             assert (set(g) <= set(few[size])) == (set(g) <= set(every[size])) == (n in text), n
     assert dict(matching._of_text("", sizes, None)) == {} and set(dict(matching._of_text("ab", sizes, None))) == {1, 2}
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_few_needles_are_looked_for_where_the_texts_lie(spark, monkeypatch):
+    """No gram is hashed and no text moves; what is found is what grams find."""
+    texts = spark.createDataFrame([(1, "an aé𝒳b text, an aé𝒳b"), (1, "other"), (2, "AN AÉ"), (3, None), (4, "")], "id long, text string")
+    needles = spark.createDataFrame([("aé𝒳b",), ("aé𝒳b",), ("an aé𝒳b text, an",), ("o",), ("",), (None,), ("none of them here",)], "needle string")
+    few = matching.holding(texts, needles, "id", "text", "needle")
+    assert "MapInArrow" not in _plan(few) and "Join" not in _plan(few)
+    got = sorted(map(tuple, few.collect()))
+    assert got == [(1, "an aé𝒳b text, an"), (1, "aé𝒳b"), (1, "o")]
+    assert matching.holding(texts, needles.filter("needle = ''"), "id", "text", "needle").collect() == []
+    monkeypatch.setattr(matching, "SCANNED", 0)
+    assert sorted(map(tuple, matching.holding(texts, needles, "id", "text", "needle").collect())) == got
+
+
+def test_a_walk_parses_a_payload_once(spark):
+    walk = variants.strings(variants.parsed(F.col("j")), 4)
+    assert spark.createDataFrame([('{"a":["x",{"b":"y"}]}',)], "j string").select(walk.alias("s")).collect()[0].s == ["x", "y"]
+    assert str(walk).count("parse_json(") == 1
+
+
+def test_checks_of_graphs_move_digests_of_bodies_and_quotes(spark):
+    """Bodies and quotes as long as texts stay where they lie: versions are compared, and quotes and rejected texts met, by digest."""
+    body = lambda q, r: '{"claim":"fine","finding":"ok","source_record_id":%s,"verified_quote":%s}' % (r, q)
+    rows = [(1, "ev:1", "evidence", "1", body('"q"', '"r"')), (1, "ev:2", "evidence", "2", body('"other"', '"r"')), (1, "ev:3", "evidence", "3", body("null", '"r"')),
+            (1, "ev:4", "evidence", "4", body('"q"', "null")), (2, "ev:1", "evidence", "1", body('"q"', '"r"')), (2, "gap:1", "gap", "1", None)]
+    schema = "graph_id long, node_id string, type string, item_id string, body string"
+    nodes = spark.createDataFrame(rows, schema)
+    evidence = spark.createDataFrame([(1, str(k), "r", "fine", "ok", None if k == 3 else "q", "c", "low") for k in (1, 2, 3, 4)] + [(2, "1", "r", "fine", "a text that was accepted", "q", "c", "low")],
+                                     "graph_id long, evidence_id string, record_id string, claim string, finding string, quote string, category string, confidence string")
+    edges = spark.createDataFrame([(1, "e", "supports", "a", "b", None), (2, "e", "supports", "a", "b", [])], "graph_id long, edge_id string, type string, source string, target string, recorded_by array<string>")
+    excluded = spark.createDataFrame([(1, "x", "why")], "graph_id long, item string, reason string")
+    records = spark.createDataFrame([], "graph_id long, record_id string, title string, authors array<string>, year int, journal string, doi string, pmid string, source_url string, source_type string")
+    versions = spark.createDataFrame([(1, provenance.GRAPH_VERSION), (2, None)], "graph_id long, graph_version string")
+    rejected = spark.createDataFrame([(2, "a text that was accepted"), (1, "verified_quote"), (2, "never written"), (2, "verified")], "graph_id long, text string")
+    rebuilt = (spark.createDataFrame([(*r[:4], body('"new"', '"r"')) if r[:2] == (2, "ev:1") else r for r in rows], schema), edges.withColumn("recorded_by", F.array().cast("array<string>")), excluded.limit(0))
+    out = provenance.violations(nodes, edges, excluded, versions, records, evidence, rejected, rebuilt)
+    assert [line for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line and "said_quote" in line]
+    assert {len(r.line) for r in provenance.digests(nodes, edges, excluded).collect()} == {64}
+    assert sorted(map(tuple, out.collect())) == [
+        (1, "evidence_mismatch", "ev:2"), (1, "evidence_mismatch", "ev:4"), (1, "not_reproducible", "edge|e"), (1, "not_reproducible", "excluded|x|why"),
+        *[(1, "rejected_evidence_present", f"ev:{k}") for k in (1, 2, 3, 4)], (2, "graph_version", ""), (2, "not_reproducible", "node|ev:1")]
