@@ -19,7 +19,7 @@ still goes to blocks. So every two lines within tau edits end in one class.
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +35,7 @@ TAU, MIN_LENGTH = 2, 10
 CROWD, BLOCK, HUBBED, ROUNDS = 32, 256, 2048, 3
 #: Pairs that are verified together.
 PAIRS = 2048
-#: Line ids that may be broadcast to fetch their texts: 8 bytes each; more of them are joined by shuffle.
+#: Line ids that every task may hold to fetch their texts: 8 bytes each; more of them are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
 
@@ -113,42 +113,71 @@ def segments(length: np.ndarray, number: int, tau: int) -> tuple[np.ndarray, np.
     return (number - 1) * base + np.maximum(number - 1 - short, 0), base + (number > short)
 
 
+@cache
+def _marks() -> np.ndarray:
+    """The bit of its class of every code point; newlines have none."""
+    with np.errstate(over="ignore"):
+        classes = ((np.arange(0x110000, dtype=U64) * _SPREAD) >> U64(40)) % U64(24)
+    marks = np.uint32(1) << classes.astype(np.uint32)
+    marks[10] = 0
+    return marks
+
+
+class Powers:
+    """Powers of the base of segment hashes, and of its inverse, up to the longest run of a task so far."""
+
+    def __init__(self):
+        self.up = self.back = np.zeros(0, U64)
+
+    def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """_SPREAD times the powers from 0 to n - 1, and those of the inverse from 0 to n."""
+        if len(self.up) < n or not len(self.back):
+            with np.errstate(over="ignore"):
+                factors = np.full(n + 1, _BASE, U64)
+                factors[0] = _SPREAD
+                self.up = np.multiply.accumulate(factors[:n])
+                factors[:] = _INVERSE
+                factors[0] = 1
+                self.back = np.multiply.accumulate(factors)
+        return self.up[:n], self.back[: n + 1]
+
+
 class Lines:
     """The lines of some texts as arrays: text number, line number, start and length in one run of code points."""
 
     def __init__(self, texts: list[str]):
-        joined = "\n".join(texts)
-        self.codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        self.joined = "\n".join(texts)
+        self.codes = np.frombuffer(self.joined.encode("utf-32-le", "surrogatepass"), np.uint32)
         ends = np.append(np.flatnonzero(self.codes == 10), len(self.codes))
         self.start = np.append(0, ends[:-1] + 1)
         self.length = ends - self.start
         first = np.append(0, np.cumsum([t.count("\n") + 1 for t in texts]))
         self.text = np.repeat(np.arange(len(texts)), np.diff(first))
         self.no = np.arange(len(self.start)) - first[self.text]
-        self.lines = joined.split("\n")
+        self.lines = self.joined.split("\n")
 
     def ids(self) -> tuple[np.ndarray, np.ndarray]:
         """(id, digest): 24 parities and 40 bits of a hash, and 64 bits more; equal for equal lines only."""
         import xxhash
 
-        n = len(self.lines)
-        both = [xxhash.xxh3_128_intdigest(x.encode("utf-8", "surrogatepass")) for x in self.lines]
-        low = np.fromiter((x & 0xFFFFFFFFFF for x in both), U64, n)
-        high = np.fromiter((x >> 64 for x in both), U64, n)
-        with np.errstate(over="ignore"):
-            classes = ((self.codes.astype(U64) * _SPREAD) >> U64(40)) % U64(24)
-        marks = np.append(np.uint32(1) << classes.astype(np.uint32), np.uint32(0))
-        marks[:-1][self.codes == 10] = 0
+        encoded = self.joined.encode("utf-8", "surrogatepass").split(b"\n")
+        both = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, encoded)), ">u8").reshape(-1, 2).astype(U64)
+        low, high = both[:, 1] & U64(0xFFFFFFFFFF), both[:, 0].copy()
+        marks = np.zeros(len(self.codes) + 1, np.uint32)
+        np.take(_marks(), self.codes, out=marks[:-1], mode="clip")
         parity = np.bitwise_xor.reduceat(marks, np.minimum(self.start, len(marks) - 1)).astype(U64)
         parity[self.length == 0] = 0
         return (parity << U64(40)) | low, high
 
-    def keys(self, which: np.ndarray, tau: int, probing: bool) -> list[np.ndarray]:
+    def keys(self, which: np.ndarray, tau: int, probing: bool, powers: Powers | None = None) -> list[np.ndarray]:
         """For some lines, an array of keys for each index entry or probe."""
+        up, back = (powers or Powers()).to(len(self.codes))
         with np.errstate(over="ignore"):
-            power = np.multiply.accumulate(np.append(U64(1), np.full(len(self.codes), _BASE, U64)))
-            back = np.multiply.accumulate(np.append(U64(1), np.full(len(self.codes), _INVERSE, U64)))
-            total = np.append(U64(0), np.cumsum((self.codes.astype(U64) + U64(1)) * _SPREAD * power[:-1]))
+            total = np.zeros(len(self.codes) + 1, U64)
+            sums = total[1:]
+            np.add(self.codes, U64(1), out=sums)
+            sums *= up
+            np.cumsum(sums, out=sums)
             start, length, out = self.start[which], self.length[which], []
             for delta, number, move in probes(tau) if probing else [(0, n, 0) for n in range(1, tau + 2)]:
                 at, size = segments(length - delta, number, tau)
@@ -181,6 +210,7 @@ def _entries(docs: DataFrame, tau: int, least: int, probing: bool) -> DataFrame:
 
     def run(batches):
         seen: set[int] = set()
+        powers = Powers()
         for b in batches:
             for _, texts in _blocks(b.column(0).to_pylist()):
                 lines = Lines(texts)
@@ -196,14 +226,21 @@ def _entries(docs: DataFrame, tau: int, least: int, probing: bool) -> DataFrame:
                 if not new:
                     continue
                 which = np.array(new)
-                for keys in lines.keys(which, tau, probing):
+                for keys in lines.keys(which, tau, probing, powers):
                     yield pa.RecordBatch.from_arrays([pa.array(signed(keys)), pa.array(signed(ids[which]))], ["key", "id"])
 
     return in_arrow(docs.select("text"), run, "key long, id long")
 
 
+def _among(ids: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of ids are among the sorted known ones."""
+    at = np.searchsorted(known, ids)
+    return known[np.minimum(at, len(known) - 1)] == ids if len(known) else np.zeros(len(ids), bool)
+
+
 def _texts_of(docs: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
-    """(id, line) for the wanted ids."""
+    """(id, line) for the wanted ids, which are distinct."""
+    few = np.sort(wanted.toPandas()["id"].to_numpy(np.int64).view(U64)) if wanted.count() <= BROADCAST_IDS else None
 
     def run(batches):
         for b in batches:
@@ -211,10 +248,12 @@ def _texts_of(docs: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
                 lines = Lines(texts)
                 ids = lines.ids()[0]
                 near = _worth(lines, least)
+                if few is not None:
+                    near = near[_among(ids[near], few)]
                 yield pa.RecordBatch.from_arrays([pa.array(signed(ids[near])), pa.array([lines.lines[i] for i in near], pa.string())], ["id", "line"])
 
-    side = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
-    return in_arrow(docs.select("text"), run, "id long, line string").join(side, "id", "left_semi").dropDuplicates(["id"])
+    out = in_arrow(docs.select("text"), run, "id long, line string")
+    return (out if few is not None else out.join(wanted, "id", "left_semi")).dropDuplicates(["id"])
 
 
 def _codes(line: str) -> np.ndarray:
@@ -342,13 +381,14 @@ def similar_lines(docs: DataFrame, *, tau: int = TAU, min_length: int = MIN_LENG
     is not crowded, and of the others enough to connect all that are within tau edits. Lines have min_length code
     points or more once stripped."""
     index = _entries(docs, tau, min_length, False).repartition("key").distinct()
-    index = stored(index.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))), "line-index")
+    whole = Window.partitionBy("key")
+    index = stored(index.select("key", "id", F.count(F.lit(1)).over(whole).alias("n"), (F.min("id").over(whole) == F.col("id")).alias("lead")), "line-index")
     pair = [F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")]
     few = index.filter((F.col("n") > 1) & (F.col("n") <= crowd))
     left, right = few.select("key", F.col("id").alias("x")), few.select(F.col("key").alias("k"), F.col("id").alias("y"))
     same = left.join(right, (F.col("key") == F.col("k")) & (F.col("x") < F.col("y")) & _fits("x", "y", tau)).select(*pair)
     # a crowded key is met once, without an id: who meets it is a member of the crowd
-    entries = index.select("key", F.when(F.col("n") <= crowd, F.col("id")).alias("x")).distinct()
+    entries = index.filter((F.col("n") <= crowd) | F.col("lead")).select("key", F.when(F.col("n") <= crowd, F.col("id")).alias("x"))
     probe = _entries(docs, tau, min_length, True).select(F.col("key").alias("k"), F.col("id").alias("y"))
     met = entries.join(probe, (F.col("key") == F.col("k")) & (F.col("x").isNull() | _fits("x", "y", tau)))
     met = stored(met.select("key", "x", "y").distinct(), "line-met")

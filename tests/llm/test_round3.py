@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from scholia.llm import chat_format, filter_audit, hard_negatives, packing, substring_dedup
+from scholia.llm import chat_format, filter_audit, hard_negatives, line_dedup, packing, substring_dedup
 
 # ---- hard negatives ----------------------------------------------------------------------------
 
@@ -239,3 +239,38 @@ def test_passages_are_parted_in_few_steps():
         power, back = (np.multiply.accumulate(np.append(np.uint64(1), np.full(n, x, np.uint64))) for x in (substring_dedup._BASE, substring_dedup._INVERSE))
         got = substring_dedup._powers(n)
         assert (got[0] == power).all() and (got[1] == back).all()
+
+
+def test_lines_are_hashed_by_tables(spark, monkeypatch):
+    """The classes of characters come from a table that is made once, the powers of a task from one that grows; ids and keys
+    are what they were by the formulas. Unwanted lines do not leave the task."""
+    import xxhash
+
+    texts = ["", "one line, of words\n\nanother line 😀 \ud800 of words", "a\r\n\x85b" * 9, "x" * 40 + "\n"]
+    lines = line_dedup.Lines(texts)
+    odd = lambda line: sum(1 << k for k in range(24) if sum(((ord(c) * 0x9E3779B97F4A7C15 % 2**64) >> 40) % 24 == k for c in line) % 2)
+    both = [xxhash.xxh3_128_intdigest(x.encode("utf-8", "surrogatepass")) for x in lines.lines]
+    ids, digests = lines.ids()
+    assert ids.tolist() == [odd(x) << 40 | h & 0xFFFFFFFFFF for x, h in zip(lines.lines, both)] and digests.tolist() == [h >> 64 for h in both]
+    assert line_dedup._marks() is line_dedup._marks()
+    powers, which = line_dedup.Powers(), line_dedup._worth(lines, 10)
+    first = powers.to(len(lines.codes))[0]
+    for probing in (False, True):
+        for a, b in zip(lines.keys(which, 2, probing), lines.keys(which, 2, probing, powers)):
+            assert a.tolist() == b.tolist()
+    assert np.shares_memory(powers.to(7)[0], first)
+    base, text = 0xD6E8FEB86659FD93, lines.lines[1]
+    start, size = 0, len(text) // 3  # the first of three segments
+    h = sum((ord(c) + 1) * 0x9E3779B97F4A7C15 * pow(base, k, 2**64) for k, c in enumerate(text[:size])) % 2**64
+    salt = line_dedup.mix(np.array([len(text) * 16 + 1], np.uint64))
+    with np.errstate(over="ignore"):
+        assert lines.keys(np.array([1]), 2, False)[0].tolist() == line_dedup.mix(np.array([h], np.uint64) + salt).tolist()
+    docs = spark.createDataFrame([(t,) for t in ("one line of words\nanother line of words", "one line of words", "a third line of words")], "text string")
+    wanted = {int(line_dedup.signed(line_dedup.Lines([x]).ids()[0])[0]): x for x in ("one line of words", "a third line of words")}
+    ask = spark.createDataFrame([(k,) for k in wanted], "id long")
+    few = line_dedup._texts_of(docs, ask, 10)
+    assert "Join" not in few._jdf.queryExecution().optimizedPlan().toString()
+    assert {tuple(r) for r in few.collect()} == set(wanted.items()) and few.count() == 2
+    assert line_dedup._texts_of(docs, ask.limit(0), 10).collect() == []
+    monkeypatch.setattr(line_dedup, "BROADCAST_IDS", 1)
+    assert {tuple(r) for r in line_dedup._texts_of(docs, ask, 10).collect()} == set(wanted.items())
