@@ -252,7 +252,7 @@ def rev_stress(spark, d):
     calls = relation(spark, d, "SELECT c_custkey AS run_id, CASE c_custkey % 8 WHEN 3 THEN 'failed' WHEN 5 THEN 'not_run' ELSE 'ok' END AS outcome FROM customer")
     status = reviews.critic_status(candidates, r, calls)
     ok = r.filter("code = 'ok'").select("run_id", "hypothesis_id", F.lit(True).alias("has"))
-    c = candidates.join(ok, ["run_id", "hypothesis_id"], "left").join(status, "run_id")
+    c = candidates.join(ok.hint("merge"), ["run_id", "hypothesis_id"], "left").join(status.hint("merge"), "run_id")
     revision = F.when(F.col("hypothesis_id") == "hyp_02", F.lit("revised")).otherwise(F.lit("no revision required"))
     return c.select("run_id", "hypothesis_id", reviews.stress_summary(F.coalesce("has", F.lit(False)), F.col("critic_status"), revision).alias("s")).select("run_id", "hypothesis_id", "s.critic_status", "s.note")
 
@@ -346,7 +346,7 @@ def rev_safe_stress(spark, d):
     r = stored(r.filter("code = 'ok'").select("run_id", "hypothesis_id", "code", "checks"), "reviews")
     calls = relation(spark, d, "SELECT c_custkey AS run_id, CASE c_custkey % 8 WHEN 3 THEN 'failed' WHEN 5 THEN 'not_run' ELSE 'ok' END AS outcome FROM customer")
     status = reviews.critic_status(candidates, r, calls)
-    c = candidates.join(r.filter("code = 'ok'").select("run_id", "hypothesis_id", "checks"), ["run_id", "hypothesis_id"], "left").join(status, "run_id")
+    c = candidates.join(r.filter("code = 'ok'").select("run_id", "hypothesis_id", "checks").hint("merge"), ["run_id", "hypothesis_id"], "left").join(status.hint("merge"), "run_id")
     s = reviews.safe_stress_summary(F.col("checks").isNotNull(), F.col("critic_status"), F.col("checks"))
     return c.select("run_id", "hypothesis_id", s.alias("s")).select("run_id", "hypothesis_id", "s.critic_status", F.element_at("s.critic_verdicts", reviews.CHECKS[0]).alias("verdict"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from scholia.functions import variants
 from scholia.operators import dedup, matching, provenance, reviews, scoring
-from scholia.plans import views
+from scholia.plans import catalogue, views
 
 
 def test_narrow_tables_are_dealt_out(spark, tmp_path):
@@ -34,6 +34,13 @@ def test_reviews_stay_with_their_run(spark):
         (1, 0): ("ok", ["e1"]), (1, 1): ("unknown_hypothesis_id", None), (2, 0): ("ok", []), (3, 0): ("unknown_hypothesis_id", None)}
 
 
+@pytest.mark.parametrize("name", ["rev_validated", "rev_safe_stress", "rev_stress", "rev_first_revisions"])
+def test_reviews_are_not_broadcast(spark, name):
+    """Runs, candidates and reviews grow with the table: however small their files are, the driver does not hold them."""
+    plan = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_small_groups_are_streamed(spark):
     """Many small investigations and questions pass a task one after the other: no group is a call of its own."""
     n = 3_000
