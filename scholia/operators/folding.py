@@ -69,49 +69,67 @@ def _swept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"ordinal": at_out, "unit": unit_out}, dtype="int64")
 
 
-def _states(records: DataFrame, assigned: DataFrame) -> DataFrame:
-    """Every state that a unit takes: (part, at: the ordinal that brought it, unit, until: the last ordinal that meets it, keys)."""
-    held = records.join(assigned.select("ordinal", "unit"), "ordinal")
-    first = held.groupBy("part", "unit").agg(*[F.min(F.when(F.col(c).isNotNull(), F.struct("ordinal", F.col(c).alias("v")))).alias(c) for c in _FIELDS])
-    times = F.array_sort(F.array_distinct(F.concat(F.array("unit"), F.array_compact(F.array(*[F.col(f"{c}.ordinal") for c in _FIELDS])))))
-    each = first.select("*", F.posexplode(times).alias("_i", "at"), times.alias("_times"))
+def _found(asked: DataFrame, begun: DataFrame) -> DataFrame:
+    """(ordinal, unit): the first unit that each record meets, over all of its keys."""
+    rows = asked.unionByName(begun).repartition("k1", "k2").sortWithinPartitions("k1", "k2", "at", "what")
+    return rows.mapInPandas(_swept, "ordinal long, unit long").groupBy("ordinal").agg(F.min("unit").alias("unit"))
+
+
+def _held(records: DataFrame, assigned: DataFrame, settled: DataFrame | None) -> DataFrame:
+    """(part, unit, a struct of ordinal and v for each field): which record fills it; settled: the units of earlier stretches."""
+    each = records.join(assigned.select("ordinal", "unit"), "ordinal").select("part", "unit", *[F.when(F.col(c).isNotNull(), F.struct("ordinal", F.col(c).alias("v"))).alias(c) for c in _FIELDS])
+    each = each if settled is None else each.unionByName(settled)
+    return each.groupBy("part", "unit").agg(*[F.min(c).alias(c) for c in _FIELDS])
+
+
+def _begun(held: DataFrame, low: int | None) -> DataFrame:
+    """Every state that a unit takes after low, with the one it has then, as rows of a sweep: (part, at: the ordinal that
+    brought it, unit, until: the last ordinal that meets it, keys)."""
+    times = F.concat(F.array("unit"), F.array_compact(F.array(*[F.col(f"{c}.ordinal") for c in _FIELDS])))
+    times = F.array_sort(F.array_distinct(times if low is None else F.transform(times, lambda t: F.greatest(t, F.lit(low)))))
+    each = held.select("*", F.posexplode(times).alias("_i", "at"), times.alias("_times"))
     now = lambda c: F.when(F.col(f"{c}.ordinal") <= F.col("at"), F.col(f"{c}.v"))
     until = F.coalesce(F.try_element_at("_times", F.col("_i") + 2), F.lit(_OPEN))
-    return each.select("part", "at", "unit", until.cast("long").alias("until"), _keys(now("doi"), now("pmid"), _triple(now("title")["key"], now("year"), now("author")["key"])).alias("keys"))
+    return _events(each.select("part", "at", "unit", until.cast("long").alias("until"), _keys(now("doi"), now("pmid"), _triple(now("title")["key"], now("year"), now("author")["key"])).alias("keys")), _BEGINS)
+
+
+def _guessed(asked: DataFrame, settled: DataFrame | None, low: int | None) -> DataFrame:
+    """(ordinal, unit): the unit that a record meets as the earlier stretches left it; those that meet none go to the first of them with their leading key."""
+    alone = asked.filter("mask = 0").select("k1", "k2", F.col("at").alias("ordinal"))
+    met = None
+    if settled is not None:
+        found = stored(_found(asked, _begun(settled, low)), "fold-guess")
+        met = found.filter("unit != ordinal")
+        alone = alone.join(found.filter("unit = ordinal").select("ordinal"), "ordinal", "left_semi")
+    firsts = alone.groupBy("k1", "k2").agg(F.min("ordinal").alias("unit"))
+    free = alone.join(firsts, ["k1", "k2"]).select("ordinal", "unit")
+    return stored(free if met is None else free.unionByName(met.select("ordinal", "unit")), "fold-units")
 
 
 def units(records: DataFrame) -> DataFrame:
     """(ordinal, unit): the ordinal of the record into which each is merged, its own if none.
 
+    Records are settled in stretches. A later stretch meets the units of earlier ones in the state that they are in by
+    then, a row for each, and its first guess is what it meets.
+
     records: part (records of different ones never meet), ordinal (unique), doi, pmid, title, title_key, year, authors, surname."""
     keyed = lambda there, key: F.when(there, F.struct(F.col(key).alias("key")))
     base = records.select("part", F.col("ordinal").cast("long").alias("ordinal"), "doi", "pmid", "year", keyed(F.col("title").isNotNull(), "title_key").alias("title"), keyed(F.size("authors") > 0, "surname").alias("author"))
     base = stored(base.withColumn("keys", _keys(F.col("doi"), F.col("pmid"), _triple(F.col("title.key"), F.col("year"), F.col("author.key")))), "fold-records")
     able = base.filter(F.size("keys") > 0)
     asks = stored(_events(able.select("part", F.col("ordinal").alias("at"), F.col("ordinal").alias("unit"), F.col("ordinal").alias("until"), "keys"), _ASKS), "fold-asks")
-    firsts = asks.filter("mask = 0").groupBy("k1", "k2").agg(F.min("at").alias("first"))
-    guess = stored(asks.join(firsts, ["k1", "k2"], "left").groupBy(F.col("at").alias("ordinal")).agg(F.coalesce(F.min("first"), F.col("ordinal")).alias("first")), "fold-guess")
-    n, settled, low = guess.count(), None, None
-    for high in [*_stretches(guess, n), None]:
+    done, settled, low = base.filter(F.size("keys") == 0).select("ordinal", F.col("ordinal").alias("unit")), None, None
+    for high in [*_stretches(able.select("ordinal"), able.count()), None]:
         within = lambda df, c: df.filter((F.lit(True) if low is None else F.col(c) > low) & (F.lit(True) if high is None else F.col(c) <= high))  # noqa: B023, E731
-        new = within(guess, "ordinal")
-        if settled is None:
-            new = new.select("ordinal", F.col("first").alias("unit"))
-        else:  # what stands for a settled record is its unit
-            new = new.join(settled.select(F.col("ordinal").alias("first"), F.col("unit").alias("_unit")), "first", "left").select("ordinal", F.coalesce("_unit", "first").alias("unit"))
-        new = stored(new, "fold-units")
-        asked, known = within(asks, "at"), able.drop("keys") if high is None else able.drop("keys").filter(F.col("ordinal") <= high)
-        while True:
-            rows = asked.unionByName(_events(_states(known, new if settled is None else new.unionByName(settled)), _BEGINS))
-            found = rows.repartition("k1", "k2").sortWithinPartitions("k1", "k2", "at", "what").mapInPandas(_swept, "ordinal long, unit long")
-            after = found.groupBy("ordinal").agg(F.min("unit").alias("unit")).join(new.select("ordinal", F.col("unit").alias("before")), "ordinal")
+        asked, fresh = within(asks, "at"), within(able.drop("keys"), "ordinal")
+        new, moved = _guessed(asked, settled, low), True
+        while moved:
+            held = stored(_held(fresh, new, settled), "fold-held")
+            after = _found(asked, _begun(held, low)).join(new.select("ordinal", F.col("unit").alias("before")), "ordinal")
             after = stored(after.select("ordinal", "unit", (F.col("unit") != F.col("before")).alias("moved")), "fold-units")
-            new = after.drop("moved")
-            if not after.filter("moved").take(1):
-                break
-        settled, low = (new if settled is None else settled.unionByName(new)), high
-    alone = base.filter(F.size("keys") == 0).select("ordinal", F.col("ordinal").alias("unit"))
-    return settled.unionByName(alone)
+            new, moved = after.drop("moved"), bool(after.filter("moved").take(1))
+        done, settled, low = done.unionByName(new.select("ordinal", "unit")), held, high  # none moved: held is of these units
+    return done
 
 
 def _stretches(rows: DataFrame, n: int) -> list[int]:
